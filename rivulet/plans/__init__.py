@@ -6,6 +6,7 @@ import importlib
 
 _MODULES = [
     "rivulet.plans.q_topics",
+    "rivulet.plans.q_tables",
 ]
 
 

@@ -6,20 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet.plans import fixtures as fx
+from rivulet.plans.registry import make_registry
 from rivulet.session import table, work_dir
 from rivulet.sources import topics
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def register(name: str, oracle: str | None = None):
-    def deco(fn):
-        QUERIES[name] = fn
-        if oracle is not None:
-            ORACLES[name] = oracle
-        return fn
-    return deco
+QUERIES, ORACLES, register = make_registry()
 
 
 # Split point of the two-append fixtures: ids below it arrive first.
