@@ -7,6 +7,7 @@ import importlib
 _MODULES = [
     "rivulet.plans.q_topics",
     "rivulet.plans.q_tables",
+    "rivulet.plans.q_stream",
 ]
 
 
