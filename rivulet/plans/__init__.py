@@ -8,6 +8,7 @@ _MODULES = [
     "rivulet.plans.q_topics",
     "rivulet.plans.q_tables",
     "rivulet.plans.q_stream",
+    "rivulet.plans.q_rules",
 ]
 
 

@@ -55,3 +55,72 @@ def kv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select(
         F.col("l_orderkey"), F.col("l_partkey"), F.col("l_quantity"), F.col("l_extendedprice"),
         F.col("l_returnflag").alias("value"), F.col("l_linenumber").alias("key"))
+
+
+# --------------------------------------------------------------------- fixture F: rules
+def customer_rule_tree(spark: SparkSession, sf_dir: str):
+    """A rule tree grown from customer/nation/region: (rules, factors, children).
+
+    Leaf ``c<custkey>``: key custkey % 3 - 1; factors c_nationkey (int) and,
+    unless custkey % 5 = 0, c_mktsegment (str).  ``n<nation>`` holds its
+    customers, ``r<region>`` holds its nations and again every customer with
+    c_acctbal > 9000 (repeated leaves), ``root`` holds the regions.
+    """
+    c = table(spark, sf_dir, "customer")
+    n = table(spark, sf_dir, "nation")
+    r = table(spark, sf_dir, "region")
+    leaf = F.concat(F.lit("c"), F.col("c_custkey").cast("string"))
+    nat = lambda k: F.concat(F.lit("n"), F.col(k).cast("string"))
+    reg = lambda k: F.concat(F.lit("r"), F.col(k).cast("string"))
+    rules = (c.select(leaf.alias("rule_id"), F.lit("single").alias("kind"),
+                      ((F.col("c_custkey") % 3) - 1).cast("int").alias("key"))
+             .unionByName(n.select(nat("n_nationkey").alias("rule_id"), F.lit("multi").alias("kind"),
+                                   F.lit(0).alias("key")))
+             .unionByName(r.select(reg("r_regionkey").alias("rule_id"), F.lit("multi").alias("kind"),
+                                   F.lit(1).alias("key")))
+             .unionByName(spark.range(1).select(F.lit("root").alias("rule_id"), F.lit("multi").alias("kind"),
+                                                F.lit(1).alias("key"))))
+    factors = (c.select(leaf.alias("rule_id"), F.lit(0).alias("pos"), F.lit("c_nationkey").alias("name"),
+                        F.lit("int").alias("vtype"), F.col("c_nationkey").cast("string").alias("value"))
+               .unionByName(c.where(F.col("c_custkey") % 5 != 0).select(
+                   leaf.alias("rule_id"), F.lit(1).alias("pos"), F.lit("c_mktsegment").alias("name"),
+                   F.lit("str").alias("vtype"), F.col("c_mktsegment").alias("value"))))
+    cn = c.join(n, c["c_nationkey"] == n["n_nationkey"])
+    children = (c.select(nat("c_nationkey").alias("parent_id"), F.col("c_custkey").cast("bigint").alias("pos"),
+                         leaf.alias("child_id"))
+                .unionByName(n.select(reg("n_regionkey").alias("parent_id"),
+                                      F.col("n_nationkey").cast("bigint").alias("pos"),
+                                      nat("n_nationkey").alias("child_id")))
+                .unionByName(cn.where(F.col("c_acctbal") > 9000).select(
+                    reg("n_regionkey").alias("parent_id"), (F.col("c_custkey") + 1000).cast("bigint").alias("pos"),
+                    leaf.alias("child_id")))
+                .unionByName(r.select(F.lit("root").alias("parent_id"),
+                                      F.col("r_regionkey").cast("bigint").alias("pos"),
+                                      reg("r_regionkey").alias("child_id"))))
+    return rules, factors, children
+
+
+def event_rules(spark: SparkSession, sf_dir: str):
+    """Rules on fixture D: per event type an ALL rule (type and par = 0) and an ANY rule (type or par = 1)."""
+    types = table(spark, sf_dir, "events").select("event_type").distinct()
+    rid = lambda mode: F.concat(F.lit("e:"), F.col("event_type"), F.lit(f":{mode}"))
+    rules = (types.select(rid("all").alias("rule_id"), F.lit("single").alias("kind"), F.lit(0).alias("key"))
+             .unionByName(types.select(rid("any").alias("rule_id"), F.lit("single").alias("kind"),
+                                       F.lit(1).alias("key"))))
+    factors = None
+    for mode, par in (("all", "0"), ("any", "1")):
+        part = (types.select(rid(mode).alias("rule_id"), F.lit(0).alias("pos"), F.lit("event_type").alias("name"),
+                             F.lit("str").alias("vtype"), F.col("event_type").alias("value"))
+                .unionByName(types.select(rid(mode).alias("rule_id"), F.lit(1).alias("pos"),
+                                          F.lit("par").alias("name"), F.lit("int").alias("vtype"),
+                                          F.lit(par).alias("value"))))
+        factors = part if factors is None else factors.unionByName(part)
+    return rules, factors
+
+
+def event_records(spark: SparkSession, sf_dir: str):
+    """Events seen as maps {event_type: str, par: int} keyed by event_id."""
+    from rivulet.operators.rules import unpivot_records
+    e = table(spark, sf_dir, "events")
+    return unpivot_records(e, "event_id", {"event_type": (F.col("event_type"), "str"),
+                                           "par": (F.col("user_id") % 2, "int")})
