@@ -9,6 +9,7 @@ _MODULES = [
     "rivulet.plans.q_tables",
     "rivulet.plans.q_stream",
     "rivulet.plans.q_rules",
+    "rivulet.plans.q_datasets",
 ]
 
 
