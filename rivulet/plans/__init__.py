@@ -10,6 +10,8 @@ _MODULES = [
     "rivulet.plans.q_stream",
     "rivulet.plans.q_rules",
     "rivulet.plans.q_datasets",
+    "rivulet.plans.q_service",
+    "rivulet.plans.q_passthrough",
 ]
 
 
