@@ -85,42 +85,50 @@ def equality_classes(rules: DataFrame, factors: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------------- R3
+def _child_path(path: Column, pos: Column) -> Column:
+    step = F.lpad(pos.cast("string"), PATH_DIGITS, "0")
+    return F.when(path == "", step).otherwise(F.concat(path, F.lit("."), step))
+
+
 def flatten(rules: DataFrame, children: DataFrame, roots: DataFrame | None = None,
             max_depth: int = 10_000) -> DataFrame:
     """Leaf (single) rules under each root, depth first.
 
     Returns (root_id, leaf_id, depth, path); ``path`` joins the zero-padded
     child positions, so sorting by it gives depth-first order, repeats kept.
-    Each loop step joins the frontier of multi rules with their children.
+
+    The loop walks only the multi rules (the inner nodes, few next to the
+    leaves), one join per level, keeping each small level cached.  The
+    leaves are then attached in a single join with the child table.
     """
     kinds = rules.select(F.col("rule_id").alias("child_id"), F.col("kind"))
     edges = children.join(kinds, "child_id")
+    inner_edges = edges.where(F.col("kind") == "multi")
     if roots is None:
         # roots: multi rules that are nobody's child
         roots = (rules.where(F.col("kind") == "multi").select("rule_id")
                  .join(children.select(F.col("child_id").alias("rule_id")), "rule_id", "left_anti"))
     frontier = roots.select(F.col("rule_id").alias("root_id"), F.col("rule_id").alias("node_id"),
-                            F.lit(0).alias("depth"), F.lit("").alias("path"))
-    spark = rules.sparkSession
-    leaves: list[DataFrame] = []
+                            F.lit(0).alias("depth"), F.lit("").alias("path")).persist()
+    inner = [frontier]
     for level in range(1, max_depth + 1):
-        step = (frontier.join(edges, frontier["node_id"] == edges["parent_id"])
-                .select("root_id", F.col("child_id").alias("node_id"), "kind", F.lit(level).alias("depth"),
-                        F.concat(F.col("path"), F.when(F.col("path") == "", F.lit("")).otherwise(F.lit(".")),
-                                 F.lpad(F.col("pos").cast("string"), PATH_DIGITS, "0")).alias("path")))
-        if level % CHECKPOINT_EVERY_LEVELS == 0:
-            step = step.checkpoint()
-        leaves.append(step.where(F.col("kind") == "single").select(
-            "root_id", F.col("node_id").alias("leaf_id"), "depth", "path"))
-        frontier = step.where(F.col("kind") == "multi").drop("kind")
-        if frontier.isEmpty():
+        step = (frontier.join(inner_edges, frontier["node_id"] == inner_edges["parent_id"])
+                .select("root_id", F.col("child_id").alias("node_id"), F.lit(level).alias("depth"),
+                        _child_path(F.col("path"), F.col("pos")).alias("path")))
+        step = (step.checkpoint() if level % CHECKPOINT_EVERY_LEVELS == 0 else step).persist()
+        if step.isEmpty():
             break
+        inner.append(step)
+        frontier = step
     else:
         raise ValueError("rule tree deeper than max_depth (cycle?)")
-    out = leaves[0]
-    for part in leaves[1:]:
-        out = out.unionByName(part)
-    return out
+    nodes = inner[0]
+    for part in inner[1:]:
+        nodes = nodes.unionByName(part)
+    leaf_edges = edges.where(F.col("kind") == "single")
+    j = leaf_edges.join(bounded_broadcast(nodes), leaf_edges["parent_id"] == nodes["node_id"])
+    return j.select("root_id", F.col("child_id").alias("leaf_id"), (F.col("depth") + 1).alias("depth"),
+                    _child_path(F.col("path"), F.col("pos")).alias("path"))
 
 
 # --------------------------------------------------------------------- R4

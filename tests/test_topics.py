@@ -1,0 +1,91 @@
+"""Topic line encode/decode semantics and failure cases."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from rivulet.sources import topics
+
+SCHEMA = "id int, name string, age int"
+
+
+def _lines(spark, *values):
+    return spark.createDataFrame([(v,) for v in values], "value string")
+
+
+def test_encode_prints_null_and_keeps_order(spark):
+    df = spark.createDataFrame([(1, "wpy", 25), (2, None, None)], SCHEMA)
+    assert [r["value"] for r in topics.encode(df).collect()] == ["1\twpy\t25", "2\tnull\tnull"]
+
+
+def test_encode_rejects_tab_in_field(spark):
+    df = spark.createDataFrame([(1, "a\tb", 3)], SCHEMA)
+    with pytest.raises(Exception, match="TAB"):
+        topics.encode(df).collect()
+
+
+def test_decode_roundtrip_and_extra_fields(spark):
+    out = topics.decode(_lines(spark, "1\twpy\t25", "2\tx\t3\textra"), SCHEMA).collect()
+    assert [tuple(r) for r in out] == [(1, "wpy", 25), (2, "x", 3)]
+
+
+@pytest.mark.parametrize("line", ["1\twpy", "x\twpy\t25", "1\twpy\t2.5", "99999999999\tw\t1"])
+def test_decode_strict_failures(spark, line):
+    with pytest.raises(Exception):
+        topics.decode(_lines(spark, line), SCHEMA).collect()
+
+
+def test_decode_lenient_reasons(spark):
+    good, bad = topics.decode_lenient(_lines(spark, "1\ta\t2", "1\ta", "z\ta\t2"), SCHEMA)
+    assert good.count() == 1
+    assert sorted(r["reason"] for r in bad.collect()) == ["bad int in field id", "missing field age"]
+
+
+def test_boolean_is_strict(spark):
+    ok = topics.decode(_lines(spark, "TRUE\tfalse"), "a boolean, b boolean").collect()
+    assert tuple(ok[0]) == (True, False)
+    with pytest.raises(Exception):
+        topics.decode(_lines(spark, "yes\tfalse"), "a boolean, b boolean").collect()
+
+
+def test_unsupported_topic_type(spark):
+    with pytest.raises(TypeError):
+        topics.decode(_lines(spark, "1"), "d date")
+
+
+def test_topic_view_insert_and_select(spark, tmp_path):
+    path = str(tmp_path / "topic")
+    topics.write_topic(spark.createDataFrame([(2, "a", 30)], SCHEMA), path)
+    topics.create_topic_view(spark, "kafka_stu", SCHEMA, path)
+    spark.sql("INSERT INTO TABLE kafka_stu VALUES (1, 'wpy', 25)")
+    assert sorted(tuple(r) for r in spark.sql("SELECT * FROM kafka_stu").collect()) == [(1, "wpy", 25), (2, "a", 30)]
+    # the view writes exactly the encoded line form
+    assert sorted(r["value"] for r in spark.read.text(path).collect()) == ["1\twpy\t25", "2\ta\t30"]
+
+
+def test_incremental_positions(spark, tmp_path):
+    log = spark.createDataFrame([(0, i, f"{i}\tn\t{i}") for i in range(5)], topics.LOG_SCHEMA)
+    pos = topics.TopicPositions(spark, str(tmp_path / "pos"))
+    rows, ranges = topics.scan_incremental(log, pos)
+    assert rows.count() == 5
+    pos.commit(ranges)
+    rows, ranges = topics.scan_incremental(log, pos)
+    assert rows.count() == 0
+    more = log.unionByName(spark.createDataFrame([(0, 5, "5\tn\t5")], topics.LOG_SCHEMA))
+    rows, _ = topics.scan_incremental(more, pos)
+    assert [r["offset"] for r in rows.collect()] == [5]
+
+
+def test_rate_limit_formula(spark):
+    r = spark.createDataFrame([(0, 0, 100), (1, 50, 100), (2, 100, 100)], "partition int, cur long, latest long")
+    got = {x["partition"]: (x["limit"], x["until_offset"])
+           for x in topics.rate_limited_ranges(r, secs=1.0, max_rate=60, rate=90.0).collect()}
+    # lags 100, 50, 0 -> shares 60, 30, 0 -> capped 60, 30, 0
+    assert got == {0: (60, 60), 1: (30, 80), 2: (0, 100)}
+    no_rate = {x["partition"]: x["until_offset"]
+               for x in topics.rate_limited_ranges(r, secs=1.0, max_rate=0).collect()}
+    assert no_rate == {0: 100, 1: 100, 2: 100}
+
+
+def test_frequency_expand_zero_and_n(spark):
+    df = spark.createDataFrame([("a", 3), ("b", 0)], "m string, n int")
+    assert sorted(tuple(r) for r in topics.frequency_expand(df, "m", "n").collect()) == [("a", 1), ("a", 2), ("a", 3)]
