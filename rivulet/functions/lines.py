@@ -24,12 +24,7 @@ TOPIC_TYPES = (
     T.DoubleType, T.FloatType, T.BooleanType, T.StringType,
 )
 
-_INT_RANGE = {
-    T.ByteType: (-(2**7), 2**7 - 1),
-    T.ShortType: (-(2**15), 2**15 - 1),
-    T.IntegerType: (-(2**31), 2**31 - 1),
-    T.LongType: (-(2**63), 2**63 - 1),
-}
+_INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
 def check_topic_schema(schema: T.StructType) -> None:
@@ -63,11 +58,13 @@ def line_is_clean(*cols: Column | str) -> Column:
 
 
 def _valid(text: Column, dtype: T.DataType) -> Column:
-    """Whether ``text`` parses as ``dtype`` the way a JVM number parser would."""
-    if isinstance(dtype, tuple(_INT_RANGE)):
-        lo, hi = _INT_RANGE[type(dtype)]
-        as_dec = text.try_cast("decimal(38,0)")
-        return text.rlike("^[+-]?[0-9]{1,19}$") & as_dec.between(F.lit(lo), F.lit(hi))
+    """Whether ``text`` parses as ``dtype`` the way a JVM number parser would.
+
+    Integers: optional sign and digits only (no blanks, no decimal point),
+    and inside the type's range (``try_cast`` gives null on overflow).
+    """
+    if isinstance(dtype, _INTEGRAL):
+        return text.rlike("^[+-]?[0-9]+$") & text.try_cast(dtype).isNotNull()
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
         return text.try_cast("double").isNotNull()
     if isinstance(dtype, T.BooleanType):
@@ -88,14 +85,16 @@ def split_line(line: Column) -> Column:
     return F.split(line, SEPARATOR, -1)
 
 
-def decode_columns(line: Column, schema: T.StructType, strict: bool = True) -> list[Column]:
+def decode_columns(line: Column, schema: T.StructType, strict: bool = True,
+                   presplit: bool = False) -> list[Column]:
     """Typed columns for ``schema`` from a TAB line (K2).
 
     strict: a missing field or a bad number/boolean raises, failing the job.
     Otherwise the field becomes null and :func:`reject_reason` names it.
+    With ``presplit`` the input is already the array of :func:`split_line`.
     """
     check_topic_schema(schema)
-    parts = split_line(line)
+    parts = line if presplit else split_line(line)
     out = []
     for i, f in enumerate(schema.fields):
         text = F.get(parts, i)

@@ -177,7 +177,7 @@ def match_rules(records: DataFrame, rules: DataFrame, factors: DataFrame) -> Dat
     meta = rules.where(F.col("kind") == "single").select("rule_id", "key").join(nf, "rule_id")
     f_small = bounded_broadcast(f.join(meta, "rule_id"))
     hits = records.join(f_small, ["name", "vtype", "value"])
-    counted = hits.groupBy("rule_id", "record_id", "key", "n_factors").agg(
-        F.count_distinct("pos").alias("n_hit"))
+    # a record has one value per field name, so each factor hits a record at most once
+    counted = hits.groupBy("rule_id", "record_id", "key", "n_factors").agg(F.count(F.lit(1)).alias("n_hit"))
     ok = F.when(F.col("key") == KEY_ANY, F.col("n_hit") >= 1).otherwise(F.col("n_hit") == F.col("n_factors"))
     return counted.where(ok).select("rule_id", "record_id")

@@ -24,10 +24,10 @@ def part_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_size").alias("age"))
 
 
-def part_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fixture B: one topic line per part, keeping ``id`` for splitting."""
+def part_lines(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ("id",)) -> DataFrame:
+    """Fixture B: one topic line per part, keeping ``id`` (or other columns) alongside."""
     rows = part_rows(spark, sf_dir)
-    return rows.select("id", topics.line_column(["id", "name", "age"]).alias("value"))
+    return rows.select(*keep, topics.line_column(["id", "name", "age"]).alias("value"))
 
 
 def part_log(spark: SparkSession, sf_dir: str) -> DataFrame:

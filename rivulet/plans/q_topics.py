@@ -202,6 +202,5 @@ SELECT concat_ws(chr(9), CAST(p_partkey AS VARCHAR), p_name, CAST(p_size AS VARC
 FROM part, generate_series(1, p_size) AS g(copy_no)""")
 def frequency_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each part's topic line repeated p_size times."""
-    lines = fx.part_lines(spark, sf_dir).join(
-        fx.part_rows(spark, sf_dir).select("id", "age"), "id")
+    lines = fx.part_lines(spark, sf_dir, keep=("age",))
     return topics.frequency_expand(lines, "value", "age")

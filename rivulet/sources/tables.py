@@ -59,6 +59,15 @@ def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_KEY_ROWS) -> Data
     return F.broadcast(df) if n <= max_rows else df
 
 
+def in_list(df: DataFrame, col: str, values: list, max_literals: int = 10_000) -> DataFrame:
+    """``col IN (values)``: a pushed-down literal list when short, a broadcast key table when long."""
+    if len(values) <= max_literals:
+        return df.where(F.col(col).isin(list(values)))
+    dtype = df.schema[col].dataType.simpleString()
+    keys = df.sparkSession.createDataFrame([(v,) for v in values], f"{col} {dtype}")
+    return semi_join_keys(df, keys, col)
+
+
 def semi_join_keys(df: DataFrame, keys: DataFrame, on: str, key_col: str | None = None,
                    max_broadcast_rows: int = BROADCAST_KEY_ROWS) -> DataFrame:
     """A large IN list as a key table: ``df`` rows whose ``on`` value is in ``keys``."""

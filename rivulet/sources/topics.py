@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rivulet.functions.lines import (
-    decode_columns, encode_line, line_is_clean, reject_reason, check_topic_schema,
+    check_topic_schema, decode_columns, encode_line, line_is_clean, reject_reason, split_line,
 )
 
 LOG_SCHEMA = "partition int, offset bigint, value string"
@@ -52,10 +52,14 @@ def encode(df: DataFrame, columns: list[str] | None = None, check: bool = True)
 
 def decode(lines: DataFrame, schema: T.StructType | str, value_col: str = "value",
            keep: list[str] | None = None) -> DataFrame:
-    """Strict decode: a bad number, bad boolean or short line fails the job."""
+    """Strict decode: a bad number, bad boolean or short line fails the job.
+
+    Each line is split once into an array column that the field expressions read.
+    """
     schema = _schema(schema)
     keep = keep or []
-    return lines.select(*keep, *decode_columns(F.col(value_col), schema, strict=True))
+    split = lines.select(*keep, split_line(F.col(value_col)).alias("_parts"))
+    return split.select(*keep, *decode_columns(F.col("_parts"), schema, strict=True, presplit=True))
 
 
 def decode_lenient(lines: DataFrame, schema: T.StructType | str, value_col: str = "value",

@@ -89,3 +89,32 @@ def test_rate_limit_formula(spark):
 def test_frequency_expand_zero_and_n(spark):
     df = spark.createDataFrame([("a", 3), ("b", 0)], "m string, n int")
     assert sorted(tuple(r) for r in topics.frequency_expand(df, "m", "n").collect()) == [("a", 1), ("a", 2), ("a", 3)]
+
+
+def test_in_list_large_and_small(spark):
+    from rivulet.sources import tables
+    df = spark.range(0, 100_000).withColumnRenamed("id", "v")
+    big = tables.in_list(df, "v", list(range(60_001)))          # the reference's 60,001-literal list
+    assert big.count() == 60_001
+    small = tables.in_list(df, "v", [1, 5, 7])
+    assert sorted(r["v"] for r in small.collect()) == [1, 5, 7]
+
+
+def test_create_temp_view_refuses_taken_name(spark):
+    from rivulet.sources import tables
+    df = spark.range(3)
+    tables.register_view(df, "taken_v", replace=True)
+    with pytest.raises(Exception):
+        tables.register_view(df, "taken_v", replace=False)
+    tables.register_view(df, "taken_v", replace=True)
+
+
+def test_service_error_envelope(spark):
+    import json
+    from rivulet.operators import service as V
+    df, resp = V.try_sql(spark, "SELECT * FROM no_such_table_xyz")
+    assert df is None
+    doc = json.loads(resp.first()["json"])
+    assert doc["resultCode"] == -1 and doc["msg"]
+    df, resp = V.try_sql(spark, "SELECT 1 AS a")
+    assert json.loads(resp.first()["json"]) == {"msg": "succeed", "resultCode": 0}
