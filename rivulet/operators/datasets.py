@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rivulet.functions.indexing import index_within_groups
-from rivulet.session import ensure_checkpoint_dir
+from rivulet.session import ensure_checkpoint_dir, max_partition_value
 
 
 # --------------------------------------------------------------------- D1
@@ -103,7 +103,8 @@ class AccumulatingTable:
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path.rstrip("/")
-        self.batches = 0
+        last = max_partition_value(spark, self.path, "batch")
+        self.batches = 0 if last is None else int(last) + 1
 
     def append(self, df: DataFrame) -> int:
         df.write.mode("overwrite").parquet(f"{self.path}/batch={self.batches}")

@@ -14,6 +14,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -75,3 +76,21 @@ def work_dir(spark: SparkSession, label: str) -> str:
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return _checkpoint_root(spark)
+
+
+def max_partition_value(spark: SparkSession, path: str, column: str):
+    """Largest ``column=<v>`` folder value under ``path``, or None if nothing is there yet.
+
+    Used to restore a counter (a positions version, a batch number) after a
+    restart, so it never lives only in driver memory.
+    """
+    try:
+        df = spark.read.parquet(path)
+    except Exception as exc:  # noqa: BLE001 -- a missing folder means "nothing yet"
+        text = str(exc)
+        if "PATH_NOT_FOUND" in text or "UNABLE_TO_INFER_SCHEMA" in text or "does not exist" in text:
+            return None
+        raise
+    if column not in df.columns:
+        return None
+    return df.agg(F.max(column)).first()[0]

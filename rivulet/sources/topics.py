@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rivulet.session import max_partition_value
 from rivulet.functions.lines import (
     check_topic_schema, decode_columns, encode_line, line_is_clean, reject_reason, split_line,
 )
@@ -154,7 +155,8 @@ class TopicPositions:
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path.rstrip("/")
-        self.version = 0
+        # a restarted consumer resumes from the last committed version
+        self.version = int(max_partition_value(spark, self.path, "v") or 0)
 
     def current(self) -> DataFrame | None:
         if self.version == 0:

@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from rivulet.functions.lines import decode_columns, row_text
+from rivulet.session import max_partition_value
 from rivulet.sources.topics import _schema
 
 # The reference's batch interval and standing-query interval.
@@ -175,8 +176,13 @@ class ResultBuffer:
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path.rstrip("/")
-        self.drains = 0
+        # a restarted reader resumes after the last recorded drain
+        last = max_partition_value(spark, f"{self.path}/marks", "drain_no")
+        self.drains = int(last or 0)
         self.mark = -1
+        if last is not None:
+            self.mark = int(spark.read.parquet(f"{self.path}/marks")
+                            .where(F.col("drain_no") == self.drains).first()["mark"])
 
     def sink(self, batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{self.path}/rows/batch_id={batch_id}")
@@ -203,7 +209,7 @@ class ResultBuffer:
         new_mark = self.mark if top is None else max(self.mark, int(top))
         out = rows.where((F.col("batch_id") > self.mark) & (F.col("batch_id") <= new_mark)) \
             .withColumn("drain_no", F.lit(self.drains))
-        self.spark.createDataFrame([(self.drains, new_mark)], "drain_no int, mark int") \
-            .write.mode("append").parquet(f"{self.path}/marks")
+        self.spark.createDataFrame([(new_mark,)], "mark int") \
+            .write.mode("overwrite").parquet(f"{self.path}/marks/drain_no={self.drains}")
         self.mark = new_mark
         return out

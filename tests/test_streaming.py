@@ -57,3 +57,14 @@ def test_multi_task_keeps_row_if_any_task_does(spark):
     task = mb.MultiTask((mb.Single("a", lambda term, r: F.when(r["t"] == term, r["v"]), "x"),
                          mb.Single(50.0, lambda term, r: F.when(r["v"] > term, r["v"]), "y")))
     assert sorted(r["id"] for r in mb.run_task(df, ["id", "t", "v"], task).collect()) == [1, 2]
+
+
+def test_result_buffer_mark_survives_restart(spark, sf_dir):
+    topic_dir, ckpt, path = work_dir(spark, "t"), work_dir(spark, "ckpt"), work_dir(spark, "buf")
+    buf = mb.ResultBuffer(spark, path)
+    _add(spark, sf_dir, topic_dir, 0)
+    mb.run_to_end(buf.start(mb.topic_stream(spark, topic_dir, fx.PART_TOPIC_SCHEMA), ckpt))
+    assert buf.drain().count() > 0
+    again = mb.ResultBuffer(spark, path)
+    assert (again.drains, again.mark) == (1, 0)
+    assert again.drain().count() == 0

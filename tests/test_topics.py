@@ -118,3 +118,14 @@ def test_service_error_envelope(spark):
     assert doc["resultCode"] == -1 and doc["msg"]
     df, resp = V.try_sql(spark, "SELECT 1 AS a")
     assert json.loads(resp.first()["json"]) == {"msg": "succeed", "resultCode": 0}
+
+
+def test_positions_survive_restart(spark, tmp_path):
+    log = spark.createDataFrame([(0, i, f"{i}\tn\t{i}") for i in range(4)], topics.LOG_SCHEMA)
+    path = str(tmp_path / "pos2")
+    pos = topics.TopicPositions(spark, path)
+    _rows, ranges = topics.scan_incremental(log, pos)
+    pos.commit(ranges)
+    again = topics.TopicPositions(spark, path)       # a new consumer object on the same folder
+    assert again.version == 1
+    assert topics.scan_incremental(log, again)[0].count() == 0
