@@ -151,6 +151,17 @@ def unique_table_name(prefix: str) -> str:
 
 
 # --------------------------------------------------------------------- S14
+def observed(df: DataFrame, name: str = "scan"):
+    """Attach row-count and value metrics to a scan; read them from the Observation after an action.
+
+    Metrics are collected as the rows flow by (accumulated per task), so the
+    scan is not run twice.
+    """
+    from pyspark.sql import Observation
+    obs = Observation(name)
+    return df.observe(obs, F.count(F.lit(1)).alias("rows")), obs
+
+
 def scan_file_report(df: DataFrame, by: list[str]) -> DataFrame:
     """Rows and data files per group of a file-backed scan, from ``_metadata``."""
     return df.groupBy(*by).agg(

@@ -68,3 +68,18 @@ def test_result_buffer_mark_survives_restart(spark, sf_dir):
     again = mb.ResultBuffer(spark, path)
     assert (again.drains, again.mark) == (1, 0)
     assert again.drain().count() == 0
+
+
+def test_live_trigger_processes_available(spark, sf_dir):
+    topic_dir, sink, ckpt = (work_dir(spark, x) for x in ("t", "sink", "ckpt"))
+    _add(spark, sf_dir, topic_dir, 0)
+    q = mb.standing_query(mb.topic_stream(spark, topic_dir, fx.PART_TOPIC_SCHEMA), "age = 25", sink, ckpt,
+                          available_now=False)
+    try:
+        q.processAllAvailable()
+        _add(spark, sf_dir, topic_dir, 1)
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    want = fx.part_rows(spark, sf_dir).where((F.col("id") % 3 < 2) & (F.col("age") == 25)).count()
+    assert spark.read.parquet(sink).count() == want
