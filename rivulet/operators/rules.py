@@ -81,7 +81,7 @@ def equality_classes(rules: DataFrame, factors: DataFrame) -> DataFrame:
     sig = signatures(rules, factors)
     classes = sig.groupBy("signature").agg(F.min("rule_id").alias("class_id"),
                                            F.count(F.lit(1)).alias("class_size"))
-    return sig.join(classes, "signature").select("rule_id", "class_id", "class_size")
+    return sig.join(bounded_broadcast(classes), "signature").select("rule_id", "class_id", "class_size")
 
 
 # --------------------------------------------------------------------- R3

@@ -199,8 +199,19 @@ def rate_limited_ranges(ranges: DataFrame, secs: float, max_rate: int = 0, rate:
     return df.select("partition", "cur", "latest", "limit", until.cast("bigint").alias("until_offset"))
 
 
-def frequency_expand(df: DataFrame, message: str, count: str) -> DataFrame:
-    """A (message, n) row becomes n copies of the message, numbered 1..n."""
+def frequency_expand(df: DataFrame, message: str, count: str, piece: int = 1_000_000) -> DataFrame:
+    """A (message, n) row becomes n copies of the message, numbered 1..n.
+
+    Counts above ``piece`` are first cut into pieces of at most ``piece``
+    copies, and the pieces are spread over tasks before they are expanded, so
+    one message asking for a third of all copies does not fall on one task.
+    """
     n = F.col(count).cast("int")
-    copies = F.when(n >= 1, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    return df.select(F.col(message).alias("message"), F.explode(copies).alias("copy_no"))
+    if (df.agg(F.max(n)).first()[0] or 0) <= piece:
+        copies = F.when(n >= 1, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+        return df.select(F.col(message).alias("message"), F.explode(copies).alias("copy_no"))
+    starts = F.when(n >= 1, F.sequence(F.lit(0), n - 1, F.lit(piece))).otherwise(F.array().cast("array<int>"))
+    pieces = (df.select(F.col(message).alias("message"), n.alias("_n"), F.explode(starts).alias("_start"))
+              .repartition("message", "_start"))
+    upto = F.least(F.col("_start") + F.lit(piece), F.col("_n"))
+    return pieces.select("message", F.explode(F.sequence(F.col("_start") + 1, upto)).alias("copy_no"))

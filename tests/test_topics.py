@@ -129,3 +129,12 @@ def test_positions_survive_restart(spark, tmp_path):
     again = topics.TopicPositions(spark, path)       # a new consumer object on the same folder
     assert again.version == 1
     assert topics.scan_incremental(log, again)[0].count() == 0
+
+
+def test_frequency_expand_splits_a_hot_message(spark):
+    df = spark.createDataFrame([("hot", 2500), ("cold", 2)], "m string, n int")
+    out = topics.frequency_expand(df, "m", "n", piece=1000)
+    got = out.groupBy("message").agg(F.count("*").alias("c"), F.min("copy_no").alias("lo"),
+                                      F.max("copy_no").alias("hi"), F.countDistinct("copy_no").alias("d"))
+    rows = {r["message"]: (r["c"], r["lo"], r["hi"], r["d"]) for r in got.collect()}
+    assert rows == {"hot": (2500, 1, 2500, 2500), "cold": (2, 1, 2, 2)}
