@@ -38,15 +38,17 @@ def minibatches(indexed: DataFrame, batch_size: int = 1, epochs: int = 1) -> Dat
 
 
 # --------------------------------------------------------------------- T3 / T4
-def cumulative(dist: DataFrame, dist_id: str, index: str, prob: str) -> DataFrame:
+def cumulative(dist: DataFrame, dist_id: str | None, index: str, prob: str) -> DataFrame:
     """(dist_id, cums): running probability sums in index order, one array per distribution.
 
     A distribution has one entry per outcome (a vocabulary, a set of types),
-    so its array is bounded by its outcome count.
+    so its array is bounded by its outcome count.  ``dist_id=None``: the
+    table is a single distribution.
     """
-    w = Window.partitionBy(dist_id).orderBy(index).rowsBetween(Window.unboundedPreceding, 0)
+    keys = [dist_id] if dist_id else []
+    w = Window.partitionBy(*keys).orderBy(index).rowsBetween(Window.unboundedPreceding, 0)
     c = dist.withColumn("_cum", F.sum(prob).over(w))
-    return c.groupBy(dist_id).agg(
+    return c.groupBy(*keys).agg(
         F.transform(F.array_sort(F.collect_list(F.struct(F.col(index).alias("i"), F.col("_cum").alias("c")))),
                     lambda s: s["c"]).alias("cums"))
 
@@ -56,9 +58,21 @@ def _first_at_least(cums: Column, d: Column) -> Column:
     return F.size(F.filter(cums, lambda c: c < d))
 
 
-def sample(draws: DataFrame, cums: DataFrame, dist_id: str, draw: str, strict: bool = True) -> DataFrame:
+def _attach_cums(draws: DataFrame, cums: DataFrame, dist_id: str | None) -> DataFrame:
+    """Give each draw the running sums of its distribution.
+
+    One distribution: a scalar subquery (Spark checks it has exactly one
+    row), so there is no join at all.  Several: an equi-join on ``dist_id``
+    against the size-checked per-distribution table.
+    """
+    if dist_id is None:
+        return draws.withColumn("cums", cums.select("cums").scalar())
+    return draws.join(bounded_broadcast(cums, 100_000), dist_id)
+
+
+def sample(draws: DataFrame, cums: DataFrame, dist_id: str | None, draw: str, strict: bool = True) -> DataFrame:
     """For each draw d, the first index whose running sum is >= d (error if none)."""
-    j = draws.join(bounded_broadcast(cums, 100_000), dist_id)
+    j = _attach_cums(draws, cums, dist_id)
     pos = _first_at_least(F.col("cums"), F.col(draw))
     hit = pos < F.size("cums")
     if strict:
@@ -66,26 +80,29 @@ def sample(draws: DataFrame, cums: DataFrame, dist_id: str, draw: str, strict: b
     return j.withColumn("sample_index", pos.cast("int")).withColumn("hit", hit).drop("cums")
 
 
-def sample_with_retry(keys: DataFrame, cums: DataFrame, dist_id: str, draw_fn, first_round: int = 8) -> DataFrame:
+def sample_with_retry(keys: DataFrame, cums: DataFrame, dist_id: str | None, draw_fn,
+                      first_round: int = 8) -> DataFrame:
     """T4: draws 0..999 per key until one lands inside the distribution; lowest draw number wins.
 
     ``draw_fn(draw_no)`` gives the draw as a Column.  A first round tries a
     few draws for every key; only keys still without a hit go on to the rest.
     Keys that never hit keep a null sample.
     """
+    key_cols = list(keys.columns)
+
     def attempt(k: DataFrame, lo: int, hi: int) -> DataFrame:
         tries = k.withColumn("draw_no", F.explode(F.sequence(F.lit(lo), F.lit(hi - 1))))
         tries = tries.withColumn("draw", draw_fn(F.col("draw_no")))
         s = sample(tries, cums, dist_id, "draw", strict=False).where("hit")
-        key_cols = [c for c in k.columns]
-        return s.groupBy(*key_cols).agg(F.min_by(F.struct("draw_no", "draw", "sample_index"), "draw_no").alias("w"))\
-            .select(*key_cols, "w.draw_no", "w.draw", "w.sample_index")
+        best = F.min_by(F.struct("draw_no", "draw", "sample_index"), "draw_no").alias("w")
+        return s.groupBy(*key_cols).agg(best).select(*key_cols, "w.draw_no", "w.draw", "w.sample_index")
 
     first = attempt(keys, 0, min(first_round, MAX_DRAWS))
-    rest_keys = keys.join(first.select(*keys.columns), keys.columns, "left_anti")
-    later = attempt(rest_keys, min(first_round, MAX_DRAWS), MAX_DRAWS) if first_round < MAX_DRAWS else None
-    found = first if later is None else first.unionByName(later)
-    return keys.join(found, keys.columns, "left")
+    if first_round >= MAX_DRAWS:
+        return keys.join(first, key_cols, "left")
+    rest_keys = keys.join(first.select(*key_cols), key_cols, "left_anti")
+    found = first.unionByName(attempt(rest_keys, first_round, MAX_DRAWS))
+    return keys.join(found, key_cols, "left")
 
 
 # --------------------------------------------------------------------- T5

@@ -106,12 +106,11 @@ def _type_shares(spark: SparkSession, sf_dir: str, exclude: str | None = None) -
     if exclude:
         shares = shares.where(F.col("event_type") != exclude)
     # one row per event type: the ordered window sees only that
-    return shares.withColumn("i", F.row_number().over(Window.orderBy("event_type")) - 1) \
-        .withColumn("dist_id", F.lit(0))
+    return shares.withColumn("i", F.row_number().over(Window.orderBy("event_type")) - 1)
 
 
 def _users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("user_id").distinct().withColumn("dist_id", F.lit(0))
+    return table(spark, sf_dir, "events").select("user_id").distinct()
 
 
 _SHARES_SQL = """shares AS (
@@ -127,9 +126,9 @@ SELECT d.user_id, d.draw, CAST((SELECT count(*) FROM cums c WHERE c.cum < d.draw
 FROM draws d""")
 def distribution_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One draw per user from the event-type distribution (first running sum >= draw)."""
-    cums = S.cumulative(_type_shares(spark, sf_dir), "dist_id", "i", "p")
+    cums = S.cumulative(_type_shares(spark, sf_dir), None, "i", "p")
     draws = _users(spark, sf_dir).withColumn("draw", ((F.col("user_id") * DRAW_MUL) % 100) / 100.0)
-    return S.sample(draws, cums, "dist_id", "draw").select("user_id", "draw", "sample_index")
+    return S.sample(draws, cums, None, "draw").select("user_id", "draw", "sample_index")
 
 
 @register("distribution_sample_retry", f"""
@@ -144,9 +143,9 @@ SELECT h.user_id, h.draw_no, h.draw, CAST(h.pos AS INTEGER) AS sample_index
 FROM hits h JOIN first_hit f ON h.user_id = f.user_id AND h.draw_no = f.draw_no""")
 def distribution_sample_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T4: the distribution without 'view' sums below 1; draws retry until one lands."""
-    cums = S.cumulative(_type_shares(spark, sf_dir, exclude="view"), "dist_id", "i", "p")
+    cums = S.cumulative(_type_shares(spark, sf_dir, exclude="view"), None, "i", "p")
     draw = lambda j: ((F.col("user_id") * DRAW_MUL + j * RETRY_MUL) % 100) / 100.0
-    out = S.sample_with_retry(_users(spark, sf_dir), cums, "dist_id", draw)
+    out = S.sample_with_retry(_users(spark, sf_dir), cums, None, draw)
     return out.select("user_id", "draw_no", "draw", "sample_index")
 
 
