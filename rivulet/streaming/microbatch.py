@@ -44,6 +44,17 @@ def topic_stream(spark: SparkSession, topic_dir: str, schema: T.StructType | str
     return lines.select(*decode_columns(F.col("value"), schema, strict=True))
 
 
+def decode_stream(stream: DataFrame, schema: T.StructType | str, value_col: str = "value") -> DataFrame:
+    """Decode any stream with a text or binary ``value`` column, e.g. ``readStream.format("kafka")``.
+
+    A broker source plugs in here in place of the folder source:
+    ``decode_stream(spark.readStream.format("kafka").option("subscribe", t)...load(), schema)``.
+    """
+    schema = _schema(schema)
+    lines = stream.select(F.col(value_col).cast("string").alias("value"))
+    return lines.select(*decode_columns(F.col("value"), schema, strict=True))
+
+
 def _trigger(writer, available_now: bool, interval: str = BATCH_INTERVAL):
     return writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)
 
