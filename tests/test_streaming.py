@@ -83,3 +83,17 @@ def test_live_trigger_processes_available(spark, sf_dir):
         q.stop()
     want = fx.part_rows(spark, sf_dir).where((F.col("id") % 3 < 2) & (F.col("age") == 25)).count()
     assert spark.read.parquet(sink).count() == want
+
+
+def test_decode_stream_from_any_value_source(spark):
+    """A broker-like source: any stream with a ``value`` column decodes the same way."""
+    src = spark.readStream.format("rate").option("rowsPerSecond", 50).load() \
+        .select(F.concat_ws("\t", F.col("value").cast("string"), F.lit("x")).alias("value"))
+    q = mb.decode_stream(src, "n long, tag string").writeStream.format("memory").queryName("rate_decoded") \
+        .option("checkpointLocation", work_dir(spark, "rate_ckpt")).start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    rows = spark.table("rate_decoded").collect()
+    assert all(r["tag"] == "x" for r in rows)
