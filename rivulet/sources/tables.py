@@ -54,9 +54,13 @@ def conjunction(filters: list[Column]) -> Column:
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_KEY_ROWS) -> DataFrame:
-    """Broadcast hint only when the row count is proven to be small."""
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
+    """Broadcast hint only when the row count is proven to be at most ``max_rows``.
+
+    The check counts at most ``max_rows + 1`` rows, so a large side costs a
+    short probe, not a full pass; such a side is left to Spark's planner.
+    """
+    small = df.limit(max_rows + 1).count() <= max_rows
+    return F.broadcast(df) if small else df
 
 
 def in_list(df: DataFrame, col: str, values: list, max_literals: int = 10_000) -> DataFrame:
