@@ -27,7 +27,7 @@ def part_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def part_lines(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ("id",)) -> DataFrame:
     """Fixture B: one topic line per part, keeping ``id`` (or other columns) alongside."""
     rows = part_rows(spark, sf_dir)
-    return rows.select(*keep, topics.line_column(["id", "name", "age"]).alias("value"))
+    return rows.select(*keep, topics.line_column(["id", "name", "age"], text_columns=["name"]).alias("value"))
 
 
 def part_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(
         (F.col("event_id") % TOPIC_PARTITIONS).cast("int").alias("partition"),
         F.expr(f"event_id div {TOPIC_PARTITIONS}").alias("offset"),
-        topics.line_column(cols).alias("value"))
+        topics.line_column(cols, text_columns=topics.text_columns(e, cols)).alias("value"))
 
 
 def kv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,7 +39,8 @@ FROM part""")
 def topic_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     cols = ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
-    return p.select(F.col("p_partkey").alias("id"), topics.line_column(cols).alias("value"))
+    return p.select(F.col("p_partkey").alias("id"),
+                    topics.line_column(cols, text_columns=topics.text_columns(p, cols)).alias("value"))
 
 
 @register("topic_decode", """

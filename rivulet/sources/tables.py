@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rivulet.functions.lines import parse_schema
+
 # A key table at or below this many rows is broadcast for a semi join; above it
 # the join is left to Spark (sort-merge, or a runtime broadcast chosen by AQE).
 BROADCAST_KEY_ROWS = 2_000_000
@@ -122,7 +124,7 @@ def scan_directory_tree(spark: SparkSession, root: str, data_schema: T.StructTyp
     filters are ANDed and applied to the scan.
     """
     if isinstance(data_schema, str):
-        data_schema = T._parse_datatype_string(data_schema)
+        data_schema = parse_schema(data_schema)
     folder = F.regexp_extract(F.col("_metadata.file_path"), rf"/{re.escape(partition_col)}=([^/]*)/[^/]*$", 1)
     parsed = folder.try_cast(partition_type)
     value = F.when(parsed.isNotNull(), parsed).otherwise(

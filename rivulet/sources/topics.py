@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from rivulet.session import max_partition_value
 from rivulet.functions.lines import (
-    check_topic_schema, decode_columns, encode_line, line_is_clean, reject_reason, split_line,
+    check_topic_schema, decode_columns, encode_line, line_is_clean, parse_schema, reject_reason, split_line,
 )
 
 LOG_SCHEMA = "partition int, offset bigint, value string"
@@ -27,28 +27,36 @@ LOG_SCHEMA = "partition int, offset bigint, value string"
 
 def _schema(schema: T.StructType | str) -> T.StructType:
     if isinstance(schema, str):
-        schema = T._parse_datatype_string(schema)
+        schema = parse_schema(schema)
     check_topic_schema(schema)
     return schema
 
 
 # --------------------------------------------------------------------- K1 / K2
-def line_column(columns: list[str], check: bool = True) -> Column:
+def line_column(columns: list[str], check: bool = True, text_columns: list[str] | None = None) -> Column:
     """The topic line of ``columns``: fields in order, TAB-joined, nulls as ``null``.
 
-    With ``check`` a field containing TAB or a line break fails the job
-    instead of silently producing a corrupt message.
+    With ``check`` a text field containing TAB or a line break fails the job
+    instead of silently producing a corrupt message.  ``text_columns`` names
+    the fields that can hold one (default: all of them).
     """
     line = encode_line(*columns)
     if check:
-        line = F.when(line_is_clean(*columns), line).otherwise(
+        line = F.when(line_is_clean(*(columns if text_columns is None else text_columns)), line).otherwise(
             F.raise_error(F.lit("topic field contains TAB or line break")))
     return line
 
 
+def text_columns(df: DataFrame, columns: list[str]) -> list[str]:
+    """The string-typed columns among ``columns``."""
+    types = dict((f.name, f.dataType) for f in df.schema.fields)
+    return [c for c in columns if isinstance(types[c], T.StringType)]
+
+
 def encode(df: DataFrame, columns: list[str] | None = None, check: bool = True) -> DataFrame:
     """K1: one ``value`` line per row."""
-    return df.select(line_column(columns or df.columns, check).alias("value"))
+    columns = columns or df.columns
+    return df.select(line_column(columns, check, text_columns(df, columns)).alias("value"))
 
 
 def decode(lines: DataFrame, schema: T.StructType | str, value_col: str = "value",
@@ -59,8 +67,8 @@ def decode(lines: DataFrame, schema: T.StructType | str, value_col: str = "value
     """
     schema = _schema(schema)
     keep = keep or []
-    split = lines.select(*keep, split_line(F.col(value_col)).alias("_parts"))
-    return split.select(*keep, *decode_columns(F.col("_parts"), schema, strict=True, presplit=True))
+    split = lines.select(*keep, split_line(value_col).alias("_parts"))
+    return split.select(*keep, *decode_columns("_parts", schema, strict=True, presplit=True))
 
 
 def decode_lenient(lines: DataFrame, schema: T.StructType | str, value_col: str = "value",
@@ -68,10 +76,8 @@ def decode_lenient(lines: DataFrame, schema: T.StructType | str, value_col: str
     """(good rows, rejects).  Rejects keep ``keep`` columns, the line and a reason."""
     schema = _schema(schema)
     keep = keep or []
-    tagged = lines.select(*keep, F.col(value_col).alias("_line"),
-                          reject_reason(F.col(value_col), schema).alias("_reason"))
-    good = tagged.where(F.col("_reason").isNull()).select(
-        *keep, *decode_columns(F.col("_line"), schema, strict=False))
+    tagged = lines.select(*keep, F.col(value_col).alias("_line"), reject_reason(value_col, schema).alias("_reason"))
+    good = tagged.where(F.col("_reason").isNull()).select(*keep, *decode_columns("_line", schema, strict=False))
     bad = tagged.where(F.col("_reason").isNotNull()).select(
         *keep, F.col("_line").alias("value"), F.col("_reason").alias("reason"))
     return good, bad

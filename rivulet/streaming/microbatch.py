@@ -41,7 +41,7 @@ def topic_stream(spark: SparkSession, topic_dir: str, schema: T.StructType | str
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     lines = reader.load(topic_dir)
-    return lines.select(*decode_columns(F.col("value"), schema, strict=True))
+    return lines.select(*decode_columns("value", schema, strict=True))
 
 
 def decode_stream(stream: DataFrame, schema: T.StructType | str, value_col: str = "value") -> DataFrame:
@@ -52,7 +52,7 @@ def decode_stream(stream: DataFrame, schema: T.StructType | str, value_col: str
     """
     schema = _schema(schema)
     lines = stream.select(F.col(value_col).cast("string").alias("value"))
-    return lines.select(*decode_columns(F.col("value"), schema, strict=True))
+    return lines.select(*decode_columns("value", schema, strict=True))
 
 
 def _trigger(writer, available_now: bool, interval: str = BATCH_INTERVAL):
