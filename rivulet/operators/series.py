@@ -80,29 +80,32 @@ def sample(draws: DataFrame, cums: DataFrame, dist_id: str | None, draw: str, st
     return j.withColumn("sample_index", pos.cast("int")).withColumn("hit", hit).drop("cums")
 
 
+def _first_hit(cums: Column, draw_fn, lo: int, hi: int) -> Column:
+    """(draw_no, draw, sample_index) of the first draw in [lo, hi) that lands, or null."""
+    tries = F.transform(F.sequence(F.lit(lo), F.lit(hi - 1)),
+                        lambda j: F.struct(j.alias("draw_no"), draw_fn(j).alias("draw")))
+    placed = F.transform(tries, lambda t: F.struct(t["draw_no"], t["draw"],
+                                                   _first_at_least(cums, t["draw"]).alias("sample_index")))
+    return F.get(F.filter(placed, lambda t: t["sample_index"] < F.size(cums)), 0)
+
+
 def sample_with_retry(keys: DataFrame, cums: DataFrame, dist_id: str | None, draw_fn,
                       first_round: int = 8) -> DataFrame:
     """T4: draws 0..999 per key until one lands inside the distribution; lowest draw number wins.
 
-    ``draw_fn(draw_no)`` gives the draw as a Column.  A first round tries a
-    few draws for every key; only keys still without a hit go on to the rest.
-    Keys that never hit keep a null sample.
+    ``draw_fn(draw_no)`` maps a draw-number Column to the draw.  Each key
+    first tries ``first_round`` draws; ``coalesce`` evaluates the remaining
+    draws only for keys with no hit yet.  One narrow projection: no join of
+    keys with draws, no exploded rows.  Keys that never hit get nulls.
     """
-    key_cols = list(keys.columns)
-
-    def attempt(k: DataFrame, lo: int, hi: int) -> DataFrame:
-        tries = k.withColumn("draw_no", F.explode(F.sequence(F.lit(lo), F.lit(hi - 1))))
-        tries = tries.withColumn("draw", draw_fn(F.col("draw_no")))
-        s = sample(tries, cums, dist_id, "draw", strict=False).where("hit")
-        best = F.min_by(F.struct("draw_no", "draw", "sample_index"), "draw_no").alias("w")
-        return s.groupBy(*key_cols).agg(best).select(*key_cols, "w.draw_no", "w.draw", "w.sample_index")
-
-    first = attempt(keys, 0, min(first_round, MAX_DRAWS))
-    if first_round >= MAX_DRAWS:
-        return keys.join(first, key_cols, "left")
-    rest_keys = keys.join(first.select(*key_cols), key_cols, "left_anti")
-    found = first.unionByName(attempt(rest_keys, first_round, MAX_DRAWS))
-    return keys.join(found, key_cols, "left")
+    j = _attach_cums(keys, cums, dist_id)
+    lo = min(first_round, MAX_DRAWS)
+    hit = _first_hit(F.col("cums"), draw_fn, 0, lo)
+    if lo < MAX_DRAWS:
+        hit = F.coalesce(hit, _first_hit(F.col("cums"), draw_fn, lo, MAX_DRAWS))
+    out = j.withColumn("_w", hit)
+    return out.select(*keys.columns, F.col("_w.draw_no").alias("draw_no"), F.col("_w.draw").alias("draw"),
+                      F.col("_w.sample_index").cast("int").alias("sample_index"))
 
 
 # --------------------------------------------------------------------- T5
@@ -116,10 +119,10 @@ def ar1_forecast(indexed: DataFrame, series: list[str]) -> DataFrame:
     cur = indexed.select(*series, "idx", F.col("value").alias("y"))
     prev = indexed.select(*series, (F.col("idx") + 1).alias("idx"), F.col("value").alias("y_prev"))
     pairs = cur.join(prev, [*series, "idx"])
+    # the last value of a series with at least one pair is the y of its last pair
     fit = pairs.groupBy(*series).agg(
         F.count(F.lit(1)).alias("n_pairs"),
         F.regr_slope("y", "y_prev").alias("slope"),
-        F.regr_intercept("y", "y_prev").alias("intercept"))
-    last = indexed.groupBy(*series).agg(F.max_by("value", "idx").alias("last_value"))
-    return fit.join(last, series).withColumn(
-        "forecast", F.col("intercept") + F.col("slope") * F.col("last_value"))
+        F.regr_intercept("y", "y_prev").alias("intercept"),
+        F.max_by("y", "idx").alias("last_value"))
+    return fit.withColumn("forecast", F.col("intercept") + F.col("slope") * F.col("last_value"))

@@ -132,3 +132,14 @@ def test_index_series_hot_group_spans_partitions(spark):
     for g, items in by.items():
         items.sort()
         assert [i for _, i in items] == list(range(len(items))), g
+
+
+def test_sample_with_retry_first_landing_draw(spark):
+    dist = spark.createDataFrame([(0, 0.2), (1, 0.3)], "i int, p double")     # sums to 0.5
+    cums = S.cumulative(dist, None, "i", "p")
+    keys = spark.createDataFrame([(1,), (2,)], "k long")
+    # key 1 draws 0.9, 0.8, ..., key 2 always 0.99 (never lands)
+    draw = lambda j: F.when(F.col("k") == 1, F.lit(0.9) - j * 0.1).otherwise(F.lit(0.99))
+    got = {r["k"]: (r["draw_no"], r["sample_index"]) for r in S.sample_with_retry(keys, cums, None, draw).collect()}
+    assert got[1] == (4, 1)          # 0.9, 0.8, 0.7, 0.6 miss; 0.5 lands at index 1
+    assert got[2] == (None, None)
