@@ -72,8 +72,14 @@ def index_within_groups(df: DataFrame, group_cols: list[str], order_cols: list[s
     counts = numbered.groupBy(*group_cols, "_pid").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-               .where(F.col("_off") > 0).select(*group_cols, "_pid", "_off"))
-    # at most one continued group per partition: bounded by n
-    joined = numbered.join(F.broadcast(offsets), [*group_cols, "_pid"], "left")
+               .where(F.col("_off") > 0)
+               .select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group_cols)],
+                       F.col("_pid").alias("_opid"), "_off"))
+    # at most one continued group per partition: bounded by n.  Null-safe
+    # equality, so a null group key is a group like any other.
+    cond = F.col("_pid") == F.col("_opid")
+    for i, c in enumerate(group_cols):
+        cond = cond & numbered[c].eqNullSafe(F.col(f"_g{i}"))
+    joined = numbered.join(F.broadcast(offsets), cond, "left")
     return joined.withColumn(name, (F.col("_local") + F.coalesce("_off", F.lit(0))).cast("bigint")) \
-        .drop("_pid", "_local", "_off")
+        .drop("_pid", "_local", "_off", "_opid", *[f"_g{i}" for i in range(len(group_cols))])

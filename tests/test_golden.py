@@ -143,3 +143,13 @@ def test_sample_with_retry_first_landing_draw(spark):
     got = {r["k"]: (r["draw_no"], r["sample_index"]) for r in S.sample_with_retry(keys, cums, None, draw).collect()}
     assert got[1] == (4, 1)          # 0.9, 0.8, 0.7, 0.6 miss; 0.5 lands at index 1
     assert got[2] == (None, None)
+
+
+def test_index_within_groups_multi_key_and_nulls(spark):
+    from rivulet.functions.indexing import index_within_groups
+    rows = [(a, b, t) for a in (None, 1, 2) for b in (None, "x") for t in range(50)]
+    df = spark.createDataFrame(rows, "a int, b string, t int")
+    out = index_within_groups(df, ["a", "b"], ["t"], num_partitions=7).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        assert r["idx"] == r["t"]
