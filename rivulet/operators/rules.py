@@ -57,7 +57,8 @@ def signatures(rules: DataFrame, factors: DataFrame) -> DataFrame:
                         lambda s: s["atom"])
     return joined.select(
         "rule_id", "key", F.coalesce("n_factors", F.lit(0)).alias("n_factors"),
-        F.concat(F.col("key").cast("string"), F.lit("|"), F.array_join(atoms, ";")).alias("signature"))
+        F.concat(F.coalesce(F.col("key").cast("string"), F.lit("null")), F.lit("|"), F.array_join(atoms, ";"))
+        .alias("signature"))
 
 
 # --------------------------------------------------------------------- R1

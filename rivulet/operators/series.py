@@ -117,8 +117,12 @@ def ar1_forecast(indexed: DataFrame, series: list[str]) -> DataFrame:
     plain aggregate with partial aggregation.
     """
     cur = indexed.select(*series, "idx", F.col("value").alias("y"))
-    prev = indexed.select(*series, (F.col("idx") + 1).alias("idx"), F.col("value").alias("y_prev"))
-    pairs = cur.join(prev, [*series, "idx"])
+    prev = indexed.select(*[F.col(c).alias(f"_p{i}") for i, c in enumerate(series)],
+                          (F.col("idx") + 1).alias("_pidx"), F.col("value").alias("y_prev"))
+    cond = cur["idx"] == prev["_pidx"]
+    for i, c in enumerate(series):
+        cond = cond & cur[c].eqNullSafe(prev[f"_p{i}"])  # a null series key is still a series
+    pairs = cur.join(prev, cond)
     # the last value of a series with at least one pair is the y of its last pair
     fit = pairs.groupBy(*series).agg(
         F.count(F.lit(1)).alias("n_pairs"),
