@@ -3,7 +3,8 @@
 A topic message is one row: every field of the declared schema, in schema
 order, rendered as text and joined by TAB; a null field is printed ``null``
 and no message key is written.  Decoding splits on TAB and parses field *i*
-by declared type *i*; extra trailing fields are ignored.
+by declared type *i*; extra trailing fields are ignored and trailing empty
+fields are dropped, as ``String.split`` does.
 
 Every expression is built as one SQL expression per field (``F.expr``):
 it stays inside whole-stage codegen, never touches Python per row, and
@@ -81,12 +82,21 @@ def row_text(*cols: str) -> Column:
 
 # --------------------------------------------------------------------- decode (K2)
 def split_line(line: str) -> Column:
-    """Fields of a line column; limit -1 keeps trailing empty fields."""
+    """Fields of a line column, split the way a JVM ``String.split`` does.
+
+    Trailing empty fields are dropped (so a line ending in TAB is short and
+    fails a strict decode, as in the reference), inner empty fields are kept,
+    and a line of only TABs has no fields.  Only lines that end in a TAB pay
+    for the regular expression.
+    """
     return F.expr(_split_sql(line))
 
 
 def _split_sql(line: str) -> str:
-    return f"split({ident(line)}, {_SEP_SQL}, -1)"
+    c = ident(line)
+    return (f"CASE WHEN NOT endswith({c}, {_SEP_SQL}) THEN split({c}, {_SEP_SQL}, -1) "
+            f"WHEN {c} RLIKE '^\\t+$' THEN CAST(array() AS ARRAY<STRING>) "
+            f"ELSE split(regexp_replace({c}, '\\t+$', ''), {_SEP_SQL}, -1) END")
 
 
 def _valid_sql(text: str, dtype: T.DataType) -> str:
@@ -138,9 +148,9 @@ def decode_columns(line: str, schema: T.StructType, strict: bool = True, prespli
     return out
 
 
-def reject_reason(line: str, schema: T.StructType) -> Column:
+def reject_reason(line: str, schema: T.StructType, presplit: bool = False) -> Column:
     """First problem with a line, or null when it decodes cleanly."""
-    parts = _split_sql(line)
+    parts = ident(line) if presplit else _split_sql(line)
     branches = []
     for i, f in enumerate(schema.fields):
         text = f"get({parts}, {i})"

@@ -76,8 +76,10 @@ def decode_lenient(lines: DataFrame, schema: T.StructType | str, value_col: str
     """(good rows, rejects).  Rejects keep ``keep`` columns, the line and a reason."""
     schema = _schema(schema)
     keep = keep or []
-    tagged = lines.select(*keep, F.col(value_col).alias("_line"), reject_reason(value_col, schema).alias("_reason"))
-    good = tagged.where(F.col("_reason").isNull()).select(*keep, *decode_columns("_line", schema, strict=False))
+    split = lines.select(*keep, F.col(value_col).alias("_line"), split_line(value_col).alias("_parts"))
+    tagged = split.withColumn("_reason", reject_reason("_parts", schema, presplit=True))
+    good = tagged.where(F.col("_reason").isNull()).select(
+        *keep, *decode_columns("_parts", schema, strict=False, presplit=True))
     bad = tagged.where(F.col("_reason").isNotNull()).select(
         *keep, F.col("_line").alias("value"), F.col("_reason").alias("reason"))
     return good, bad

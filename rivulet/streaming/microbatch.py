@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from rivulet.functions.lines import decode_columns, row_text
+from rivulet.functions.lines import decode_columns, row_text, split_line
 from rivulet.session import max_partition_value
 from rivulet.sources.topics import _schema
 
@@ -40,8 +40,8 @@ def topic_stream(spark: SparkSession, topic_dir: str, schema: T.StructType | str
     reader = spark.readStream.format("text")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    lines = reader.load(topic_dir)
-    return lines.select(*decode_columns("value", schema, strict=True))
+    parts = reader.load(topic_dir).select(split_line("value").alias("_parts"))
+    return parts.select(*decode_columns("_parts", schema, strict=True, presplit=True))
 
 
 def decode_stream(stream: DataFrame, schema: T.StructType | str, value_col: str = "value") -> DataFrame:
@@ -52,7 +52,8 @@ def decode_stream(stream: DataFrame, schema: T.StructType | str, value_col: str
     """
     schema = _schema(schema)
     lines = stream.select(F.col(value_col).cast("string").alias("value"))
-    return lines.select(*decode_columns("value", schema, strict=True))
+    parts = lines.select(split_line("value").alias("_parts"))
+    return parts.select(*decode_columns("_parts", schema, strict=True, presplit=True))
 
 
 def _trigger(writer, available_now: bool, interval: str = BATCH_INTERVAL):

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from rivulet.functions.lines import split_line
 from rivulet.sources import topics
 
 SCHEMA = "id int, name string, age int"
@@ -138,3 +139,12 @@ def test_frequency_expand_splits_a_hot_message(spark):
                                       F.max("copy_no").alias("hi"), F.countDistinct("copy_no").alias("d"))
     rows = {r["message"]: (r["c"], r["lo"], r["hi"], r["d"]) for r in got.collect()}
     assert rows == {"hot": (2500, 1, 2500, 2500), "cold": (2, 1, 2, 2)}
+
+
+def test_split_drops_trailing_empty_fields_like_the_jvm(spark):
+    three = "id int, name string, tag string"
+    with pytest.raises(Exception, match="missing field 2"):
+        topics.decode(_lines(spark, "1\twpy\t"), three).collect()
+    assert tuple(topics.decode(_lines(spark, "1\t\tx"), three).first()) == (1, "", "x")
+    got = _lines(spark, "a\t\tb\t\t", "\t\t", "", "a").select(split_line("value").alias("f")).collect()
+    assert [r["f"] for r in got] == [["a", "", "b"], [], [""], ["a"]]
