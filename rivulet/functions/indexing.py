@@ -32,10 +32,10 @@ def _same_key(a: tuple, b: tuple) -> bool:
     return all((pd.isna(x) and pd.isna(y)) or x == y for x, y in zip(a, b))
 
 
-def _local_numbering(group_cols: list[str]):
-    """Per partition (rows sorted by group): position of each row within its group run."""
+def _local_runs(group_cols: list[str], value_col: str | None, integral: bool):
+    """Per partition (rows sorted by group): position, and running sum of ``value_col``, within each group run."""
     def number(batches):
-        prev_key, carried = None, 0
+        prev_key, carried_n, carried_s = None, 0, 0
         for pdf in batches:
             if pdf.empty:
                 continue
@@ -44,42 +44,81 @@ def _local_numbering(group_cols: list[str]):
             changed = (g.ne(shifted) & ~(g.isna() & shifted.isna())).any(axis=1).to_numpy()
             changed[0] = True
             run_id = np.cumsum(changed) - 1
-            local = np.arange(len(pdf), dtype="int64") - np.flatnonzero(changed)[run_id]
-            first_key = tuple(g.iloc[0])
-            if prev_key is not None and _same_key(first_key, prev_key):
-                local[run_id == 0] += carried
-            prev_key, carried = tuple(g.iloc[-1]), int(local[-1]) + 1
-            yield pdf.assign(_local=local)
+            starts = np.flatnonzero(changed)
+            local = np.arange(len(pdf), dtype="int64") - starts[run_id]
+            continues = prev_key is not None and _same_key(tuple(g.iloc[0]), prev_key)
+            if continues:
+                local[run_id == 0] += carried_n
+            out = {"_local": local}
+            if value_col is not None:
+                vals = pdf[value_col].fillna(0).to_numpy().astype("int64" if integral else "float64")
+                total = np.cumsum(vals)
+                lsum = total - (total - vals)[starts][run_id]
+                if continues:
+                    lsum[run_id == 0] += carried_s
+                carried_s = lsum[-1]
+                out["_lsum"] = lsum
+            prev_key, carried_n = tuple(g.iloc[-1]), int(local[-1]) + 1
+            yield pdf.assign(**out)
     return number
 
 
-def index_within_groups(df: DataFrame, group_cols: list[str], order_cols: list[str | Column],
-                        name: str = "idx", num_partitions: int | None = None) -> DataFrame:
-    """``df`` plus ``name`` = 0-based position of the row in its group, ordered by ``order_cols``.
-
-    ``order_cols`` must make the order total within a group (add a unique id
-    as the last tie-break).
-    """
+def _ranged_runs(df: DataFrame, group_cols: list[str], order_cols: list, value_col: str | None,
+                 num_partitions: int | None, name: str, sum_name: str | None) -> DataFrame:
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = (df.repartitionByRange(n, *group_cols, *order_cols)
               .sortWithinPartitions(*group_cols, *order_cols)
               .withColumn("_pid", F.spark_partition_id()))
-    out_schema = T.StructType(ranged.schema.fields + [T.StructField("_local", T.LongType(), False)])
-    numbered = ranged.mapInPandas(_local_numbering(group_cols), out_schema).checkpoint()
+    integral = value_col is not None and isinstance(df.schema[value_col].dataType, T.IntegralType)
+    sum_type = T.LongType() if integral else T.DoubleType()
+    extra = [T.StructField("_local", T.LongType(), False)]
+    if value_col is not None:
+        extra.append(T.StructField("_lsum", sum_type, False))
+    out_schema = T.StructType(ranged.schema.fields + extra)
+    # written once: partition ids and local positions must not change between the uses below
+    numbered = ranged.mapInPandas(_local_runs(group_cols, value_col, integral), out_schema).checkpoint()
 
-    counts = numbered.groupBy(*group_cols, "_pid").agg(F.count(F.lit(1)).alias("_n"))
+    aggs = [F.count(F.lit(1)).alias("_n")]
+    if value_col is not None:
+        aggs.append(F.sum(F.coalesce(F.col(value_col).cast(sum_type), F.lit(0).cast(sum_type))).alias("_s"))
+    counts = numbered.groupBy(*group_cols, "_pid").agg(*aggs)
     before = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-               .where(F.col("_off") > 0)
+    offs = [F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")]
+    if value_col is not None:
+        offs.append(F.coalesce(F.sum("_s").over(before), F.lit(0).cast(sum_type)).alias("_soff"))
+    offsets = (counts.select(*group_cols, "_pid", *offs).where(F.col("_off") > 0)
                .select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group_cols)],
-                       F.col("_pid").alias("_opid"), "_off"))
+                       F.col("_pid").alias("_opid"), "_off", *(["_soff"] if value_col is not None else [])))
     # at most one continued group per partition: bounded by n.  Null-safe
     # equality, so a null group key is a group like any other.
     cond = F.col("_pid") == F.col("_opid")
     for i, c in enumerate(group_cols):
         cond = cond & numbered[c].eqNullSafe(F.col(f"_g{i}"))
     joined = numbered.join(F.broadcast(offsets), cond, "left")
-    return joined.withColumn(name, (F.col("_local") + F.coalesce("_off", F.lit(0))).cast("bigint")) \
-        .drop("_pid", "_local", "_off", "_opid", *[f"_g{i}" for i in range(len(group_cols))])
+    out = joined.withColumn(name, (F.col("_local") + F.coalesce("_off", F.lit(0))).cast("bigint"))
+    if value_col is not None:
+        out = out.withColumn(sum_name, F.col("_lsum") + F.coalesce("_soff", F.lit(0).cast(sum_type)))
+    return out.drop("_pid", "_local", "_lsum", "_off", "_soff", "_opid",
+                    *[f"_g{i}" for i in range(len(group_cols))])
+
+
+def index_within_groups(df: DataFrame, group_cols: list[str], order_cols: list[str | Column],
+                        name: str = "idx", num_partitions: int | None = None) -> DataFrame:
+    """``df`` plus ``name`` = 0-based position of the row in its group, ordered by ``order_cols``.
+
+    ``order_cols`` must make the order total within a group (add a unique id
+    as the last tie-break).  ``group_cols`` may be empty: one global order.
+    """
+    return _ranged_runs(df, group_cols, order_cols, None, num_partitions, name, None)
+
+
+def running_total(df: DataFrame, group_cols: list[str], order_cols: list[str | Column], value_col: str,
+                  name: str, num_partitions: int | None = None) -> DataFrame:
+    """``df`` plus ``name`` = running sum of ``value_col`` (nulls count as 0) in ``order_cols`` order.
+
+    The same partitioning as :func:`index_within_groups`, so a hot group, or
+    no group at all, never lands in one task.
+    """
+    return _ranged_runs(df, group_cols, order_cols, value_col, num_partitions, "_idx", name).drop("_idx")

@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rivulet.functions.indexing import index_within_groups
+from rivulet.functions.indexing import index_within_groups, running_total
+
+# An ordered whole-table window is used only over at most this many rows.
+WINDOW_ROWS = 1_000_000
 from rivulet.session import ensure_checkpoint_dir, max_partition_value
 
 
@@ -84,11 +87,15 @@ def accumulating_counts(df: DataFrame, batch: Column) -> DataFrame:
     """Row count after each append when batches arrive in ``batch`` order.
 
     One aggregate per batch, checkpointed (D8: lineage cut in the shared
-    checkpoint folder), then a running sum over the per-batch counts -- a
-    table with one row per batch, so the ordered window sees only that.
+    checkpoint folder), then a running sum over the per-batch counts.  With
+    up to ``WINDOW_ROWS`` batches that is one ordered window over the
+    per-batch rows; beyond it, a range-partitioned prefix sum.
     """
     ensure_checkpoint_dir(df.sparkSession)
     per = df.groupBy(batch.alias("batch")).agg(F.count(F.lit(1)).alias("n_rows")).checkpoint()
+    if per.limit(WINDOW_ROWS + 1).count() > WINDOW_ROWS:
+        # very many batches: a partitioned prefix sum instead of a one-task window
+        return running_total(per, [], ["batch"], "n_rows", "running_rows")
     run = Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)
     return per.withColumn("running_rows", F.sum("n_rows").over(run))
 

@@ -153,3 +153,22 @@ def test_index_within_groups_multi_key_and_nulls(spark):
     assert len(out) == len(rows)
     for r in out:
         assert r["idx"] == r["t"]
+
+
+def test_running_total_matches_window(spark):
+    from pyspark.sql import Window
+    from rivulet.functions.indexing import running_total
+    df = spark.range(0, 3000).select((F.col("id") % 3).alias("g"), F.col("id").alias("t"),
+                                     (F.col("id") % 7).alias("v"))
+    got = {(r["g"], r["t"]): r["run"] for r in running_total(df, ["g"], ["t"], "v", "run", 5).collect()}
+    w = Window.partitionBy("g").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    want = {(r["g"], r["t"]): r["run"] for r in df.withColumn("run", F.sum("v").over(w)).collect()}
+    assert got == want
+    glob = running_total(df, [], ["t"], "v", "run", 4).orderBy("t").collect()
+    assert glob[-1]["run"] == sum(i % 7 for i in range(3000))
+
+
+def test_accumulating_counts_many_batches_path(spark, monkeypatch):
+    monkeypatch.setattr(D, "WINDOW_ROWS", 10)
+    got = D.accumulating_counts(spark.range(0, 1000), F.expr("id div 10")).orderBy("batch").collect()
+    assert [r["running_rows"] for r in got] == [10 * (i + 1) for i in range(100)]
