@@ -151,7 +151,8 @@ def pt_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("pt_window_rank", """
 SELECT o_custkey, o_orderkey, o_totalprice,
-       row_number() OVER w AS rn, rank() OVER w AS rnk, dense_rank() OVER w AS drnk,
+       CAST(row_number() OVER w AS INTEGER) AS rn, CAST(rank() OVER w AS INTEGER) AS rnk,
+       CAST(dense_rank() OVER w AS INTEGER) AS drnk,
        lag(o_totalprice) OVER w AS prev_price
 FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)""")
 def pt_window_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,7 +222,7 @@ def pt_subquery(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("pt_scalar_functions", """
 SELECT o_orderkey, upper(o_orderpriority) AS prio, substring(o_orderpriority, 1, 1) AS prio_no,
-       length(o_orderpriority) AS prio_len, CAST(floor(o_totalprice) AS BIGINT) AS price_floor,
+       CAST(length(o_orderpriority) AS INTEGER) AS prio_len, CAST(floor(o_totalprice) AS BIGINT) AS price_floor,
        CAST(year(o_orderdate) AS INTEGER) AS yr, CAST(month(o_orderdate) AS INTEGER) AS mon,
        CAST(date_trunc('month', o_orderdate) AS DATE) AS month_start,
        concat(o_orderstatus, '-', CAST(o_orderkey AS VARCHAR)) AS tag
