@@ -97,3 +97,27 @@ def test_decode_stream_from_any_value_source(spark):
         q.stop()
     rows = spark.table("rate_decoded").collect()
     assert all(r["tag"] == "x" for r in rows)
+
+
+def test_incremental_topic_scan_returns_only_new_rows(spark, sf_dir):
+    topic_dir, state = work_dir(spark, "t"), work_dir(spark, "state")
+    inc = mb.IncrementalTopicScan(spark, topic_dir, fx.PART_TOPIC_SCHEMA, state)
+    _add(spark, sf_dir, topic_dir, 0)
+    first = inc.scan().count()
+    assert first == fx.part_rows(spark, sf_dir).where(F.col("id") % 3 == 0).count()
+    assert inc.scan().count() == 0
+    _add(spark, sf_dir, topic_dir, 1)
+    again = mb.IncrementalTopicScan(spark, topic_dir, fx.PART_TOPIC_SCHEMA, state)   # a restarted reader
+    got = again.scan()
+    assert got.count() == fx.part_rows(spark, sf_dir).where(F.col("id") % 3 == 1).count()
+    assert got.where(F.col("id") % 3 != 1).count() == 0
+
+
+def test_task_with_pandas_function(spark):
+    df = spark.createDataFrame([(1, 10.0), (2, 60.0)], "id long, v double")
+
+    def keep_big(term, pdf):
+        return pdf[pdf["v"] > term]
+
+    out = mb.run_task_pandas(df, ["id", "v"], keep_big, 50.0, "id long, v double")
+    assert [tuple(r) for r in out.collect()] == [(2, 60.0)]
