@@ -32,11 +32,22 @@ CHECKPOINT_EVERY_LEVELS = 8
 
 
 def canonical_value(value: Column, vtype: Column) -> Column:
-    """Text form used to compare a factor value with a record value of the same type."""
-    as_num = value.try_cast("double")
-    return (F.when(vtype == "int", value.try_cast("bigint").cast("string"))
-            .when(vtype.isin("float", "double"), as_num.cast("string"))
-            .otherwise(value))
+    """Comparable text of a typed value, with the reference's equality of boxed values.
+
+    Numbers and characters compare by numeric value across types (an int 1,
+    a float 1.0 and the character with code 1 are equal; a float 0.1 is not
+    the double 0.1), text compares as text.  Integral values keep every
+    digit; other numbers use their double form.
+    """
+    as_double = (F.when(vtype == "float", value.try_cast("float").cast("double"))
+                 .otherwise(value.try_cast("double")))
+    whole = (as_double == F.floor(as_double)) & (F.abs(as_double) < F.lit(1e18))
+    number = (F.when(vtype == "int", value.try_cast("bigint").cast("string"))
+              .when(vtype == "char", F.ascii(value).cast("string"))
+              .when(whole, as_double.cast("bigint").cast("string"))
+              .otherwise(as_double.cast("string")))
+    return F.when(vtype.isin("int", "char", "float", "double"), F.concat(F.lit("n:"), number)) \
+        .otherwise(F.concat(F.lit("s:"), value))
 
 
 # --------------------------------------------------------------------- R2 signature
@@ -47,7 +58,8 @@ def signatures(rules: DataFrame, factors: DataFrame) -> DataFrame:
     equal exactly when their signatures are equal.  The per-rule factor list
     is bounded by the rule's own size.
     """
-    f = factors.select("rule_id", "pos", F.concat_ws("=", "name", F.concat_ws(":", "vtype", "value")).alias("atom"))
+    f = factors.select("rule_id", "pos",
+                       F.concat_ws("=", "name", canonical_value(F.col("value"), F.col("vtype"))).alias("atom"))
     per_rule = f.groupBy("rule_id").agg(
         F.array_sort(F.collect_list(F.struct("pos", "atom"))).alias("atoms"),
         F.count(F.lit(1)).alias("n_factors"))
@@ -146,24 +158,28 @@ def distinct_leaves(flat: DataFrame, sigs: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------- R5 / R6
 def unpivot_records(df: DataFrame, id_col: str, fields: dict[str, tuple[Column, str]]) -> DataFrame:
-    """Records as (record_id, name, vtype, value): one row per field (a record seen as a map)."""
+    """Records as (record_id, name, value, canon): one row per field (a record seen as a map).
+
+    ``canon`` is the comparable form of the typed value (:func:`canonical_value`).
+    """
     entries = F.array(*[
         F.struct(F.lit(name).alias("name"), F.lit(vtype).alias("vtype"), col.cast("string").alias("value"))
         for name, (col, vtype) in fields.items()])
     return (df.select(F.col(id_col).alias("record_id"), F.explode(entries).alias("f"))
-            .select("record_id", "f.name", "f.vtype", canonical_value(F.col("f.value"), F.col("f.vtype"))
-                    .alias("value")))
+            .select("record_id", "f.name", F.col("f.value").alias("value"),
+                    canonical_value(F.col("f.value"), F.col("f.vtype")).alias("canon")))
 
 
 def _canon_factors(factors: DataFrame) -> DataFrame:
-    return factors.select("rule_id", "pos", "name", "vtype",
-                          canonical_value(F.col("value"), F.col("vtype")).alias("value"))
+    return factors.select("rule_id", "pos", "name", canonical_value(F.col("value"), F.col("vtype")).alias("canon"))
 
 
 def match_atoms(records: DataFrame, atoms: DataFrame) -> DataFrame:
     """Records whose field ``name`` equals an atom's value: (name, value, record_id)."""
-    a = atoms.select("name", "vtype", canonical_value(F.col("value"), F.col("vtype")).alias("value")).distinct()
-    return records.join(bounded_broadcast(a), ["name", "vtype", "value"]).select("name", "value", "record_id")
+    a = atoms.select("name", F.col("value").alias("atom_value"),
+                     canonical_value(F.col("value"), F.col("vtype")).alias("canon")).distinct()
+    return records.join(bounded_broadcast(a), ["name", "canon"]).select(
+        "name", F.col("atom_value").alias("value"), "record_id")
 
 
 def match_rules(records: DataFrame, rules: DataFrame, factors: DataFrame) -> DataFrame:
@@ -177,7 +193,7 @@ def match_rules(records: DataFrame, rules: DataFrame, factors: DataFrame) -> Dat
     nf = f.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n_factors"))
     meta = rules.where(F.col("kind") == "single").select("rule_id", "key").join(nf, "rule_id")
     f_small = bounded_broadcast(f.join(meta, "rule_id"))
-    hits = records.join(f_small, ["name", "vtype", "value"])
+    hits = records.join(f_small, ["name", "canon"])
     # a record has one value per field name, so each factor hits a record at most once
     counted = hits.groupBy("rule_id", "record_id", "key", "n_factors").agg(F.count(F.lit(1)).alias("n_hit"))
     ok = F.when(F.col("key") == KEY_ANY, F.col("n_hit") >= 1).otherwise(F.col("n_hit") == F.col("n_factors"))

@@ -172,3 +172,16 @@ def test_accumulating_counts_many_batches_path(spark, monkeypatch):
     monkeypatch.setattr(D, "WINDOW_ROWS", 10)
     got = D.accumulating_counts(spark.range(0, 1000), F.expr("id div 10")).orderBy("batch").collect()
     assert [r["running_rows"] for r in got] == [10 * (i + 1) for i in range(100)]
+
+
+def test_rule_values_compare_like_boxed_numbers(spark):
+    rules = spark.createDataFrame([(r, "single", 0) for r in "abcde"], "rule_id string, kind string, key int")
+    factors = spark.createDataFrame(
+        [("a", 0, "x", "int", "1"), ("b", 0, "x", "float", "1.0"), ("c", 0, "x", "char", "\x01"),
+         ("d", 0, "x", "float", "0.1"), ("e", 0, "x", "double", "0.1")],
+        "rule_id string, pos int, name string, vtype string, value string")
+    got = {r["rule_id"]: r["class_id"] for r in R.equality_classes(rules, factors).collect()}
+    assert got == {"a": "a", "b": "a", "c": "a", "d": "d", "e": "e"}
+    recs = R.unpivot_records(spark.createDataFrame([(7, 1.0)], "id long, x double"), "id",
+                             {"x": (F.col("x"), "double")})
+    assert sorted(r["rule_id"] for r in R.match_rules(recs, rules, factors).collect()) == ["a", "b", "c"]
