@@ -124,6 +124,8 @@ def flatten(rules: DataFrame, children: DataFrame, roots: DataFrame | None = Non
     frontier = roots.select(F.col("rule_id").alias("root_id"), F.col("rule_id").alias("node_id"),
                             F.lit(0).alias("depth"), F.lit("").alias("path")).persist()
     inner = [frontier]
+    # a path longer than the number of multi rules must revisit one: a cycle
+    max_depth = min(max_depth, rules.where(F.col("kind") == "multi").count() + 1)
     for level in range(1, max_depth + 1):
         step = (frontier.join(inner_edges, frontier["node_id"] == inner_edges["parent_id"])
                 .select("root_id", F.col("child_id").alias("node_id"), F.lit(level).alias("depth"),
@@ -134,7 +136,7 @@ def flatten(rules: DataFrame, children: DataFrame, roots: DataFrame | None = Non
         inner.append(step)
         frontier = step
     else:
-        raise ValueError("rule tree deeper than max_depth (cycle?)")
+        raise ValueError("rule tree has a cycle (or is deeper than max_depth)")
     nodes = inner[0]
     for part in inner[1:]:
         nodes = nodes.unionByName(part)

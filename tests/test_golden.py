@@ -185,3 +185,12 @@ def test_rule_values_compare_like_boxed_numbers(spark):
     recs = R.unpivot_records(spark.createDataFrame([(7, 1.0)], "id long, x double"), "id",
                              {"x": (F.col("x"), "double")})
     assert sorted(r["rule_id"] for r in R.match_rules(recs, rules, factors).collect()) == ["a", "b", "c"]
+
+
+def test_rule_flatten_detects_cycle(spark):
+    rules = spark.createDataFrame([("m1", "multi", 0), ("m2", "multi", 0), ("root", "multi", 0), ("s", "single", 0)],
+                                  "rule_id string, kind string, key int")
+    children = spark.createDataFrame([("root", 0, "m1"), ("m1", 0, "m2"), ("m2", 0, "m1"), ("m2", 1, "s")],
+                                     "parent_id string, pos long, child_id string")
+    with pytest.raises(ValueError, match="cycle"):
+        R.flatten(rules, children)
