@@ -214,10 +214,10 @@ class ResultBuffer:
     def drain(self) -> DataFrame | None:
         """Rows of batches committed since the last drain, tagged with the drain number."""
         rows = self._committed()
-        self.drains += 1
         if rows is None:
             return None
-        top = rows.agg(F.max("batch_id").alias("m")).first()["m"]  # folder listing, no data read
+        self.drains += 1
+        top = rows.agg(F.max("batch_id").alias("m")).first()["m"]  # reads only the folder-name column
         new_mark = self.mark if top is None else max(self.mark, int(top))
         out = rows.where((F.col("batch_id") > self.mark) & (F.col("batch_id") <= new_mark)) \
             .withColumn("drain_no", F.lit(self.drains))
