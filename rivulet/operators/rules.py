@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rivulet.session import ensure_checkpoint_dir
 from rivulet.sources.tables import bounded_broadcast
 
 # Value types a factor may carry, and key meanings.
@@ -114,6 +115,7 @@ def flatten(rules: DataFrame, children: DataFrame, roots: DataFrame | None = Non
     leaves), one join per level, keeping each small level cached.  The
     leaves are then attached in a single join with the child table.
     """
+    ensure_checkpoint_dir(rules.sparkSession)  # deep trees cut lineage every few levels
     kinds = rules.select(F.col("rule_id").alias("child_id"), F.col("kind"))
     edges = children.join(kinds, "child_id")
     inner_edges = edges.where(F.col("kind") == "multi")
