@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rivulet.functions.lines import parse_schema
+from rivulet.functions.lines import parse_schema, sql_str
 
 # A key table at or below this many rows is broadcast for a semi join; above it
 # the join is left to Spark (sort-merge, or a runtime broadcast chosen by AQE).
@@ -85,7 +85,7 @@ def semi_join_keys(df: DataFrame, keys: DataFrame, on: str, key_col: str | None
 # --------------------------------------------------------------------- S9 / S10
 def create_file_view(spark: SparkSession, name: str, path: str, fmt: str = "parquet") -> None:
     """A temp view over a table folder that also accepts INSERT INTO."""
-    spark.sql(f"CREATE OR REPLACE TEMPORARY VIEW {name} USING {fmt} OPTIONS (path '{path}')")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY VIEW {name} USING {fmt} OPTIONS (path {sql_str(path)})")
 
 
 def insert_static_partition(spark: SparkSession, view: str, partition: dict, select_sql: str) -> None:

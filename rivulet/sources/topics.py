@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from rivulet.session import max_partition_value
 from rivulet.functions.lines import (
     check_topic_schema, decode_columns, encode_line, line_is_clean, parse_schema, reject_reason, split_line,
+    sql_str,
 )
 
 LOG_SCHEMA = "partition int, offset bigint, value string"
@@ -103,7 +104,7 @@ def create_topic_view(spark: SparkSession, name: str, schema: str, path: str, re
     spark.sql(
         f"""{head} {name} ({schema})
         USING csv
-        OPTIONS (path '{path}', sep '\\t', quote '', escape '', nullValue 'null', emptyValue '',
+        OPTIONS (path {sql_str(path)}, sep '\\t', quote '', escape '', nullValue 'null', emptyValue '',
                  mode 'FAILFAST', header 'false')"""
     )
 
