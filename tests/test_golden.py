@@ -194,3 +194,18 @@ def test_rule_flatten_detects_cycle(spark):
                                      "parent_id string, pos long, child_id string")
     with pytest.raises(ValueError, match="cycle"):
         R.flatten(rules, children)
+
+
+def test_hot_group_is_spread_over_partitions(spark):
+    """A group holding a third of the rows must not land in one partition."""
+    from rivulet.functions import indexing
+    df = spark.range(0, 30_000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id") % 500).alias("g"), F.col("id").alias("t"))
+    ranged = (df.repartitionByRange(8, "g", "t").sortWithinPartitions("g", "t")
+              .withColumn("_pid", F.spark_partition_id()))
+    sizes = [r["n"] for r in ranged.groupBy("_pid").agg(F.count("*").alias("n")).collect()]
+    hot_parts = ranged.where("g = -1").select("_pid").distinct().count()
+    assert hot_parts >= 2
+    assert max(sizes) < 2 * (30_000 / 8)
+    idx = indexing.index_within_groups(df, ["g"], ["t"], num_partitions=8).where("g = -1")
+    assert idx.agg(F.max("idx")).first()[0] == 9_999
