@@ -49,6 +49,21 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         topics.line_column(cols, text_columns=topics.text_columns(e, cols)).alias("value"))
 
 
+_STORED_LOGS: dict[tuple[str, str], str] = {}
+
+
+def stored_event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixture D written once per application as a Parquet topic log, as a broker would hold it."""
+    from rivulet.session import max_partition_value, work_dir
+    key = (spark.sparkContext.applicationId, sf_dir)
+    path = _STORED_LOGS.get(key)
+    if path is None or max_partition_value(spark, path, "partition") is None:
+        path = work_dir(spark, "event_log")
+        event_log(spark, sf_dir).write.mode("errorifexists").partitionBy("partition").parquet(path)
+        _STORED_LOGS[key] = path
+    return spark.read.parquet(path).select("partition", "offset", "value")
+
+
 def kv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixture A: key = l_linenumber, value = l_returnflag, plus measures."""
     li = table(spark, sf_dir, "lineitem")

@@ -48,7 +48,8 @@ SELECT CAST(event_id % 3 AS INTEGER) AS partition, event_id // 3 AS "offset",
        event_id, CAST(ts AS VARCHAR) AS ts, user_id, event_type, value, props
 FROM events""")
 def topic_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = fx.event_log(spark, sf_dir)
+    """K2: the stored event topic log decoded strictly by its declared schema."""
+    log = fx.stored_event_log(spark, sf_dir)
     return topics.decode(log, fx.EVENT_TOPIC_SCHEMA, keep=["partition", "offset"])
 
 
@@ -61,7 +62,8 @@ SELECT CAST(event_id % 3 AS INTEGER) AS partition, event_id // 3 AS "offset",
        'bad tinyint in field user_id' AS reason
 FROM events WHERE user_id > 127 OR user_id < -128""")
 def topic_decode_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = fx.event_log(spark, sf_dir)
+    """K2 lenient: lines of the stored event log that do not fit a narrower schema, with the reason."""
+    log = fx.stored_event_log(spark, sf_dir)
     _good, bad = topics.decode_lenient(log, _REJECT_SCHEMA, keep=["partition", "offset"])
     return bad.select("partition", "offset", "reason")
 
