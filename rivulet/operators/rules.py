@@ -30,6 +30,7 @@ KEY_ATOM, KEY_ALL, KEY_ANY = -1, 0, 1
 
 PATH_DIGITS = 12
 CHECKPOINT_EVERY_LEVELS = 8
+SHALLOW_LEVELS = 16  # deeper walks first bound their depth by the multi-rule count
 
 
 def canonical_value(value: Column, vtype: Column) -> Column:
@@ -126,9 +127,13 @@ def flatten(rules: DataFrame, children: DataFrame, roots: DataFrame | None = Non
     frontier = roots.select(F.col("rule_id").alias("root_id"), F.col("rule_id").alias("node_id"),
                             F.lit(0).alias("depth"), F.lit("").alias("path")).persist()
     inner = [frontier]
-    # a path longer than the number of multi rules must revisit one: a cycle
-    max_depth = min(max_depth, rules.where(F.col("kind") == "multi").count() + 1)
+    bound = None
     for level in range(1, max_depth + 1):
+        if level > SHALLOW_LEVELS and bound is None:
+            # a path longer than the number of multi rules must revisit one: a cycle
+            bound = rules.where(F.col("kind") == "multi").count() + 1
+        if bound is not None and level > bound:
+            raise ValueError("rule tree has a cycle")
         step = (frontier.join(inner_edges, frontier["node_id"] == inner_edges["parent_id"])
                 .select("root_id", F.col("child_id").alias("node_id"), F.lit(level).alias("depth"),
                         _child_path(F.col("path"), F.col("pos")).alias("path")))
