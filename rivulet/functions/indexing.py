@@ -2,8 +2,9 @@
 
 ``row_number() over (partition by g order by o)`` sends every row of a group
 to one task; when one group holds a third of the data that task is the job.
-Here the rows are range-partitioned on (g, o) instead, so a hot group is
-spread over many consecutive partitions:
+One counting pass finds the groups above a size limit.  Ordinary groups keep
+the plain window; the rows of hot groups are range-partitioned on (g, o)
+instead, so each hot group is spread over many consecutive partitions:
 
 1. ``repartitionByRange(g, o)`` + sort inside each partition (one shuffle);
 2. a per-partition pass numbers the rows of each group locally (Arrow
@@ -104,21 +105,72 @@ def _ranged_runs(df: DataFrame, group_cols: list[str], order_cols: list, value_c
                     *[f"_g{i}" for i in range(len(group_cols))])
 
 
+# A group with more rows than this takes the range-partitioned path; smaller
+# groups use a plain window, where one task holds one whole group.
+HOT_GROUP_ROWS = 2_000_000
+# Hot keys are broadcast to split the rows; there are at most total/HOT_GROUP_ROWS.
+MAX_HOT_KEYS = 1_000_000
+
+
+def _split_hot(df: DataFrame, group_cols: list[str], hot_rows: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """(rows of ordinary groups, rows of hot groups); either may be None when empty."""
+    if not group_cols:
+        small = df.limit(hot_rows + 1).count() <= hot_rows
+        return (df, None) if small else (None, df)
+    sizes = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"))
+    hot = sizes.where(F.col("_n") > hot_rows).select(
+        *[F.col(c).alias(f"_h{i}") for i, c in enumerate(group_cols)], F.lit(True).alias("_hot"))
+    n_hot = hot.limit(MAX_HOT_KEYS + 1).count()
+    if n_hot == 0:
+        return df, None
+    if n_hot > MAX_HOT_KEYS:
+        return None, df
+    cond = None
+    for i, c in enumerate(group_cols):
+        eq = df[c].eqNullSafe(F.col(f"_h{i}"))
+        cond = eq if cond is None else cond & eq
+    tagged = df.join(F.broadcast(hot), cond, "left")
+    helper = [f"_h{i}" for i in range(len(group_cols))] + ["_hot"]
+    return (tagged.where(F.col("_hot").isNull()).drop(*helper),
+            tagged.where(F.col("_hot")).drop(*helper))
+
+
+def _hybrid(df, group_cols, order_cols, value_col, name, sum_name, num_partitions, hot_rows):
+    cold, hot = _split_hot(df, group_cols, hot_rows)
+    parts = []
+    if cold is not None:
+        w = Window.partitionBy(*group_cols).orderBy(*order_cols)
+        out = cold.withColumn(name, (F.row_number().over(w) - 1).cast("bigint"))
+        if value_col is not None:
+            integral = isinstance(df.schema[value_col].dataType, T.IntegralType)
+            sum_type = "bigint" if integral else "double"
+            run = F.sum(F.coalesce(F.col(value_col).cast(sum_type), F.lit(0).cast(sum_type)))
+            out = out.withColumn(sum_name, run.over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        parts.append(out)
+    if hot is not None:
+        parts.append(_ranged_runs(hot, group_cols, order_cols, value_col, num_partitions, name, sum_name))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
 def index_within_groups(df: DataFrame, group_cols: list[str], order_cols: list[str | Column],
-                        name: str = "idx", num_partitions: int | None = None) -> DataFrame:
+                        name: str = "idx", num_partitions: int | None = None,
+                        hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
     """``df`` plus ``name`` = 0-based position of the row in its group, ordered by ``order_cols``.
 
     ``order_cols`` must make the order total within a group (add a unique id
     as the last tie-break).  ``group_cols`` may be empty: one global order.
+    Groups above ``hot_rows`` rows (found by one counting pass) are spread
+    over range partitions; the rest use an ordinary window.
     """
-    return _ranged_runs(df, group_cols, order_cols, None, num_partitions, name, None)
+    return _hybrid(df, group_cols, order_cols, None, name, None, num_partitions, hot_rows)
 
 
 def running_total(df: DataFrame, group_cols: list[str], order_cols: list[str | Column], value_col: str,
-                  name: str, num_partitions: int | None = None) -> DataFrame:
+                  name: str, num_partitions: int | None = None, hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
     """``df`` plus ``name`` = running sum of ``value_col`` (nulls count as 0) in ``order_cols`` order.
 
-    The same partitioning as :func:`index_within_groups`, so a hot group, or
-    no group at all, never lands in one task.
+    The same split as :func:`index_within_groups`: a hot group, or one global
+    order over many rows, never lands in one task.
     """
-    return _ranged_runs(df, group_cols, order_cols, value_col, num_partitions, "_idx", name).drop("_idx")
+    out = _hybrid(df, group_cols, order_cols, value_col, "_idx", name, num_partitions, hot_rows)
+    return out.drop("_idx")

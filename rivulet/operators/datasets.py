@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet.functions.indexing import index_within_groups, running_total
@@ -93,11 +93,8 @@ def accumulating_counts(df: DataFrame, batch: Column) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     per = df.groupBy(batch.alias("batch")).agg(F.count(F.lit(1)).alias("n_rows")).checkpoint()
-    if per.limit(WINDOW_ROWS + 1).count() > WINDOW_ROWS:
-        # very many batches: a partitioned prefix sum instead of a one-task window
-        return running_total(per, [], ["batch"], "n_rows", "running_rows")
-    run = Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)
-    return per.withColumn("running_rows", F.sum("n_rows").over(run))
+    # up to WINDOW_ROWS batches: one ordered window; beyond: a partitioned prefix sum
+    return running_total(per, [], ["batch"], "n_rows", "running_rows", hot_rows=WINDOW_ROWS)
 
 
 class AccumulatingTable:

@@ -21,9 +21,11 @@ MAX_DRAWS = 1000
 
 
 # --------------------------------------------------------------------- T1
-def index_series(df: DataFrame, series: list[str], order: list[str], value: str) -> DataFrame:
+def index_series(df: DataFrame, series: list[str], order: list[str], value: str,
+                 hot_rows: int | None = None) -> DataFrame:
     """(series..., idx, value): 0-based position in each series, skew-safe."""
-    idx = index_within_groups(df.select(*series, *order, value), series, order)
+    kw = {} if hot_rows is None else {"hot_rows": hot_rows}
+    idx = index_within_groups(df.select(*series, *order, value), series, order, **kw)
     return idx.select(*series, "idx", F.col(value).cast("double").alias("value"), *[c for c in order])
 
 

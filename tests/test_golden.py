@@ -124,7 +124,7 @@ def test_index_series_hot_group_spans_partitions(spark):
     # one group holds most rows; it must still get a dense 0..n-1 index
     df = spark.range(0, 20_000).select(F.when(F.col("id") % 10 < 8, F.lit(0)).otherwise(F.col("id") % 7)
                                        .alias("g"), F.col("id").alias("t"), (F.col("id") * 0.5).alias("v"))
-    idx = S.index_series(df, ["g"], ["t"], "v")
+    idx = S.index_series(df, ["g"], ["t"], "v", hot_rows=1000)   # the hot group takes the ranged path
     rows = idx.collect()
     by = {}
     for r in rows:
@@ -149,10 +149,11 @@ def test_index_within_groups_multi_key_and_nulls(spark):
     from rivulet.functions.indexing import index_within_groups
     rows = [(a, b, t) for a in (None, 1, 2) for b in (None, "x") for t in range(50)]
     df = spark.createDataFrame(rows, "a int, b string, t int")
-    out = index_within_groups(df, ["a", "b"], ["t"], num_partitions=7).collect()
-    assert len(out) == len(rows)
-    for r in out:
-        assert r["idx"] == r["t"]
+    for hot_rows in (0, 10_000):                 # all groups ranged / all groups windowed
+        out = index_within_groups(df, ["a", "b"], ["t"], num_partitions=7, hot_rows=hot_rows).collect()
+        assert len(out) == len(rows)
+        for r in out:
+            assert r["idx"] == r["t"]
 
 
 def test_running_total_matches_window(spark):
@@ -160,12 +161,14 @@ def test_running_total_matches_window(spark):
     from rivulet.functions.indexing import running_total
     df = spark.range(0, 3000).select((F.col("id") % 3).alias("g"), F.col("id").alias("t"),
                                      (F.col("id") % 7).alias("v"))
-    got = {(r["g"], r["t"]): r["run"] for r in running_total(df, ["g"], ["t"], "v", "run", 5).collect()}
     w = Window.partitionBy("g").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     want = {(r["g"], r["t"]): r["run"] for r in df.withColumn("run", F.sum("v").over(w)).collect()}
-    assert got == want
-    glob = running_total(df, [], ["t"], "v", "run", 4).orderBy("t").collect()
-    assert glob[-1]["run"] == sum(i % 7 for i in range(3000))
+    for hot_rows in (0, 900, 10_000):
+        got = {(r["g"], r["t"]): r["run"]
+               for r in running_total(df, ["g"], ["t"], "v", "run", 5, hot_rows=hot_rows).collect()}
+        assert got == want
+        glob = running_total(df, [], ["t"], "v", "run", 4, hot_rows=hot_rows).orderBy("t").collect()
+        assert glob[-1]["run"] == sum(i % 7 for i in range(3000))
 
 
 def test_accumulating_counts_many_batches_path(spark, monkeypatch):
@@ -207,5 +210,5 @@ def test_hot_group_is_spread_over_partitions(spark):
     hot_parts = ranged.where("g = -1").select("_pid").distinct().count()
     assert hot_parts >= 2
     assert max(sizes) < 2 * (30_000 / 8)
-    idx = indexing.index_within_groups(df, ["g"], ["t"], num_partitions=8).where("g = -1")
+    idx = indexing.index_within_groups(df, ["g"], ["t"], num_partitions=8, hot_rows=100).where("g = -1")
     assert idx.agg(F.max("idx")).first()[0] == 9_999

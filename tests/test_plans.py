@@ -53,14 +53,25 @@ def test_large_in_becomes_broadcast_semi_join(spark, sf_dir):
     assert "BroadcastHashJoin" in plan and "LeftSemi" in plan
 
 
-def test_series_index_has_no_window_over_rows(spark, sf_dir):
-    """The row-level plan must not window over whole series (a hot user would sit in one task)."""
-    from rivulet.plans.q_datasets import series_index
-    df = series_index(spark, sf_dir)
+def test_hot_series_take_the_ranged_path(spark, sf_dir):
+    """Series above the hot limit never meet a row-level window (one task per series)."""
+    from rivulet.operators import series as S
+    from rivulet.session import table
+    df = S.index_series(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "value", hot_rows=0)
     plan = df._jdf.queryExecution().optimizedPlan().toString()
-    # the only window is over the (series, partition) counts, after an aggregate
-    assert plan.count("Window [") <= 1
-    assert "Aggregate" in plan
+    # hot rows are numbered per range partition and offset by a window over per-partition counts;
+    # the row-level window only sees rows of groups not marked hot
+    assert "RepartitionByExpression" in plan or "LogicalRDD" in plan
+    assert "isnull(_hot" in plan and "_hot#" in plan
+    assert "sum(_n" in plan
+
+
+def test_ordinary_series_use_a_plain_window(spark, sf_dir):
+    from rivulet.operators import series as S
+    from rivulet.session import table
+    df = S.index_series(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "value")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number()" in plan and "MapInPandas" not in plan
 
 
 def test_topic_decode_stays_in_codegen(spark, sf_dir):
