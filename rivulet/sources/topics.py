@@ -153,6 +153,13 @@ def scan(log: DataFrame, schema: T.StructType | str, positions: DataFrame | None
     return decode(rows, schema, keep=["partition", "offset"])
 
 
+def create_log_view(spark: SparkSession, name: str, log_path: str, schema: T.StructType | str) -> DataFrame:
+    """A SQL view over a stored topic log: (partition, offset, declared fields), decoded strictly."""
+    view = scan(spark.read.parquet(log_path), schema)
+    view.createOrReplaceTempView(name)
+    return view
+
+
 class TopicPositions:
     """Saved read positions for one consumer of a topic log (K5, batch form).
 

@@ -148,3 +148,12 @@ def test_split_drops_trailing_empty_fields_like_the_jvm(spark):
     assert tuple(topics.decode(_lines(spark, "1\t\tx"), three).first()) == (1, "", "x")
     got = _lines(spark, "a\t\tb\t\t", "\t\t", "", "a").select(split_line("value").alias("f")).collect()
     assert [r["f"] for r in got] == [["a", "", "b"], [], [""], ["a"]]
+
+
+def test_log_view_sql(spark, tmp_path):
+    path = str(tmp_path / "log")
+    spark.createDataFrame([(0, 0, "1\ta\t20"), (1, 0, "2\tb\t25"), (0, 1, "3\tc\t25")], topics.LOG_SCHEMA) \
+        .write.parquet(path)
+    topics.create_log_view(spark, "stu_log", path, SCHEMA)
+    got = spark.sql("SELECT partition, `offset`, name FROM stu_log WHERE age = 25 ORDER BY id").collect()
+    assert [tuple(r) for r in got] == [(1, 0, "b"), (0, 1, "c")]
