@@ -14,8 +14,8 @@ def _lines(spark, *values):
 
 
 def test_encode_prints_null_and_keeps_order(spark):
-    df = spark.createDataFrame([(1, "wpy", 25), (2, None, None)], SCHEMA)
-    assert [r["value"] for r in topics.encode(df).collect()] == ["1\twpy\t25", "2\tnull\tnull"]
+    df = spark.createDataFrame([(1, "amy", 25), (2, None, None)], SCHEMA)
+    assert [r["value"] for r in topics.encode(df).collect()] == ["1\tamy\t25", "2\tnull\tnull"]
 
 
 def test_encode_rejects_tab_in_field(spark):
@@ -25,11 +25,11 @@ def test_encode_rejects_tab_in_field(spark):
 
 
 def test_decode_roundtrip_and_extra_fields(spark):
-    out = topics.decode(_lines(spark, "1\twpy\t25", "2\tx\t3\textra"), SCHEMA).collect()
-    assert [tuple(r) for r in out] == [(1, "wpy", 25), (2, "x", 3)]
+    out = topics.decode(_lines(spark, "1\tamy\t25", "2\tx\t3\textra"), SCHEMA).collect()
+    assert [tuple(r) for r in out] == [(1, "amy", 25), (2, "x", 3)]
 
 
-@pytest.mark.parametrize("line", ["1\twpy", "x\twpy\t25", "1\twpy\t2.5", "99999999999\tw\t1"])
+@pytest.mark.parametrize("line", ["1\tamy", "x\tamy\t25", "1\tamy\t2.5", "99999999999\tw\t1"])
 def test_decode_strict_failures(spark, line):
     with pytest.raises(Exception):
         topics.decode(_lines(spark, line), SCHEMA).collect()
@@ -56,11 +56,11 @@ def test_unsupported_topic_type(spark):
 def test_topic_view_insert_and_select(spark, tmp_path):
     path = str(tmp_path / "topic")
     topics.write_topic(spark.createDataFrame([(2, "a", 30)], SCHEMA), path)
-    topics.create_topic_view(spark, "kafka_stu", SCHEMA, path)
-    spark.sql("INSERT INTO TABLE kafka_stu VALUES (1, 'wpy', 25)")
-    assert sorted(tuple(r) for r in spark.sql("SELECT * FROM kafka_stu").collect()) == [(1, "wpy", 25), (2, "a", 30)]
+    topics.create_topic_view(spark, "topic_stu", SCHEMA, path)
+    spark.sql("INSERT INTO TABLE topic_stu VALUES (1, 'amy', 25)")
+    assert sorted(tuple(r) for r in spark.sql("SELECT * FROM topic_stu").collect()) == [(1, "amy", 25), (2, "a", 30)]
     # the view writes exactly the encoded line form
-    assert sorted(r["value"] for r in spark.read.text(path).collect()) == ["1\twpy\t25", "2\ta\t30"]
+    assert sorted(r["value"] for r in spark.read.text(path).collect()) == ["1\tamy\t25", "2\ta\t30"]
 
 
 def test_incremental_positions(spark, tmp_path):
@@ -144,7 +144,7 @@ def test_frequency_expand_splits_a_hot_message(spark):
 def test_split_drops_trailing_empty_fields_like_the_jvm(spark):
     three = "id int, name string, tag string"
     with pytest.raises(Exception, match="missing field 2"):
-        topics.decode(_lines(spark, "1\twpy\t"), three).collect()
+        topics.decode(_lines(spark, "1\tamy\t"), three).collect()
     assert tuple(topics.decode(_lines(spark, "1\t\tx"), three).first()) == (1, "", "x")
     got = _lines(spark, "a\t\tb\t\t", "\t\t", "", "a").select(split_line("value").alias("f")).collect()
     assert [r["f"] for r in got] == [["a", "", "b"], [], [""], ["a"]]
