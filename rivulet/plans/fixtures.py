@@ -111,10 +111,10 @@ def customer_rule_tree(spark: SparkSession, sf_dir: str):
                 .unionByName(r.select(F.lit("root").alias("parent_id"),
                                       F.col("r_regionkey").cast("bigint").alias("pos"),
                                       reg("r_regionkey").alias("child_id"))))
-    return _stored(spark, "rule_tree", rules=rules, factors=factors, children=children)
+    return _cached(spark, "rule_tree", rules=rules, factors=factors, children=children)
 
 
-def _stored(spark: SparkSession, label: str, **frames: DataFrame):
+def _cached(spark: SparkSession, label: str, **frames: DataFrame):
     """Keep derived rule tables in the cache (memory, spilling to disk).
 
     Rule tables are data in their own right: keeping them lets every later
@@ -127,7 +127,7 @@ def _stored(spark: SparkSession, label: str, **frames: DataFrame):
 def event_rules(spark: SparkSession, sf_dir: str):
     """Rules on fixture D: per event type an ALL rule (type and par = 0) and an ANY rule (type or par = 1)."""
     # the only pass over events: its distinct types, stored once (a handful of rows)
-    (types,) = _stored(spark, "event_types", types=table(spark, sf_dir, "events").select("event_type").distinct())
+    (types,) = _cached(spark, "event_types", types=table(spark, sf_dir, "events").select("event_type").distinct())
     rid = lambda mode: F.concat(F.lit("e:"), F.col("event_type"), F.lit(f":{mode}"))
     rules = (types.select(rid("all").alias("rule_id"), F.lit("single").alias("kind"), F.lit(0).alias("key"))
              .unionByName(types.select(rid("any").alias("rule_id"), F.lit("single").alias("kind"),
