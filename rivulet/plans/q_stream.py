@@ -60,16 +60,13 @@ _UNION_CONDS = ["age < 10", "age BETWEEN 10 AND 30", "age > 40"]
     f"SELECT {i} AS query_no, p_partkey AS id, p_name AS name, p_size AS age FROM part "
     f"WHERE {c.replace('age', 'p_size')}" for i, c in enumerate(_UNION_CONDS)))
 def microbatch_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M2: three standing queries; each micro-batch emits the UNION ALL of their results."""
-    sink, ckpt = work_dir(spark, "m2_sink"), work_dir(spark, "m2_ckpt")
-
-    def start(d):
-        s = mb.union_standing(mb.topic_stream(spark, d, fx.PART_TOPIC_SCHEMA), _UNION_CONDS)
-        w = s.writeStream.format("parquet").option("checkpointLocation", ckpt)
-        return w.trigger(availableNow=True).start(sink)
-
-    _each_file(spark, sf_dir, start)
-    return spark.read.parquet(sink).select("query_no", "id", "name", "age")
+    """M2: three SQL texts queued on the topic; each micro-batch runs them all and stores their UNION ALL."""
+    out, ckpt = work_dir(spark, "m2_out"), work_dir(spark, "m2_ckpt")
+    standing = mb.StandingSql("test", out)
+    for cond in _UNION_CONDS:
+        standing.submit(f"SELECT * FROM test WHERE {cond}")
+    _each_file(spark, sf_dir, lambda d: standing.start(mb.topic_stream(spark, d, fx.PART_TOPIC_SCHEMA), ckpt))
+    return spark.read.parquet(out).select("query_no", "id", "name", "age")
 
 
 def _purchase_value(term, row):

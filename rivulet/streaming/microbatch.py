@@ -127,6 +127,36 @@ def union_standing(stream: DataFrame, conditions: list[Column | str]) -> DataFra
     return union_results(parts)
 
 
+class StandingSql:
+    """SQL texts, submitted at any time, run over every micro-batch of new topic rows.
+
+    Each batch's new rows are the view ``view``; every queued SQL text runs
+    on them and the results are unioned (with ``query_no``) and stored under
+    the batch id, overwriting on replay.  Texts submitted later apply from
+    the next batch on, as a standing query re-submitted each tick would.
+    """
+
+    def __init__(self, view: str, out_path: str):
+        self.view = view
+        self.out = out_path.rstrip("/")
+        self.texts: list[str] = []
+
+    def submit(self, sql_text: str) -> None:
+        self.texts.append(sql_text)
+
+    def _on_batch(self, batch: DataFrame, batch_id: int) -> None:
+        if not self.texts:
+            return
+        batch.createOrReplaceTempView(self.view)
+        session = batch.sparkSession
+        frames = [session.sql(t).withColumn("query_no", F.lit(i)) for i, t in enumerate(self.texts)]
+        union_results(frames).write.mode("overwrite").parquet(f"{self.out}/batch_id={batch_id}")
+
+    def start(self, stream: DataFrame, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+        w = stream.writeStream.foreachBatch(self._on_batch).option("checkpointLocation", checkpoint)
+        return _trigger(w, available_now).start()
+
+
 # --------------------------------------------------------------------- M3 / M6
 @dataclass(frozen=True)
 class Single:

@@ -121,3 +121,29 @@ def test_task_with_pandas_function(spark):
 
     out = mb.run_task_pandas(df, ["id", "v"], keep_big, 50.0, "id long, v double")
     assert [tuple(r) for r in out.collect()] == [(2, 60.0)]
+
+
+def test_standing_sql_texts_apply_from_next_batch(spark, sf_dir):
+    topic_dir, out, ckpt = work_dir(spark, "t"), work_dir(spark, "out"), work_dir(spark, "ckpt")
+    standing = mb.StandingSql("stu", out)
+    standing.submit("SELECT id, age FROM stu WHERE age = 25")
+    _add(spark, sf_dir, topic_dir, 0)
+    mb.run_to_end(standing.start(mb.topic_stream(spark, topic_dir, fx.PART_TOPIC_SCHEMA), ckpt))
+    standing.submit("SELECT id, age FROM stu WHERE age = 1")       # a text submitted later
+    _add(spark, sf_dir, topic_dir, 1)
+    mb.run_to_end(standing.start(mb.topic_stream(spark, topic_dir, fx.PART_TOPIC_SCHEMA), ckpt))
+    got = spark.read.parquet(out)
+    rows = fx.part_rows(spark, sf_dir)
+    assert got.where("batch_id = 0 AND query_no = 1").count() == 0
+    assert got.where("batch_id = 1 AND query_no = 1").count() == rows.where("id % 3 = 1 AND age = 1").count()
+    assert got.where("query_no = 0").count() == rows.where("id % 3 < 2 AND age = 25").count()
+
+
+def test_union_standing_conditions(spark, sf_dir):
+    topic_dir, sink, ckpt = work_dir(spark, "t"), work_dir(spark, "sink"), work_dir(spark, "ckpt")
+    _add(spark, sf_dir, topic_dir, 2)
+    s = mb.union_standing(mb.topic_stream(spark, topic_dir, fx.PART_TOPIC_SCHEMA), ["age < 5", "age > 45"])
+    mb.run_to_end(s.writeStream.format("parquet").option("checkpointLocation", ckpt)
+                  .trigger(availableNow=True).start(sink))
+    rows = fx.part_rows(spark, sf_dir).where("id % 3 = 2")
+    assert spark.read.parquet(sink).count() == rows.where("age < 5 OR age > 45").count()
