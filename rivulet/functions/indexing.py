@@ -166,11 +166,65 @@ def index_within_groups(df: DataFrame, group_cols: list[str], order_cols: list[s
 
 
 def running_total(df: DataFrame, group_cols: list[str], order_cols: list[str | Column], value_col: str,
-                  name: str, num_partitions: int | None = None, hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
+                  name: str, num_partitions: int | None = None, hot_rows: int = HOT_GROUP_ROWS,
+                  index_name: str | None = None) -> DataFrame:
     """``df`` plus ``name`` = running sum of ``value_col`` (nulls count as 0) in ``order_cols`` order.
 
     The same split as :func:`index_within_groups`: a hot group, or one global
-    order over many rows, never lands in one task.
+    order over many rows, never lands in one task.  With ``index_name`` the
+    0-based position is kept as well.
     """
-    out = _hybrid(df, group_cols, order_cols, value_col, "_idx", name, num_partitions, hot_rows)
-    return out.drop("_idx")
+    out = _hybrid(df, group_cols, order_cols, value_col, index_name or "_idx", name, num_partitions, hot_rows)
+    return out if index_name else out.drop("_idx")
+
+
+def _null_safe_on(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -> Column:
+    cond = None
+    for lcol, rcol in pairs:
+        eq = left[lcol].eqNullSafe(right[rcol])
+        cond = eq if cond is None else cond & eq
+    return cond
+
+
+def rank_within_groups(df: DataFrame, group_cols: list[str], order: list[tuple[str, bool]],
+                       lag_col: str | None = None, hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
+    """``row_number``, ``rank``, ``dense_rank`` (and ``lag(lag_col)``) per group, hot groups included.
+
+    ``order`` is a list of (column, ascending).  Ordinary groups use Spark's
+    window functions.  Rows of groups above ``hot_rows`` are numbered with
+    the range-partitioned index; ranks come from the first position of each
+    distinct ordering value (an aggregate), dense ranks from numbering those
+    distinct values, and ``lag`` from an equi-join on (group, position - 1).
+    Output columns: rn, rnk, drnk and, with ``lag_col``, prev.
+    """
+    names = [c for c, _ in order]
+    sort = [F.col(c).asc_nulls_first() if asc else F.col(c).desc_nulls_last() for c, asc in order]
+    cold, hot = _split_hot(df, group_cols, hot_rows)
+    parts = []
+    # row_number and lag need a total order: the ordering columns, then every other column
+    rest = [F.col(c) for c in df.columns if c not in group_cols and c not in names]
+    if cold is not None:
+        w_rank = Window.partitionBy(*group_cols).orderBy(*sort)
+        w_row = Window.partitionBy(*group_cols).orderBy(*sort, *rest)
+        out = cold.select("*", F.row_number().over(w_row).alias("rn"), F.rank().over(w_rank).alias("rnk"),
+                          F.dense_rank().over(w_rank).alias("drnk"))
+        if lag_col is not None:
+            out = out.withColumn("prev", F.lag(lag_col).over(w_row))
+        parts.append(out)
+    if hot is not None:
+        idx = index_within_groups(hot, group_cols, sort + rest, name="_i", hot_rows=0)
+        ties = idx.groupBy(*group_cols, *names).agg(F.min("_i").alias("_first"))
+        tie_sort = [F.col(c).asc_nulls_first() if asc else F.col(c).desc_nulls_last() for c, asc in order]
+        ties = index_within_groups(ties, group_cols, tie_sort, name="_d", hot_rows=hot_rows)
+        t = ties.select(*[F.col(c).alias(f"_t_{c}") for c in group_cols + names], "_first", "_d")
+        on = _null_safe_on(idx, t, [(c, f"_t_{c}") for c in group_cols + names])
+        out = idx.join(t, on).select(
+            *hot.columns, "_i", (F.col("_i") + 1).cast("int").alias("rn"),
+            (F.col("_first") + 1).cast("int").alias("rnk"), (F.col("_d") + 1).cast("int").alias("drnk"))
+        if lag_col is not None:
+            prev = idx.select(*[F.col(c).alias(f"_p_{c}") for c in group_cols],
+                              (F.col("_i") + 1).alias("_pi"), F.col(lag_col).alias("prev"))
+            on = _null_safe_on(out, prev, [(c, f"_p_{c}") for c in group_cols]) & (out["_i"] == prev["_pi"])
+            out = out.join(prev, on, "left").drop(*[f"_p_{c}" for c in group_cols], "_pi")
+        parts.append(out.drop("_i"))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])

@@ -212,3 +212,22 @@ def test_hot_group_is_spread_over_partitions(spark):
     assert max(sizes) < 2 * (30_000 / 8)
     idx = indexing.index_within_groups(df, ["g"], ["t"], num_partitions=8, hot_rows=100).where("g = -1")
     assert idx.agg(F.max("idx")).first()[0] == 9_999
+
+
+def test_rank_within_groups_hot_path_matches_windows(spark):
+    from pyspark.sql import Window
+    from rivulet.functions.indexing import rank_within_groups
+    rows = [(g, p, k) for g in (1, 2, None) for k, p in enumerate([5.0, 3.0, 3.0, 9.0, 1.0, 3.0, 9.0])]
+    df = spark.createDataFrame(rows, "g int, p double, k long")
+    w = Window.partitionBy("g").orderBy(F.col("p").desc(), "k")
+    w2 = Window.partitionBy("g").orderBy(F.col("p").desc())
+    want = {(r["g"], r["k"]): (r["rn"], r["rnk"], r["drnk"], r["prev"]) for r in df.select(
+        "g", "k", F.row_number().over(w).alias("rn"), F.rank().over(w2).alias("rnk"),
+        F.dense_rank().over(w2).alias("drnk"), F.lag("p").over(w).alias("prev")).collect()}
+    for hot_rows in (0, 100):
+        # ties on p: rank/dense_rank follow p only; row_number and lag break ties by k
+        got = rank_within_groups(df, ["g"], [("p", False)], lag_col="p", hot_rows=hot_rows)
+        got = {(r["g"], r["k"]): (r["rn"], r["rnk"], r["drnk"], r["prev"]) for r in got.collect()}
+        assert {k: v[1:3] for k, v in got.items()} == {k: v[1:3] for k, v in want.items()}
+        # row_number/lag among ties follow the remaining columns (k here)
+        assert {k: (v[0], v[3]) for k, v in got.items()} == {k: (v[0], v[3]) for k, v in want.items()}
