@@ -231,3 +231,11 @@ def test_rank_within_groups_hot_path_matches_windows(spark):
         assert {k: v[1:3] for k, v in got.items()} == {k: v[1:3] for k, v in want.items()}
         # row_number/lag among ties follow the remaining columns (k here)
         assert {k: (v[0], v[3]) for k, v in got.items()} == {k: (v[0], v[3]) for k, v in want.items()}
+
+
+def test_running_total_keeps_index_on_both_paths(spark):
+    from rivulet.functions.indexing import running_total
+    df = spark.range(0, 500).select((F.col("id") % 2).alias("g"), F.col("id").alias("t"), F.lit(1).alias("one"))
+    for hot_rows in (0, 10_000):
+        out = running_total(df, ["g"], ["t"], "one", "run", hot_rows=hot_rows, index_name="i").collect()
+        assert all(r["run"] == r["i"] + 1 for r in out)
