@@ -120,11 +120,13 @@ def _split_hot(df: DataFrame, group_cols: list[str], hot_rows: int) -> tuple[Dat
     sizes = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"))
     hot = sizes.where(F.col("_n") > hot_rows).select(
         *[F.col(c).alias(f"_h{i}") for i, c in enumerate(group_cols)], F.lit(True).alias("_hot"))
-    n_hot = hot.limit(MAX_HOT_KEYS + 1).count()
-    if n_hot == 0:
-        return df, None
-    if n_hot > MAX_HOT_KEYS:
-        return None, df
+    # the counting pass runs once: the hot-key table (at most total / hot_rows rows) is
+    # cached while it is counted, then broadcast from the cache
+    hot = hot.persist()
+    n_hot = hot.count()
+    if n_hot == 0 or n_hot > MAX_HOT_KEYS:
+        hot.unpersist()
+        return (df, None) if n_hot == 0 else (None, df)
     cond = None
     for i, c in enumerate(group_cols):
         eq = df[c].eqNullSafe(F.col(f"_h{i}"))
