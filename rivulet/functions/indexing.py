@@ -33,10 +33,10 @@ def _same_key(a: tuple, b: tuple) -> bool:
     return all((pd.isna(x) and pd.isna(y)) or x == y for x, y in zip(a, b))
 
 
-def _local_runs(group_cols: list[str], value_col: str | None, integral: bool):
-    """Per partition (rows sorted by group): position, and running sum of ``value_col``, within each group run."""
+def _local_runs(group_cols: list[str], value_cols: list[str], integral: list[bool]):
+    """Per partition (rows sorted by group): position, and running sums of ``value_cols``, within each group run."""
     def number(batches):
-        prev_key, carried_n, carried_s = None, 0, 0
+        prev_key, carried_n, carried = None, 0, [0] * len(value_cols)
         for pdf in batches:
             if pdf.empty:
                 continue
@@ -51,47 +51,52 @@ def _local_runs(group_cols: list[str], value_col: str | None, integral: bool):
             if continues:
                 local[run_id == 0] += carried_n
             out = {"_local": local}
-            if value_col is not None:
-                vals = pdf[value_col].fillna(0).to_numpy().astype("int64" if integral else "float64")
+            for j, (col, is_int) in enumerate(zip(value_cols, integral)):
+                vals = pdf[col].fillna(0).to_numpy().astype("int64" if is_int else "float64")
                 total = np.cumsum(vals)
                 lsum = total - (total - vals)[starts][run_id]
                 if continues:
-                    lsum[run_id == 0] += carried_s
-                carried_s = lsum[-1]
-                out["_lsum"] = lsum
+                    lsum[run_id == 0] += carried[j]
+                carried[j] = lsum[-1]
+                out[f"_lsum{j}"] = lsum
             prev_key, carried_n = tuple(g.iloc[-1]), int(local[-1]) + 1
             yield pdf.assign(**out)
     return number
 
 
-def _ranged_runs(df: DataFrame, group_cols: list[str], order_cols: list, value_col: str | None,
-                 num_partitions: int | None, name: str, sum_name: str | None) -> DataFrame:
+def _sum_types(df: DataFrame, value_cols: list[str]) -> list[T.DataType]:
+    return [T.LongType() if isinstance(df.schema[c].dataType, T.IntegralType) else T.DoubleType()
+            for c in value_cols]
+
+
+def _ranged_runs(df: DataFrame, group_cols: list[str], order_cols: list, value_cols: list[str],
+                 num_partitions: int | None, name: str, sum_names: list[str]) -> DataFrame:
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = (df.repartitionByRange(n, *group_cols, *order_cols)
               .sortWithinPartitions(*group_cols, *order_cols)
               .withColumn("_pid", F.spark_partition_id()))
-    integral = value_col is not None and isinstance(df.schema[value_col].dataType, T.IntegralType)
-    sum_type = T.LongType() if integral else T.DoubleType()
+    types = _sum_types(df, value_cols)
     extra = [T.StructField("_local", T.LongType(), False)]
-    if value_col is not None:
-        extra.append(T.StructField("_lsum", sum_type, False))
+    extra += [T.StructField(f"_lsum{j}", t, False) for j, t in enumerate(types)]
     out_schema = T.StructType(ranged.schema.fields + extra)
+    integral = [isinstance(t, T.LongType) for t in types]
     # written once: partition ids and local positions must not change between the uses below
-    numbered = ranged.mapInPandas(_local_runs(group_cols, value_col, integral), out_schema).checkpoint()
+    numbered = ranged.mapInPandas(_local_runs(group_cols, value_cols, integral), out_schema).checkpoint()
 
     aggs = [F.count(F.lit(1)).alias("_n")]
-    if value_col is not None:
-        aggs.append(F.sum(F.coalesce(F.col(value_col).cast(sum_type), F.lit(0).cast(sum_type))).alias("_s"))
+    aggs += [F.sum(F.coalesce(F.col(c).cast(t), F.lit(0).cast(t))).alias(f"_s{j}")
+             for j, (c, t) in enumerate(zip(value_cols, types))]
     counts = numbered.groupBy(*group_cols, "_pid").agg(*aggs)
     before = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = [F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")]
-    if value_col is not None:
-        offs.append(F.coalesce(F.sum("_s").over(before), F.lit(0).cast(sum_type)).alias("_soff"))
+    offs += [F.coalesce(F.sum(f"_s{j}").over(before), F.lit(0).cast(t)).alias(f"_soff{j}")
+             for j, t in enumerate(types)]
+    soffs = [f"_soff{j}" for j in range(len(types))]
     offsets = (counts.select(*group_cols, "_pid", *offs).where(F.col("_off") > 0)
                .select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group_cols)],
-                       F.col("_pid").alias("_opid"), "_off", *(["_soff"] if value_col is not None else [])))
+                       F.col("_pid").alias("_opid"), "_off", *soffs))
     # at most one continued group per partition: bounded by n.  Null-safe
     # equality, so a null group key is a group like any other.
     cond = F.col("_pid") == F.col("_opid")
@@ -99,9 +104,9 @@ def _ranged_runs(df: DataFrame, group_cols: list[str], order_cols: list, value_c
         cond = cond & numbered[c].eqNullSafe(F.col(f"_g{i}"))
     joined = numbered.join(F.broadcast(offsets), cond, "left")
     out = joined.withColumn(name, (F.col("_local") + F.coalesce("_off", F.lit(0))).cast("bigint"))
-    if value_col is not None:
-        out = out.withColumn(sum_name, F.col("_lsum") + F.coalesce("_soff", F.lit(0).cast(sum_type)))
-    return out.drop("_pid", "_local", "_lsum", "_off", "_soff", "_opid",
+    for j, (sname, t) in enumerate(zip(sum_names, types)):
+        out = out.withColumn(sname, F.col(f"_lsum{j}") + F.coalesce(f"_soff{j}", F.lit(0).cast(t)))
+    return out.drop("_pid", "_local", "_off", "_opid", *soffs, *[f"_lsum{j}" for j in range(len(types))],
                     *[f"_g{i}" for i in range(len(group_cols))])
 
 
@@ -120,12 +125,10 @@ def _split_hot(df: DataFrame, group_cols: list[str], hot_rows: int) -> tuple[Dat
     sizes = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"))
     hot = sizes.where(F.col("_n") > hot_rows).select(
         *[F.col(c).alias(f"_h{i}") for i, c in enumerate(group_cols)], F.lit(True).alias("_hot"))
-    # the counting pass runs once: the hot-key table (at most total / hot_rows rows) is
-    # cached while it is counted, then broadcast from the cache
-    hot = hot.persist()
-    n_hot = hot.count()
+    # probe first (one counting pass); only when hot keys exist is the count
+    # repeated to build the broadcast, so nothing stays cached behind the result
+    n_hot = hot.limit(MAX_HOT_KEYS + 1).count()
     if n_hot == 0 or n_hot > MAX_HOT_KEYS:
-        hot.unpersist()
         return (df, None) if n_hot == 0 else (None, df)
     cond = None
     for i, c in enumerate(group_cols):
@@ -137,20 +140,18 @@ def _split_hot(df: DataFrame, group_cols: list[str], hot_rows: int) -> tuple[Dat
             tagged.where(F.col("_hot")).drop(*helper))
 
 
-def _hybrid(df, group_cols, order_cols, value_col, name, sum_name, num_partitions, hot_rows):
+def _hybrid(df, group_cols, order_cols, value_cols, name, sum_names, num_partitions, hot_rows):
     cold, hot = _split_hot(df, group_cols, hot_rows)
     parts = []
     if cold is not None:
         w = Window.partitionBy(*group_cols).orderBy(*order_cols)
         out = cold.withColumn(name, (F.row_number().over(w) - 1).cast("bigint"))
-        if value_col is not None:
-            integral = isinstance(df.schema[value_col].dataType, T.IntegralType)
-            sum_type = "bigint" if integral else "double"
-            run = F.sum(F.coalesce(F.col(value_col).cast(sum_type), F.lit(0).cast(sum_type)))
-            out = out.withColumn(sum_name, run.over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        upto = w.rowsBetween(Window.unboundedPreceding, 0)
+        for c, sname, t in zip(value_cols, sum_names, _sum_types(df, value_cols)):
+            out = out.withColumn(sname, F.sum(F.coalesce(F.col(c).cast(t), F.lit(0).cast(t))).over(upto))
         parts.append(out)
     if hot is not None:
-        parts.append(_ranged_runs(hot, group_cols, order_cols, value_col, num_partitions, name, sum_name))
+        parts.append(_ranged_runs(hot, group_cols, order_cols, value_cols, num_partitions, name, sum_names))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
@@ -164,19 +165,22 @@ def index_within_groups(df: DataFrame, group_cols: list[str], order_cols: list[s
     Groups above ``hot_rows`` rows (found by one counting pass) are spread
     over range partitions; the rest use an ordinary window.
     """
-    return _hybrid(df, group_cols, order_cols, None, name, None, num_partitions, hot_rows)
+    return _hybrid(df, group_cols, order_cols, [], name, [], num_partitions, hot_rows)
 
 
-def running_total(df: DataFrame, group_cols: list[str], order_cols: list[str | Column], value_col: str,
-                  name: str, num_partitions: int | None = None, hot_rows: int = HOT_GROUP_ROWS,
-                  index_name: str | None = None) -> DataFrame:
+def running_total(df: DataFrame, group_cols: list[str], order_cols: list[str | Column],
+                  value_col: str | list[str], name: str | list[str], num_partitions: int | None = None,
+                  hot_rows: int = HOT_GROUP_ROWS, index_name: str | None = None) -> DataFrame:
     """``df`` plus ``name`` = running sum of ``value_col`` (nulls count as 0) in ``order_cols`` order.
 
-    The same split as :func:`index_within_groups`: a hot group, or one global
-    order over many rows, never lands in one task.  With ``index_name`` the
-    0-based position is kept as well.
+    Several value columns (and names) may be given at once.  The same split as
+    :func:`index_within_groups`: a hot group, or one global order over many
+    rows, never lands in one task.  With ``index_name`` the 0-based position
+    is kept as well.
     """
-    out = _hybrid(df, group_cols, order_cols, value_col, index_name or "_idx", name, num_partitions, hot_rows)
+    cols = [value_col] if isinstance(value_col, str) else list(value_col)
+    names = [name] if isinstance(name, str) else list(name)
+    out = _hybrid(df, group_cols, order_cols, cols, index_name or "_idx", names, num_partitions, hot_rows)
     return out if index_name else out.drop("_idx")
 
 

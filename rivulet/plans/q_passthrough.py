@@ -177,17 +177,22 @@ def pt_window_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row frames per user: 4-row moving sum, running count, whole-series max.
 
     Built from skew-safe pieces, so a user with a third of the events is
-    spread over tasks: running sums of exact cents (a prefix sum), the moving
-    sum as the difference of two prefix sums (equi-join on position - 4), the
+    spread over tasks: prefix sums of the value and of its non-null count,
+    the moving sum as the difference of two prefix sums (equi-join on
+    position - 4; null when the frame holds no value, as SUM does), the
     running count from the position, the maximum from an aggregate.
     """
     e = _t(spark, sf_dir, "events").select(
-        "event_id", "user_id", "ts", "value", F.round(F.col("value") * 100).cast("bigint").alias("cents"))
-    run = running_total(e, ["user_id"], ["ts", "event_id"], "cents", "run", index_name="i")
-    back = run.select(F.col("user_id").alias("_u"), (F.col("i") + 4).alias("_j"), F.col("run").alias("_run4"))
+        "event_id", "user_id", "ts", "value", F.col("value").isNotNull().cast("int").alias("has_value"))
+    run = running_total(e, ["user_id"], ["ts", "event_id"], ["value", "has_value"], ["run", "run_n"],
+                        index_name="i")
+    back = run.select(F.col("user_id").alias("_u"), (F.col("i") + 4).alias("_j"),
+                      F.col("run").alias("_run4"), F.col("run_n").alias("_n4"))
     on = run["user_id"].eqNullSafe(back["_u"]) & (run["i"] == back["_j"])
+    frame_n = F.col("run_n") - F.coalesce(F.col("_n4"), F.lit(0))
+    frame_sum = F.col("run") - F.coalesce(F.col("_run4"), F.lit(0.0))
     moving = run.join(back, on, "left").withColumn(
-        "moving_sum_cents", F.col("run") - F.coalesce(F.col("_run4"), F.lit(0)))
+        "moving_sum_cents", F.when(frame_n > 0, F.round(frame_sum * 100).cast("bigint")))
     top = bounded_broadcast(e.groupBy(F.col("user_id").alias("_u")).agg(F.max("value").alias("user_max")))
     out = moving.drop("_u").join(top, moving["user_id"].eqNullSafe(top["_u"]))
     return out.select("event_id", "user_id", "moving_sum_cents", (F.col("i") + 1).alias("running_n"), "user_max")

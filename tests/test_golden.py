@@ -239,3 +239,14 @@ def test_running_total_keeps_index_on_both_paths(spark):
     for hot_rows in (0, 10_000):
         out = running_total(df, ["g"], ["t"], "one", "run", hot_rows=hot_rows, index_name="i").collect()
         assert all(r["run"] == r["i"] + 1 for r in out)
+
+
+def test_running_total_several_columns_with_nulls(spark):
+    from rivulet.functions.indexing import running_total
+    rows = [(1, t, None if t % 3 == 0 else float(t)) for t in range(40)]
+    df = spark.createDataFrame(rows, "g int, t int, v double").withColumn(
+        "has", F.col("v").isNotNull().cast("int"))
+    for hot_rows in (0, 1000):
+        out = running_total(df, ["g"], ["t"], ["v", "has"], ["rv", "rn"], hot_rows=hot_rows).orderBy("t").collect()
+        assert [r["rn"] for r in out] == [sum(1 for x in range(t + 1) if x % 3) for t in range(40)]
+        assert [r["rv"] for r in out] == [float(sum(x for x in range(t + 1) if x % 3)) for t in range(40)]
