@@ -218,7 +218,7 @@ def rank_within_groups(df: DataFrame, group_cols: list[str], order: list[tuple[s
             out = out.withColumn("prev", F.lag(lag_col).over(w_row))
         parts.append(out)
     if hot is not None:
-        idx = index_within_groups(hot, group_cols, sort + rest, name="_i", hot_rows=0)
+        idx = _ranged_runs(hot, group_cols, sort + rest, [], None, "_i", [])
         ties = idx.groupBy(*group_cols, *names).agg(F.min("_i").alias("_first"))
         tie_sort = [F.col(c).asc_nulls_first() if asc else F.col(c).desc_nulls_last() for c, asc in order]
         ties = index_within_groups(ties, group_cols, tie_sort, name="_d", hot_rows=hot_rows)
