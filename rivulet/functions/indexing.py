@@ -180,6 +180,8 @@ def running_total(df: DataFrame, group_cols: list[str], order_cols: list[str | C
     """
     cols = [value_col] if isinstance(value_col, str) else list(value_col)
     names = [name] if isinstance(name, str) else list(name)
+    if len(cols) != len(names):
+        raise ValueError(f"{len(cols)} value columns but {len(names)} output names")
     out = _hybrid(df, group_cols, order_cols, cols, index_name or "_idx", names, num_partitions, hot_rows)
     return out if index_name else out.drop("_idx")
 
