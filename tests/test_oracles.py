@@ -32,3 +32,7 @@ def test_query_matches_oracle(spark, sf_dir, con, name):
     assert sorted(df.columns) == sorted(d_cols)
     assert len(s_rows) == len(d_rows)
     assert digest(df.columns, s_rows)[0] == digest(d_cols, d_rows)[0]
+    # no pair-forming joins and no row-at-a-time Python in any registered plan
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
+        assert bad not in plan, f"{name}: {bad}"
