@@ -73,6 +73,11 @@ def kv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --------------------------------------------------------------------- fixture F: rules
 def customer_rule_tree(spark: SparkSession, sf_dir: str):
+    """Fixture F's rule tree, built once per application (see :func:`_build_customer_rule_tree`)."""
+    return _memo(spark, sf_dir, "rule_tree", lambda: _build_customer_rule_tree(spark, sf_dir))
+
+
+def _build_customer_rule_tree(spark: SparkSession, sf_dir: str):
     """A rule tree grown from customer/nation/region: (rules, factors, children).
 
     Leaf ``c<custkey>``: key custkey % 3 - 1; factors c_nationkey (int) and,
@@ -114,6 +119,17 @@ def customer_rule_tree(spark: SparkSession, sf_dir: str):
     return _cached(spark, "rule_tree", rules=rules, factors=factors, children=children)
 
 
+_FIXTURE_CACHE: dict[tuple, tuple] = {}
+
+
+def _memo(spark: SparkSession, sf_dir: str, label: str, build):
+    """One cached copy of a derived fixture per application and input folder."""
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir, label)
+    if key not in _FIXTURE_CACHE:
+        _FIXTURE_CACHE[key] = build()
+    return _FIXTURE_CACHE[key]
+
+
 def _cached(spark: SparkSession, label: str, **frames: DataFrame):
     """Keep derived rule tables in the cache (memory, spilling to disk).
 
@@ -125,6 +141,11 @@ def _cached(spark: SparkSession, label: str, **frames: DataFrame):
 
 
 def event_rules(spark: SparkSession, sf_dir: str):
+    """Fixture F's event rules, built once per application (see :func:`_build_event_rules`)."""
+    return _memo(spark, sf_dir, "event_rules", lambda: _build_event_rules(spark, sf_dir))
+
+
+def _build_event_rules(spark: SparkSession, sf_dir: str):
     """Rules on fixture D: per event type an ALL rule (type and par = 0) and an ANY rule (type or par = 1)."""
     # the only pass over events: its distinct types, stored once (a handful of rows)
     (types,) = _cached(spark, "event_types", types=table(spark, sf_dir, "events").select("event_type").distinct())
