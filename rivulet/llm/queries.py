@@ -11,6 +11,7 @@ from rivulet.llm.language import op5_language
 from rivulet.llm.license_scan import op3_license
 from rivulet.llm.packing import op6_packing
 from rivulet.llm.simhash import op2_simhash
+from rivulet.llm.suffix_dedup import op7_suffix_dedup
 from rivulet.llm.toxicity import op1_toxicity
 from rivulet.llm.url_filter import OP9_SQL, op9_url_filter
 
@@ -29,6 +30,7 @@ QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_language": op5_language,
     "op6_packing": op6_packing,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_decontaminate": op8_decontaminate,
     "op9_url_filter": op9_url_filter,
     "op10_html": op10_html,
