@@ -161,12 +161,13 @@ def main_text(html: str | None) -> str:
     ratio[~allowed] = 0.0
     own, level = np.log1p(ratio), np.log1p(smooth(ratio))
     border = min(threshold(own), threshold(level)) if ratio.min() < ratio.max() else -1.0
-    near = allowed & (np.maximum(own, level) > border)
+    # A line whose text is all links has none of its own.
+    near = allowed & (ratio > 0) & (np.maximum(own, level) > border)
     if not near.any():
         return ""
     # Lines between the first and the last of the upper cluster are inside the region.
     first, last = np.flatnonzero(near)[[0, -1]]
-    return "\n".join(x[0] for i, x in enumerate(lines) if allowed[i] and first <= i <= last and (near[i] or ratio[i] > 0))
+    return "\n".join(x[0] for i, x in enumerate(lines) if allowed[i] and first <= i <= last and ratio[i] > 0)
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:

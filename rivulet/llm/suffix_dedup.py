@@ -191,7 +191,7 @@ _REPEAT = "_row long, low int, high int, h1 long, h2 long, asks boolean, sure bo
 def _compare(length: int):
     """Repeated windows of one block of a group, and of a group with more blocks those that have to ask the others."""
 
-    def rows(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def rows(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         parts = pdf["blocks"].iloc[0] > 1
         seen: dict[bytes, int] = {}
         members = list(zip(pdf["_row"], pdf["low"], pdf["high"], pdf["asks"], pdf["bytes"]))
