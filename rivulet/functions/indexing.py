@@ -1,27 +1,26 @@
-"""Position of each row inside its group, without gathering a group in one task.
+"""Position and running totals inside groups, without gathering a group in one task.
 
 ``row_number() over (partition by g order by o)`` sends every row of a group
 to one task; when one group holds a third of the data that task is the job.
-One counting pass finds the groups above a size limit.  Ordinary groups keep
-the plain window; the rows of hot groups are range-partitioned on (g, o)
-instead, so each hot group is spread over many consecutive partitions:
-
-1. ``repartitionByRange(g, o)`` + sort inside each partition (one shuffle);
-2. a per-partition pass numbers the rows of each group locally (Arrow
-   batches; a counter carries across batches of the same partition);
-3. the numbered rows are written out (``checkpoint``) so the partition ids
-   are fixed for the next steps;
-4. rows per (g, partition) are counted -- a small aggregate -- and turned
-   into the offset of each group inside each partition;
-5. only (g, partition) pairs with a non-zero offset -- groups continued
-   from an earlier partition, at most one per partition -- are joined back.
-   That table is bounded by the partition count, so broadcasting it is safe.
+Here one path serves every size, all of it in the JVM:
+
+1. ``repartitionByRange(g, o)``: a group lies in consecutive range partitions,
+   a hot one in many;
+2. the rows are checkpointed with their partition number, which fixes it;
+3. a window over (partition, g) numbers and sums the rows of a group inside
+   one range partition, so no task holds more than a range partition of it;
+4. rows per (partition, g) are counted and summed, a small aggregate, and a
+   window over those counts gives what precedes each;
+5. only groups continued from an earlier partition have something before
+   them, at most one per partition; that table, bounded by the partition
+   count, is broadcast to the rows.
+
+Sums start anew in every (partition, group), so one group's values never
+touch another's, and keys are compared by Spark itself.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,210 +28,69 @@ from pyspark.sql import types as T
 from rivulet.session import ensure_checkpoint_dir
 
 
-def _same_key(a: tuple, b: tuple) -> bool:
-    return all((pd.isna(x) and pd.isna(y)) or x == y for x, y in zip(a, b))
-
-
-def _local_runs(group_cols: list[str], value_cols: list[str], integral: list[bool]):
-    """Per partition (rows sorted by group): position, and running sums of ``value_cols``, within each group run."""
-    def number(batches):
-        prev_key, carried_n, carried = None, 0, [0] * len(value_cols)
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            g = pdf[group_cols]
-            shifted = g.shift()
-            changed = (g.ne(shifted) & ~(g.isna() & shifted.isna())).any(axis=1).to_numpy()
-            changed[0] = True
-            run_id = np.cumsum(changed) - 1
-            starts = np.flatnonzero(changed)
-            local = np.arange(len(pdf), dtype="int64") - starts[run_id]
-            continues = prev_key is not None and _same_key(tuple(g.iloc[0]), prev_key)
-            if continues:
-                local[run_id == 0] += carried_n
-            out = {"_local": local}
-            for j, (col, is_int) in enumerate(zip(value_cols, integral)):
-                vals = pdf[col].fillna(0).to_numpy().astype("int64" if is_int else "float64")
-                total = np.cumsum(vals)
-                lsum = total - (total - vals)[starts][run_id]
-                if continues:
-                    lsum[run_id == 0] += carried[j]
-                carried[j] = lsum[-1]
-                out[f"_lsum{j}"] = lsum
-            prev_key, carried_n = tuple(g.iloc[-1]), int(local[-1]) + 1
-            yield pdf.assign(**out)
-    return number
-
-
-def _sum_types(df: DataFrame, value_cols: list[str]) -> list[T.DataType]:
-    return [T.LongType() if isinstance(df.schema[c].dataType, T.IntegralType) else T.DoubleType()
-            for c in value_cols]
-
-
-def _ranged_runs(df: DataFrame, group_cols: list[str], order_cols: list, value_cols: list[str],
-                 num_partitions: int | None, name: str, sum_names: list[str]) -> DataFrame:
+def _sum_type(df: DataFrame, col: str) -> T.DataType:
+    kind = df.schema[col].dataType
+    if isinstance(kind, T.DecimalType):
+        return T.DecimalType(38, kind.scale)
+    return T.LongType() if isinstance(kind, T.IntegralType) else T.DoubleType()
+
+
+def _numbered(df: DataFrame, group_cols: list[str], order_cols: list, value_cols: list[str],
+              name: str, sum_names: list[str], num_partitions: int | None) -> DataFrame:
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = (df.repartitionByRange(n, *group_cols, *order_cols)
-              .sortWithinPartitions(*group_cols, *order_cols)
-              .withColumn("_pid", F.spark_partition_id()))
-    types = _sum_types(df, value_cols)
-    extra = [T.StructField("_local", T.LongType(), False)]
-    extra += [T.StructField(f"_lsum{j}", t, False) for j, t in enumerate(types)]
-    out_schema = T.StructType(ranged.schema.fields + extra)
-    integral = [isinstance(t, T.LongType) for t in types]
-    # written once: partition ids and local positions must not change between the uses below
-    numbered = ranged.mapInPandas(_local_runs(group_cols, value_cols, integral), out_schema).checkpoint()
-
-    aggs = [F.count(F.lit(1)).alias("_n")]
-    aggs += [F.sum(F.coalesce(F.col(c).cast(t), F.lit(0).cast(t))).alias(f"_s{j}")
-             for j, (c, t) in enumerate(zip(value_cols, types))]
-    counts = numbered.groupBy(*group_cols, "_pid").agg(*aggs)
+              .withColumn("_pid", F.spark_partition_id()).checkpoint())
+    types = [_sum_type(df, c) for c in value_cols]
+    filled = [F.coalesce(F.col(c).cast(t), F.lit(0).cast(t)) for c, t in zip(value_cols, types)]
+
+    inside = Window.partitionBy("_pid", *group_cols).orderBy(*order_cols)
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    local = ranged.select("*", (F.row_number().over(inside) - 1).cast("bigint").alias("_local"),
+                          *[F.sum(v).over(upto).alias(f"_lsum{j}") for j, v in enumerate(filled)])
+
+    counts = ranged.groupBy("_pid", *group_cols).agg(
+        F.count(F.lit(1)).alias("_n"), *[F.sum(v).alias(f"_s{j}") for j, v in enumerate(filled)])
     before = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offs = [F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")]
-    offs += [F.coalesce(F.sum(f"_s{j}").over(before), F.lit(0).cast(t)).alias(f"_soff{j}")
-             for j, t in enumerate(types)]
-    soffs = [f"_soff{j}" for j in range(len(types))]
-    offsets = (counts.select(*group_cols, "_pid", *offs).where(F.col("_off") > 0)
-               .select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group_cols)],
-                       F.col("_pid").alias("_opid"), "_off", *soffs))
-    # at most one continued group per partition: bounded by n.  Null-safe
-    # equality, so a null group key is a group like any other.
+    starts = counts.select(
+        F.col("_pid").alias("_opid"), *[F.col(c).alias(f"_g{i}") for i, c in enumerate(group_cols)],
+        F.sum("_n").over(before).alias("_off"),
+        *[F.sum(f"_s{j}").over(before).alias(f"_soff{j}") for j in range(len(types))]).where("_off > 0")
+    # Null-safe equality, so a null group key is a group like any other.
     cond = F.col("_pid") == F.col("_opid")
     for i, c in enumerate(group_cols):
-        cond = cond & numbered[c].eqNullSafe(F.col(f"_g{i}"))
-    joined = numbered.join(F.broadcast(offsets), cond, "left")
-    out = joined.withColumn(name, (F.col("_local") + F.coalesce("_off", F.lit(0))).cast("bigint"))
-    for j, (sname, t) in enumerate(zip(sum_names, types)):
-        out = out.withColumn(sname, F.col(f"_lsum{j}") + F.coalesce(f"_soff{j}", F.lit(0).cast(t)))
-    return out.drop("_pid", "_local", "_off", "_opid", *soffs, *[f"_lsum{j}" for j in range(len(types))],
-                    *[f"_g{i}" for i in range(len(group_cols))])
-
-
-# A group with more rows than this takes the range-partitioned path; smaller
-# groups use a plain window, where one task holds one whole group.
-HOT_GROUP_ROWS = 2_000_000
-# Hot keys are broadcast to split the rows; there are at most total/HOT_GROUP_ROWS.
-MAX_HOT_KEYS = 1_000_000
-
-
-def _split_hot(df: DataFrame, group_cols: list[str], hot_rows: int) -> tuple[DataFrame | None, DataFrame | None]:
-    """(rows of ordinary groups, rows of hot groups); either may be None when empty."""
-    if not group_cols:
-        small = df.limit(hot_rows + 1).count() <= hot_rows
-        return (df, None) if small else (None, df)
-    sizes = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"))
-    hot = sizes.where(F.col("_n") > hot_rows).select(
-        *[F.col(c).alias(f"_h{i}") for i, c in enumerate(group_cols)], F.lit(True).alias("_hot"))
-    # probe first (one counting pass); only when hot keys exist is the count
-    # repeated to build the broadcast, so nothing stays cached behind the result
-    n_hot = hot.limit(MAX_HOT_KEYS + 1).count()
-    if n_hot == 0 or n_hot > MAX_HOT_KEYS:
-        return (df, None) if n_hot == 0 else (None, df)
-    cond = None
-    for i, c in enumerate(group_cols):
-        eq = df[c].eqNullSafe(F.col(f"_h{i}"))
-        cond = eq if cond is None else cond & eq
-    tagged = df.join(F.broadcast(hot), cond, "left")
-    helper = [f"_h{i}" for i in range(len(group_cols))] + ["_hot"]
-    return (tagged.where(F.col("_hot").isNull()).drop(*helper),
-            tagged.where(F.col("_hot")).drop(*helper))
-
-
-def _hybrid(df, group_cols, order_cols, value_cols, name, sum_names, num_partitions, hot_rows):
-    cold, hot = _split_hot(df, group_cols, hot_rows)
-    parts = []
-    if cold is not None:
-        w = Window.partitionBy(*group_cols).orderBy(*order_cols)
-        out = cold.withColumn(name, (F.row_number().over(w) - 1).cast("bigint"))
-        upto = w.rowsBetween(Window.unboundedPreceding, 0)
-        for c, sname, t in zip(value_cols, sum_names, _sum_types(df, value_cols)):
-            out = out.withColumn(sname, F.sum(F.coalesce(F.col(c).cast(t), F.lit(0).cast(t))).over(upto))
-        parts.append(out)
-    if hot is not None:
-        parts.append(_ranged_runs(hot, group_cols, order_cols, value_cols, num_partitions, name, sum_names))
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        cond = cond & local[c].eqNullSafe(F.col(f"_g{i}"))
+    joined = local.join(F.broadcast(starts), cond, "left")
+    out = [F.col(c) for c in df.columns]
+    out.append((F.col("_local") + F.coalesce("_off", F.lit(0))).cast("bigint").alias(name))
+    for j, (sum_name, t) in enumerate(zip(sum_names, types)):
+        out.append((F.col(f"_lsum{j}") + F.coalesce(f"_soff{j}", F.lit(0).cast(t))).cast(t).alias(sum_name))
+    return joined.select(*out)
 
 
 def index_within_groups(df: DataFrame, group_cols: list[str], order_cols: list[str | Column],
-                        name: str = "idx", num_partitions: int | None = None,
-                        hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
+                        name: str = "idx", num_partitions: int | None = None) -> DataFrame:
     """``df`` plus ``name`` = 0-based position of the row in its group, ordered by ``order_cols``.
 
     ``order_cols`` must make the order total within a group (add a unique id
-    as the last tie-break).  ``group_cols`` may be empty: one global order.
-    Groups above ``hot_rows`` rows (found by one counting pass) are spread
-    over range partitions; the rest use an ordinary window.
+    as the last tie-break); rows that tie in all of them share one range
+    partition.  ``group_cols`` may be empty: one global order.
     """
-    return _hybrid(df, group_cols, order_cols, [], name, [], num_partitions, hot_rows)
+    return _numbered(df, group_cols, order_cols, [], name, [], num_partitions)
 
 
 def running_total(df: DataFrame, group_cols: list[str], order_cols: list[str | Column],
                   value_col: str | list[str], name: str | list[str], num_partitions: int | None = None,
-                  hot_rows: int = HOT_GROUP_ROWS, index_name: str | None = None) -> DataFrame:
+                  index_name: str | None = None) -> DataFrame:
     """``df`` plus ``name`` = running sum of ``value_col`` (nulls count as 0) in ``order_cols`` order.
 
-    Several value columns (and names) may be given at once.  The same split as
-    :func:`index_within_groups`: a hot group, or one global order over many
-    rows, never lands in one task.  With ``index_name`` the 0-based position
-    is kept as well.
+    Several value columns (and names) may be given at once.  With
+    ``index_name`` the 0-based position is kept as well.
     """
     cols = [value_col] if isinstance(value_col, str) else list(value_col)
     names = [name] if isinstance(name, str) else list(name)
     if len(cols) != len(names):
         raise ValueError(f"{len(cols)} value columns but {len(names)} output names")
-    out = _hybrid(df, group_cols, order_cols, cols, index_name or "_idx", names, num_partitions, hot_rows)
+    out = _numbered(df, group_cols, order_cols, cols, index_name or "_idx", names, num_partitions)
     return out if index_name else out.drop("_idx")
-
-
-def _null_safe_on(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -> Column:
-    cond = None
-    for lcol, rcol in pairs:
-        eq = left[lcol].eqNullSafe(right[rcol])
-        cond = eq if cond is None else cond & eq
-    return cond
-
-
-def rank_within_groups(df: DataFrame, group_cols: list[str], order: list[tuple[str, bool]],
-                       lag_col: str | None = None, hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
-    """``row_number``, ``rank``, ``dense_rank`` (and ``lag(lag_col)``) per group, hot groups included.
-
-    ``order`` is a list of (column, ascending).  Ordinary groups use Spark's
-    window functions.  Rows of groups above ``hot_rows`` are numbered with
-    the range-partitioned index; ranks come from the first position of each
-    distinct ordering value (an aggregate), dense ranks from numbering those
-    distinct values, and ``lag`` from an equi-join on (group, position - 1).
-    Output columns: rn, rnk, drnk and, with ``lag_col``, prev.
-    """
-    names = [c for c, _ in order]
-    sort = [F.col(c).asc_nulls_first() if asc else F.col(c).desc_nulls_last() for c, asc in order]
-    cold, hot = _split_hot(df, group_cols, hot_rows)
-    parts = []
-    # row_number and lag need a total order: the ordering columns, then every other column
-    rest = [F.col(c) for c in df.columns if c not in group_cols and c not in names]
-    if cold is not None:
-        w_rank = Window.partitionBy(*group_cols).orderBy(*sort)
-        w_row = Window.partitionBy(*group_cols).orderBy(*sort, *rest)
-        out = cold.select("*", F.row_number().over(w_row).alias("rn"), F.rank().over(w_rank).alias("rnk"),
-                          F.dense_rank().over(w_rank).alias("drnk"))
-        if lag_col is not None:
-            out = out.withColumn("prev", F.lag(lag_col).over(w_row))
-        parts.append(out)
-    if hot is not None:
-        idx = _ranged_runs(hot, group_cols, sort + rest, [], None, "_i", [])
-        ties = idx.groupBy(*group_cols, *names).agg(F.min("_i").alias("_first"))
-        tie_sort = [F.col(c).asc_nulls_first() if asc else F.col(c).desc_nulls_last() for c, asc in order]
-        ties = index_within_groups(ties, group_cols, tie_sort, name="_d", hot_rows=hot_rows)
-        t = ties.select(*[F.col(c).alias(f"_t_{c}") for c in group_cols + names], "_first", "_d")
-        on = _null_safe_on(idx, t, [(c, f"_t_{c}") for c in group_cols + names])
-        out = idx.join(t, on).select(
-            *hot.columns, "_i", (F.col("_i") + 1).cast("int").alias("rn"),
-            (F.col("_first") + 1).cast("int").alias("rnk"), (F.col("_d") + 1).cast("int").alias("drnk"))
-        if lag_col is not None:
-            prev = idx.select(*[F.col(c).alias(f"_p_{c}") for c in group_cols],
-                              (F.col("_i") + 1).alias("_pi"), F.col(lag_col).alias("prev"))
-            on = _null_safe_on(out, prev, [(c, f"_p_{c}") for c in group_cols]) & (out["_i"] == prev["_pi"])
-            out = out.join(prev, on, "left").drop(*[f"_p_{c}" for c in group_cols], "_pi")
-        parts.append(out.drop("_i"))
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])

@@ -8,10 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet.functions.indexing import index_within_groups, running_total
-
-# An ordered whole-table window is used only over at most this many rows.
-WINDOW_ROWS = 1_000_000
-from rivulet.session import ensure_checkpoint_dir, max_partition_value
+from rivulet.session import committed_values, ensure_checkpoint_dir
 
 
 # --------------------------------------------------------------------- D1
@@ -45,8 +42,9 @@ def group_list(df: DataFrame, key: Column, value: str, piece_rows: int = 10_000)
     list.  No piece -- and so no task -- ever holds more than ``piece_rows``
     values, however large the group.
     """
-    keyed = df.select(key.alias("k"), F.col(value))
-    indexed = index_within_groups(keyed, ["k"], [value], name="_i")
+    # equal values are interchangeable in a sorted list; the row id spreads a repeated one over tasks
+    keyed = df.select(key.alias("k"), F.col(value), F.monotonically_increasing_id().alias("_tie"))
+    indexed = index_within_groups(keyed, ["k"], [value, "_tie"], name="_i")
     return (indexed.withColumn("piece", F.expr(f"_i div {int(piece_rows)}"))
             .groupBy("k", "piece").agg(F.sort_array(F.collect_list(value)).alias("values")))
 
@@ -60,19 +58,19 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def map_elements(df: DataFrame, col: str, fn: Callable, out: str = "y", out_type: str = "bigint") -> DataFrame:
+def map_elements(df: DataFrame, col: str, fn: Callable, out: str = "y", out_type: str = "bigint",
+                 pandas: bool = False) -> DataFrame:
     """Apply ``fn`` to every element.
 
-    If ``fn`` maps a Column to a Column it stays a JVM expression; otherwise
-    it is treated as a pandas Series -> Series function and run over Arrow
-    batches with ``mapInPandas``.
+    ``fn`` maps a Column to a Column and stays a JVM expression; with
+    ``pandas`` it maps a pandas Series to a Series over Arrow batches.
+    Whatever ``fn`` raises reaches the caller.
     """
-    try:
+    if not pandas:
         expr = fn(F.col(col))
-        if isinstance(expr, Column):
-            return df.withColumn(out, expr.cast(out_type))
-    except Exception:  # noqa: BLE001 -- not a Column function; fall through to pandas
-        pass
+        if not isinstance(expr, Column):
+            raise TypeError("fn has to return a Column; pass pandas=True for a function of a pandas Series")
+        return df.withColumn(out, expr.cast(out_type))
     schema = df.select("*", F.lit(None).cast(out_type).alias(out)).schema
 
     def apply(batches):
@@ -87,14 +85,12 @@ def accumulating_counts(df: DataFrame, batch: Column) -> DataFrame:
     """Row count after each append when batches arrive in ``batch`` order.
 
     One aggregate per batch, checkpointed (D8: lineage cut in the shared
-    checkpoint folder), then a running sum over the per-batch counts.  With
-    up to ``WINDOW_ROWS`` batches that is one ordered window over the
-    per-batch rows; beyond it, a range-partitioned prefix sum.
+    checkpoint folder), then a range-partitioned running sum over the
+    per-batch counts.
     """
     ensure_checkpoint_dir(df.sparkSession)
     per = df.groupBy(batch.alias("batch")).agg(F.count(F.lit(1)).alias("n_rows")).checkpoint()
-    # up to WINDOW_ROWS batches: one ordered window; beyond: a partitioned prefix sum
-    return running_total(per, [], ["batch"], "n_rows", "running_rows", hot_rows=WINDOW_ROWS)
+    return running_total(per, [], ["batch"], "n_rows", "running_rows")
 
 
 class AccumulatingTable:
@@ -107,8 +103,7 @@ class AccumulatingTable:
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path.rstrip("/")
-        last = max_partition_value(spark, self.path, "batch")
-        self.batches = 0 if last is None else int(last) + 1
+        self.batches = max(committed_values(spark, self.path, "batch"), default=-1) + 1
 
     def append(self, df: DataFrame) -> int:
         df.write.mode("overwrite").parquet(f"{self.path}/batch={self.batches}")

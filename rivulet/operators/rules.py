@@ -13,7 +13,8 @@ read 0 as ALL factors must hold and 1 as ANY factor may hold (our reading --
 the key is otherwise uninterpreted).
 
 Nothing is collected to the driver: tree walking is a loop over *levels*
-(one join per level), never over rows.
+(one join per level), never over rows.  Which side of a join is broadcast is
+left to the bytes that adaptive execution measures.
 """
 
 from __future__ import annotations
@@ -22,15 +23,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rivulet.session import ensure_checkpoint_dir
-from rivulet.sources.tables import bounded_broadcast
 
 # Value types a factor may carry, and key meanings.
 VTYPES = ("int", "str", "char", "float", "double")
 KEY_ATOM, KEY_ALL, KEY_ANY = -1, 0, 1
 
-PATH_DIGITS = 12
-CHECKPOINT_EVERY_LEVELS = 8
-SHALLOW_LEVELS = 16  # deeper walks first bound their depth by the multi-rule count
+# Copies of a factor that a frequent record value is dealt over.
+SALTS = 8
 
 
 def canonical_value(value: Column, vtype: Column) -> Column:
@@ -39,7 +38,8 @@ def canonical_value(value: Column, vtype: Column) -> Column:
     Numbers and characters compare by numeric value across types (an int 1,
     a float 1.0 and the character with code 1 are equal; a float 0.1 is not
     the double 0.1), text compares as text.  Integral values keep every
-    digit; other numbers use their double form.
+    digit; other numbers use their double form.  A value that is not of its
+    type is equal only to the same text of the same type, and null only to null.
     """
     as_double = (F.when(vtype == "float", value.try_cast("float").cast("double"))
                  .otherwise(value.try_cast("double")))
@@ -48,31 +48,28 @@ def canonical_value(value: Column, vtype: Column) -> Column:
               .when(vtype == "char", F.ascii(value).cast("string"))
               .when(whole, as_double.cast("bigint").cast("string"))
               .otherwise(as_double.cast("string")))
-    return F.when(vtype.isin("int", "char", "float", "double"), F.concat(F.lit("n:"), number)) \
-        .otherwise(F.concat(F.lit("s:"), value))
+    numeric = vtype.isin("int", "char", "float", "double")
+    return F.when(numeric & number.isNull(), F.concat(F.lit("x:"), vtype, F.lit(":"), value)) \
+        .when(numeric, F.concat(F.lit("n:"), number)).otherwise(F.concat(F.lit("s:"), value))
 
 
 # --------------------------------------------------------------------- R2 signature
 def signatures(rules: DataFrame, factors: DataFrame) -> DataFrame:
     """(rule_id, key, n_factors, signature) for single rules.
 
-    The signature is the key and the factors in position order; two rules are
-    equal exactly when their signatures are equal.  The per-rule factor list
-    is bounded by the rule's own size.
+    The signature is the list of (name, comparable value) in position order,
+    as a column of structs: nothing is joined to text, so separators in names
+    or values mean nothing.  Two rules are equal exactly when their keys and
+    signatures are.  The list is bounded by the rule's own size.
     """
-    f = factors.select("rule_id", "pos",
-                       F.concat_ws("=", "name", canonical_value(F.col("value"), F.col("vtype"))).alias("atom"))
-    per_rule = f.groupBy("rule_id").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "atom"))).alias("atoms"),
-        F.count(F.lit(1)).alias("n_factors"))
+    f = factors.select("rule_id", F.struct("pos", "name", canonical_value(F.col("value"), F.col("vtype")).alias("value")).alias("f"))
+    per_rule = f.groupBy("rule_id").agg(F.array_sort(F.collect_list("f")).alias("fs"))
     singles = rules.where(F.col("kind") == "single").select("rule_id", "key")
-    joined = singles.join(per_rule, "rule_id", "left")
-    atoms = F.transform(F.coalesce("atoms", F.array().cast("array<struct<pos:int,atom:string>>")),
-                        lambda s: s["atom"])
-    return joined.select(
-        "rule_id", "key", F.coalesce("n_factors", F.lit(0)).alias("n_factors"),
-        F.concat(F.coalesce(F.col("key").cast("string"), F.lit("null")), F.lit("|"), F.array_join(atoms, ";"))
-        .alias("signature"))
+    atoms = F.transform("fs", lambda s: F.struct(s["name"].alias("name"), s["value"].alias("value")))
+    none = F.array().cast("array<struct<name:string,value:string>>")
+    return singles.join(per_rule, "rule_id", "left").select(
+        "rule_id", "key", F.coalesce(F.size("fs"), F.lit(0)).cast("long").alias("n_factors"),
+        F.when(F.col("fs").isNull(), none).otherwise(atoms).alias("signature"))
 
 
 # --------------------------------------------------------------------- R1
@@ -90,120 +87,128 @@ def validate(rules: DataFrame, factors: DataFrame) -> DataFrame:
 def equality_classes(rules: DataFrame, factors: DataFrame) -> DataFrame:
     """Each single rule with the smallest rule id of its equality class and the class size.
 
-    One aggregate per signature (partial aggregation absorbs a hot class),
-    then a join back on the signature; no pairs are formed.
+    Signatures are built once (checkpointed), aggregated per class (partial
+    aggregation absorbs a hot class), and joined back; no pairs are formed.
+    A null key is a key like any other.
     """
-    sig = signatures(rules, factors)
-    classes = sig.groupBy("signature").agg(F.min("rule_id").alias("class_id"),
-                                           F.count(F.lit(1)).alias("class_size"))
-    return sig.join(bounded_broadcast(classes), "signature").select("rule_id", "class_id", "class_size")
+    ensure_checkpoint_dir(rules.sparkSession)
+    sig = signatures(rules, factors).select("rule_id", F.struct(F.col("key").isNull(), F.coalesce("key", F.lit(0)), "signature").alias("is")).checkpoint()
+    classes = sig.groupBy("is").agg(F.min("rule_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    return sig.join(classes, [sig["is"].eqNullSafe(classes["is"])]).select("rule_id", "class_id", "class_size")
 
 
 # --------------------------------------------------------------------- R3
-def _child_path(path: Column, pos: Column) -> Column:
-    step = F.lpad(pos.cast("string"), PATH_DIGITS, "0")
-    return F.when(path == "", step).otherwise(F.concat(path, F.lit("."), step))
-
-
-def flatten(rules: DataFrame, children: DataFrame, roots: DataFrame | None = None,
-            max_depth: int = 10_000) -> DataFrame:
+def flatten(rules: DataFrame, children: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """Leaf (single) rules under each root, depth first.
 
-    Returns (root_id, leaf_id, depth, path); ``path`` joins the zero-padded
-    child positions, so sorting by it gives depth-first order, repeats kept.
+    Returns (root_id, leaf_id, depth, path); ``path`` is the array of child
+    positions, so sorting by it gives depth-first order, repeats kept.  A
+    single rule as root is its own leaf, with an empty path.  By default the
+    rules that are nobody's child are the roots.
 
     The loop walks only the multi rules (the inner nodes, few next to the
-    leaves), one join per level, keeping each small level cached.  The
-    leaves are then attached in a single join with the child table.
+    leaves), one join per level, each level checkpointed.  The leaves are
+    then attached in a single join with the child table.  A node that meets
+    itself on its own path is an error.
     """
-    ensure_checkpoint_dir(rules.sparkSession)  # deep trees cut lineage every few levels
+    ensure_checkpoint_dir(rules.sparkSession)
     kinds = rules.select(F.col("rule_id").alias("child_id"), F.col("kind"))
     edges = children.join(kinds, "child_id")
-    inner_edges = edges.where(F.col("kind") == "multi")
+    inner_edges = edges.where(F.col("kind") == "multi").select("parent_id", "pos", "child_id")
     if roots is None:
-        # roots: multi rules that are nobody's child
-        roots = (rules.where(F.col("kind") == "multi").select("rule_id")
-                 .join(children.select(F.col("child_id").alias("rule_id")), "rule_id", "left_anti"))
-    frontier = roots.select(F.col("rule_id").alias("root_id"), F.col("rule_id").alias("node_id"),
-                            F.lit(0).alias("depth"), F.lit("").alias("path")).persist()
-    inner = [frontier]
-    bound = None
-    for level in range(1, max_depth + 1):
-        if level > SHALLOW_LEVELS and bound is None:
-            # a path longer than the number of multi rules must revisit one: a cycle
-            bound = rules.where(F.col("kind") == "multi").count() + 1
-        if bound is not None and level > bound:
+        roots = rules.select("rule_id").join(children.select(F.col("child_id").alias("rule_id")), "rule_id", "left_anti")
+    roots = roots.select("rule_id").join(rules.select("rule_id", "kind"), "rule_id").checkpoint()
+    no_path = F.array().cast("array<bigint>")
+    level = roots.where(F.col("kind") == "multi").select(
+        F.col("rule_id").alias("root_id"), F.col("rule_id").alias("node_id"), no_path.alias("path"),
+        F.array("rule_id").alias("trail"))
+    nodes = level
+    while True:
+        level = (level.join(inner_edges, level["node_id"] == inner_edges["parent_id"])
+                 .select("root_id", F.col("child_id").alias("node_id"),
+                         F.concat("path", F.array(F.col("pos").cast("bigint"))).alias("path"), "trail",
+                         F.array_contains("trail", F.col("child_id")).alias("again"))
+                 .checkpoint())
+        found = level.agg(F.count(F.lit(1)).alias("n"), F.max("again").alias("again")).first()
+        if found["again"]:
             raise ValueError("rule tree has a cycle")
-        step = (frontier.join(inner_edges, frontier["node_id"] == inner_edges["parent_id"])
-                .select("root_id", F.col("child_id").alias("node_id"), F.lit(level).alias("depth"),
-                        _child_path(F.col("path"), F.col("pos")).alias("path")))
-        step = (step.checkpoint() if level % CHECKPOINT_EVERY_LEVELS == 0 else step).persist()
-        if step.isEmpty():
+        if not found["n"]:
             break
-        inner.append(step)
-        frontier = step
-    else:
-        raise ValueError("rule tree has a cycle (or is deeper than max_depth)")
-    nodes = inner[0]
-    for part in inner[1:]:
-        nodes = nodes.unionByName(part)
+        level = level.select("root_id", "node_id", "path", F.concat("trail", F.array("node_id")).alias("trail"))
+        nodes = nodes.unionByName(level)
     leaf_edges = edges.where(F.col("kind") == "single")
-    j = leaf_edges.join(bounded_broadcast(nodes), leaf_edges["parent_id"] == nodes["node_id"])
-    return j.select("root_id", F.col("child_id").alias("leaf_id"), (F.col("depth") + 1).alias("depth"),
-                    _child_path(F.col("path"), F.col("pos")).alias("path"))
+    below = leaf_edges.join(nodes, leaf_edges["parent_id"] == nodes["node_id"]).select(
+        "root_id", F.col("child_id").alias("leaf_id"), (F.size("path") + 1).alias("depth"),
+        F.concat("path", F.array(F.col("pos").cast("bigint"))).alias("path"))
+    alone = roots.where(F.col("kind") == "single").select(
+        F.col("rule_id").alias("root_id"), F.col("rule_id").alias("leaf_id"), F.lit(0).alias("depth"), no_path.alias("path"))
+    return below.unionByName(alone)
 
 
 # --------------------------------------------------------------------- R4
 def distinct_leaves(flat: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Leaves de-duplicated by value under each root, first occurrence kept.
+    """Leaves de-duplicated by value (key and factors) under each root, first occurrence kept.
 
     Returns (root_id, leaf_id, first_path, n_occurrences).
     """
-    j = flat.join(sigs.select(F.col("rule_id").alias("leaf_id"), "signature"), "leaf_id")
-    return j.groupBy("root_id", "signature").agg(
-        F.min_by("leaf_id", "path").alias("leaf_id"), F.min("path").alias("first_path"),
-        F.count(F.lit(1)).alias("n_occurrences")).drop("signature")
+    j = flat.join(sigs.select(F.col("rule_id").alias("leaf_id"), "key", "signature"), "leaf_id")
+    first = F.min(F.struct("path", "leaf_id"))
+    out = j.groupBy("root_id", "key", "signature").agg(first.alias("first"), F.count(F.lit(1)).alias("n_occurrences"))
+    return out.select("root_id", "first.leaf_id", F.col("first.path").alias("first_path"), "n_occurrences")
 
 
 # --------------------------------------------------------------------- R5 / R6
 def unpivot_records(df: DataFrame, id_col: str, fields: dict[str, tuple[Column, str]]) -> DataFrame:
-    """Records as (record_id, name, value, canon): one row per field (a record seen as a map).
+    """Records as (record_id, name, value, canon, fields): one row per field (a record seen as a map).
 
-    ``canon`` is the comparable form of the typed value (:func:`canonical_value`).
+    ``canon`` is the comparable form of the typed value (:func:`canonical_value`),
+    ``fields`` the whole record as a map name -> canon.
     """
     entries = F.array(*[
-        F.struct(F.lit(name).alias("name"), F.lit(vtype).alias("vtype"), col.cast("string").alias("value"))
+        F.struct(F.lit(name).alias("name"), col.cast("string").alias("value"),
+                 canonical_value(col.cast("string"), F.lit(vtype)).alias("canon"))
         for name, (col, vtype) in fields.items()])
-    return (df.select(F.col(id_col).alias("record_id"), F.explode(entries).alias("f"))
-            .select("record_id", "f.name", F.col("f.value").alias("value"),
-                    canonical_value(F.col("f.value"), F.col("f.vtype")).alias("canon")))
+    whole = df.select(F.col(id_col).alias("record_id"), entries.alias("fs"))
+    as_map = F.map_from_entries(F.transform("fs", lambda f: F.struct(f["name"], f["canon"])))
+    return (whole.select("record_id", as_map.alias("fields"), F.explode("fs").alias("f"))
+            .select("record_id", "f.name", "f.value", "f.canon", "fields"))
 
 
-def _canon_factors(factors: DataFrame) -> DataFrame:
-    return factors.select("rule_id", "pos", "name", canonical_value(F.col("value"), F.col("vtype")).alias("canon"))
+def _salted_join(records: DataFrame, rules: DataFrame) -> DataFrame:
+    """Join on (name, canon); a value that many records share is dealt over ``SALTS`` copies of the rules' rows."""
+    left = records.withColumn("salt", F.pmod(F.xxhash64("record_id"), F.lit(SALTS)).cast("int"))
+    right = rules.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.join(right, ["name", "canon", "salt"]).drop("salt")
 
 
 def match_atoms(records: DataFrame, atoms: DataFrame) -> DataFrame:
     """Records whose field ``name`` equals an atom's value: (name, value, record_id)."""
     a = atoms.select("name", F.col("value").alias("atom_value"),
                      canonical_value(F.col("value"), F.col("vtype")).alias("canon")).distinct()
-    return records.join(bounded_broadcast(a), ["name", "canon"]).select(
+    return _salted_join(records.select("record_id", "name", "canon"), a).select(
         "name", F.col("atom_value").alias("value"), "record_id")
 
 
 def match_rules(records: DataFrame, rules: DataFrame, factors: DataFrame) -> DataFrame:
     """(rule_id, record_id) for every record a single rule matches.
 
-    key 0 or -1: every factor must hold; key 1: at least one.  Factor hits
-    are counted per (rule, record) with partial aggregation, so a record
-    field shared by many records never gathers in one task.
+    key 0 or -1: every factor must hold; key 1: at least one.  A rule that
+    needs all its factors meets the records only on its rarest one among the
+    records; the others are looked up in the record's map, so hits are final
+    and nothing is counted.  A rule that needs one takes the distinct hits.
+    Factors without a value match nothing.
     """
-    f = _canon_factors(factors)
-    nf = f.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n_factors"))
-    meta = rules.where(F.col("kind") == "single").select("rule_id", "key").join(nf, "rule_id")
-    f_small = bounded_broadcast(f.join(meta, "rule_id"))
-    hits = records.join(f_small, ["name", "canon"])
-    # a record has one value per field name, so each factor hits a record at most once
-    counted = hits.groupBy("rule_id", "record_id", "key", "n_factors").agg(F.count(F.lit(1)).alias("n_hit"))
-    ok = F.when(F.col("key") == KEY_ANY, F.col("n_hit") >= 1).otherwise(F.col("n_hit") == F.col("n_factors"))
-    return counted.where(ok).select("rule_id", "record_id")
+    f = factors.select("rule_id", "pos", "name", canonical_value(F.col("value"), F.col("vtype")).alias("canon"))
+    f = f.join(rules.where(F.col("kind") == "single").select("rule_id", "key"), "rule_id")
+    any_of = f.where(F.col("key") == KEY_ANY).select("rule_id", "name", "canon").distinct()
+    hit = _salted_join(records.select("record_id", "name", "canon"), any_of).select("rule_id", "record_id").distinct()
+
+    all_of = f.where(F.col("key").isNull() | (F.col("key") != KEY_ANY))
+    often = records.groupBy("name", "canon").agg(F.count(F.lit(1)).alias("n"))
+    ranked = all_of.join(often, ["name", "canon"], "left").groupBy("rule_id").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "pos", "name", "canon")).alias("rare"),
+        F.collect_set(F.struct("name", F.coalesce("canon", F.lit("")).alias("canon"))).alias("wanted"))
+    rarest = ranked.where("rare.n > 0").select("rule_id", "rare.name", "rare.canon", "wanted")
+    met = _salted_join(records.select("record_id", "name", "canon", "fields"), rarest)
+    holds = F.forall("wanted", lambda w: F.coalesce(F.get(F.filter(F.map_entries("fields"), lambda e: e["key"] == w["name"]), 0)["value"] == w["canon"], F.lit(False)))
+    return hit.unionByName(met.where(holds).select("rule_id", "record_id"))

@@ -12,20 +12,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rivulet.functions.indexing import index_within_groups
-from rivulet.sources.tables import bounded_broadcast
 
 # The reference marks every 10th mini-batch and retries a draw
 # up to 1,000 times.
 MARK_EVERY = 10
 MAX_DRAWS = 1000
+# Positions of a series that one window sees at once.
+LAG_BLOCK = 100_000
 
 
 # --------------------------------------------------------------------- T1
-def index_series(df: DataFrame, series: list[str], order: list[str], value: str,
-                 hot_rows: int | None = None) -> DataFrame:
-    """(series..., idx, value): 0-based position in each series, skew-safe."""
-    kw = {} if hot_rows is None else {"hot_rows": hot_rows}
-    idx = index_within_groups(df.select(*series, *order, value), series, order, **kw)
+def index_series(df: DataFrame, series: list[str], order: list[str], value: str) -> DataFrame:
+    """(series..., idx, value, order...): 0-based position in each series, skew-safe."""
+    idx = index_within_groups(df.select(*series, *order, value), series, order)
     return idx.select(*series, "idx", F.col(value).cast("double").alias("value"), *[c for c in order])
 
 
@@ -56,30 +55,49 @@ def cumulative(dist: DataFrame, dist_id: str | None, index: str, prob: str) -> D
 
 
 def _first_at_least(cums: Column, d: Column) -> Column:
-    """0-based first index whose running sum reaches d; equals size(cums) when none does."""
-    return F.size(F.filter(cums, lambda c: c < d))
+    """0-based first index whose running sum reaches d, by binary search; size(cums) when none does; null for a null draw."""
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(cums) + 1)).cast("int"))
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        below = F.get(cums, mid) < d
+        return (F.when(s["lo"] >= s["hi"], s)
+                .when(below, F.struct((mid + 1).alias("lo"), s["hi"].alias("hi")))
+                .otherwise(F.struct(s["lo"].alias("lo"), mid.alias("hi"))))
+
+    whole = F.struct(F.lit(0).alias("lo"), F.size(cums).alias("hi"))
+    return F.when(d.isNotNull(), F.aggregate(steps, whole, halve, lambda s: s["lo"]))
 
 
 def _attach_cums(draws: DataFrame, cums: DataFrame, dist_id: str | None) -> DataFrame:
-    """Give each draw the running sums of its distribution.
+    """Give each draw the running sums of its distribution, null if it is unknown.
 
     One distribution: a scalar subquery (Spark checks it has exactly one
-    row), so there is no join at all.  Several: an equi-join on ``dist_id``
-    against the size-checked per-distribution table.
+    row), so there is no join at all.  Several: an equi-join on ``dist_id``,
+    whose strategy is left to the size that adaptive execution measures.
     """
     if dist_id is None:
         return draws.withColumn("cums", cums.select("cums").scalar())
-    return draws.join(bounded_broadcast(cums, 100_000), dist_id)
+    return draws.join(cums.select(dist_id, "cums"), dist_id, "left")
 
 
 def sample(draws: DataFrame, cums: DataFrame, dist_id: str | None, draw: str, strict: bool = True) -> DataFrame:
-    """For each draw d, the first index whose running sum is >= d (error if none)."""
+    """For each draw d, the first index whose running sum is >= d.
+
+    A draw beyond the total and a draw from an unknown distribution are
+    errors, or with ``strict=False`` have a null index and ``hit`` false.  A
+    null draw has a null index and a null ``hit``.
+    """
     j = _attach_cums(draws, cums, dist_id)
     pos = _first_at_least(F.col("cums"), F.col(draw))
-    hit = pos < F.size("cums")
+    known = F.col("cums").isNotNull()
+    hit = F.when(F.col(draw).isNotNull(), F.coalesce(pos < F.size("cums"), F.lit(False)))
+    index = F.when(hit, pos)
     if strict:
-        pos = F.when(hit, pos).otherwise(F.raise_error(F.lit("draw exceeds the distribution's total")))
-    return j.withColumn("sample_index", pos.cast("int")).withColumn("hit", hit).drop("cums")
+        fail = lambda text: F.raise_error(F.lit(text)).cast("int")
+        index = (F.when(~known & F.col(draw).isNotNull(), fail("draw from an unknown distribution"))
+                 .when(hit == F.lit(False), fail("draw exceeds the distribution's total")).otherwise(index))
+    return j.withColumn("sample_index", index.cast("int")).withColumn("hit", hit).drop("cums")
 
 
 def _first_hit(cums: Column, draw_fn, lo: int, hi: int) -> Column:
@@ -92,43 +110,49 @@ def _first_hit(cums: Column, draw_fn, lo: int, hi: int) -> Column:
 
 
 def sample_with_retry(keys: DataFrame, cums: DataFrame, dist_id: str | None, draw_fn,
-                      first_round: int = 8) -> DataFrame:
+                      first_round: int = 8, strict: bool = True) -> DataFrame:
     """T4: draws 0..999 per key until one lands inside the distribution; lowest draw number wins.
 
     ``draw_fn(draw_no)`` maps a draw-number Column to the draw.  Each key
     first tries ``first_round`` draws; ``coalesce`` evaluates the remaining
     draws only for keys with no hit yet.  One narrow projection: no join of
-    keys with draws, no exploded rows.  Keys that never hit get nulls.
+    keys with draws, no exploded rows.  A key that never lands is an error, or
+    with ``strict=False`` gets nulls; so does one of an unknown distribution.
     """
     j = _attach_cums(keys, cums, dist_id)
     lo = min(first_round, MAX_DRAWS)
     hit = _first_hit(F.col("cums"), draw_fn, 0, lo)
     if lo < MAX_DRAWS:
         hit = F.coalesce(hit, _first_hit(F.col("cums"), draw_fn, lo, MAX_DRAWS))
+    if strict:
+        hit = F.coalesce(hit, F.raise_error(F.lit(f"no draw of {MAX_DRAWS} lands in the distribution")).cast(
+            "struct<draw_no:int,draw:double,sample_index:int>"))
     out = j.withColumn("_w", hit)
     return out.select(*keys.columns, F.col("_w.draw_no").alias("draw_no"), F.col("_w.draw").alias("draw"),
                       F.col("_w.sample_index").cast("int").alias("sample_index"))
 
 
 # --------------------------------------------------------------------- T5
-def ar1_forecast(indexed: DataFrame, series: list[str]) -> DataFrame:
+def ar1_forecast(df: DataFrame, series: list[str], order: list[str], value: str) -> DataFrame:
     """Per series: fit y[t] = a + b * y[t-1] and predict the value after the last.
 
-    Consecutive pairs come from an equi-join on (series, idx) = (series,
-    idx + 1), whose keys spread every series over all tasks; the fit is a
-    plain aggregate with partial aggregation.
+    Positions come from the range-partitioned index.  The previous value is
+    ``lag`` inside blocks of consecutive positions; the last row of a block is
+    also the first that the next one sees, so no pair is lost and no window
+    holds more than a block.  The fit is a plain aggregate with partial
+    aggregation.  A series of one value has no pair, so its slope, intercept
+    and forecast are null.
     """
-    cur = indexed.select(*series, "idx", F.col("value").alias("y"))
-    prev = indexed.select(*[F.col(c).alias(f"_p{i}") for i, c in enumerate(series)],
-                          (F.col("idx") + 1).alias("_pidx"), F.col("value").alias("y_prev"))
-    cond = cur["idx"] == prev["_pidx"]
-    for i, c in enumerate(series):
-        cond = cond & cur[c].eqNullSafe(prev[f"_p{i}"])  # a null series key is still a series
-    pairs = cur.join(prev, cond)
-    # the last value of a series with at least one pair is the y of its last pair
-    fit = pairs.groupBy(*series).agg(
-        F.count(F.lit(1)).alias("n_pairs"),
-        F.regr_slope("y", "y_prev").alias("slope"),
-        F.regr_intercept("y", "y_prev").alias("intercept"),
+    idx = index_series(df, series, order, value)
+    block = F.expr(f"idx div {LAG_BLOCK}")
+    rows = idx.select(*series, "idx", F.col("value").alias("y"), F.explode(F.when(
+        F.col("idx") % LAG_BLOCK == LAG_BLOCK - 1, F.array(block, block + 1)).otherwise(F.array(block))).alias("_block"))
+    prev = F.lag("y").over(Window.partitionBy(*series, "_block").orderBy("idx"))
+    mine = rows.withColumn("y_prev", prev).where(F.col("_block") == F.expr(f"idx div {LAG_BLOCK}"))
+    paired = F.col("idx") > 0
+    fit = mine.groupBy(*series).agg(
+        F.count(F.when(paired, F.lit(1))).alias("n_pairs"),
+        F.regr_slope(F.when(paired, F.col("y")), F.col("y_prev")).alias("slope"),
+        F.regr_intercept(F.when(paired, F.col("y")), F.col("y_prev")).alias("intercept"),
         F.max_by("y", "idx").alias("last_value"))
     return fit.withColumn("forecast", F.col("intercept") + F.col("slope") * F.col("last_value"))

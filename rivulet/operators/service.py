@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from rivulet.functions.indexing import index_within_groups
 from rivulet.functions.lines import row_text
 
-# Result codes of the response envelope.
+# Result codes and success texts of the response envelope.
 SUCCESS, ERROR = 0, -1
+RESULT_TEXT, ACCEPTED_TEXT = "get result succeed", "succeed"
 
 
 def run_sql(spark: SparkSession, text: str) -> DataFrame:
@@ -31,21 +32,23 @@ def _envelope(msg: Column, code: int) -> Column:
     return F.struct(msg.alias("msg"), F.lit(code).alias("resultCode"))
 
 
-def json_chunks(df: DataFrame, order: list[str], msg: str = "get result succeed",
-                chunk_rows: int = 1000) -> DataFrame:
+def json_chunks(df: DataFrame, order: list[str], msg: str = RESULT_TEXT, chunk_rows: int = 1000) -> DataFrame:
     """V2: ``{"response":{msg,resultCode:0},"data":[row text...]}`` per chunk of ``chunk_rows`` rows.
 
-    Rows are numbered in ``order`` (skew-safe, range partitioned), cut into
-    chunks, and each chunk becomes one JSON document.
+    Rows are numbered in ``order`` (range partitioned, no task holds the whole
+    result), cut into chunks, and each chunk becomes one JSON document.  A
+    result without rows is one document ``{msg,resultCode}``.
     """
-    cols = df.columns
-    texts = df.select(*order, row_text(*cols).alias("_text"))
-    numbered = index_within_groups(texts.withColumn("_all", F.lit(0)), ["_all"], order, name="_i")
-    chunks = (numbered.withColumn("chunk_no", F.expr(f"_i div {int(chunk_rows)}"))
-              .groupBy("chunk_no")
-              .agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_text"))), lambda s: s["_text"])
-                   .alias("data")))
-    doc = F.to_json(F.struct(_envelope(F.lit(msg), SUCCESS).alias("response"), F.col("data")))
+    texts = df.select(*order, row_text(*df.columns).alias("_text"))
+    numbered = index_within_groups(texts, [], order, name="_i").select(
+        F.expr(f"_i div {int(chunk_rows)}").alias("chunk_no"), F.struct("_i", "_text").alias("_row"))
+    # one row that carries no text, so that there is a first chunk even without rows
+    first = df.sparkSession.range(1).select(
+        F.lit(0).cast("bigint").alias("chunk_no"), F.lit(None).cast(numbered.schema["_row"].dataType).alias("_row"))
+    chunks = (numbered.unionByName(first).groupBy("chunk_no")
+              .agg(F.transform(F.array_sort(F.collect_list("_row")), lambda s: s["_text"]).alias("data")))
+    doc = F.when(F.size("data") > 0, F.to_json(F.struct(_envelope(F.lit(msg), SUCCESS).alias("response"), F.col("data")))) \
+        .otherwise(F.to_json(_envelope(F.lit(msg), SUCCESS)))
     return chunks.select("chunk_no", doc.alias("json"))
 
 
@@ -58,6 +61,6 @@ def try_sql(spark: SparkSession, text: str) -> tuple[DataFrame | None, DataFrame
     """Analyse a SQL text; returns (result or None, response envelope)."""
     try:
         df = spark.sql(text)
-        return df, json_message(spark, "succeed", SUCCESS)
+        return df, json_message(spark, ACCEPTED_TEXT, SUCCESS)
     except Exception as exc:  # noqa: BLE001 -- every analysis error becomes an error response
-        return None, json_message(spark, str(exc).splitlines()[0][:500], ERROR)
+        return None, json_message(spark, str(exc), ERROR)

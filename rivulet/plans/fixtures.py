@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.session import max_partition_value, table, work_dir
+from rivulet.session import input_mark, is_committed, table, work_dir
 from rivulet.sources import topics
 
 # The topic schemas and partition count of the fixtures.
@@ -49,18 +49,10 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         topics.line_column(cols, text_columns=topics.text_columns(e, cols)).alias("value"))
 
 
-_STORED_LOGS: dict[tuple[str, str], str] = {}
-
-
 def stored_event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fixture D written once per application as a Parquet topic log, as a broker would hold it."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    path = _STORED_LOGS.get(key)
-    if path is None or max_partition_value(spark, path, "partition") is None:
-        path = work_dir(spark, "event_log")
-        event_log(spark, sf_dir).write.mode("errorifexists").partitionBy("partition").parquet(path)
-        _STORED_LOGS[key] = path
-    return spark.read.parquet(path).select("partition", "offset", "value")
+    """Fixture D stored as a topic log, as a broker would hold it."""
+    (log,) = _stored_once(spark, sf_dir, "event_log", ("events",), lambda s, d: {"log": event_log(s, d)})
+    return log.select("partition", "offset", "value")
 
 
 def kv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,40 +65,50 @@ def kv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --------------------------------------------------------------------- fixture F: rules
 def customer_rule_tree(spark: SparkSession, sf_dir: str):
-    """Fixture F's rule tree, built once per application (see :func:`_build_customer_rule_tree`)."""
-    return _memo(spark, sf_dir, "rule_tree", lambda: _build_customer_rule_tree(spark, sf_dir))
-
-
-def _build_customer_rule_tree(spark: SparkSession, sf_dir: str):
     """A rule tree grown from customer/nation/region: (rules, factors, children).
 
     Leaf ``c<custkey>``: key custkey % 3 - 1; factors c_nationkey (int) and,
-    unless custkey % 5 = 0, c_mktsegment (str).  ``n<nation>`` holds its
-    customers, ``r<region>`` holds its nations and again every customer with
-    c_acctbal > 9000 (repeated leaves), ``root`` holds the regions.
+    unless custkey % 5 = 0, c_mktsegment (str).  Some leaves have a note whose
+    text holds separators, others the two factors that text would spell; some
+    a limit that is no int, an int too large, or null.  ``n<nation>`` holds its
+    customers at positions of 13 digits (even keys) or below zero (odd ones),
+    ``r<region>`` its nations and again every customer with c_acctbal > 9000
+    (repeated leaves), ``root`` the regions.  Every seventh nation has the key
+    -1, which a multi rule must not have.
     """
+    return _stored_once(spark, sf_dir, "rule_tree", ("customer", "nation", "region"), _customer_rule_tree)
+
+
+def _customer_rule_tree(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     c = table(spark, sf_dir, "customer")
     n = table(spark, sf_dir, "nation")
     r = table(spark, sf_dir, "region")
-    leaf = F.concat(F.lit("c"), F.col("c_custkey").cast("string"))
+    key = F.col("c_custkey")
+    leaf = F.concat(F.lit("c"), key.cast("string"))
     nat = lambda k: F.concat(F.lit("n"), F.col(k).cast("string"))
     reg = lambda k: F.concat(F.lit("r"), F.col(k).cast("string"))
-    rules = (c.select(leaf.alias("rule_id"), F.lit("single").alias("kind"),
-                      ((F.col("c_custkey") % 3) - 1).cast("int").alias("key"))
-             .unionByName(n.select(nat("n_nationkey").alias("rule_id"), F.lit("multi").alias("kind"),
-                                   F.lit(0).alias("key")))
-             .unionByName(r.select(reg("r_regionkey").alias("rule_id"), F.lit("multi").alias("kind"),
-                                   F.lit(1).alias("key")))
-             .unionByName(spark.range(1).select(F.lit("root").alias("rule_id"), F.lit("multi").alias("kind"),
-                                                F.lit(1).alias("key"))))
-    factors = (c.select(leaf.alias("rule_id"), F.lit(0).alias("pos"), F.lit("c_nationkey").alias("name"),
-                        F.lit("int").alias("vtype"), F.col("c_nationkey").cast("string").alias("value"))
-               .unionByName(c.where(F.col("c_custkey") % 5 != 0).select(
-                   leaf.alias("rule_id"), F.lit(1).alias("pos"), F.lit("c_mktsegment").alias("name"),
-                   F.lit("str").alias("vtype"), F.col("c_mktsegment").alias("value"))))
+    multi = F.lit("multi").alias("kind")
+    rules = (c.select(leaf.alias("rule_id"), F.lit("single").alias("kind"), ((key % 3) - 1).cast("int").alias("key"))
+             .unionByName(n.select(nat("n_nationkey").alias("rule_id"), multi,
+                                   F.when(F.col("n_nationkey") % 7 == 3, -1).otherwise(0).alias("key")))
+             .unionByName(r.select(reg("r_regionkey").alias("rule_id"), multi, F.lit(1).alias("key")))
+             .unionByName(spark.range(1).select(F.lit("root").alias("rule_id"), multi, F.lit(1).alias("key"))))
+
+    def factor(pos: int, name: str, vtype: str, value, where=None) -> DataFrame:
+        rows = c if where is None else c.where(where)
+        return rows.select(leaf.alias("rule_id"), F.lit(pos).alias("pos"), F.lit(name).alias("name"),
+                           F.lit(vtype).alias("vtype"), value.cast("string").alias("value"))
+
+    limit = F.when(key % 11 == 0, "oops").when(key % 11 == 1, "99999999999999999999")
+    factors = (factor(0, "c_nationkey", "int", F.col("c_nationkey"))
+               .unionByName(factor(1, "c_mktsegment", "str", F.col("c_mktsegment"), key % 5 != 0))
+               .unionByName(factor(2, "note", "str", F.lit("1;b=s:2"), key % 7 == 0))
+               .unionByName(factor(2, "note", "str", F.lit("1"), key % 7 == 1))
+               .unionByName(factor(3, "b", "str", F.lit("2"), key % 7 == 1))
+               .unionByName(factor(4, "limit", "int", limit, key % 11 < 3)))
     cn = c.join(n, c["c_nationkey"] == n["n_nationkey"])
-    children = (c.select(nat("c_nationkey").alias("parent_id"), F.col("c_custkey").cast("bigint").alias("pos"),
-                         leaf.alias("child_id"))
+    place = F.when(key % 2 == 0, F.lit(1234567890000) + key).otherwise(-key)
+    children = (c.select(nat("c_nationkey").alias("parent_id"), place.cast("bigint").alias("pos"), leaf.alias("child_id"))
                 .unionByName(n.select(reg("n_regionkey").alias("parent_id"),
                                       F.col("n_nationkey").cast("bigint").alias("pos"),
                                       nat("n_nationkey").alias("child_id")))
@@ -116,57 +118,53 @@ def _build_customer_rule_tree(spark: SparkSession, sf_dir: str):
                 .unionByName(r.select(F.lit("root").alias("parent_id"),
                                       F.col("r_regionkey").cast("bigint").alias("pos"),
                                       reg("r_regionkey").alias("child_id"))))
-    return _cached(spark, "rule_tree", rules=rules, factors=factors, children=children)
+    return {"rules": rules, "factors": factors, "children": children}
 
 
-_FIXTURE_CACHE: dict[tuple, tuple] = {}
+def event_rules(spark: SparkSession, sf_dir: str):
+    """Rules on fixture D: per event type an ALL rule (type and par = 0) and an ANY rule (type or its own slot).
 
+    The slot of a type is its length, so the ANY rules of different types ask
+    for different records.
+    """
+    return _stored_once(spark, sf_dir, "event_rules", ("events",), _event_rules)
 
-def _memo(spark: SparkSession, sf_dir: str, label: str, build):
-    """One cached copy of a derived fixture per application and input folder."""
-    key = (spark.sparkContext.applicationId, id(spark), sf_dir, label)
-    if key not in _FIXTURE_CACHE:
-        _FIXTURE_CACHE[key] = build()
-    return _FIXTURE_CACHE[key]
 
+def _event_rules(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    types = table(spark, sf_dir, "events").select("event_type").distinct()
+    asked = types.select("event_type", F.explode(F.array(
+        F.struct(F.lit("all").alias("mode"), F.lit(0).alias("key"), F.lit("par").alias("name"), F.lit("0").alias("value")),
+        F.struct(F.lit("any").alias("mode"), F.lit(1).alias("key"), F.lit("slot").alias("name"),
+                 F.length("event_type").cast("string").alias("value")))).alias("m"))
+    asked = asked.select("event_type", F.concat(F.lit("e:"), "event_type", F.lit(":"), "m.mode").alias("rule_id"), "m.key", "m.name", "m.value")
+    rules = asked.select("rule_id", F.lit("single").alias("kind"), "key")
+    factors = asked.select("rule_id", F.explode(F.array(
+        F.struct(F.lit(0).alias("pos"), F.lit("event_type").alias("name"), F.lit("str").alias("vtype"), F.col("event_type").alias("value")),
+        F.struct(F.lit(1).alias("pos"), F.col("name"), F.lit("int").alias("vtype"), F.col("value")))).alias("f")).select("rule_id", "f.*")
+    return {"rules": rules, "factors": factors}
 
-def _cached(spark: SparkSession, label: str, **frames: DataFrame):
-    """Keep derived rule tables in the cache (memory, spilling to disk).
 
-    Rule tables are data in their own right: keeping them lets every later
-    step (tree levels, matching) reuse them instead of re-deriving them from
-    the source tables.  A lost block is recomputed from the source tables.
-    """
-    return tuple(df.persist() for df in frames.values())
+_STORED: dict[tuple, tuple[str, list[str]]] = {}
 
 
-def event_rules(spark: SparkSession, sf_dir: str):
-    """Fixture F's event rules, built once per application (see :func:`_build_event_rules`)."""
-    return _memo(spark, sf_dir, "event_rules", lambda: _build_event_rules(spark, sf_dir))
-
-
-def _build_event_rules(spark: SparkSession, sf_dir: str):
-    """Rules on fixture D: per event type an ALL rule (type and par = 0) and an ANY rule (type or par = 1)."""
-    # the only pass over events: its distinct types, stored once (a handful of rows)
-    (types,) = _cached(spark, "event_types", types=table(spark, sf_dir, "events").select("event_type").distinct())
-    rid = lambda mode: F.concat(F.lit("e:"), F.col("event_type"), F.lit(f":{mode}"))
-    rules = (types.select(rid("all").alias("rule_id"), F.lit("single").alias("kind"), F.lit(0).alias("key"))
-             .unionByName(types.select(rid("any").alias("rule_id"), F.lit("single").alias("kind"),
-                                       F.lit(1).alias("key"))))
-    factors = None
-    for mode, par in (("all", "0"), ("any", "1")):
-        part = (types.select(rid(mode).alias("rule_id"), F.lit(0).alias("pos"), F.lit("event_type").alias("name"),
-                             F.lit("str").alias("vtype"), F.col("event_type").alias("value"))
-                .unionByName(types.select(rid(mode).alias("rule_id"), F.lit(1).alias("pos"),
-                                          F.lit("par").alias("name"), F.lit("int").alias("vtype"),
-                                          F.lit(par).alias("value"))))
-        factors = part if factors is None else factors.unionByName(part)
-    return rules, factors
+def _stored_once(spark: SparkSession, sf_dir: str, label: str, inputs: tuple[str, ...], build) -> tuple[DataFrame, ...]:
+    """Derived tables written once per application and state of their input tables, read back on each use."""
+    key = (spark.sparkContext.applicationId, label, sf_dir, *[input_mark(spark, f"{sf_dir}/{t}.parquet") for t in inputs])
+    path, names = _STORED.get(key, (None, []))
+    if path is None or not all(is_committed(spark, f"{path}/{n}") for n in names):
+        path = work_dir(spark, label)
+        frames = build(spark, sf_dir)
+        for name, df in frames.items():
+            df.write.parquet(f"{path}/{name}")
+        names = list(frames)
+        _STORED[key] = (path, names)
+    return tuple(spark.read.parquet(f"{path}/{n}") for n in names)
 
 
 def event_records(spark: SparkSession, sf_dir: str):
-    """Events seen as maps {event_type: str, par: int} keyed by event_id."""
+    """Events seen as maps {event_type: str, par: int, slot: int} keyed by event_id."""
     from rivulet.operators.rules import unpivot_records
     e = table(spark, sf_dir, "events")
     return unpivot_records(e, "event_id", {"event_type": (F.col("event_type"), "str"),
-                                           "par": (F.col("user_id") % 2, "int")})
+                                           "par": (F.col("user_id") % 2, "int"),
+                                           "slot": (F.col("user_id") % 20, "int")})

@@ -133,14 +133,14 @@ def distribution_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("distribution_sample_retry", f"""
 WITH {_SHARES_SQL.format(excl=" HAVING event_type <> 'view'")},
-tries AS (SELECT DISTINCT user_id, CAST(g.j AS INTEGER) AS draw_no,
+users AS (SELECT DISTINCT user_id FROM events),
+tries AS (SELECT user_id, CAST(g.j AS INTEGER) AS draw_no,
                  ((user_id * {DRAW_MUL} + g.j * {RETRY_MUL}) % 100) / 100.0 AS draw
-          FROM events, generate_series(0, 999) AS g(j)),
-hits AS (SELECT t.*, (SELECT count(*) FROM cums c WHERE c.cum < t.draw) AS pos FROM tries t),
-first_hit AS (SELECT user_id, min(draw_no) AS draw_no FROM hits
-              WHERE pos < (SELECT count(*) FROM cums) GROUP BY user_id)
-SELECT h.user_id, h.draw_no, h.draw, CAST(h.pos AS INTEGER) AS sample_index
-FROM hits h JOIN first_hit f ON h.user_id = f.user_id AND h.draw_no = f.draw_no""")
+          FROM users, generate_series(0, 999) AS g(j)),
+landed AS (SELECT * FROM tries WHERE draw <= (SELECT max(cum) FROM cums)),
+firsts AS (SELECT user_id, min(draw_no) AS draw_no FROM landed GROUP BY user_id)
+SELECT user_id, draw_no, draw, CAST((SELECT count(*) FROM cums c WHERE c.cum < l.draw) AS INTEGER) AS sample_index
+FROM landed l JOIN firsts USING (user_id, draw_no)""")
 def distribution_sample_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T4: the distribution without 'view' sums below 1; draws retry until one lands."""
     cums = S.cumulative(_type_shares(spark, sf_dir, exclude="view"), None, "i", "p")
@@ -156,12 +156,12 @@ p AS (SELECT a.user_id, a.value AS y, b.value AS y_prev FROM s a JOIN s b
 fit AS (SELECT user_id, count(*) AS n_pairs, regr_slope(y, y_prev) AS slope,
                regr_intercept(y, y_prev) AS intercept FROM p GROUP BY user_id),
 last AS (SELECT user_id, arg_max(value, idx) AS last_value FROM s GROUP BY user_id)
-SELECT f.user_id, f.n_pairs, round(f.slope, 6) AS slope, round(f.intercept, 6) AS intercept,
+SELECT l.user_id, coalesce(f.n_pairs, 0) AS n_pairs, round(f.slope, 6) AS slope, round(f.intercept, 6) AS intercept,
        l.last_value, round(f.intercept + f.slope * l.last_value, 6) AS forecast
-FROM fit f JOIN last l ON f.user_id = l.user_id""")
+FROM last l LEFT JOIN fit f ON f.user_id = l.user_id""")
 def ar1_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T5: per-user AR(1) fit on the indexed series and the next-value forecast."""
-    f = S.ar1_forecast(_series(spark, sf_dir), ["user_id"])
+    f = S.ar1_forecast(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "value")
     return f.select("user_id", "n_pairs", F.round("slope", 6).alias("slope"),
                     F.round("intercept", 6).alias("intercept"), "last_value",
                     F.round("forecast", 6).alias("forecast"))

@@ -9,10 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rivulet.functions.indexing import rank_within_groups, running_total
 from rivulet.plans.registry import make_registry
 from rivulet.session import table
-from rivulet.sources.tables import bounded_broadcast
 
 QUERIES, ORACLES, register = make_registry()
 
@@ -49,9 +47,9 @@ def pt_inner_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT p_brand, count(*) AS n_lines, round(sum(l_quantity), 4) AS sum_qty
 FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand""")
 def pt_broadcast_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The part dimension is broadcast only after its row count is checked."""
+    """A join with the part dimension; adaptive execution broadcasts it if its measured bytes allow."""
     li, p = _t(spark, sf_dir, "lineitem"), _t(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    return li.join(bounded_broadcast(p), li["l_partkey"] == p["p_partkey"]).groupBy("p_brand").agg(
+    return li.join(p, li["l_partkey"] == p["p_partkey"]).groupBy("p_brand").agg(
         F.count(F.lit(1)).alias("n_lines"), F.round(F.sum("l_quantity"), 4).alias("sum_qty"))
 
 
@@ -157,12 +155,11 @@ SELECT o_custkey, o_orderkey, o_totalprice,
        lag(o_totalprice) OVER w AS prev_price
 FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)""")
 def pt_window_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ranking and lag per customer; a customer with very many orders is spread over tasks."""
     o = _t(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
-    r = rank_within_groups(o, ["o_custkey"], [("o_totalprice", False), ("o_orderkey", True)],
-                           lag_col="o_totalprice")
-    return r.select("o_custkey", "o_orderkey", "o_totalprice", "rn", "rnk", "drnk",
-                    F.col("prev").alias("prev_price"))
+    w = Window.partitionBy("o_custkey").orderBy(F.col("o_totalprice").desc(), "o_orderkey")
+    return o.select("o_custkey", "o_orderkey", "o_totalprice", F.row_number().over(w).alias("rn"),
+                    F.rank().over(w).alias("rnk"), F.dense_rank().over(w).alias("drnk"),
+                    F.lag("o_totalprice").over(w).alias("prev_price"))
 
 
 @register("pt_window_frame", """
@@ -174,28 +171,13 @@ SELECT event_id, user_id,
                         ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS user_max
 FROM events""")
 def pt_window_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Row frames per user: 4-row moving sum, running count, whole-series max.
-
-    Built from skew-safe pieces, so a user with a third of the events is
-    spread over tasks: prefix sums of the value and of its non-null count,
-    the moving sum as the difference of two prefix sums (equi-join on
-    position - 4; null when the frame holds no value, as SUM does), the
-    running count from the position, the maximum from an aggregate.
-    """
-    e = _t(spark, sf_dir, "events").select(
-        "event_id", "user_id", "ts", "value", F.col("value").isNotNull().cast("int").alias("has_value"))
-    run = running_total(e, ["user_id"], ["ts", "event_id"], ["value", "has_value"], ["run", "run_n"],
-                        index_name="i")
-    back = run.select(F.col("user_id").alias("_u"), (F.col("i") + 4).alias("_j"),
-                      F.col("run").alias("_run4"), F.col("run_n").alias("_n4"))
-    on = run["user_id"].eqNullSafe(back["_u"]) & (run["i"] == back["_j"])
-    frame_n = F.col("run_n") - F.coalesce(F.col("_n4"), F.lit(0))
-    frame_sum = F.col("run") - F.coalesce(F.col("_run4"), F.lit(0.0))
-    moving = run.join(back, on, "left").withColumn(
-        "moving_sum_cents", F.when(frame_n > 0, F.round(frame_sum * 100).cast("bigint")))
-    top = bounded_broadcast(e.groupBy(F.col("user_id").alias("_u")).agg(F.max("value").alias("user_max")))
-    out = moving.drop("_u").join(top, moving["user_id"].eqNullSafe(top["_u"]))
-    return out.select("event_id", "user_id", "moving_sum_cents", (F.col("i") + 1).alias("running_n"), "user_max")
+    """Row frames per user: 4-row moving sum, running count, whole-series max."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return _t(spark, sf_dir, "events").select(
+        "event_id", "user_id",
+        F.round(100 * F.sum("value").over(w.rowsBetween(-3, 0))).cast("bigint").alias("moving_sum_cents"),
+        F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("running_n"),
+        F.max("value").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("user_max"))
 
 
 @register("pt_topk", """

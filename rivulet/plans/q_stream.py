@@ -53,6 +53,20 @@ def topic_incremental_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{out}/rows").select(F.col("batch_id").cast("bigint"), "id", "name", "age")
 
 
+@register("topic_view_incremental_sql", """
+SELECT CAST(p_partkey % 3 AS INTEGER) + 1 AS run_no, p_size AS age, count(*) AS n FROM part GROUP BY 1, 2""")
+def topic_view_incremental_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K3/K5: one SELECT submitted again and again on a topic view; each run sees only the rows since the last."""
+    topic_dir, out = work_dir(spark, "k5v_topic"), work_dir(spark, "k5v_out")
+    view = mb.IncrementalTopicScan(spark, topic_dir, fx.PART_TOPIC_SCHEMA, work_dir(spark, "k5v_state"))
+    for k in range(STREAM_FILES):
+        _add_file(spark, sf_dir, topic_dir, k)
+        result, token = view.sql("test_incremental", "SELECT age, count(*) AS n FROM test_incremental GROUP BY age")
+        result.write.parquet(f"{out}/run_no={k + 1}")
+        view.commit(token)
+    return spark.read.parquet(out).select("run_no", "age", "n")
+
+
 _UNION_CONDS = ["age < 10", "age BETWEEN 10 AND 30", "age > 40"]
 
 
@@ -99,19 +113,19 @@ def multi_task_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("stream_append_sink", """
 SELECT '[' || CAST(p_partkey AS VARCHAR) || ',' || p_name || ',' || CAST(p_size AS VARCHAR) || ']' AS value
-FROM part WHERE p_size < 10""")
+FROM part""")
 def stream_append_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M4: row text appended to a text sink, one append per micro-batch."""
     sink, ckpt = work_dir(spark, "m4_sink"), work_dir(spark, "m4_ckpt")
     _each_file(spark, sf_dir, lambda d: mb.append_text_sink(
-        mb.topic_stream(spark, d, fx.PART_TOPIC_SCHEMA).where("age < 10"), ["id", "name", "age"], sink, ckpt))
+        mb.topic_stream(spark, d, fx.PART_TOPIC_SCHEMA), ["id", "name", "age"], sink, ckpt))
     return spark.read.text(sink)
 
 
 @register("result_drain", """
 SELECT CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 2 END AS drain_no, CAST(p_partkey % 3 AS INTEGER) AS batch_id,
        p_partkey AS id, p_name AS name, p_size AS age
-FROM part WHERE p_size >= 40""")
+FROM part""")
 def result_drain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M5: results buffered per batch; a drain returns what is new since the last drain.
 
@@ -122,12 +136,12 @@ def result_drain(spark: SparkSession, sf_dir: str) -> DataFrame:
     keep = work_dir(spark, "m5_drained")
 
     def run():
-        mb.run_to_end(buf.start(mb.topic_stream(spark, topic_dir, fx.PART_TOPIC_SCHEMA).where("age >= 40"), ckpt))
+        mb.run_to_end(buf.start(mb.topic_stream(spark, topic_dir, fx.PART_TOPIC_SCHEMA), ckpt))
 
     def drain():
-        d = buf.drain()
-        if d is not None:
-            d.write.mode("append").parquet(keep)
+        rows, token = buf.drain()
+        rows.write.mode("append").parquet(keep)
+        buf.commit(token)
 
     _add_file(spark, sf_dir, topic_dir, 0)
     run()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rivulet.plans import fixtures as fx
 from rivulet.plans.registry import make_registry
-from rivulet.session import max_partition_value, table, work_dir
+from rivulet.session import input_mark, is_committed, table, work_dir
 from rivulet.sources import tables
 
 QUERIES, ORACLES, register = make_registry()
@@ -17,7 +17,7 @@ _KV_SQL = """SELECT l_orderkey, l_partkey, l_quantity, l_extendedprice, l_return
 _KV_COLS = ["l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "value", "key"]
 
 
-_KV_WRITTEN: dict[tuple[str, str], str] = {}
+_KV_WRITTEN: dict[tuple, str] = {}
 
 
 def _kv_table(spark: SparkSession, sf_dir: str, fresh: bool = False) -> str:
@@ -27,9 +27,9 @@ def _kv_table(spark: SparkSession, sf_dir: str, fresh: bool = False) -> str:
     folder, as they would share a stored table; queries that modify the
     table ask for a fresh copy.
     """
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, input_mark(spark, f"{sf_dir}/lineitem.parquet"))
     path = None if fresh else _KV_WRITTEN.get(key)
-    if path is not None and max_partition_value(spark, path, "key") is not None:
+    if path is not None and is_committed(spark, path):
         return path
     path = work_dir(spark, "kv")
     tables.write_partitioned(fx.kv_rows(spark, sf_dir), path, "key")
@@ -96,6 +96,18 @@ def large_in_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.semi_join_keys(table(spark, sf_dir, "customer"), keys, on="c_custkey", key_col="o_custkey")
 
 
+# Fixed value: the size of the reference's literal list.
+LITERALS = 60_001
+
+
+@register("large_in_list", f"""
+SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey < {3 * LITERALS}""")
+def large_in_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list of 60,001 literals."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    return tables.in_list(orders, "o_orderkey", list(range(0, 3 * LITERALS, 3)))
+
+
 @register("insert_static_partition", _KV_SQL + """
 UNION ALL
 SELECT l_orderkey, l_partkey, l_quantity, l_extendedprice, l_returnflag AS value, 1 AS key
@@ -144,13 +156,17 @@ def directory_tree_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("conjunctive_filters", """
-SELECT count(*) AS n FROM lineitem WHERE l_returnflag = 'A' AND l_returnflag = 'R'""")
+SELECT 'none' AS filters, count(*) AS n FROM lineitem WHERE l_returnflag = 'A' AND l_returnflag = 'R'
+UNION ALL SELECT 'both', count(*) FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 25
+UNION ALL SELECT 'no filter', count(*) FROM lineitem""")
 def conjunctive_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A filter list is ANDed, so value='A' and value='R' leaves nothing."""
+    """A filter list is ANDed: value='A' and value='R' leaves nothing; an empty list leaves all."""
     path = _kv_table(spark, sf_dir)
-    df = tables.scan_directory_tree(spark, path, "value string", "key",
-                                    filters=[F.col("value") == "A", F.col("value") == "R"])
-    return df.agg(F.count(F.lit(1)).alias("n"))
+    lists = {"none": [F.col("value") == "A", F.col("value") == "R"],
+             "both": [F.col("value") == "A", F.col("l_quantity") > 25], "no filter": []}
+    counts = [tables.scan_directory_tree(spark, path, "l_quantity double, value string", "key", filters=f)
+              .agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("filters"), "n") for k, f in lists.items()]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
 _BUCKETED: dict[tuple, tuple[str, str]] = {}
@@ -158,7 +174,8 @@ _BUCKETED: dict[tuple, tuple[str, str]] = {}
 
 def _bucketed_pair(spark: SparkSession, sf_dir: str, n: int) -> tuple[DataFrame, DataFrame]:
     """orders and lineitem stored bucketed on the order key (written once per application)."""
-    key = (spark.sparkContext.applicationId, sf_dir, n)
+    marks = [input_mark(spark, f"{sf_dir}/{t}.parquet") for t in ("orders", "lineitem")]
+    key = (spark.sparkContext.applicationId, sf_dir, n, *marks)
     names = _BUCKETED.get(key)
     if names and all(spark.catalog.tableExists(t) for t in names):
         return spark.table(names[0]), spark.table(names[1])
@@ -185,9 +202,11 @@ def bucketed_join(spark: SparkSession, sf_dir: str, buckets: int | None = None)
 
 
 @register("scan_file_report", """
-SELECT l_linenumber AS key, count(*) AS n_rows, true AS has_files FROM lineitem GROUP BY l_linenumber""")
+SELECT l_linenumber AS key, count(*) AS n_rows, true AS has_files, true AS has_bytes, true AS no_empty_file
+FROM lineitem GROUP BY l_linenumber""")
 def scan_file_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows and data files per key folder from file metadata (file counts vary by run)."""
+    """Rows, files and bytes per key folder from file metadata (counts vary by run: their invariants are shown)."""
     t = tables.read_table(spark, _kv_table(spark, sf_dir))
     rep = tables.scan_file_report(t, ["key"])
-    return rep.select("key", "n_rows", (F.col("n_files") >= 1).alias("has_files"))
+    return rep.select("key", "n_rows", F.col("n_files").between(1, F.col("n_rows")).alias("has_files"),
+                      (F.col("n_bytes") > F.col("n_rows")).alias("has_bytes"), (F.col("min_file_rows") >= 1).alias("no_empty_file"))

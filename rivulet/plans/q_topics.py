@@ -13,6 +13,10 @@ from rivulet.sources import topics
 QUERIES, ORACLES, register = make_registry()
 
 
+# Fixed value: offsets in a folder of the fixture's stored log.
+LOG_BLOCK = 10_000
+
+
 # Split point of the two-append fixtures: ids below it arrive first.
 def _split_point(spark: SparkSession, sf_dir: str):
     return table(spark, sf_dir, "part").agg(((F.max("p_partkey") + 1).cast("bigint") / 2).cast("bigint")
@@ -94,8 +98,7 @@ def _two_appends(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
     path = work_dir(spark, "topiclog")
     # the split is a scalar subquery over part, planned once as its own tiny aggregate
     tagged = fx.part_log(spark, sf_dir).withColumn("split", _split_point(spark, sf_dir).scalar())
-    tagged.where(F.col("id") < F.col("split")).select("partition", "offset", "value") \
-        .write.mode("errorifexists").parquet(path)
+    topics.write_log(tagged.where(F.col("id") < F.col("split")), path, "errorifexists", LOG_BLOCK)
     return path, tagged
 
 
@@ -109,15 +112,14 @@ def topic_incremental_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     positions = topics.TopicPositions(spark, work_dir(spark, "positions"))
     out = work_dir(spark, "scans")
     # first scan: everything present so far, from the earliest offsets
-    rows, ranges = topics.scan_incremental(spark.read.parquet(path), positions)
+    rows, ranges = topics.scan_incremental(topics.read_log(spark, path), positions, LOG_BLOCK)
     topics.decode(rows, fx.PART_TOPIC_SCHEMA, keep=["partition", "offset"]) \
         .withColumn("scan_no", F.lit(1)).write.mode("errorifexists").parquet(f"{out}/scan=1")
     positions.commit(ranges)
     # the rest of the topic arrives
-    tagged.where(F.col("id") >= F.col("split")).select("partition", "offset", "value") \
-        .write.mode("append").parquet(path)
+    topics.write_log(tagged.where(F.col("id") >= F.col("split")), path, "append", LOG_BLOCK)
     # second scan: only what arrived after the committed positions
-    rows, ranges = topics.scan_incremental(spark.read.parquet(path), positions)
+    rows, ranges = topics.scan_incremental(topics.read_log(spark, path), positions, LOG_BLOCK)
     topics.decode(rows, fx.PART_TOPIC_SCHEMA, keep=["partition", "offset"]) \
         .withColumn("scan_no", F.lit(2)).write.mode("errorifexists").parquet(f"{out}/scan=2")
     positions.commit(ranges)
@@ -133,11 +135,10 @@ FROM part GROUP BY 1""")
 def topic_offset_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, tagged = _two_appends(spark, sf_dir)
     positions = topics.TopicPositions(spark, work_dir(spark, "positions"))
-    _rows, ranges = topics.scan_incremental(spark.read.parquet(path), positions)
+    _rows, ranges = topics.scan_incremental(topics.read_log(spark, path), positions, LOG_BLOCK)
     positions.commit(ranges)
-    tagged.where(F.col("id") >= F.col("split")).select("partition", "offset", "value") \
-        .write.mode("append").parquet(path)
-    return topics.offset_ranges(spark.read.parquet(path), positions.current())
+    topics.write_log(tagged.where(F.col("id") >= F.col("split")), path, "append", LOG_BLOCK)
+    return topics.offset_ranges(topics.read_log(spark, path), positions.current(), LOG_BLOCK)
 
 
 @register("topic_insert_append", """
@@ -201,7 +202,7 @@ def rate_limited_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("frequency_expand", """
 SELECT concat_ws(chr(9), CAST(p_partkey AS VARCHAR), p_name, CAST(p_size AS VARCHAR)) AS message,
-       CAST(g.copy_no AS INTEGER) AS copy_no
+       CAST(g.copy_no AS BIGINT) AS copy_no
 FROM part, generate_series(1, p_size) AS g(copy_no)""")
 def frequency_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each part's topic line repeated p_size times."""

@@ -14,7 +14,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -61,6 +60,8 @@ def _checkpoint_root(spark: SparkSession) -> str:
             # SparkContext appends a per-application uuid folder; use its parent.
             root = current.rstrip("/").rsplit("/", 1)[0]
     if not root:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="rivulet-ckpt-")
         sc.setCheckpointDir(root)
     elif not sc.getCheckpointDir():
@@ -68,29 +69,52 @@ def _checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+def _hadoop_path(spark: SparkSession, path: str):
+    """(file system, path) of Spark's own file access; small metadata calls from the driver only."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def work_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder under the shared checkpoint root for one job's output."""
+    """A fresh folder under the shared checkpoint root for one job's output.
+
+    It belongs to the application: the driver's JVM deletes it when it ends.
+    """
     root = _checkpoint_root(spark)
-    return f"{root.rstrip('/')}/rivulet-work/{label}-{uuid.uuid4().hex[:12]}"
+    path = f"{root.rstrip('/')}/rivulet-work/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
+    fs, p = _hadoop_path(spark, path)
+    fs.mkdirs(p.getParent())
+    fs.deleteOnExit(p.getParent())
+    return path
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return _checkpoint_root(spark)
 
 
-def max_partition_value(spark: SparkSession, path: str, column: str):
-    """Largest ``column=<v>`` folder value under ``path``, or None if nothing is there yet.
+def is_committed(spark: SparkSession, path: str) -> bool:
+    """Whether a write to ``path`` ran to its end (its ``_SUCCESS`` mark is there)."""
+    fs, p = _hadoop_path(spark, f"{path.rstrip('/')}/_SUCCESS")
+    return fs.exists(p)
+
+
+def committed_values(spark: SparkSession, path: str, column: str) -> list[int]:
+    """The numbers ``v`` of the folders ``path/column=v`` whose writes ran to their end, ascending.
 
     Used to restore a counter (a positions version, a batch number) after a
-    restart, so it never lives only in driver memory.
+    restart, so it never lives only in driver memory; a half-written folder
+    does not count.
     """
-    try:
-        df = spark.read.parquet(path)
-    except Exception as exc:  # noqa: BLE001 -- a missing folder means "nothing yet"
-        text = str(exc)
-        if "PATH_NOT_FOUND" in text or "UNABLE_TO_INFER_SCHEMA" in text or "does not exist" in text:
-            return None
-        raise
-    if column not in df.columns:
-        return None
-    return df.agg(F.max(column)).first()[0]
+    fs, p = _hadoop_path(spark, path)
+    if not fs.exists(p):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(p) if f.isDirectory()]
+    found = [int(n.split("=", 1)[1]) for n in names if n.startswith(f"{column}=")]
+    return sorted(v for v in found if is_committed(spark, f"{path.rstrip('/')}/{column}={v}"))
+
+
+def input_mark(spark: SparkSession, path: str) -> str:
+    """Newest change time and size of a table folder or file: derived tables are kept under it."""
+    fs, p = _hadoop_path(spark, path)
+    status = fs.getFileStatus(p)
+    return f"{status.getModificationTime()}-{fs.getContentSummary(p).getLength()}"

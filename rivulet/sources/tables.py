@@ -9,6 +9,8 @@ and the view is re-pointed.
 
 from __future__ import annotations
 
+import datetime
+import decimal
 import re
 import uuid
 from functools import reduce
@@ -17,11 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rivulet.functions.lines import parse_schema, sql_str
-
-# A key table at or below this many rows is broadcast for a semi join; above it
-# the join is left to Spark (sort-merge, or a runtime broadcast chosen by AQE).
-BROADCAST_KEY_ROWS = 2_000_000
+from rivulet.functions.lines import ident, parse_schema, sql_str
 
 
 # --------------------------------------------------------------------- S1 / S3
@@ -55,18 +53,8 @@ def conjunction(filters: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, filters) if filters else F.lit(True)
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_KEY_ROWS) -> DataFrame:
-    """Broadcast hint only when the row count is proven to be at most ``max_rows``.
-
-    The check counts at most ``max_rows + 1`` rows, so a large side costs a
-    short probe, not a full pass; such a side is left to Spark's planner.
-    """
-    small = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if small else df
-
-
 def in_list(df: DataFrame, col: str, values: list, max_literals: int = 10_000) -> DataFrame:
-    """``col IN (values)``: a pushed-down literal list when short, a broadcast key table when long."""
+    """``col IN (values)``: a pushed-down literal list when short, a key table when long; the rows are the same."""
     if len(values) <= max_literals:
         return df.where(F.col(col).isin(list(values)))
     dtype = df.schema[col].dataType.simpleString()
@@ -74,12 +62,13 @@ def in_list(df: DataFrame, col: str, values: list, max_literals: int = 10_000) -
     return semi_join_keys(df, keys, col)
 
 
-def semi_join_keys(df: DataFrame, keys: DataFrame, on: str, key_col: str | None = None,
-                   max_broadcast_rows: int = BROADCAST_KEY_ROWS) -> DataFrame:
-    """A large IN list as a key table: ``df`` rows whose ``on`` value is in ``keys``."""
-    key_col = key_col or on
-    k = keys.select(F.col(key_col).alias(on)).distinct()
-    return df.join(bounded_broadcast(k, max_broadcast_rows), on, "left_semi")
+def semi_join_keys(df: DataFrame, keys: DataFrame, on: str, key_col: str | None = None) -> DataFrame:
+    """A large IN list as a key table: ``df`` rows whose ``on`` value is in ``keys``.
+
+    A semi join needs no distinct keys; whether they are broadcast is decided
+    by their measured bytes (adaptive execution), and the key side runs once.
+    """
+    return df.join(keys.select(F.col(key_col or on).alias(on)), on, "left_semi")
 
 
 # --------------------------------------------------------------------- S9 / S10
@@ -88,9 +77,28 @@ def create_file_view(spark: SparkSession, name: str, path: str, fmt: str = "parq
     spark.sql(f"CREATE OR REPLACE TEMPORARY VIEW {name} USING {fmt} OPTIONS (path {sql_str(path)})")
 
 
+def sql_literal(value) -> str:
+    """A Python value as a Spark SQL literal."""
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool):
+        return "true" if value else "false"
+    if isinstance(value, str):
+        return sql_str(value)
+    if isinstance(value, datetime.datetime):
+        return f"TIMESTAMP {sql_str(value.isoformat(sep=' '))}"
+    if isinstance(value, datetime.date):
+        return f"DATE {sql_str(value.isoformat())}"
+    if isinstance(value, int):
+        return str(value)
+    if isinstance(value, decimal.Decimal):
+        return f"{value:f}BD"
+    raise TypeError(f"no SQL literal for {type(value).__name__}")
+
+
 def insert_static_partition(spark: SparkSession, view: str, partition: dict, select_sql: str) -> None:
     """``INSERT INTO view PARTITION (k=v) SELECT ...``: columns bind by position, key from the clause."""
-    spec = ", ".join(f"{k}={v!r}" if isinstance(v, str) else f"{k}={v}" for k, v in partition.items())
+    spec = ", ".join(f"{ident(k)}={sql_literal(v)}" for k, v in partition.items())
     spark.sql(f"INSERT INTO {view} PARTITION ({spec}) {select_sql}")
 
 
@@ -103,7 +111,7 @@ def union_distinct_rewrite(spark: SparkSession, view: str, incoming: DataFrame,
     current = spark.table(view)
     merged = current.unionByName(incoming.select(*current.columns)).distinct()
     if partition_keys:
-        merged.write.mode("errorifexists").partitionBy(*partition_keys).parquet(new_path)
+        write_partitioned(merged, new_path, partition_keys)
     else:
         merged.write.mode("errorifexists").parquet(new_path)
     fresh = spark.read.parquet(new_path)
@@ -143,9 +151,10 @@ def write_bucketed(df: DataFrame, name: str, path: str, buckets: int, by: str,
     """Save ``df`` as an external bucketed table at ``path`` and return it.
 
     Two tables bucketed the same way on the join key join and aggregate with
-    no shuffle; a bucket keeps its sort order only when it holds one file.
+    no shuffle.  The rows are dealt by bucket first, so each bucket is one
+    file and keeps its sort order.
     """
-    w = df.write.mode("errorifexists").option("path", path).bucketBy(buckets, by)
+    w = df.repartition(buckets, by).write.mode("errorifexists").option("path", path).bucketBy(buckets, by)
     if sort_by:
         w = w.sortBy(sort_by)
     w.format("parquet").saveAsTable(name)
@@ -169,8 +178,8 @@ def observed(df: DataFrame, name: str = "scan"):
 
 
 def scan_file_report(df: DataFrame, by: list[str]) -> DataFrame:
-    """Rows and data files per group of a file-backed scan, from ``_metadata``."""
-    return df.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.count_distinct(F.col("_metadata.file_path")).alias("n_files"),
-    )
+    """Rows, data files and their bytes per group of a file-backed scan, from ``_metadata``."""
+    files = df.groupBy(*by, F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size")).agg(
+        F.count(F.lit(1)).alias("n"))
+    return files.groupBy(*by).agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_files"),
+                                  F.sum("size").alias("n_bytes"), F.min("n").alias("min_file_rows"))

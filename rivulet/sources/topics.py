@@ -17,13 +17,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rivulet.session import max_partition_value
+from rivulet.session import committed_values
 from rivulet.functions.lines import (
     check_topic_schema, decode_columns, encode_line, line_is_clean, parse_schema, reject_reason, split_line,
     sql_str,
 )
 
 LOG_SCHEMA = "partition int, offset bigint, value string"
+# Offsets in one folder of a stored log; a scan from a position opens only the folders at or past it.
+LOG_BLOCK = 1_000_000
 
 
 def _schema(schema: T.StructType | str) -> T.StructType:
@@ -121,35 +123,61 @@ def build_log(lines: DataFrame, partition: Column, offset: Column) -> DataFrame:
                         F.col("value"))
 
 
-def offset_ranges(log: DataFrame, positions: DataFrame | None = None) -> DataFrame:
+def write_log(log: DataFrame, path: str, mode: str = "append", block: int = LOG_BLOCK) -> None:
+    """Store (partition, offset, value) in folders by topic partition and block of offsets."""
+    rows = log.select("partition", "offset", "value", (F.col("offset") - F.pmod("offset", F.lit(block))).alias("block"))
+    rows.hint("rebalance", "partition", "block").write.mode(mode).partitionBy("partition", "block").parquet(path)
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """A stored log with its folder columns, which prune scans."""
+    return spark.read.schema("partition int, block bigint, offset bigint, value string").parquet(path)
+
+
+def _from_offset(log: DataFrame, partition: int, offset: int, block: int) -> Column:
+    """Rows of one topic partition at or past an offset, with the folder they can be in."""
+    cond = (F.col("partition") == partition) & (F.col("offset") >= offset)
+    return cond & (F.col("block") > offset - block) if "block" in log.columns else cond
+
+
+def offset_ranges(log: DataFrame, positions: DataFrame | None = None, block: int = LOG_BLOCK) -> DataFrame:
     """K6: per partition the half-open range still to read.
 
     ``from_offset`` is the saved position, or the earliest offset for a
     partition never read; ``until_offset`` is one past the latest offset.
-    Partial aggregation keeps this a map-side reduction even if one
-    partition holds most of the log.
+    Only what lies past the positions is read to find it: the positions, one
+    row per topic partition, become literal predicates on folders and offsets.
     """
-    bounds = log.groupBy("partition").agg(
-        F.min("offset").alias("earliest"), (F.max("offset") + 1).alias("until_offset"))
     if positions is None:
-        return bounds.select("partition", F.col("earliest").alias("from_offset"), "until_offset")
-    # positions: one row per partition, bounded by the topic's partition count
-    return (bounds.join(F.broadcast(positions.select("partition", F.col("offset").alias("_pos"))),
-                        "partition", "left")
-            .select("partition", F.coalesce("_pos", "earliest").alias("from_offset"), "until_offset"))
-
-
-def scan_ranges(log: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Rows of the log inside each partition's [from, until) range."""
-    r = ranges.select(F.col("partition").alias("_p"), "from_offset", "until_offset")
-    return (log.join(F.broadcast(r), log["partition"] == r["_p"])
-            .where((F.col("offset") >= F.col("from_offset")) & (F.col("offset") < F.col("until_offset")))
-            .drop("_p", "from_offset", "until_offset"))
+        return log.groupBy("partition").agg(
+            F.min("offset").alias("from_offset"), (F.max("offset") + 1).alias("until_offset"))
+    known = [(r["partition"], r["offset"]) for r in positions.select("partition", "offset").collect()]
+    rest = ~F.col("partition").isin([p for p, _ in known])
+    for p, o in known:
+        rest = rest | _from_offset(log, p, o, block)
+    bounds = log.where(rest).groupBy("partition").agg(
+        F.min("offset").alias("earliest"), (F.max("offset") + 1).alias("latest"))
+    saved = positions.select("partition", F.col("offset").alias("saved"))
+    return bounds.join(saved, "partition", "full").select(
+        "partition", F.coalesce("saved", "earliest").alias("from_offset"), F.coalesce("latest", "saved").alias("until_offset"))
+
+
+def scan_ranges(log: DataFrame, ranges: DataFrame, block: int = LOG_BLOCK) -> DataFrame:
+    """Rows of the log inside each partition's [from, until) range.
+
+    ``ranges`` has one row per topic partition; they become literal
+    predicates, so folders and row groups outside them are not opened.
+    """
+    inside = F.lit(False)
+    for r in ranges.where("from_offset < until_offset").collect():
+        part = _from_offset(log, r["partition"], r["from_offset"], block) & (F.col("offset") < r["until_offset"])
+        inside = inside | (part & (F.col("block") < r["until_offset"]) if "block" in log.columns else part)
+    return log.where(inside).select("partition", "offset", "value")
 
 
 def scan(log: DataFrame, schema: T.StructType | str, positions: DataFrame | None = None) -> DataFrame:
-    """K4: full (or from-position) scan of a topic log, decoded."""
-    rows = scan_ranges(log, offset_ranges(log, positions))
+    """K4: full (or from-position) scan of a topic log, decoded; a full scan reads the log once."""
+    rows = log if positions is None else scan_ranges(log, offset_ranges(log, positions))
     return decode(rows, schema, keep=["partition", "offset"])
 
 
@@ -163,22 +191,31 @@ def create_log_view(spark: SparkSession, name: str, log_path: str, schema: T.Str
 class TopicPositions:
     """Saved read positions for one consumer of a topic log (K5, batch form).
 
-    Each committed scan writes a new numbered version of the positions
-    table; the latest version is the consumer's position.  A scan that fails
-    before :meth:`commit` leaves the old version in place.
+    The ranges of a scan are written before the scan reads them, and
+    :meth:`commit` turns just these into a new numbered version of the
+    positions; the latest version whose write ran to its end is the
+    consumer's position.  A scan that fails before :meth:`commit` leaves the
+    old version in place, and messages that arrive meanwhile wait for the
+    next scan.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path.rstrip("/")
         # a restarted consumer resumes from the last committed version
-        self.version = int(max_partition_value(spark, self.path, "v") or 0)
+        self.version = max(committed_values(spark, self.path, "v"), default=0)
 
     def current(self) -> DataFrame | None:
         if self.version == 0:
             return None
         return self.spark.read.schema("partition int, offset bigint").parquet(f"{self.path}/v={self.version}")
 
+    def fixed(self, ranges: DataFrame) -> DataFrame:
+        """``ranges`` as they are now, stored: later reads of them see the same numbers."""
+        path = f"{self.path}/planned/v={self.version + 1}"
+        ranges.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema("partition int, from_offset bigint, until_offset bigint").parquet(path)
+
     def commit(self, ranges: DataFrame) -> None:
         nxt = self.version + 1
         ranges.select("partition", F.col("until_offset").alias("offset")).write.mode("overwrite").parquet(
@@ -186,10 +223,10 @@ class TopicPositions:
         self.version = nxt
 
 
-def scan_incremental(log: DataFrame, positions: TopicPositions) -> tuple[DataFrame, DataFrame]:
-    """K5: rows after the saved position, and the ranges to commit once they are stored."""
-    ranges = offset_ranges(log, positions.current())
-    return scan_ranges(log, ranges), ranges
+def scan_incremental(log: DataFrame, positions: TopicPositions, block: int = LOG_BLOCK) -> tuple[DataFrame, DataFrame]:
+    """K5: rows after the saved position, and the (stored) ranges to commit once the rows are."""
+    ranges = positions.fixed(offset_ranges(log, positions.current(), block))
+    return scan_ranges(log, ranges, block), ranges
 
 
 # --------------------------------------------------------------------- K9 / K10
@@ -216,17 +253,14 @@ def rate_limited_ranges(ranges: DataFrame, secs: float, max_rate: int = 0, rate:
 
 
 def frequency_expand(df: DataFrame, message: str, count: str, piece: int = 1_000_000) -> DataFrame:
-    """A (message, n) row becomes n copies of the message, numbered 1..n.
+    """A (message, n) row becomes n copies of the message, numbered 1..n; none for a null or n below 1.
 
-    Counts above ``piece`` are first cut into pieces of at most ``piece``
-    copies, and the pieces are spread over tasks before they are expanded, so
-    one message asking for a third of all copies does not fall on one task.
+    Counts are cut into pieces of at most ``piece`` copies, and the pieces are
+    spread over tasks before they are expanded, so one message asking for a
+    third of all copies does not fall on one task.
     """
-    n = F.col(count).cast("int")
-    if (df.agg(F.max(n)).first()[0] or 0) <= piece:
-        copies = F.when(n >= 1, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-        return df.select(F.col(message).alias("message"), F.explode(copies).alias("copy_no"))
-    starts = F.when(n >= 1, F.sequence(F.lit(0), n - 1, F.lit(piece))).otherwise(F.array().cast("array<int>"))
+    n = F.col(count).cast("bigint")
+    starts = F.when(n >= 1, F.sequence(F.lit(0).cast("bigint"), n - 1, F.lit(piece).cast("bigint")))
     pieces = (df.select(F.col(message).alias("message"), n.alias("_n"), F.explode(starts).alias("_start"))
               .repartition("message", "_start"))
     upto = F.least(F.col("_start") + F.lit(piece), F.col("_n"))

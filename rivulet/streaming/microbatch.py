@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from rivulet.functions.lines import decode_columns, row_text, split_line
-from rivulet.session import max_partition_value
+from rivulet.functions.lines import decode_columns, ident, row_text, split_line
+from rivulet.session import committed_values
 from rivulet.sources.topics import _schema
 
 # Fixed value: the reference's micro-batch interval.  Its standing query was
@@ -88,13 +88,21 @@ def union_results(frames: list[DataFrame], schema: T.StructType | str | None = N
                   spark: SparkSession | None = None) -> DataFrame:
     """UNION ALL of queued results; no input gives an empty frame of ``schema``.
 
-    Union keeps each input's partitions as they are: no shuffle.
+    Results may have any columns: they unite by name, a column that a result
+    lacks is null in its rows, and one whose type differs between results is
+    text.  Union keeps each input's partitions as they are: no shuffle.
     """
     if not frames:
         if schema is None or spark is None:
             raise ValueError("an empty queue needs a schema and a session")
         return spark.createDataFrame([], schema)
-    return reduce(lambda a, b: a.unionByName(b), frames)
+    kinds: dict[str, set[str]] = {}
+    for f in frames:
+        for field_ in f.schema.fields:
+            kinds.setdefault(field_.name, set()).add(field_.dataType.simpleString())
+    mixed = {c for c, k in kinds.items() if len(k) > 1}
+    alike = [f.select(*[F.col(ident(c)).cast("string").alias(c) if c in mixed else F.col(ident(c)) for c in f.columns]) for f in frames]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), alike)
 
 
 @dataclass
@@ -132,30 +140,55 @@ class StandingSql:
 
     Each batch's new rows are the view ``view``; every queued SQL text runs
     on them and the results are unioned (with ``query_no``) and stored under
-    the batch id, overwriting on replay.  Texts submitted later apply from
-    the next batch on, as a standing query re-submitted each tick would.
+    the batch id, overwriting on replay.  Rows that arrive while no text is
+    queued are kept and handed to the first text, under their own batch ids.
+    Texts submitted later apply from the next batch on, as a standing query
+    re-submitted each tick would.
     """
 
     def __init__(self, view: str, out_path: str):
         self.view = view
         self.out = out_path.rstrip("/")
+        self.waiting = f"{self.out}-waiting"
         self.texts: list[str] = []
 
     def submit(self, sql_text: str) -> None:
         self.texts.append(sql_text)
 
+    def _run(self, batch: DataFrame, batch_id: int) -> None:
+        # every text reads the batch: decode it once
+        batch.persist()
+        try:
+            batch.createOrReplaceTempView(self.view)
+            session = batch.sparkSession
+            frames = [session.sql(t).withColumn("query_no", F.lit(i)) for i, t in enumerate(self.texts)]
+            union_results(frames).write.mode("overwrite").parquet(f"{self.out}/batch_id={batch_id}")
+        finally:
+            batch.unpersist()
+
+    def _run_waiting(self, spark: SparkSession) -> None:
+        done = set(committed_values(spark, self.out, "batch_id"))
+        for i in committed_values(spark, self.waiting, "batch_id"):
+            if i not in done:
+                self._run(spark.read.parquet(f"{self.waiting}/batch_id={i}"), i)
+
     def _on_batch(self, batch: DataFrame, batch_id: int) -> None:
         if not self.texts:
+            batch.write.mode("overwrite").parquet(f"{self.waiting}/batch_id={batch_id}")
             return
-        batch.createOrReplaceTempView(self.view)
-        session = batch.sparkSession
-        frames = [session.sql(t).withColumn("query_no", F.lit(i)) for i, t in enumerate(self.texts)]
-        union_results(frames).write.mode("overwrite").parquet(f"{self.out}/batch_id={batch_id}")
+        self._run_waiting(batch.sparkSession)
+        self._run(batch, batch_id)
 
     def start(self, stream: DataFrame, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+        if self.texts:
+            self._run_waiting(stream.sparkSession)
         w = stream.writeStream.foreachBatch(self._on_batch).option("checkpointLocation", checkpoint)
         return _trigger(w, available_now).start()
 
+    def results(self, spark: SparkSession) -> DataFrame:
+        """All stored results; batches whose texts gave other columns unite by name."""
+        return spark.read.option("mergeSchema", "true").parquet(self.out)
+
 
 # --------------------------------------------------------------------- M3 / M6
 @dataclass(frozen=True)
@@ -208,7 +241,7 @@ def append_text_sink(stream: DataFrame, columns: list[str], sink_path: str, chec
 
 # --------------------------------------------------------------------- M5
 class ResultBuffer:
-    """Per-batch results kept in a table; :meth:`drain` returns what is new and advances a mark.
+    """Per-batch results kept in a table; a drain returns what is new, its commit advances a mark.
 
     ``sink`` is a ``foreachBatch`` function.  It overwrites the folder of its
     batch id, so a replayed batch replaces rather than duplicates its rows.
@@ -219,12 +252,10 @@ class ResultBuffer:
         self.spark = spark
         self.path = path.rstrip("/")
         # a restarted reader resumes after the last recorded drain
-        last = max_partition_value(spark, f"{self.path}/marks", "drain_no")
-        self.drains = int(last or 0)
+        self.drains = max(committed_values(spark, f"{self.path}/marks", "drain_no"), default=0)
         self.mark = -1
-        if last is not None:
-            self.mark = int(spark.read.parquet(f"{self.path}/marks")
-                            .where(F.col("drain_no") == self.drains).first()["mark"])
+        if self.drains:
+            self.mark = int(spark.read.parquet(f"{self.path}/marks/drain_no={self.drains}").first()["mark"])
 
     def sink(self, batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{self.path}/rows/batch_id={batch_id}")
@@ -233,38 +264,39 @@ class ResultBuffer:
         w = stream.writeStream.foreachBatch(self.sink).option("checkpointLocation", checkpoint)
         return _trigger(w, available_now).start()
 
-    def _committed(self) -> DataFrame | None:
-        try:
-            return self.spark.read.parquet(f"{self.path}/rows")
-        except Exception as exc:  # nothing committed yet
-            if "PATH_NOT_FOUND" in str(exc) or "UNABLE_TO_INFER_SCHEMA" in str(exc):
-                return None
-            raise
-
-    def drain(self) -> DataFrame | None:
-        """Rows of batches committed since the last drain, tagged with the drain number."""
-        rows = self._committed()
-        if rows is None:
-            return None
+    def drain(self) -> tuple[DataFrame | None, int]:
+        """(rows, token): rows of finished batches past the mark, tagged with the number of this drain.
+
+        Rows are None if no batch has ever finished.  Until ``commit(token)``
+        the next drain returns the same rows again, so a consumer that fails
+        between the two loses nothing.
+        """
+        batches = committed_values(self.spark, f"{self.path}/rows", "batch_id")
+        if not batches:
+            return None, self.mark
+        new = [b for b in batches if b > self.mark]
+        reader = self.spark.read.option("basePath", f"{self.path}/rows")
+        rows = reader.parquet(*[f"{self.path}/rows/batch_id={b}" for b in new or batches[-1:]])
+        rows = rows if new else rows.where(F.lit(False))
+        return rows.withColumn("drain_no", F.lit(self.drains + 1)), max(self.mark, batches[-1])
+
+    def commit(self, token: int) -> None:
+        """Advance the mark to a drain's token, after its rows have been used."""
+        self.spark.createDataFrame([(token,)], "mark int") \
+            .write.mode("overwrite").parquet(f"{self.path}/marks/drain_no={self.drains + 1}")
         self.drains += 1
-        top = rows.agg(F.max("batch_id").alias("m")).first()["m"]  # reads only the folder-name column
-        new_mark = self.mark if top is None else max(self.mark, int(top))
-        out = rows.where((F.col("batch_id") > self.mark) & (F.col("batch_id") <= new_mark)) \
-            .withColumn("drain_no", F.lit(self.drains))
-        self.spark.createDataFrame([(new_mark,)], "mark int") \
-            .write.mode("overwrite").parquet(f"{self.path}/marks/drain_no={self.drains}")
-        self.mark = new_mark
-        return out
+        self.mark = token
 
 
 # --------------------------------------------------------------------- K5 on a topic folder
 class IncrementalTopicScan:
-    """Each :meth:`scan` returns the topic rows added since the previous scan.
+    """Each committed :meth:`scan` moves on; the next one returns the topic rows added since.
 
-    The consumer position is a streaming checkpoint: a scan runs the topic
-    stream once with ``availableNow`` into a per-batch result buffer and
-    drains what that run committed.  A new object on the same ``state_dir``
-    resumes where the last one stopped; a failed scan commits nothing.
+    The consumer position is a streaming checkpoint and a drain mark: a scan
+    runs the topic stream once with ``availableNow`` into a per-batch result
+    buffer and drains what is past the mark.  A new object on the same
+    ``state_dir`` resumes where the last one stopped; a scan that is not
+    committed is returned again.
     """
 
     def __init__(self, spark: SparkSession, topic_dir: str, schema: T.StructType | str, state_dir: str):
@@ -274,10 +306,23 @@ class IncrementalTopicScan:
         self.state = state_dir.rstrip("/")
         self.buffer = ResultBuffer(spark, f"{self.state}/results")
 
-    def scan(self) -> DataFrame:
+    def scan(self) -> tuple[DataFrame, int]:
+        """(rows since the last commit, token for :meth:`commit`)."""
         stream = topic_stream(self.spark, self.topic_dir, self.schema)
         run_to_end(self.buffer.start(stream, f"{self.state}/checkpoint"))
-        drained = self.buffer.drain()
+        drained, token = self.buffer.drain()
         if drained is None:
-            return self.spark.createDataFrame([], self.schema)
-        return drained.select(*self.schema.fieldNames())
+            return self.spark.createDataFrame([], self.schema), token
+        return drained.select(*self.schema.fieldNames()), token
+
+    def sql(self, view: str, text: str) -> tuple[DataFrame, int]:
+        """(result, token) of a SQL text in which ``view`` holds the topic's rows since the last commit.
+
+        The same SELECT, submitted again after a commit, sees only what has arrived since.
+        """
+        rows, token = self.scan()
+        rows.createOrReplaceTempView(view)
+        return self.spark.sql(text), token
+
+    def commit(self, token: int) -> None:
+        self.buffer.commit(token)

@@ -10,7 +10,9 @@ def test_entry_runs_flagship(spark):
 
 
 def test_every_query_is_callable_with_an_oracle():
+    from rivulet.plans import all_oracles, all_queries
     q, o = E.queries(), E.oracle_sql()
-    assert len(q) == 71 and set(q) == set(o)
+    own = all_queries()
+    assert len(own) == 73 and set(own) == set(all_oracles()) and set(own) <= set(q) and set(o) <= set(q)
     assert all(callable(f) for f in q.values())
     assert all(isinstance(sql, str) and sql.strip() for sql in o.values())

@@ -19,8 +19,13 @@ def test_map_elements_golden(spark):
     jvm = [r["y"] for r in D.map_elements(df, "x", lambda c: c - 1).orderBy(F.monotonically_increasing_id()).collect()]
     assert jvm == [0, 1, 2, 3, 4, 5, 7, 6, 8]
     # a pandas function takes the Arrow path
-    py = D.map_elements(df, "x", lambda s: s.map(lambda v: v - 1)).collect()
+    py = D.map_elements(df, "x", lambda s: s.map(lambda v: v - 1), pandas=True).collect()
     assert sorted(r["y"] for r in py) == [0, 1, 2, 3, 4, 5, 6, 7, 8]
+    # an error of the function is the caller's to see
+    with pytest.raises(ZeroDivisionError):
+        D.map_elements(df, "x", lambda c: 1 / 0)
+    with pytest.raises(TypeError, match="pandas=True"):
+        D.map_elements(df, "x", lambda c: 5)
 
 
 def test_union_all_bag_golden(spark):
@@ -124,8 +129,7 @@ def test_index_series_hot_group_spans_partitions(spark):
     # one group holds most rows; it must still get a dense 0..n-1 index
     df = spark.range(0, 20_000).select(F.when(F.col("id") % 10 < 8, F.lit(0)).otherwise(F.col("id") % 7)
                                        .alias("g"), F.col("id").alias("t"), (F.col("id") * 0.5).alias("v"))
-    idx = S.index_series(df, ["g"], ["t"], "v", hot_rows=1000)   # the hot group takes the ranged path
-    rows = idx.collect()
+    rows = S.index_series(df, ["g"], ["t"], "v").collect()
     by = {}
     for r in rows:
         by.setdefault(r["g"], []).append((r["t"], r["idx"]))
@@ -140,17 +144,51 @@ def test_sample_with_retry_first_landing_draw(spark):
     keys = spark.createDataFrame([(1,), (2,)], "k long")
     # key 1 draws 0.9, 0.8, ..., key 2 always 0.99 (never lands)
     draw = lambda j: F.when(F.col("k") == 1, F.lit(0.9) - j * 0.1).otherwise(F.lit(0.99))
-    got = {r["k"]: (r["draw_no"], r["sample_index"]) for r in S.sample_with_retry(keys, cums, None, draw).collect()}
+    got = {r["k"]: (r["draw_no"], r["sample_index"])
+           for r in S.sample_with_retry(keys, cums, None, draw, strict=False).collect()}
     assert got[1] == (4, 1)          # 0.9, 0.8, 0.7, 0.6 miss; 0.5 lands at index 1
     assert got[2] == (None, None)
+    with pytest.raises(Exception, match="no draw of 1000"):
+        S.sample_with_retry(keys, cums, None, draw).collect()
+
+
+def test_draws_that_are_null_unknown_or_too_large(spark):
+    cums = S.cumulative(spark.createDataFrame([(0, i, p) for i, p in enumerate([0.25] * 4)], "d int, i int, p double"), "d", "i", "p")
+    draws = [(1, 0, 0.25), (2, 0, 0.26), (3, 0, 1.0), (4, 0, None), (5, 9, 0.5), (6, 0, 1.1), (7, None, 0.5), (8, 0, 0.0)]
+    df = spark.createDataFrame(draws, "n int, d int, x double")
+    got = {r["n"]: (r["sample_index"], r["hit"]) for r in S.sample(df, cums, "d", "x", strict=False).collect()}
+    assert got == {1: (0, True), 2: (1, True), 3: (3, True), 4: (None, None), 5: (None, False), 6: (None, False),
+                   7: (None, False), 8: (0, True)}
+    for n, text in ((5, "unknown distribution"), (6, "exceeds")):
+        with pytest.raises(Exception, match=text):
+            S.sample(df.where(F.col("n") == n), cums, "d", "x").collect()
+    assert S.sample(df.where("n = 4"), cums, "d", "x").first()["sample_index"] is None
+
+
+def test_binary_search_agrees_with_a_scan_of_the_sums(spark):
+    for size in (1, 2, 3, 7, 8, 9, 64):
+        sums = [(i + 1) / size for i in range(size)]
+        draws = [x / 97 for x in range(100)] + sums
+        df = spark.createDataFrame([(sums, d) for d in draws], "c array<double>, d double")
+        got = [r[0] for r in df.select(S._first_at_least(F.col("c"), F.col("d"))).collect()]
+        assert got == [sum(c < d for c in sums) for d in draws]
+
+
+def test_forecast_across_blocks_and_short_series(spark, monkeypatch):
+    monkeypatch.setattr(S, "LAG_BLOCK", 4)
+    rows = [("a", t, 2.0 * t + 1) for t in range(23)] + [("b", 0, 5.0), ("c", 0, 1.0), ("c", 1, None), ("c", 2, 3.0), (None, 0, 1.0), (None, 1, 2.0)]
+    got = {r["g"]: r for r in S.ar1_forecast(spark.createDataFrame(rows, "g string, t int, v double"), ["g"], ["t"], "v").collect()}
+    assert (got["a"]["n_pairs"], round(got["a"]["slope"], 9), round(got["a"]["forecast"], 9)) == (22, 1.0, 47.0)
+    assert (got["b"]["n_pairs"], got["b"]["last_value"], got["b"]["forecast"]) == (0, 5.0, None)
+    assert got["c"]["n_pairs"] == 2 and got[None]["n_pairs"] == 1
 
 
 def test_index_within_groups_multi_key_and_nulls(spark):
     from rivulet.functions.indexing import index_within_groups
     rows = [(a, b, t) for a in (None, 1, 2) for b in (None, "x") for t in range(50)]
     df = spark.createDataFrame(rows, "a int, b string, t int")
-    for hot_rows in (0, 10_000):                 # all groups ranged / all groups windowed
-        out = index_within_groups(df, ["a", "b"], ["t"], num_partitions=7, hot_rows=hot_rows).collect()
+    for n in (1, 7):
+        out = index_within_groups(df, ["a", "b"], ["t"], num_partitions=n).collect()
         assert len(out) == len(rows)
         for r in out:
             assert r["idx"] == r["t"]
@@ -163,18 +201,43 @@ def test_running_total_matches_window(spark):
                                      (F.col("id") % 7).alias("v"))
     w = Window.partitionBy("g").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     want = {(r["g"], r["t"]): r["run"] for r in df.withColumn("run", F.sum("v").over(w)).collect()}
-    for hot_rows in (0, 900, 10_000):
-        got = {(r["g"], r["t"]): r["run"]
-               for r in running_total(df, ["g"], ["t"], "v", "run", 5, hot_rows=hot_rows).collect()}
+    for n in (1, 5):
+        got = {(r["g"], r["t"]): r["run"] for r in running_total(df, ["g"], ["t"], "v", "run", n).collect()}
         assert got == want
-        glob = running_total(df, [], ["t"], "v", "run", 4, hot_rows=hot_rows).orderBy("t").collect()
+        glob = running_total(df, [], ["t"], "v", "run", n).orderBy("t").collect()
         assert glob[-1]["run"] == sum(i % 7 for i in range(3000))
 
 
-def test_accumulating_counts_many_batches_path(spark, monkeypatch):
-    monkeypatch.setattr(D, "WINDOW_ROWS", 10)
-    got = D.accumulating_counts(spark.range(0, 1000), F.expr("id div 10")).orderBy("batch").collect()
-    assert [r["running_rows"] for r in got] == [10 * (i + 1) for i in range(100)]
+@pytest.mark.parametrize("partitions", [1, 3, 16])
+def test_index_keeps_keys_values_and_groups_apart(spark, partitions):
+    """Keys beyond 2^53, a nullable bigint that is only carried, NaN and infinity, and a group of huge values before small ones."""
+    from rivulet.functions.indexing import index_within_groups, running_total
+    big = 2 ** 53
+    rows = [(big, 0, 9007199254740993, 1e16), (big, 1, None, 1.0), (big + 1, 0, 9007199254740995, 1.0),
+            (big + 1, 1, None, 1.0), (None, 0, 7, float("nan")), (None, 1, None, float("inf")), (3, 0, 8, None)]
+    df = spark.createDataFrame(rows, "g long, t int, carried long, v double")
+    got = {(r["g"], r["t"]): (r["idx"], r["carried"]) for r in index_within_groups(df, ["g"], ["t"], num_partitions=partitions).collect()}
+    assert got == {(g, t): (t, c) for g, t, c, _ in rows}
+    sums = {(r["g"], r["t"]): r["run"] for r in running_total(df, ["g"], ["t"], "v", "run", partitions).collect()}
+    assert sums[(big + 1, 0)] == 1.0 and sums[(big + 1, 1)] == 2.0 and sums[(big, 1)] == 1e16 + 1.0
+    assert sums[(None, 0)] != sums[(None, 0)] and sums[(None, 1)] != sums[(None, 1)] and sums[(3, 0)] == 0.0
+
+
+def test_index_from_another_working_folder(tmp_path):
+    """The workers need no copy of this package."""
+    import os
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (f"import sys; sys.path.insert(0, {root!r})\n"
+            "from rivulet.session import get_session\n"
+            "from rivulet.functions.indexing import index_within_groups\n"
+            "s = get_session('local[2]', 2)\n"
+            "df = s.range(50).selectExpr('id % 3 AS g', 'id AS t')\n"
+            "print('TOP', index_within_groups(df, ['g'], ['t']).agg({'idx': 'max'}).first()[0])\n")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "TOP 16" in out.stdout, out.stderr[-2000:]
 
 
 def test_rule_values_compare_like_boxed_numbers(spark):
@@ -210,35 +273,25 @@ def test_hot_group_is_spread_over_partitions(spark):
     hot_parts = ranged.where("g = -1").select("_pid").distinct().count()
     assert hot_parts >= 2
     assert max(sizes) < 2 * (30_000 / 8)
-    idx = indexing.index_within_groups(df, ["g"], ["t"], num_partitions=8, hot_rows=100).where("g = -1")
+    idx = indexing.index_within_groups(df, ["g"], ["t"], num_partitions=8).where("g = -1")
     assert idx.agg(F.max("idx")).first()[0] == 9_999
 
 
-def test_rank_within_groups_hot_path_matches_windows(spark):
-    from pyspark.sql import Window
-    from rivulet.functions.indexing import rank_within_groups
-    rows = [(g, p, k) for g in (1, 2, None) for k, p in enumerate([5.0, 3.0, 3.0, 9.0, 1.0, 3.0, 9.0])]
-    df = spark.createDataFrame(rows, "g int, p double, k long")
-    w = Window.partitionBy("g").orderBy(F.col("p").desc(), "k")
-    w2 = Window.partitionBy("g").orderBy(F.col("p").desc())
-    want = {(r["g"], r["k"]): (r["rn"], r["rnk"], r["drnk"], r["prev"]) for r in df.select(
-        "g", "k", F.row_number().over(w).alias("rn"), F.rank().over(w2).alias("rnk"),
-        F.dense_rank().over(w2).alias("drnk"), F.lag("p").over(w).alias("prev")).collect()}
-    for hot_rows in (0, 100):
-        # ties on p: rank/dense_rank follow p only; row_number and lag break ties by k
-        got = rank_within_groups(df, ["g"], [("p", False)], lag_col="p", hot_rows=hot_rows)
-        got = {(r["g"], r["k"]): (r["rn"], r["rnk"], r["drnk"], r["prev"]) for r in got.collect()}
-        assert {k: v[1:3] for k, v in got.items()} == {k: v[1:3] for k, v in want.items()}
-        # row_number/lag among ties follow the remaining columns (k here)
-        assert {k: (v[0], v[3]) for k, v in got.items()} == {k: (v[0], v[3]) for k, v in want.items()}
-
-
-def test_running_total_keeps_index_on_both_paths(spark):
+def test_window_frame_sums_each_frame_by_itself(spark, tmp_path):
+    """A huge value leaves the frame without a trace."""
+    from rivulet.plans.q_passthrough import pt_window_frame
+    import datetime
+    rows = [(i, 1, datetime.datetime(2024, 1, 1, 0, i), v) for i, v in enumerate([1e16, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0])]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz, value double").write.parquet(str(tmp_path / "events.parquet"))
+    got = {r["event_id"]: r["moving_sum_cents"] for r in pt_window_frame(spark, str(tmp_path)).collect()}
+    assert [got[i] for i in (4, 5, 6)] == [400, 400, 400]
+
+
+def test_running_total_keeps_index(spark):
     from rivulet.functions.indexing import running_total
     df = spark.range(0, 500).select((F.col("id") % 2).alias("g"), F.col("id").alias("t"), F.lit(1).alias("one"))
-    for hot_rows in (0, 10_000):
-        out = running_total(df, ["g"], ["t"], "one", "run", hot_rows=hot_rows, index_name="i").collect()
-        assert all(r["run"] == r["i"] + 1 for r in out)
+    out = running_total(df, ["g"], ["t"], "one", "run", index_name="i").collect()
+    assert len(out) == 500 and all(r["run"] == r["i"] + 1 for r in out)
 
 
 def test_running_total_several_columns_with_nulls(spark):
@@ -246,7 +299,86 @@ def test_running_total_several_columns_with_nulls(spark):
     rows = [(1, t, None if t % 3 == 0 else float(t)) for t in range(40)]
     df = spark.createDataFrame(rows, "g int, t int, v double").withColumn(
         "has", F.col("v").isNotNull().cast("int"))
-    for hot_rows in (0, 1000):
-        out = running_total(df, ["g"], ["t"], ["v", "has"], ["rv", "rn"], hot_rows=hot_rows).orderBy("t").collect()
-        assert [r["rn"] for r in out] == [sum(1 for x in range(t + 1) if x % 3) for t in range(40)]
-        assert [r["rv"] for r in out] == [float(sum(x for x in range(t + 1) if x % 3)) for t in range(40)]
+    out = running_total(df, ["g"], ["t"], ["v", "has"], ["rv", "rn"]).orderBy("t").collect()
+    assert [r["rn"] for r in out] == [sum(1 for x in range(t + 1) if x % 3) for t in range(40)]
+    assert [r["rv"] for r in out] == [float(sum(x for x in range(t + 1) if x % 3)) for t in range(40)]
+
+
+def test_group_list_with_one_repeated_value(spark):
+    df = spark.range(0, 900).select(F.lit("k").alias("k"), F.lit(5).alias("v"))
+    out = D.group_list(df, F.col("k"), "v", piece_rows=100).collect()
+    assert sorted((r["piece"], len(r["values"])) for r in out) == [(i, 100) for i in range(9)]
+
+
+def _singles(spark, rules):
+    """rules: {id: (key, [(name, vtype, value)])}"""
+    r = spark.createDataFrame([(k, "single", v[0]) for k, v in rules.items()], "rule_id string, kind string, key int")
+    f = spark.createDataFrame([(k, i, *x) for k, v in rules.items() for i, x in enumerate(v[1])],
+                              "rule_id string, pos int, name string, vtype string, value string")
+    return r, f
+
+
+def test_rule_equality_with_separators_bad_values_and_nulls(spark):
+    r, f = _singles(spark, {
+        "a": (0, [("a", "str", "1;b=s:2")]), "b": (0, [("a", "str", "1"), ("b", "str", "2")]),
+        "c": (0, [("x", "int", "oops")]), "d": (0, [("x", "int", "99999999999999999999")]), "e": (0, [("x", "str", None)]),
+        "f": (0, [("x", "int", None)]), "g": (0, [("x", "int", "oops")]), "h": (0, []), "i": (None, []), "j": (0, []),
+        "k": (0, [("x", "str", "oops")])})
+    got = {x["rule_id"]: (x["class_id"], x["class_size"]) for x in R.equality_classes(r, f).collect()}
+    assert got == {"a": ("a", 1), "b": ("b", 1), "c": ("c", 2), "d": ("d", 1), "e": ("e", 2), "f": ("e", 2), "g": ("c", 2),
+                   "h": ("h", 2), "i": ("i", 1), "j": ("h", 2), "k": ("k", 1)}
+
+
+def test_rule_paths_of_any_position(spark):
+    rules = spark.createDataFrame([("root", "multi", 0), ("m", "multi", 0)] + [(x, "single", 0) for x in "abcdz"], "rule_id string, kind string, key int")
+    children = spark.createDataFrame(
+        [("root", 1234567890124, "b"), ("root", 1234567890123, "a"), ("root", -1, "d"), ("root", -2, "c"), ("root", 5, "m"), ("m", 0, "a")],
+        "parent_id string, pos long, child_id string")
+    flat = R.flatten(rules, children)
+    assert [(r["root_id"], r["leaf_id"], list(r["path"])) for r in flat.orderBy("root_id", "path").collect()] == [
+        ("root", "c", [-2]), ("root", "d", [-1]), ("root", "a", [5, 0]), ("root", "a", [1234567890123]),
+        ("root", "b", [1234567890124]), ("z", "z", [])]
+
+
+def test_single_rule_as_root_is_its_own_leaf(spark):
+    rules, _factors, children = _golden_rules(spark)
+    roots = spark.createDataFrame([("r1",), ("m1",)], "rule_id string")
+    got = [(r["root_id"], r["leaf_id"], r["depth"]) for r in R.flatten(rules, children, roots).orderBy("root_id", "path").collect()]
+    assert got == [("m1", "r1", 1), ("m1", "r2", 1), ("m1", "r3", 1), ("r1", "r1", 0)]
+
+
+def test_deep_rule_chain(spark):
+    n = 25
+    rules = spark.createDataFrame([(f"m{i}", "multi", 0) for i in range(n)] + [("s", "single", 0)], "rule_id string, kind string, key int")
+    children = spark.createDataFrame([(f"m{i}", 0, f"m{i + 1}") for i in range(n - 1)] + [(f"m{n - 1}", 0, "s")], "parent_id string, pos long, child_id string")
+    got = R.flatten(rules, children).collect()
+    assert [(r["root_id"], r["leaf_id"], r["depth"]) for r in got] == [("m0", "s", n)]
+
+
+def test_match_all_checks_every_factor(spark):
+    r, f = _singles(spark, {
+        "all": (0, [("x", "int", "1"), ("y", "str", "u")]), "same": (0, [("x", "int", "1"), ("x", "int", "1")]),
+        "never": (0, [("x", "int", "1"), ("y", "str", None)]), "absent": (0, [("x", "int", "1"), ("z", "int", "1")]),
+        "any": (1, [("x", "int", "1"), ("y", "str", "u")]), "both": (0, [("x", "int", "1"), ("x", "int", "2")])})
+    rec = R.unpivot_records(spark.createDataFrame([(1, 1, "u"), (2, 1, "v"), (3, None, "u"), (4, 2, None)], "id long, x int, y string"),
+                            "id", {"x": (F.col("x"), "int"), "y": (F.col("y"), "str")})
+    got = sorted((x["rule_id"], x["record_id"]) for x in R.match_rules(rec, r, f).collect())
+    assert got == [("all", 1), ("any", 1), ("any", 2), ("any", 3), ("same", 1), ("same", 2)]
+
+
+def test_result_json_of_an_empty_result(spark):
+    import json
+    from rivulet.operators import service as V
+    rows = V.json_chunks(spark.range(5).where("id > 9"), ["id"]).collect()
+    assert [(r["chunk_no"], json.loads(r["json"])) for r in rows] == [(0, {"msg": "get result succeed", "resultCode": 0})]
+    rows = V.json_chunks(spark.range(5), ["id"], chunk_rows=2).orderBy("chunk_no").collect()
+    assert [json.loads(r["json"])["data"] for r in rows] == [["[0]", "[1]"], ["[2]", "[3]"], ["[4]"]]
+
+
+def test_error_text_is_whole(spark):
+    import json
+    from rivulet.operators import service as V
+    name = "missing_" + "x" * 900
+    df, resp = V.try_sql(spark, f"SELECT {name} FROM range(1)")
+    msg = json.loads(resp.first()["json"])["msg"]
+    assert df is None and name in msg and msg.count("\n") >= 1

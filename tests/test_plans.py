@@ -45,33 +45,68 @@ def test_bucketed_join_has_no_exchange(spark, sf_dir):
     assert "Exchange" not in plan, plan
 
 
-def test_large_in_becomes_broadcast_semi_join(spark, sf_dir):
+def test_bucketed_write_has_one_file_per_bucket(spark):
+    df = spark.range(0, 10_000, 1, 6).selectExpr("id AS k", "id * 2 AS v")
+    path, name = work_dir(spark, "one_file"), tables.unique_table_name("one_file")
+    t = tables.write_bucketed(df, name, path, 4, "k", "k")
+    assert t.select(F.count_distinct(F.col("_metadata.file_path"))).first()[0] == 4 and t.count() == 10_000
+
+
+def test_rewrite_makes_few_files_per_key(spark):
+    old = work_dir(spark, "few_old")
+    df = spark.range(0, 5000, 1, 8).selectExpr("id AS value", "CAST(id % 5 AS INT) AS key")
+    tables.write_partitioned(df, old, "key")
+    tables.register_view(tables.read_table(spark, old), "few_files")
+    fresh = tables.union_distinct_rewrite(spark, "few_files", df.selectExpr("value + 10 AS value", "key"), work_dir(spark, "few_new"), ["key"])
+    files = fresh.groupBy("key").agg(F.count_distinct(F.col("_metadata.file_path")).alias("n")).collect()
+    assert len(files) == 5 and max(r["n"] for r in files) <= 2
+
+
+def test_large_in_runs_the_key_side_once(spark, sf_dir):
     from rivulet.plans.q_tables import large_in_semi_join
     df = large_in_semi_join(spark, sf_dir)
     df.collect()
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan and "LeftSemi" in plan
-
-
-def test_hot_series_take_the_ranged_path(spark, sf_dir):
-    """Series above the hot limit never meet a row-level window (one task per series)."""
-    from rivulet.operators import series as S
-    from rivulet.session import table
-    df = S.index_series(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "value", hot_rows=0)
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    # hot rows are numbered per range partition and offset by a window over per-partition counts;
-    # the row-level window only sees rows of groups not marked hot
-    assert "RepartitionByExpression" in plan or "LogicalRDD" in plan
-    assert "isnull(_hot" in plan and "_hot#" in plan
-    assert "sum(_n" in plan
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "LeftSemi" in plan and "Aggregate" not in plan
+    assert plan.count("orders.parquet") == 1
 
 
-def test_ordinary_series_use_a_plain_window(spark, sf_dir):
+def test_series_index_takes_no_python_and_no_single_task(spark, sf_dir):
     from rivulet.operators import series as S
     from rivulet.session import table
     df = S.index_series(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "value")
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    assert "row_number()" in plan and "MapInPandas" not in plan
+    plan = df._jdf.queryExecution().toString()
+    assert "row_number()" in plan and "Pandas" not in plan and "Python" not in plan and "SinglePartition" not in plan
+
+
+def test_incremental_scan_opens_only_new_folders(spark):
+    from rivulet.sources import topics
+    path = work_dir(spark, "pruned_log")
+    log = lambda lo, hi: spark.range(lo, hi).selectExpr("CAST(id % 2 AS INT) AS partition", "id div 2 AS offset", "concat(id, '\tn\t1') AS value")
+    topics.write_log(log(0, 400), path, block=50)
+    positions = topics.TopicPositions(spark, work_dir(spark, "pruned_pos"))
+    rows, ranges = topics.scan_incremental(topics.read_log(spark, path), positions, 50)
+    assert rows.count() == 400
+    topics.write_log(log(400, 500), path, block=50)      # arrives before the commit: belongs to the next scan
+    positions.commit(ranges)
+    rows, ranges = topics.scan_incremental(topics.read_log(spark, path), positions, 50)
+    plan = _plan(rows)
+    assert "block#" in plan.split("PartitionFilters: [")[1].split("PushedFilters")[0]
+    assert "offset" in plan.split("PushedFilters: [")[1].split("ReadSchema")[0]
+    # both topic partitions had 200 messages: only the folders from 200 on are opened
+    assert {f.split("block=")[1].split("/")[0] for f in rows.inputFiles()} == {"0", "50", "100", "150", "200"}
+    rows.collect()
+    files = rows._jdf.queryExecution().executedPlan().collectLeaves().head().metrics().apply("numFiles").value()
+    assert files == 2
+    assert sorted(r["offset"] for r in rows.where("partition = 0").collect()) == list(range(200, 250))
+    positions.commit(ranges)
+    assert topics.scan_incremental(topics.read_log(spark, path), positions, 50)[0].count() == 0
+
+
+def test_full_scan_reads_the_log_once(spark, sf_dir):
+    from rivulet.plans.q_topics import topic_scan
+    plan = _plan(topic_scan(spark, sf_dir))
+    assert plan.count("FileScan") == 1 and "Exchange" not in plan
 
 
 def test_topic_decode_stays_in_codegen(spark, sf_dir):

@@ -33,12 +33,15 @@ def test_rerun_without_new_files_commits_nothing(spark, sf_dir):
 def test_result_buffer_drains_once(spark, sf_dir):
     topic_dir, ckpt = work_dir(spark, "t"), work_dir(spark, "ckpt")
     buf = mb.ResultBuffer(spark, work_dir(spark, "buf"))
-    assert buf.drain() is None
+    assert buf.drain()[0] is None
     _add(spark, sf_dir, topic_dir, 0)
     mb.run_to_end(buf.start(mb.topic_stream(spark, topic_dir, fx.PART_TOPIC_SCHEMA), ckpt))
-    first = buf.drain().count()
-    assert first == fx.part_rows(spark, sf_dir).where(F.col("id") % 3 == 0).count()
-    assert buf.drain().count() == 0
+    want = fx.part_rows(spark, sf_dir).where(F.col("id") % 3 == 0).count()
+    assert buf.drain()[0].count() == want
+    rows, token = buf.drain()              # the consumer of the first drain failed: nothing is lost
+    assert rows.count() == want
+    buf.commit(token)
+    assert buf.drain()[0].count() == 0
 
 
 def test_result_queue_union_and_empty(spark, sf_dir):
@@ -64,10 +67,13 @@ def test_result_buffer_mark_survives_restart(spark, sf_dir):
     buf = mb.ResultBuffer(spark, path)
     _add(spark, sf_dir, topic_dir, 0)
     mb.run_to_end(buf.start(mb.topic_stream(spark, topic_dir, fx.PART_TOPIC_SCHEMA), ckpt))
-    assert buf.drain().count() > 0
+    rows, token = buf.drain()
+    assert rows.count() > 0
+    assert mb.ResultBuffer(spark, path).drain()[0].count() == rows.count()
+    buf.commit(token)
     again = mb.ResultBuffer(spark, path)
     assert (again.drains, again.mark) == (1, 0)
-    assert again.drain().count() == 0
+    assert again.drain()[0].count() == 0
 
 
 def test_live_trigger_processes_available(spark, sf_dir):
@@ -103,12 +109,14 @@ def test_incremental_topic_scan_returns_only_new_rows(spark, sf_dir):
     topic_dir, state = work_dir(spark, "t"), work_dir(spark, "state")
     inc = mb.IncrementalTopicScan(spark, topic_dir, fx.PART_TOPIC_SCHEMA, state)
     _add(spark, sf_dir, topic_dir, 0)
-    first = inc.scan().count()
-    assert first == fx.part_rows(spark, sf_dir).where(F.col("id") % 3 == 0).count()
-    assert inc.scan().count() == 0
+    inc.scan()                                 # a scan whose rows are never used
+    first, token = mb.IncrementalTopicScan(spark, topic_dir, fx.PART_TOPIC_SCHEMA, state).scan()
+    assert first.count() == fx.part_rows(spark, sf_dir).where(F.col("id") % 3 == 0).count()
+    inc.commit(token)
+    assert inc.scan()[0].count() == 0
     _add(spark, sf_dir, topic_dir, 1)
     again = mb.IncrementalTopicScan(spark, topic_dir, fx.PART_TOPIC_SCHEMA, state)   # a restarted reader
-    got = again.scan()
+    got, _ = again.scan()
     assert got.count() == fx.part_rows(spark, sf_dir).where(F.col("id") % 3 == 1).count()
     assert got.where(F.col("id") % 3 != 1).count() == 0
 
@@ -147,3 +155,50 @@ def test_union_standing_conditions(spark, sf_dir):
                   .trigger(availableNow=True).start(sink))
     rows = fx.part_rows(spark, sf_dir).where("id % 3 = 2")
     assert spark.read.parquet(sink).count() == rows.where("age < 5 OR age > 45").count()
+
+
+def test_first_text_sees_rows_that_came_before_it(spark, sf_dir):
+    topic_dir, out, ckpt = work_dir(spark, "t"), work_dir(spark, "out"), work_dir(spark, "ckpt")
+    standing = mb.StandingSql("late", out)
+    run = lambda: mb.run_to_end(standing.start(mb.topic_stream(spark, topic_dir, fx.PART_TOPIC_SCHEMA), ckpt))
+    _add(spark, sf_dir, topic_dir, 0)
+    run()                                      # no text yet
+    standing.submit("SELECT id FROM late")
+    _add(spark, sf_dir, topic_dir, 1)
+    run()
+    got = sorted(r["id"] for r in standing.results(spark).collect())
+    assert got == sorted(r["id"] for r in fx.part_rows(spark, sf_dir).where("id % 3 < 2").collect())
+
+
+def test_waiting_rows_need_no_new_file(spark, sf_dir):
+    topic_dir, out, ckpt = work_dir(spark, "t"), work_dir(spark, "out"), work_dir(spark, "ckpt")
+    standing = mb.StandingSql("late2", out)
+    run = lambda: mb.run_to_end(standing.start(mb.topic_stream(spark, topic_dir, fx.PART_TOPIC_SCHEMA), ckpt))
+    _add(spark, sf_dir, topic_dir, 0)
+    run()
+    standing.submit("SELECT id FROM late2")
+    run()
+    run()
+    assert standing.results(spark).count() == fx.part_rows(spark, sf_dir).where("id % 3 = 0").count()
+
+
+def test_results_of_different_columns_unite(spark, sf_dir):
+    fx.part_rows(spark, sf_dir).createOrReplaceTempView("test_mix")
+    q = mb.ResultQueue(spark, fx.PART_TOPIC_SCHEMA)
+    q.submit("SELECT id FROM test_mix WHERE age = 25")
+    q.submit("SELECT id, name AS b FROM test_mix WHERE age = 25")
+    q.submit("SELECT 'text' AS id")
+    b = q.next_batch()
+    n = fx.part_rows(spark, sf_dir).where("age = 25").count()
+    assert b.count() == 2 * n + 1 and dict(b.dtypes)["id"] == "string"
+    assert b.where("query_no = 0 AND b IS NULL").count() == n == b.where("query_no = 1 AND b IS NOT NULL").count()
+
+    topic_dir, out, ckpt = work_dir(spark, "t"), work_dir(spark, "out"), work_dir(spark, "ckpt")
+    standing = mb.StandingSql("mix", out)
+    standing.submit("SELECT id FROM mix")
+    standing.submit("SELECT age, count(*) AS n FROM mix GROUP BY age")
+    _add(spark, sf_dir, topic_dir, 0)
+    mb.run_to_end(standing.start(mb.topic_stream(spark, topic_dir, fx.PART_TOPIC_SCHEMA), ckpt))
+    got = standing.results(spark)
+    rows = fx.part_rows(spark, sf_dir).where("id % 3 = 0")
+    assert got.where("query_no = 0").count() == rows.count() == got.agg(F.sum("n")).first()[0]

@@ -73,3 +73,36 @@ def test_topic_save_modes_on_new_topic(spark):
         path = work_dir(spark, f"new_topic_{mode}")
         topics.write_topic(rows, path, mode=mode)      # an absent topic is created in every mode
         assert spark.read.text(path).count() == 1
+
+
+def test_static_partition_literals():
+    import datetime as dt
+    import decimal
+    lit = tables.sql_literal
+    assert [lit(x) for x in (None, True, 3, "o'x\\", dt.date(2024, 1, 2), decimal.Decimal("1.50"))] == [
+        "NULL", "true", "3", "'o\\'x\\\\'", "DATE '2024-01-02'", "1.50BD"]
+    with pytest.raises(TypeError):
+        lit([1])
+
+
+def test_insert_into_a_text_partition_with_quotes(spark):
+    path = work_dir(spark, "kv_text")
+    tables.write_partitioned(spark.createDataFrame([("a", "x")], "value string, key string"), path, "key")
+    tables.create_file_view(spark, "kv_text", path)
+    tables.insert_static_partition(spark, "kv_text", {"key": "o'clock"}, "SELECT 'b'")
+    assert sorted(tuple(r) for r in spark.table("kv_text").collect()) == [("a", "x"), ("b", "o'clock")]
+
+
+def test_work_folders_need_a_shared_folder_off_local(monkeypatch):
+    from rivulet import session
+
+    class Context:
+        master = "spark://host:7077"
+        getConf = staticmethod(lambda: {})
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.work_dir(Session, "x")

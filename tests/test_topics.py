@@ -150,6 +150,49 @@ def test_split_drops_trailing_empty_fields_like_the_jvm(spark):
     assert [r["f"] for r in got] == [["a", "", "b"], [], [""], ["a"]]
 
 
+def test_half_written_positions_do_not_count(spark, tmp_path):
+    log = spark.createDataFrame([(0, i, f"{i}\tn\t{i}") for i in range(4)], topics.LOG_SCHEMA)
+    path = str(tmp_path / "pos3")
+    pos = topics.TopicPositions(spark, path)
+    _rows, ranges = topics.scan_incremental(log, pos)
+    pos.commit(ranges)
+    spark.range(1).write.parquet(f"{path}/v=2")
+    import os
+    os.remove(f"{path}/v=2/_SUCCESS")
+    assert topics.TopicPositions(spark, path).version == 1
+
+
+def test_commit_takes_the_ranges_that_were_scanned(spark, tmp_path):
+    """A source that moves between scan and commit: what arrived meanwhile is read next."""
+    path = str(tmp_path / "moving")
+    make = lambda lo, hi: spark.createDataFrame([(0, i, f"{i}\tn\t{i}") for i in range(lo, hi)], topics.LOG_SCHEMA)
+    topics.write_log(make(0, 4), path)
+    pos = topics.TopicPositions(spark, str(tmp_path / "pos4"))
+    moving = lambda: topics.read_log(spark, path)
+    rows, ranges = topics.scan_incremental(moving(), pos)
+    topics.write_log(make(4, 9), path)
+    pos.commit(ranges)
+    rows, _ = topics.scan_incremental(moving(), pos)
+    assert sorted(r["offset"] for r in rows.collect()) == [4, 5, 6, 7, 8]
+
+
+def test_insert_overwrite_replaces_the_topic(spark, tmp_path):
+    path = str(tmp_path / "topic_ow")
+    topics.write_topic(spark.createDataFrame([(2, "a", 30)], SCHEMA), path)
+    topics.create_topic_view(spark, "topic_ow", SCHEMA, path)
+    spark.sql("INSERT OVERWRITE TABLE topic_ow VALUES (1, 'amy', 25)")
+    assert [tuple(r) for r in spark.sql("SELECT * FROM topic_ow").collect()] == [(1, "amy", 25)]
+
+
+def test_frequency_beyond_32_bits_is_planned(spark):
+    df = spark.createDataFrame([("a", 3_000_000_000), ("b", None)], "m string, n long")
+    out = topics.frequency_expand(df, "m", "n", piece=1_000_000_000)
+    assert dict(out.dtypes)["copy_no"] == "bigint"
+    top = spark.createDataFrame([("a", 2**31 + 3)], "m string, n long")
+    last = topics.frequency_expand(top, "m", "n", piece=2**31).where(F.col("copy_no") > 2**31)
+    assert "copy_no" in last.columns
+
+
 def test_log_view_sql(spark, tmp_path):
     path = str(tmp_path / "log")
     spark.createDataFrame([(0, 0, "1\ta\t20"), (1, 0, "2\tb\t25"), (0, 1, "3\tc\t25")], topics.LOG_SCHEMA) \
