@@ -9,12 +9,14 @@ all weights are learnt from labelled rows.
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
@@ -46,16 +48,45 @@ def _stems(text: str) -> set[str]:
     return out
 
 
-def learn_stems(toxic: list[str], clean: list[str], support: int = 3, least_odds: float = 3.0) -> dict[str, float]:
-    """Stems of insults with their log odds, by greedy cover of the toxic texts.
+def _apart(texts: list[str], sketch: int = 5) -> list[str]:
+    """The texts without near copies of earlier ones: two of the ``sketch`` least hashes of their 4-word shingles in common."""
+    seen: set[int] = set()
+    out = []
+    for t in texts:
+        words = t.lower().split()
+        shingles = {xxhash.xxh64_intdigest(" ".join(words[i : i + 4])) for i in range(max(1, len(words) - 3))}
+        least = heapq.nsmallest(sketch, shingles)
+        if sum(h in seen for h in least) < min(2, len(least)):
+            seen.update(least)
+            out.append(t)
+    return out
+
+
+def _surprise(n_toxic: int, n_clean: int, toxic: int, clean: int) -> float:
+    """Log likelihood ratio of a stem that is as frequent as seen against one that is equally frequent in both."""
+    n, p, share = n_toxic + n_clean, n_toxic / (n_toxic + n_clean), toxic / (toxic + clean)
+    return n_toxic * math.log(p / share) + (n_clean * math.log((1 - p) / (1 - share)) if n_clean else 0.0)
 
-    A stem qualifies if it stands in ``support`` toxic texts and its smoothed
-    log odds are ``least_odds`` or more.  Each round takes the stem that
-    covers most uncovered texts (then the one with the higher odds, then the
-    longer), so words that only accompany an insult, as in copies of one
-    text, are not learnt.
+
+def learn_stems(toxic: list[str], clean: list[str], support: int = 3, least_odds: float = 3.0, least_surprise: float = 21.0) -> dict[str, float]:
+    """Stems of insults with their log odds.
+
+    Near copies count once, so the words that only accompany an insult in
+    copies of one text are as rare as they ought to be.  A stem qualifies if
+    it stands in ``support`` toxic texts, has smoothed log odds of
+    ``least_odds`` or more and hardly occurs in clean texts.  Those that
+    chance cannot explain (a likelihood ratio of ``least_surprise``, one in
+    10^9) are all learnt; the others only if they cover ``support`` toxic
+    texts that no learnt stem covers, the best covering first.  Of nested
+    stems the one that chance explains least is learnt, or the longest
+    one that is almost as telling.
     """
-    found = [_stems(t) for t in toxic]
+    toxic, clean = _apart(toxic), _apart(clean)
+    # A table of counts by hash leaves the many stems out that are too rare, before any is kept.
+    often = np.zeros(1 << 22, np.int32)
+    for t in toxic:
+        often[np.unique([hash(s) % len(often) for s in _stems(t)]).astype(np.int64)] += 1
+    found = [{s for s in _stems(t) if often[hash(s) % len(often)] >= support} for t in toxic]
     n_toxic, n_clean = Counter(s for f in found for s in f), Counter()
     wanted = {s for s, n in n_toxic.items() if n >= support}
     for t in clean:
@@ -66,14 +97,25 @@ def learn_stems(toxic: list[str], clean: list[str], support: int = 3, least_odds
     for i, f in enumerate(found):
         for s in f & odds.keys():
             where[s].add(i)
-    out = {}
+    out: dict[str, float] = {}
+
+    def nested(s: str) -> bool:
+        return any(s.startswith(o) or o.startswith(s.rstrip("$")) for o in out)
+
+    surprise = {s: _surprise(n_toxic[s], n_clean[s], len(toxic), max(1, len(clean))) for s in odds}
+    for s in sorted(odds, key=lambda s: (-round(surprise[s], 6), -len(s), s)):
+        if surprise[s] >= least_surprise and not nested(s):
+            # The longest stem that is almost as telling: a shorter one also takes words in by chance.
+            longest = max((t for t in odds if t.startswith(s) and surprise[t] >= 0.95 * surprise[s]), key=lambda t: (len(t), t))
+            out[longest] = odds[longest]
+    known = set().union(*(where[s] for s in out)) if out else set()
+    where = {s: left for s, w in where.items() if len(left := w - known) >= support}
     while where:
-        best = max(where, key=lambda s: (len(where[s]), round(odds[s], 6), len(s), s))
+        best = max(where, key=lambda s: (len(where[s]), len(s), round(odds[s], 6), s))
+        if not nested(best):
+            out[best] = odds[best]
         covered = where[best]
-        if len(covered) < support:
-            break
-        out[best] = odds[best]
-        where = {s: left for s, w in where.items() if (left := w - covered)}
+        where = {s: left for s, w in where.items() if len(left := w - covered) >= support}
     return out
 
 
@@ -143,15 +185,15 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
     return b
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000) -> tuple[dict[str, float], np.ndarray]:
-    """``(insult stems, coefficients)`` from about ``sample_rows`` labelled documents of each label (the bound of the sample).
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 2000) -> tuple[dict[str, float], np.ndarray]:
+    """``(insult stems, coefficients)`` from about ``sample_rows`` toxic and twice as many clean documents (the bound of the sample).
 
     Documents are chosen by the hash of their ids.  Null labels or ids teach
     nothing; of several labels of a document the largest counts.
     """
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out(F.col("doc_id"), 5, 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = F.when(F.col("toxic") == 1, min(1.0, sample_rows / max(1, counts.get(1, 0)))).otherwise(min(1.0, sample_rows / max(1, counts.get(0, 0))))
+    share = F.when(F.col("toxic") == 1, min(1.0, sample_rows / max(1, counts.get(1, 0)))).otherwise(min(1.0, 2 * sample_rows / max(1, counts.get(0, 0))))
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * float(1 << 30))
     rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("text", "toxic").toArrow()
     texts, y = rows["text"].to_pylist(), np.array(rows["toxic"].to_pylist(), np.int64)
