@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from rivulet.session import work_dir
 
@@ -18,13 +20,26 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def with_row(df: DataFrame, name: str = "_row") -> DataFrame:
-    """``df`` with a row number that stays the same on every scan of one stored table.
-
-    Rows with equal or null ids stay apart by it.  The input has to be a table
-    scan or a checkpoint: only then does a recomputed partition hold the same
-    rows in the same order.
+    """``df`` with a row number that is the same on every scan of its table.
+
+    Rows with equal or null ids stay apart by it.  For Parquet files it is the
+    file's place in the order of paths and the row's place in the file, so it
+    depends neither on how files are split into tasks nor on which executors
+    are there.  The table that numbers the files has 16 bytes a file, far less
+    than the file listing that the driver holds anyway; it is broadcast.  Any
+    other input is first written to the shared folder with its numbers.
     """
-    return df.withColumn(name, F.monotonically_increasing_id())
+    hash_, at, file = (fresh(df, c) for c in ("_path_hash", "_row_index", "_file"))
+    try:
+        placed = df.select("*", F.xxhash64("_metadata.file_path").alias(hash_), F.col("_metadata.row_index").alias(at))
+        paths = df.select(F.col("_metadata.file_path").alias("path")).distinct()
+    except AnalysisException:
+        return stored(df.withColumn(name, F.monotonically_increasing_id()), "rows")
+    files = stored(paths.select(F.xxhash64("path").alias(hash_), F.row_number().over(Window.orderBy("path")).cast("long").alias(file)), "files")
+    if files.groupBy(hash_).count().where("count > 1").limit(1).count():
+        return stored(df.withColumn(name, F.monotonically_increasing_id()), "rows")
+    placed = placed.join(F.broadcast(files), hash_)
+    return placed.select(*df.columns, F.shiftleft(file, 32).bitwiseOR(F.col(at)).alias(name))
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -36,8 +36,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stays, then the smallest doc_id (null last), then the first row; exactly
     one row of a group has ``kept``.  Null text counts as empty, and all empty
     texts are one group.  An empty table gives an empty result.  Other columns
-    of ``docs`` are not read.  ``docs`` has to be a stored table (see
-    ``with_row``).
+    of ``docs`` are not read.
     """
     rows = with_row(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     rows = rows.select("_row", "doc_id", _normal(F.col("text")).alias("t"), F.length(F.coalesce("text", F.lit(""))).alias("n"))

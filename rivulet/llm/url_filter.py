@@ -63,8 +63,7 @@ def filter_urls(captures: DataFrame, entries: DataFrame, url_col: str = "url", t
     ``allow``; no entry in force, a null or malformed URL or a null fetch time
     give ``allow`` with null pattern.  ``n_active`` counts the matching
     entries in force.  Every input row gives one output row, repeated rows
-    too; an empty list allows everything.  ``captures`` has to be a stored
-    table (see ``with_row``).  An output column whose name the input has gets
+    too; an empty list allows everything.  An output column whose name the input has gets
     leading underscores.
     """
     row = fresh(captures, "_row")
