@@ -13,11 +13,13 @@ optimal among bin edges, which are exact below ``2 ** PRECISION``.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 from pyspark.sql.window import Window
 
-from rivulet.llm.common import read_table, stored, with_row
+from rivulet.llm.common import read_table, stored
 
 PRECISION = 8
 SHARDS = 1024
@@ -28,6 +30,29 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def token_count(spark: SparkSession, text: Column, path: str) -> Column:
+    """Tokens of a text under the tokenizer file at ``path`` (JSON of the tokenizers library); null has none.
+
+    The driver reads the file and ships it, so the executors need no copy.
+    """
+    with open(path, encoding="utf-8") as f:
+        shipped = spark.sparkContext.broadcast(f.read())
+
+    @arrow_udf("long")
+    def count(texts: pa.Array) -> pa.Array:
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_str(shipped.value)
+        tokenizer.encode_special_tokens = True
+        out = []
+        for at in range(0, len(texts), 256):
+            batch = [t.as_py() or "" for t in texts[at : at + 256]]
+            out += [len(e.ids) for e in tokenizer.encode_batch(batch, add_special_tokens=False)]
+        return pa.array(out, pa.int64())
+
+    return count(text)
+
+
 def bin_of(length: Column) -> Column:
     """The least number with ``PRECISION`` significant bits that is not below ``length``."""
     step = F.greatest(F.lit(1), F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(length, F.lit(1)).cast("double"))) - (PRECISION - 1))).cast("long")
@@ -68,8 +93,8 @@ def best_boundaries(edges: np.ndarray, counts: np.ndarray, buckets: int) -> list
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = 16, token_budget: int = 65536, length: Column | None = None) -> DataFrame:
     """One row per document: ``doc_id, n_tokens, bucket, bucket_len, batch, position, padding``.
 
-    ``length`` is the token count of a row; by default its white-space
-    separated words.  A document of no tokens (null or empty text) is in
+    ``length`` is the token count of a row (see ``token_count``); by default
+    its white-space separated words.  A document of no tokens (null or empty text) is in
     bucket 0 with the shortest ones.  A bucket longer than the budget has one
     document a batch, so no text is cut or dropped.  Batches are numbered from
     0 in each bucket, in the order (doc_id mod 1024, doc_id, row); a null id
@@ -78,7 +103,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket
     gives an empty result.  Other columns of ``docs`` are not read.
     """
     n_tokens = word_count(F.col(text_col)) if length is None else F.coalesce(length, F.lit(0)).cast("long")
-    rows = with_row(docs.select(F.col(id_col).alias("doc_id"), n_tokens.alias("n_tokens")))
+    rows = docs.select(F.col(id_col).alias("doc_id"), n_tokens.alias("n_tokens"), F.monotonically_increasing_id().alias("_row"))
     rows = stored(rows.withColumn("edge", bin_of(F.col("n_tokens"))), "pack-lengths")
 
     histogram = rows.groupBy("edge").agg(F.count(F.lit(1)).alias("n")).orderBy("edge").toArrow()

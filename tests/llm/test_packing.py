@@ -1,11 +1,14 @@
 import itertools
+import os
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rivulet.llm.packing import best_boundaries, bin_of, op6_packing, pack, word_count
+from rivulet.llm.packing import best_boundaries, bin_of, op6_packing, pack, token_count, word_count
+
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
 
 def padded(edges, counts, bounds):
@@ -63,6 +66,17 @@ def test_odd_rows(odd, none):
     assert pack(none).collect() == []
 
 
+@pytest.mark.skipif(not os.path.exists(TOKENIZER), reason="no tokenizer file here")
+def test_lengths_by_a_tokenizer(spark, sf_dir, documents):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(TOKENIZER)
+    plain.encode_special_tokens = True
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = {r.doc_id: r.n_tokens for r in pack(docs, length=token_count(spark, F.col("text"), TOKENIZER)).collect()}
+    assert got == {i: len(plain.encode(t, add_special_tokens=False).ids) for i, t, _ in documents}
+
+
 def test_words_are_split_at_white_space_only(spark):
     df = spark.createDataFrame([("a b\tc\nd e",), ("  ",), (None,)], "t string")
     assert [r[0] for r in df.select(word_count(F.col("t"))).collect()] == [4, 0, 0]
