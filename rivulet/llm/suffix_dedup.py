@@ -5,10 +5,10 @@ else goes.  The strings ("windows") are named by rolling-hash triggers:
 
 1. Parsing.  Positions whose ``TRIGGER`` bytes hash low are triggers; they cut
    a text into phrases.  A window belongs to its first trigger, the anchor,
-   that leaves ``ANCHOR`` bytes inside it; where the coarse triggers leave a
-   long gap the finer ones of the same hash take over, and a window without
-   either is its own anchor.  Triggers depend on their own bytes only, so equal
-   windows have equal anchors at equal places.  A phrase with the right
+   that leaves ``ANCHOR`` bytes inside it; where coarse triggers leave a long
+   gap the finer ones of the same hash take over, level by level, and a window
+   without any is its own anchor.  Triggers depend on their own bytes only, so
+   equal windows have equal anchors at equal places.  A phrase with the right
    context that its windows reach is a segment.
 2. Dictionary.  Segments are joined by the hash of their anchor's bytes, i.e.
    the parse suffix that starts there, and inside that by the hash of the whole
@@ -16,12 +16,13 @@ else goes.  The strings ("windows") are named by rolling-hash triggers:
    that occurs twice is repeated with all its windows.
 3. Merging.  What is left are the ends of repeats: segments whose anchor
    recurs in another context.  Their parse suffixes are ordered together with
-   one representative of each repeated segment, and neighbours in the
-   suffix order of each anchor are compared byte by byte.
+   one representative of each repeated segment, and equal windows meet in the
+   order of each suffix, by two independent 64-bit hashes of all their bytes.
 
-Steps 2 and 3 send hashes and short contexts; the text itself is sent once, to
-meet its segments.  Equal segments of one batch of rows meet there first, so a
-hot string costs one row a batch.  Groups of step 3 are cut to bounded blocks.
+Steps 2 and 3 send hashes and short contexts; the text itself is sent twice, to
+meet its segments and its spans.  Equal segments of one batch of rows meet there first, so a
+hot string costs one row a batch.  A group of step 3 that holds more than a
+thousandth of its rows is dealt over blocks, whose windows meet by their hash.
 """
 
 from __future__ import annotations
@@ -29,7 +30,6 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,21 +39,20 @@ from rivulet.llm.common import byte_blocks, read_table, stored, with_row
 
 LENGTH = 200
 TRIGGER, ANCHOR = 12, 80
-#: One position in so many is a coarse or a fine trigger.
-COARSE, FINE = 56, 16
-#: Members of one group in a task of step 3.
-GROUP = 2048
+#: One position in so many is a trigger of each level.
+LEVELS = (64, 16, 4)
+#: Members of one block of a hot group in step 3, and the share of all members that makes a group hot.
+GROUP, HOT_SHARE = 4096, 1000
 _ODD = 0x9E3779B97F4A7C15
-_FAR = 1 << 40
 
 
 class Rolling:
     """Hashes of any substring of a block, from prefix sums of a polynomial modulo 2^64."""
 
     _power = _inverse = np.ones(1, np.uint64)
-    _mix = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
+    _mix = np.random.default_rng(11).integers(1, 1 << 63, (2, 256), dtype=np.uint64)
 
-    def __init__(self, data: np.ndarray) -> None:
+    def __init__(self, data: np.ndarray, which: int = 0) -> None:
         cls, n = type(self), len(data)
         if len(cls._power) < n + 1:
             steps = np.full(max(n + 1, 1 << 20), _ODD, np.uint64)
@@ -61,7 +60,7 @@ class Rolling:
             cls._power = np.cumprod(steps)
             steps[1:] = pow(_ODD, -1, 1 << 64)
             cls._inverse = np.cumprod(steps)
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(cls._mix[data] * cls._power[:n])])
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(cls._mix[which][data] * cls._power[:n])])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         h = (self.sums[end] - self.sums[start]) * self._inverse[start]
@@ -89,34 +88,39 @@ def segments(offsets: np.ndarray, data: np.ndarray, length: int = LENGTH):
         return none, none, none, none, none.view(np.uint64), none.view(np.uint64)
     rolling = Rolling(data)
     mixed = rolling.every(TRIGGER)
-    fine = np.flatnonzero(mixed < np.uint64((1 << 64) // FINE))
-    row = np.searchsorted(offsets, fine, "right") - 1
-    fits = fine + ANCHOR <= ends[row]
-    fine, row = fine[fits], row[fits]
-    is_coarse = mixed[fine] < np.uint64((1 << 64) // COARSE)
+    at = np.flatnonzero(mixed < np.uint64((1 << 64) // LEVELS[-1]))
+    row = np.searchsorted(offsets, at, "right") - 1
+    fits = at + ANCHOR <= ends[row]
+    at, row = at[fits], row[fits]
+    strength = mixed[at]
 
     def before(at: np.ndarray, of: np.ndarray) -> np.ndarray:
         """The trigger before each one in its row, or the place before the row."""
-        out = np.concatenate([[-1], at[:-1]])
-        return np.where(np.concatenate([[True], of[1:] != of[:-1]]), starts[of] - 1, out) if len(at) else at
-
-    # Coarse anchors.
-    c, c_row = fine[is_coarse], row[is_coarse]
-    parts = [(c_row, c, np.maximum(before(c, c_row) + 1, c - reach), np.minimum(c, ends[c_row] - length))]
-    # Fine anchors in the long gaps: windows after the coarse trigger before and out of reach of the next one.
-    f, f_row = fine[~is_coarse], row[~is_coarse]
-    k = np.searchsorted(c, f)
-    gap_first = np.where((k > 0) & (c_row[np.maximum(k - 1, 0)] == f_row), c[np.maximum(k - 1, 0)], starts[f_row] - 1) + 1 if len(c) else starts[f_row]
-    following = np.where((k < len(c)) & (c_row[np.minimum(k, len(c) - 1)] == f_row), c[np.minimum(k, len(c) - 1)], big) if len(c) else np.full(len(f), big)
-    low = np.maximum(np.maximum(before(fine, row)[~is_coarse] + 1, f - reach), gap_first)
-    parts.append((f_row, f, low, np.minimum(np.minimum(f, following - reach - 1), ends[f_row] - length)))
-    # Windows with no trigger in reach: the gaps between fine triggers, and behind the last one of a row.
+        first = np.concatenate([[True], of[1:] != of[:-1]])[: len(at)]
+        return np.where(first, starts[of] - 1, np.concatenate([[-1], at[:-1]])[: len(at)])
+
+    parts, coarser, c_row = [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for level in LEVELS:
+        mine = strength < np.uint64((1 << 64) // level)
+        t, t_row = at[mine], row[mine]
+        low, high = np.maximum(before(t, t_row) + 1, t - reach), np.minimum(t, ends[t_row] - length)
+        if len(coarser):
+            # Windows that reach a coarser trigger belong to it.
+            k = np.searchsorted(coarser, t, "right")
+            inside = (k < len(coarser)) & (c_row[np.minimum(k, len(coarser) - 1)] == t_row)
+            high = np.minimum(high, np.where(inside, coarser[np.minimum(k, len(coarser) - 1)] - reach - 1, big))
+            new = ~np.isin(t, coarser, assume_unique=True)
+            parts.append((t_row[new], t[new], low[new], high[new]))
+        else:
+            parts.append((t_row, t, low, high))
+        coarser, c_row = t, t_row
+    # Windows with no trigger in reach: in the gaps between the finest ones, and behind the last one of a row.
     all_rows = np.arange(len(starts))
-    g_row = np.concatenate([row, all_rows])
     at_end = np.searchsorted(row, all_rows, "right")
-    last = np.where((at_end > 0) & (row[np.maximum(at_end - 1, 0)] == all_rows), fine[np.maximum(at_end - 1, 0)], starts - 1) if len(fine) else starts - 1
-    low = np.concatenate([before(fine, row), last]) + 1
-    high = np.minimum(np.concatenate([fine - reach - 1, ends]), ends[g_row] - length)
+    last = np.where((at_end > 0) & (row[np.maximum(at_end - 1, 0)] == all_rows), at[np.maximum(at_end - 1, 0)], starts - 1) if len(at) else starts - 1
+    g_row = np.concatenate([row, all_rows])
+    low = np.concatenate([before(at, row), last]) + 1
+    high = np.minimum(np.concatenate([at - reach - 1, ends]), ends[g_row] - length)
     n = np.maximum(0, high - low + 1)
     x = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     parts.append((np.repeat(g_row, n), x, x, x))
@@ -128,7 +132,8 @@ def segments(offsets: np.ndarray, data: np.ndarray, length: int = LENGTH):
     return row, anchor, first, last, rolling.of(anchor, anchor + ANCHOR), context
 
 
-_SEGMENT = "_row long, at int, low int, high int, key long, context long, n int"
+#: ``place`` packs the anchor's position (32 bits), its distances to the first and the last window (14 each), and 2 bits of count.
+_SEGMENT = "_row long, key long, context long, place long"
 
 
 def _segment_rows(length: int):
@@ -138,8 +143,7 @@ def _segment_rows(length: int):
             got = []
             for first, offsets, data in byte_blocks(batch["text"]):
                 row, anchor, lo, hi, key, context = segments(offsets, data, length)
-                base = offsets[row]
-                got.append((ids[first + row], anchor - base, lo - base, hi - base, key, context))
+                got.append((ids[first + row], anchor - offsets[row], anchor - lo, anchor - hi, key, context))
             if not got:
                 continue
             row, anchor, lo, hi, key, context = (np.concatenate([g[i] for g in got]) for i in range(6))
@@ -149,15 +153,13 @@ def _segment_rows(length: int):
             new[1:] = (key[order][1:] != key[order][:-1]) | (context[order][1:] != context[order][:-1])
             group = np.cumsum(new) - 1
             n = np.bincount(group, minlength=1)[group] if len(order) else group
-            count, other = np.empty(len(order), np.int32), np.empty(len(order), bool)
+            count, other = np.empty(len(order), np.int64), np.empty(len(order), bool)
             count[order], other[order] = np.minimum(n, 2), ~new
             # They ask nobody, so they go anywhere.
             spread = row.astype(np.uint64) * np.uint64(_ODD) + anchor.astype(np.uint64)
             key, context = np.where(other, spread, key), np.where(other, spread, context)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(row), pa.array(anchor.astype(np.int32)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(context.view(np.int64)), pa.array(count)],
-                ["_row", "at", "low", "high", "key", "context", "n"],
-            )
+            place = anchor << 30 | lo << 16 | hi << 2 | count
+            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(key.view(np.int64)), pa.array(context.view(np.int64)), pa.array(place)], ["_row", "key", "context", "place"])
 
     return rows
 
@@ -188,59 +190,93 @@ def _open_segments(length: int):
 _REPEAT = "_row long, low int, high int, h1 long, h2 long, asks boolean, sure boolean"
 
 
+def _repeats(rows: pa.Table, length: int) -> pa.RecordBatch:
+    """Repeated windows of whole groups, and of groups with more blocks the windows that have to meet the other blocks'."""
+    _, offsets, data = next(byte_blocks(rows["bytes"], 1 << 62))
+    ids, asks = rows["_row"].to_numpy(), rows["asks"].to_numpy(zero_copy_only=False)
+    low, high, parted = rows["low"].to_numpy(), rows["high"].to_numpy(), rows["blocks"].to_numpy() > 1
+    n = (high - low + 1).astype(np.int64)
+    of = np.repeat(np.arange(len(n)), n)
+    shift = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    at = offsets[of] + shift
+    h1, h2 = (Rolling(data, which).of(at, at + length) for which in (0, 1))
+    order = np.lexsort((h2, h1))
+    new = np.ones(len(order), bool)
+    new[1:] = (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])
+    group = np.cumsum(new) - 1
+    again, first = np.empty(len(order), bool), np.empty(len(order), bool)
+    again[order], first[order] = (np.bincount(group)[group] > 1) if len(group) else False, new
+    # Runs of repeated windows of the rows that ask.
+    hit = again & asks[of]
+    same = np.zeros(len(hit), bool)
+    same[1:] = hit[1:] & hit[:-1] & (of[1:] == of[:-1])
+    begin, end = np.flatnonzero(hit & ~same), np.flatnonzero(hit & ~np.append(same[1:], False))
+    # One row for each window of a parted group that this block knows.
+    tell = np.flatnonzero(parted[of] & (first | ~again))
+    zeros = np.zeros(len(begin), np.int64)
+    columns = (
+        np.concatenate([ids[of[begin]], ids[of[tell]]]),
+        np.concatenate([low[of[begin]] + shift[begin], low[of[tell]] + shift[tell]]).astype(np.int32),
+        np.concatenate([low[of[end]] + shift[end], low[of[tell]] + shift[tell]]).astype(np.int32),
+        np.concatenate([zeros, h1[tell].view(np.int64)]), np.concatenate([zeros, h2[tell].view(np.int64)]),
+        np.concatenate([np.ones(len(begin), bool), asks[of[tell]] & ~again[tell]]),
+        np.arange(len(begin) + len(tell)) < len(begin),
+    )
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["_row", "low", "high", "h1", "h2", "asks", "sure"])
+
+
 def _compare(length: int):
-    """Repeated windows of one block of a group, and of a group with more blocks those that have to ask the others."""
-
-    def rows(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = pdf["blocks"].iloc[0] > 1
-        seen: dict[bytes, int] = {}
-        members = list(zip(pdf["_row"], pdf["low"], pdf["high"], pdf["asks"], pdf["bytes"]))
-        for _, low, high, _, data in members:
-            for i in range(high - low + 1):
-                w = data[i : i + length]
-                seen[w] = seen.get(w, 0) + 1
-        out: list[tuple] = []
-        told: set[bytes] = set()
-        for row, low, high, asks, data in members:
-            begin = None
-            for i in range(high - low + 2):
-                w = data[i : i + length] if i <= high - low else b""
-                again = bool(w) and seen[w] > 1
-                if asks and again and begin is None:
-                    begin = i
-                elif begin is not None and not again:
-                    out.append((row, low + begin, low + i - 1, 0, 0, True, True))
-                    begin = None
-                if parts and w and not (again and w in told):
-                    told.add(w)
-                    d = hashlib.blake2b(w, digest_size=16).digest()
-                    out.append((row, low + i, low + i, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), bool(asks and not again), False))
-        return pd.DataFrame(out, columns=["_row", "low", "high", "h1", "h2", "asks", "sure"])
+    """Over rows in the order of (suffix, block): compares whole groups, some at a time."""
+
+    def rows(batches):
+        held: list[pa.Table] = []
+        for batch in batches:
+            held.append(pa.Table.from_batches([batch]))
+            suffix, block = batch["suffix"].to_numpy(), batch["block"].to_numpy()
+            change = np.flatnonzero((suffix[1:] != suffix[:-1]) | (block[1:] != block[:-1]))
+            if len(change):
+                # The last group may go on in the next batch.
+                cut = int(change[-1]) + 1
+                whole = pa.concat_tables([*held[:-1], held[-1].slice(0, cut)])
+                held = [held[-1].slice(cut)]
+                yield _repeats(whole, length)
+        if held and sum(t.num_rows for t in held):
+            yield _repeats(pa.concat_tables(held), length)
 
     return rows
 
 
+def _runs(low: np.ndarray, high: np.ndarray) -> tuple[list[int], list[int]]:
+    """Begins and ends of the union of byte ranges, end exclusive."""
+    if not len(low):
+        return [], []
+    order = np.argsort(low, kind="stable")
+    low, upto = low[order], np.maximum.accumulate(high[order])
+    begin = np.concatenate([[0], np.flatnonzero(low[1:] > upto[:-1]) + 1])
+    return low[begin].tolist(), upto[np.concatenate([begin[1:] - 1, [len(low) - 1]])].tolist()
+
+
 def _remains(length: int):
     def rows(batches):
         for batch in batches:
+            spans = batch["spans"]
+            offsets, flat = spans.offsets.to_numpy(), spans.values
+            low, high = flat.field("low").to_numpy().astype(np.int64), flat.field("high").to_numpy().astype(np.int64) + length
+            empty = spans.is_null().to_numpy(zero_copy_only=False)
             out: list[tuple] = []
-            for i, text, spans in zip(batch["doc_id"].to_pylist(), batch["text"], batch["spans"].to_pylist()):
+            for i, text in enumerate(batch["text"]):
                 data = (text.as_py() or "").encode("utf-8", "surrogatepass")
-                runs: list[list[int]] = []
-                for s in sorted((s["low"], s["high"] + length) for s in spans or ()):
-                    if runs and s[0] <= runs[-1][1]:
-                        runs[-1][1] = max(runs[-1][1], s[1])
-                    else:
-                        runs.append(list(s))
-                digest, at = hashlib.sha256(), 0
-                for low, high in runs:
-                    digest.update(data[at:low])
-                    at = high
-                digest.update(data[at:])
-                out.append((i, len(data), sum(b - a for a, b in runs), len(runs), digest.hexdigest(), runs))
-            kinds = (batch.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int64())))
+                at = slice(0, 0) if empty[i] else slice(offsets[i], offsets[i + 1])
+                begins, ends = _runs(low[at], high[at])
+                digest, upto = hashlib.sha256(), 0
+                for x, y in zip(begins, ends):
+                    digest.update(data[upto:x])
+                    upto = y
+                digest.update(data[upto:])
+                out.append((len(data), sum(ends) - sum(begins), len(begins), digest.hexdigest(), list(zip(begins, ends))))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int64())))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]
+                [batch["doc_id"], *(pa.array([o[k] for o in out], t) for k, t in enumerate(kinds))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]
             )
 
     return rows
@@ -253,27 +289,35 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     empty; texts shorter than ``length`` lose nothing; windows never cross
     rows.  Repeated rows repeat each other's windows and so lose them.  An
     empty table gives an empty result.  Other columns of ``docs`` are not
-    read; ``docs`` has to be a stored table (``with_row``).  ``length`` has to
+    read.  ``length`` has to
     be over ``ANCHOR + 2 * TRIGGER``.
     """
-    if length <= ANCHOR + 2 * TRIGGER:
-        raise ValueError(f"length has to be over {ANCHOR + 2 * TRIGGER}")
-    rows = with_row(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
-    found = rows.select("_row", "text").mapInArrow(_segment_rows(length), _SEGMENT).repartition("key")
+    if not ANCHOR + 2 * TRIGGER < length < 1 << 14:
+        raise ValueError(f"length has to be over {ANCHOR + 2 * TRIGGER} and below {1 << 14}")
+    texts = with_row(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).select("_row", "doc_id", "text")
+    found = texts.select("_row", "text").mapInArrow(_segment_rows(length), _SEGMENT).repartition("key")
     same, near = Window.partitionBy("key", "context"), Window.partitionBy("key")
-    found = found.withColumn("same", F.sum("n").over(same)).withColumn("nth", F.row_number().over(same.orderBy("_row", "at")))
-    found = found.withColumn("all", F.sum("n").over(near)).withColumn("least", F.min("same").over(near)).where("all > 1")
+    found = found.withColumn("same", F.sum(F.col("place").bitwiseAND(3)).over(same)).withColumn("nth", F.row_number().over(same.orderBy("_row", "place")))
+    found = found.withColumn("all", F.sum(F.col("place").bitwiseAND(3)).over(near)).withColumn("least", F.min("same").over(near)).where("all > 1")
     # Sure: the whole segment recurs.  Asks: only its anchor does.  A sure segment whose anchor others ask about answers for its equals.
-    found = found.select("_row", "at", "low", "high", (F.col("same") > 1).alias("sure"), (F.col("same") == 1).alias("asks"), ((F.col("least") == 1) & (F.col("nth") == 1)).alias("open"))
+    at = F.shiftright("place", 30)
+    found = found.select(
+        "_row", at.cast("int").alias("at"), (at - F.shiftright("place", 16).bitwiseAND(0x3FFF)).cast("int").alias("low"),
+        (at - F.shiftright("place", 2).bitwiseAND(0x3FFF)).cast("int").alias("high"), (F.col("same") > 1).alias("sure"),
+        (F.col("same") == 1).alias("asks"), ((F.col("least") == 1) & (F.col("nth") == 1)).alias("open"),
+    )
     found = stored(found, "repeat-segments")
 
-    texts = rows.select("_row", "doc_id", "text")
     ends = found.where("open").groupBy("_row").agg(F.collect_list(F.struct("at", "low", "high", "asks")).alias("open"))
     contexts = texts.select("_row", "text").join(ends, "_row").mapInArrow(_open_segments(length), "suffix long, _row long, low int, high int, asks boolean, bytes binary")
     contexts = stored(contexts, "repeat-contexts")
-    sizes = contexts.groupBy("suffix").agg(F.count(F.lit(1)).alias("size"), F.max("asks").alias("asked")).where("size > 1 AND asked").select("suffix", F.ceil(F.col("size") / GROUP).cast("int").alias("blocks"))
-    met = contexts.join(sizes, "suffix").withColumn("block", F.pmod(F.xxhash64("_row", "low"), F.col("blocks")))
-    compared = stored(met.groupBy("suffix", "block").applyInPandas(_compare(length), _REPEAT), "repeat-windows")
+    total = contexts.count()
+    sizes = contexts.groupBy("suffix").agg(F.count(F.lit(1)).alias("size"))
+    hot = sizes.where((F.col("size") > GROUP) & (F.col("size") * HOT_SHARE > total)).select("suffix", F.ceil(F.col("size") / GROUP).cast("int").alias("blocks"))
+    met = contexts.join(F.broadcast(hot), "suffix", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    met = met.withColumn("block", F.pmod(F.xxhash64("_row", "low"), F.col("blocks")).cast("int"))
+    compared = met.repartition("suffix", "block").sortWithinPartitions("suffix", "block").mapInArrow(_compare(length), _REPEAT)
+    compared = stored(compared, "repeat-windows")
     # Windows of groups with several blocks: the block winners meet by the hash of the window.
     across = compared.where("NOT sure")
     twice = across.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2")
