@@ -35,7 +35,8 @@ QUOTES = "\"“”„«»"
 FEATURES = ("plain insult", "addressed insult", "negated insult", "reported insult", "aimed threat", "other threat", "any insult")
 
 _TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*|[\"“”„«»]")
-_CLAUSE = re.compile(r"[.!?;:,\n]+")
+_ENDS = ".!?;:,\n"
+_CLAUSE = re.compile(f"[{_ENDS}]")
 _LONGEST, _SHORTEST = 12, 4
 
 
@@ -143,7 +144,7 @@ class Grammar:
         for hit in self.any.finditer(text):
             if hit.start() < upto:
                 continue
-            start = max((m.end() for m in _CLAUSE.finditer(text, max(upto, hit.start() - 2000), hit.start())), default=max(upto, hit.start() - 2000))
+            start = max(upto, 1 + max(text.rfind(c, upto, hit.start()) for c in _ENDS))
             stop = _CLAUSE.search(text, hit.end())
             upto = stop.start() if stop else len(text)
             clause, state = text[start:upto], 0
