@@ -24,8 +24,9 @@ from rivulet.llm.common import fresh, read_table
 
 # HTML element names, by what they mean for a page's text.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
-SILENT = frozenset("script style noscript template head title svg math iframe object canvas audio video select button textarea input label option datalist map".split())
+SILENT = frozenset("script style noscript template head title svg iframe object canvas audio video select button textarea input label option datalist map".split())
 BOILERPLATE = frozenset("nav footer aside form menu dialog fieldset".split())
+IN_HEAD = frozenset("title meta link style script base noscript template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ARTICLE = frozenset(("article", "main"))
 #: Class or id tokens that name boilerplate.
@@ -83,6 +84,9 @@ class _Lines(HTMLParser):
         if tag in BLOCKS:
             self._cut()
         self.tags += 1
+        if self.stack and self.stack[-1][0] == "head" and tag not in IN_HEAD:
+            # The head ends where the body begins, with or without its tag.
+            self._count(self.stack.pop()[1], -1)
         if tag in VOID:
             return
         for closed in _CLOSED_BY.get(tag, ()):

@@ -35,6 +35,8 @@ def test_odd_pages():
     assert main_text("just text & more") == "just text & more"
     assert main_text("<article><p>cut off <b>he") == "cut off he"
     assert main_text("<article>a</div></span>b<p>c</article>") == "ab\nc" or main_text("<article>a</div></span>b<p>c</article>") == "a\nb\nc"
+    assert main_text("<html><head><title>T</title><meta charset=x><body><article>no head end</article>") == "no head end"
+    assert main_text("<head><title>T</title><article>x<math><mi>y</mi></math></article>") == "xy"
     deep = "<div>" * 5000 + "<article>x</article>"
     assert main_text(deep) == "x"
 
