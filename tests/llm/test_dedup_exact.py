@@ -56,3 +56,16 @@ def test_odd_rows(odd):
 
 def test_empty_table(none):
     assert exact_dedup(none).collect() == []
+
+
+def test_plan_has_no_python(spark, sf_dir):
+    plan = op4_exact_dedup(spark, sf_dir)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_matches_its_sql(spark, sf_dir):
+    import duckdb
+
+    documents = duckdb.sql(f"SELECT * FROM '{sf_dir}/documents.parquet'")  # noqa: F841
+    want = sorted(duckdb.sql(dedup_exact.OP4_SQL).fetchall())
+    assert sorted(map(tuple, op4_exact_dedup(spark, sf_dir).collect())) == want

@@ -64,3 +64,15 @@ def test_no_list_and_no_captures(store):
 def test_plan_has_no_python(spark, sf_dir):
     plan = op9_url_filter(spark, sf_dir)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
+
+
+def test_matches_its_sql(spark, sf_dir):
+    import duckdb
+
+    from rivulet.llm.url_filter import OP9_SQL
+
+    pages = duckdb.sql(f"SELECT * FROM '{sf_dir}/pages.parquet'")  # noqa: F841
+    want = duckdb.sql(OP9_SQL)
+    got = op9_url_filter(spark, sf_dir)
+    assert got.columns == want.columns
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want.fetchall()))
