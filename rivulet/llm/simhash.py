@@ -5,21 +5,26 @@ The Manhattan distance of two such vectors never exceeds the Hamming distance
 of the fingerprints, so pairs within ``max_bits`` are found among pairs of
 near vectors:
 
-* The segments form ``max_bits + 1`` groups.  Of two vectors within Manhattan
-  distance ``max_bits`` at least one group is equal, so the grid join puts
-  every fingerprint into one cell per group, named by that group's counts.
-* Inside a cell the rest of the vector is compared: first the counts of four
-  coarse segments as a Manhattan lower bound, then the exact bit distance.
-
-Cells are cut into blocks, and a task compares one pair of blocks, so no task
-grows with a cell.  A task hands back a spanning forest of its links, never
-all pairs of a group of near copies.  Equal fingerprints are one point.
+* The segments form some groups.  Of two vectors within Manhattan distance
+  ``max_bits`` all groups but ``max_bits`` are equal, so the grid join puts
+  every fingerprint into one cell for each choice of that many groups, named
+  by their counts.  More groups make more but finer cells; their number
+  follows from the number of points, so that a point meets some thousands of
+  others at most on average, whatever the size of the input.
+* Inside a cell the counts of four coarse segments are compared first, as a
+  Manhattan lower bound, then the exact bit distance.
+
+Large cells are cut into blocks, and a task compares one pair of blocks, so no
+task grows with a cell.  A task hands back a spanning forest of its links,
+never all pairs of a group of near copies.  Equal fingerprints are one point.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -63,22 +68,40 @@ def fingerprints(text, words: int = SHINGLE):
     return of(text)
 
 
-def _segments(max_bits: int, width: int) -> list[list[tuple[int, int]]]:
-    """``max_bits + 1`` groups of ``(first bit, bits)`` segments of at most ``width`` bits, covering 64 bits."""
-    cuts = np.linspace(0, 64, max_bits + 2).astype(int)
+def _segments(groups: int, width: int) -> list[list[tuple[int, int]]]:
+    """``groups`` lists of ``(first bit, bits)`` segments of at most ``width`` bits, covering 64 bits."""
+    cuts = np.linspace(0, 64, groups + 1).astype(int)
     return [[(at, min(width, hi - at)) for at in range(lo, hi, width)] for lo, hi in zip(cuts[:-1], cuts[1:])]
 
 
-def _cells(max_bits: int, width: int):
-    """Per group, the mixed-radix number of its segment popcounts (never two vectors for one number)."""
-    out = []
-    for segments in _segments(max_bits, width):
-        cell = F.lit(0)
+def group_count(points: int, max_bits: int, width: int) -> int:
+    """The number of groups with the least work a point: 200 for each of its cells and 1 for each point it meets there."""
+
+    def work(groups: int) -> float:
+        choices = math.comb(groups, max_bits)
+        # Chance that a segment of two random fingerprints has equal counts, over the segments of a choice.
+        equal = sum(math.log2(math.comb(2 * b, b)) - 2 * b for part in _segments(groups, width) for _, b in part)
+        return choices * (200 + points * 2 ** (equal * (groups - max_bits) / groups))
+
+    return min(range(max_bits + 1, max_bits + 9), key=work)
+
+
+def _cells(groups: int, max_bits: int, width: int):
+    """For each choice of all groups but ``max_bits``, the mixed-radix number of their counts (no two vectors have one)."""
+    numbers = []
+    for segments in _segments(groups, width):
+        number, radix = F.lit(0).cast("long"), 1
         for at, bits in segments:
-            count = F.bit_count(F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << bits) - 1)))
-            cell = cell * (bits + 1) + count
-        out.append(cell.cast("long"))
-    return out
+            number = number * (bits + 1) + F.bit_count(F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << bits) - 1)))
+            radix *= bits + 1
+        numbers.append((number.cast("long"), radix))
+    out = []
+    for choice in itertools.combinations(range(groups), groups - max_bits):
+        cell = F.lit(0).cast("long")
+        for g in choice:
+            cell = cell * numbers[g][1] + F.col("counts")[g]
+        out.append(cell)
+    return F.array(*[n for n, _ in numbers]).alias("counts"), F.array(*out)
 
 
 def _quarters(fp: np.ndarray) -> np.ndarray:
@@ -100,45 +123,69 @@ def _unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
+def _forest(fp: np.ndarray, side: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least-root spanning links of the points of one pair of blocks: side 0 against side 1, or against itself if there is no side 1."""
+    order = np.argsort(fp, kind="stable")
+    fp, side = fp[order], side[order]
+    u, coarse = fp.view(np.uint64), _quarters(fp)
+    left = np.flatnonzero(side == 0)
+    right = np.flatnonzero(side == 1) if (side == 1).any() else left
+    root, there = np.arange(len(fp)), coarse[:, right]
+    for at in range(0, len(left), 128):
+        rows = left[at : at + 128]
+        apart = np.zeros((len(rows), len(right)), np.int8)
+        for mine, theirs in zip(coarse[:, rows], there):
+            apart += np.abs(mine[:, None] - theirs[None, :])
+        i, j = np.nonzero(apart <= max_bits)
+        near = np.bitwise_count(u[rows[i]] ^ u[right[j]]) <= max_bits
+        root = _unite(root, rows[i[near]], right[j[near]])
+    at = np.flatnonzero(root != np.arange(len(fp)))
+    return fp[at], fp[root[at]]
+
+
 def _links_within(max_bits: int):
-    def links(pdf: pd.DataFrame) -> pd.DataFrame:
-        # side 0: rows of block i, side 1: rows of block j; a block against itself has side 0 only.
-        fp, side = pdf["fp"].to_numpy(np.int64), pdf["side"].to_numpy()
-        order = np.argsort(fp, kind="stable")
-        fp, side = fp[order], side[order]
-        u, coarse = fp.view(np.uint64), _quarters(fp)
-        left = np.flatnonzero(side == 0)
-        right = np.flatnonzero(side == 1) if (side == 1).any() else left
-        root, there = np.arange(len(fp)), coarse[:, right]
-        for at in range(0, len(left), 128):
-            rows = left[at : at + 128]
-            apart = np.zeros((len(rows), len(right)), np.int8)
-            for mine, theirs in zip(coarse[:, rows], there):
-                apart += np.abs(mine[:, None] - theirs[None, :])
-            i, j = np.nonzero(apart <= max_bits)
-            near = np.bitwise_count(u[rows[i]] ^ u[right[j]]) <= max_bits
-            root = _unite(root, rows[i[near]], right[j[near]])
-        at = np.flatnonzero(root != np.arange(len(fp)))
-        return pd.DataFrame({"a": fp[at], "b": fp[root[at]]}, dtype=np.int64)
+    """Over rows in the order of (g, cell, i, j): the links of whole groups, some at a time."""
+
+    def linked(rows: pa.Table) -> pa.RecordBatch:
+        keys = np.stack([rows[c].to_numpy() for c in ("g", "cell", "i", "j")])
+        fp, side = rows["fp"].to_numpy(), rows["side"].to_numpy()
+        cuts = np.concatenate([[0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1, [len(fp)]])
+        found = [_forest(fp[x:y], side[x:y], max_bits) for x, y in zip(cuts[:-1], cuts[1:]) if y - x > 1]
+        none = [np.zeros(0, np.int64)]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found] or none)) for k in (0, 1)], ["a", "b"])
+
+    def links(batches):
+        held: list[pa.Table] = []
+        for batch in batches:
+            held.append(pa.Table.from_batches([batch]))
+            keys = np.stack([batch[c].to_numpy() for c in ("g", "cell", "i", "j")])
+            change = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0))
+            if len(change):
+                # The last group may go on in the next batch.
+                cut = int(change[-1]) + 1
+                whole = pa.concat_tables([*held[:-1], held[-1].slice(0, cut)])
+                held = [held[-1].slice(cut)]
+                yield linked(whole)
+        if held:
+            yield linked(pa.concat_tables(held))
 
     return links
 
 
-def near_links(points: DataFrame, max_bits: int = MAX_BITS, width: int = 2, block: int = BLOCK) -> DataFrame:
-    """Links ``a, b`` between distinct 64-bit ``fp`` that join exactly the points connected at ``max_bits`` or fewer bits.
-
-    The cells of one group number at most 3^k for k segments (about 1,500 for
-    the defaults), so their sizes, which set the blocks, are a bounded table.
-    """
-    cells = points.select("fp", F.posexplode(F.array(*_cells(max_bits, width))).alias("g", "cell"))
-    sizes = cells.groupBy("g", "cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    cells = cells.join(F.broadcast(sizes), ["g", "cell"]).withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    cells = cells.withColumn("other", other).select(
+def near_links(points: DataFrame, max_bits: int = MAX_BITS, width: int = 2, block: int = BLOCK, groups: int | None = None) -> DataFrame:
+    """Links ``a, b`` between distinct 64-bit ``fp`` that join exactly the points connected at ``max_bits`` or fewer bits."""
+    groups = groups or group_count(points.count(), max_bits, width)
+    counts, cells = _cells(groups, max_bits, width)
+    cells = points.select("fp", counts).select("fp", F.posexplode(cells).alias("g", "cell"))
+    large = cells.groupBy("g", "cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")).where("blocks > 1")
+    cells = cells.join(large, ["g", "cell"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    cells = cells.withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select(
         "g", "cell", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
         F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).cast("int").alias("side"), "fp",
     )
-    return cells.groupBy("g", "cell", "i", "j").applyInPandas(_links_within(max_bits), "a long, b long").distinct()
+    key = ["g", "cell", "i", "j"]
+    return cells.repartition(*key).sortWithinPartitions(*key).mapInArrow(_links_within(max_bits), "a long, b long").distinct()
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, max_bits: int = MAX_BITS, width: int = 2) -> DataFrame:
@@ -149,7 +196,7 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     them are null); ``kept`` marks the one row that stays, the first with that
     id.  Null, empty and wordless texts have fingerprint zero and link like
     any other.  An empty table gives an empty result.  Other columns of
-    ``docs`` are not read; ``docs`` has to be a stored table (``with_row``).
+    ``docs`` are not read.
     """
     rows = with_row(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     rows = stored(rows.select("_row", "doc_id", fingerprints(F.col("text"), words).alias("fp")), "simhash")
