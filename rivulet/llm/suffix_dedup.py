@@ -41,6 +41,8 @@ LENGTH = 200
 TRIGGER, ANCHOR = 12, 80
 #: One position in so many is a trigger of each level.
 LEVELS = (64, 16, 4)
+#: Bytes of a block of texts, and of a piece of a longer one.
+PIECE = 1 << 21
 #: Members of one block of a hot group in step 3, and the share of all members that makes a group hot.
 GROUP, HOT_SHARE = 4096, 1000
 _ODD = 0x9E3779B97F4A7C15
@@ -141,9 +143,13 @@ def _segment_rows(length: int):
         for batch in batches:
             ids = batch["_row"].to_numpy()
             got = []
-            for first, offsets, data in byte_blocks(batch["text"]):
-                row, anchor, lo, hi, key, context = segments(offsets, data, length)
-                got.append((ids[first + row], anchor - offsets[row], anchor - lo, anchor - hi, key, context))
+            for first, offsets, data in byte_blocks(batch["text"], PIECE):
+                # A longer text is read in pieces: each has the windows that start in it.
+                for at in range(0, max(1, len(data)), PIECE) if len(offsets) == 2 else (0,):
+                    piece, bounds = (data, offsets) if len(data) <= PIECE else (data[at : at + PIECE + length - 1], None)
+                    bounds = np.array([0, len(piece)]) if bounds is None else bounds
+                    row, anchor, lo, hi, key, context = segments(bounds, piece, length)
+                    got.append((ids[first + row], at + anchor - bounds[row], anchor - lo, anchor - hi, key, context))
             if not got:
                 continue
             row, anchor, lo, hi, key, context = (np.concatenate([g[i] for g in got]) for i in range(6))

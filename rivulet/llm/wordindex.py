@@ -38,23 +38,29 @@ class WordHasher:
             steps[1:] = pow(_ODD, -1, 1 << 64)
             self.inverse = np.cumprod(steps)
 
-    def words(self, data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray):
-        """``starts, ends, rows, hashes`` of the words of a block whose rows begin at ``offsets``."""
-        n = len(data)
-        if not n:
-            none = np.zeros(0, np.int64)
-            return none, none, none, none.view(np.uint64)
+    def words(self, data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, most: int = 1 << 22):
+        """``starts, ends, rows, hashes`` of the words of a block whose rows begin at ``offsets``.
+
+        Works on ``most`` bytes at a time, cut where no word is, so that a very long text needs no more memory than that.
+        """
         inside = is_word[data]
         first = inside.copy()
         first[1:] &= ~inside[:-1]
         last = inside.copy()
         last[:-1] &= ~inside[1:]
         # No word goes on over the end of a row.
-        edge = offsets[(offsets > 0) & (offsets < n)]
+        edge = offsets[(offsets > 0) & (offsets < len(data))]
         first[edge] = inside[edge]
         last[edge - 1] = inside[edge - 1]
         starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
         rows = np.searchsorted(offsets, starts, "right") - 1
-        self._grow(n + 1)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.mix[data] * self.power[:n])])
-        return starts, ends, rows, (sums[ends] - sums[starts]) * self.inverse[starts]
+        hashes, at = np.empty(len(starts), np.uint64), 0
+        while at < len(starts):
+            upto = max(at + 1, int(np.searchsorted(ends, starts[at] + most, "right")))
+            x, y = starts[at], ends[upto - 1]
+            self._grow(y - x + 1)
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.mix[data[x:y]] * self.power[: y - x])])
+            s, e = starts[at:upto] - x, ends[at:upto] - x
+            hashes[at:upto] = (sums[e] - sums[s]) * self.inverse[s]
+            at = upto
+        return starts, ends, rows, hashes

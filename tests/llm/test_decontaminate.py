@@ -30,6 +30,25 @@ def brute(docs, items, window=13):
     return out
 
 
+def test_word_hashes_do_not_depend_on_the_pieces():
+    from rivulet.llm.wordindex import WordHasher, alnum_table
+
+    rng = np.random.default_rng(4)
+    rows = [bytes(rng.choice(list(b"ab9 ,\xc3\xa9"), n)) for n in (0, 5, 300, 1, 90)] + [b"x" * 200, b"  "]
+    offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    data = np.frombuffer(b"".join(rows), np.uint8)
+    want = [(i, w) for i, r in enumerate(rows) for w in WORD.findall(r)]
+    whole = WordHasher().words(data, offsets, alnum_table())
+    assert [(int(i), data[a:b].tobytes()) for a, b, i in zip(*whole[:3])] == want
+    for most in (1, 7, 50):
+        for x, y in zip(whole, WordHasher().words(data, offsets, alnum_table(), most)):
+            assert np.array_equal(x, y)
+    by_hash = {}
+    for h, (_, w) in zip(whole[3], want):
+        assert by_hash.setdefault(int(h), w) == w
+    assert len(by_hash) == len({w for _, w in want})
+
+
 def test_index_counts_and_locates():
     rng = np.random.default_rng(3)
     for symbols, n in ((1, 40), (3, 300), (50, 500)):

@@ -67,6 +67,14 @@ def test_groups_of_many_blocks(store, monkeypatch):
     check(store([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), texts)
 
 
+def test_long_texts_in_pieces(store, monkeypatch):
+    """Pieces of 700 bytes: repeats cross their borders."""
+    monkeypatch.setattr(suffix_dedup, "PIECE", 700)
+    texts = made(5)
+    texts += ["".join(t for t in texts[:20] if t), "".join(t for t in texts[3:24] if t)]
+    check(store([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), texts)
+
+
 def test_other_length(store):
     texts = made(4)
     check(store([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), texts, 120)
