@@ -25,20 +25,18 @@ def with_row(df: DataFrame, name: str = "_row") -> DataFrame:
     Rows with equal or null ids stay apart by it.  For Parquet files it is the
     file's place in the order of paths and the row's place in the file, so it
     depends neither on how files are split into tasks nor on which executors
-    are there.  The table that numbers the files has 16 bytes a file, far less
-    than the file listing that the driver holds anyway; it is broadcast.  Any
-    other input is first written to the shared folder with its numbers.
+    are there.  The table that numbers the files is broadcast: it has a row a
+    file, as the file listing that the driver holds anyway.  Any other input
+    is first written to the shared folder with its numbers.
     """
-    hash_, at, file = (fresh(df, c) for c in ("_path_hash", "_row_index", "_file"))
+    path, at, file = (fresh(df, c) for c in ("_path", "_row_index", "_file"))
     try:
-        placed = df.select("*", F.xxhash64("_metadata.file_path").alias(hash_), F.col("_metadata.row_index").alias(at))
-        paths = df.select(F.col("_metadata.file_path").alias("path")).distinct()
+        placed = df.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(at))
+        files = df.select(F.col("_metadata.file_path").alias(path)).distinct()
     except AnalysisException:
         return stored(df.withColumn(name, F.monotonically_increasing_id()), "rows")
-    files = stored(paths.select(F.xxhash64("path").alias(hash_), F.row_number().over(Window.orderBy("path")).cast("long").alias(file)), "files")
-    if files.groupBy(hash_).count().where("count > 1").limit(1).count():
-        return stored(df.withColumn(name, F.monotonically_increasing_id()), "rows")
-    placed = placed.join(F.broadcast(files), hash_)
+    files = files.withColumn(file, F.row_number().over(Window.orderBy(path)).cast("long"))
+    placed = placed.join(F.broadcast(files), path)
     return placed.select(*df.columns, F.shiftleft(file, 32).bitwiseOR(F.col(at)).alias(name))
 
 

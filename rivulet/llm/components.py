@@ -38,7 +38,7 @@ def components(links: DataFrame) -> DataFrame:
     before, now = None, _mark(edges)
     while now != before:
         # Large star: neighbours above a node link to the least of it and its neighbours.
-        both = stored(_both_ways(edges.where("a <> b")), "components")
+        both = _both_ways(edges.where("a <> b"))
         large = stored(_with_least(both, 2 * now[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")), "components")
         # Small star: a node and its lower neighbours link to the least of them.
         small = _with_least(large, now[0])
