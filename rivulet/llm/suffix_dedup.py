@@ -15,11 +15,15 @@ else goes.  The strings ("windows") are named by rolling-hash triggers:
    segment.  An anchor that occurs once holds no repeated window.  A segment
    that occurs twice is repeated with all its windows.
 3. Merging.  What is left are the ends of repeats: segments whose anchor
-   recurs in another context.  Their parse suffixes are ordered together with
-   one representative of each repeated segment, and equal windows meet in the
-   order of each suffix, by two independent 64-bit hashes of all their bytes.
-
-Steps 2 and 3 send hashes and short contexts; the text itself is sent twice, to
+   recurs in another context.  They and one representative of each repeated
+   segment are put in two orders: that of their parse suffixes (the text from
+   the anchor on) and that of the dictionary's phrase suffixes (the text before
+   the anchor, read backward), each with the common prefixes of neighbours.  A
+   window is a phrase suffix of some length with the rest of the parse suffix,
+   so it recurs if another segment is in its class of both orders.
+
+Step 2 takes segments with 128 equal bits of hash as equal, step 3 compares
+bytes.  They send hashes and short contexts; the text itself is sent twice, to
 meet its segments and its spans.  Equal segments of one batch of rows meet there first, so a
 hot string costs one row a batch.  A group of step 3 that holds more than a
 thousandth of its rows is dealt over blocks, whose windows meet by their hash.
@@ -184,10 +188,10 @@ def _open_segments(length: int):
                     for x, y, start in ((max(low, at - half), high, at), (low, min(high, at - half - 1), at - half)):
                         if x <= y:
                             name = hashlib.blake2b(data[start : start + known], digest_size=8, salt=b"far" if start < at else b"near").digest()
-                            out.append((int.from_bytes(name, "little", signed=True), row, x, y, s["asks"], data[x : y + length]))
+                            out.append((int.from_bytes(name, "little", signed=True), row, x, y, start - x, s["asks"], data[x : y + length]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()))],
-                ["suffix", "_row", "low", "high", "asks", "bytes"],
+                [pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()))],
+                ["suffix", "_row", "low", "high", "before", "asks", "bytes"],
             )
 
     return rows
@@ -196,37 +200,65 @@ def _open_segments(length: int):
 _REPEAT = "_row long, low int, high int, h1 long, h2 long, asks boolean, sure boolean"
 
 
+def _ordered(strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix order of the rows of a byte matrix, and the common prefix of each with the one before it in that order."""
+    n, width = strings.shape
+    order = np.argsort(np.ascontiguousarray(strings).view(f"S{width}").ravel(), kind="stable") if width else np.arange(n)
+    other = strings[order[1:]] != strings[order[:-1]]
+    common = np.where(other.any(axis=1), other.argmax(axis=1), width) if width else np.zeros(max(0, n - 1), np.int64)
+    return order, np.concatenate([[-1], common])
+
+
+def _classes(order: np.ndarray, common: np.ndarray, length: int) -> np.ndarray:
+    """Of each row the number of its class, if rows with ``length`` bytes in common are one."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(common < length)
+    return out
+
+
 def _repeats(rows: pa.Table, length: int) -> pa.RecordBatch:
     """Repeated windows of whole groups, and of groups with more blocks the windows that have to meet the other blocks'."""
     _, offsets, data = next(byte_blocks(rows["bytes"], 1 << 62))
     ids, asks = rows["_row"].to_numpy(), rows["asks"].to_numpy(zero_copy_only=False)
-    low, high, parted = rows["low"].to_numpy(), rows["high"].to_numpy(), rows["blocks"].to_numpy() > 1
-    n = (high - low + 1).astype(np.int64)
-    of = np.repeat(np.arange(len(n)), n)
-    shift = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-    at = offsets[of] + shift
-    h1, h2 = (Rolling(data, which).of(at, at + length) for which in (0, 1))
-    order = np.lexsort((h2, h1))
-    new = np.ones(len(order), bool)
-    new[1:] = (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])
-    group = np.cumsum(new) - 1
-    again, first = np.empty(len(order), bool), np.empty(len(order), bool)
-    again[order], first[order] = (np.bincount(group)[group] > 1) if len(group) else False, new
-    # Runs of repeated windows of the rows that ask.
-    hit = again & asks[of]
-    same = np.zeros(len(hit), bool)
-    same[1:] = hit[1:] & hit[:-1] & (of[1:] == of[:-1])
-    begin, end = np.flatnonzero(hit & ~same), np.flatnonzero(hit & ~np.append(same[1:], False))
+    low, high, before = (rows[c].to_numpy().astype(np.int64) for c in ("low", "high", "before"))
+    parted, n, half = rows["blocks"].to_numpy() > 1, rows.num_rows, int(before.max())
+
+    def matrix(at: np.ndarray, step: int, width: int, valid: np.ndarray) -> np.ndarray:
+        """``width`` bytes from ``at`` on, forward or backward; 0 beyond the ``valid`` ones."""
+        i = np.arange(width)
+        return np.where(i < valid[:, None], data[np.clip(at[:, None] + step * i, 0, max(0, len(data) - 1))], 0).astype(np.uint8)
+
+    anchor = offsets[:-1] + before
+    parse = _ordered(matrix(anchor, 1, length, offsets[1:] - anchor))
+    phrase = _ordered(matrix(anchor - 1, -1, half, before))
+    # again[row, k]: the window that starts k bytes before the anchor recurs; first: it is the first of its class.
+    again, first = np.zeros((n, half + 1), bool), np.zeros((n, half + 1), bool)
+    nearest = before - (high - low)
+    for k in range(half + 1):
+        has = np.flatnonzero((nearest <= k) & (k <= before))
+        if not len(has):
+            continue
+        both = _classes(*parse, length - k)[has] * (n + 1) + _classes(*phrase, k)[has]
+        _, at, group, count = np.unique(both, return_index=True, return_inverse=True, return_counts=True)
+        again[has, k] = count[group] > 1
+        first[has[at], k] = True
+    # Windows in the order of their starts: the farthest from the anchor first.
+    hit = (again & asks[:, None])[:, ::-1]
+    edge = np.diff(np.pad(hit, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    (row, begin), (_, end) = np.nonzero(edge == 1), np.nonzero(edge == -1)
+    anchor_at = low + before
     # One row for each window of a parted group that this block knows.
-    tell = np.flatnonzero(parted[of] & (first | ~again))
-    zeros = np.zeros(len(begin), np.int64)
+    has = (nearest[:, None] <= np.arange(half + 1)) & (np.arange(half + 1) <= before[:, None])
+    t_row, k = np.nonzero(has & parted[:, None] & (first | ~again))
+    at = anchor[t_row] - k
+    h1, h2 = (Rolling(data, which).of(at, at + length).view(np.int64) for which in (0, 1)) if len(at) else (at, at)
+    zeros = np.zeros(len(row), np.int64)
     columns = (
-        np.concatenate([ids[of[begin]], ids[of[tell]]]),
-        np.concatenate([low[of[begin]] + shift[begin], low[of[tell]] + shift[tell]]).astype(np.int32),
-        np.concatenate([low[of[end]] + shift[end], low[of[tell]] + shift[tell]]).astype(np.int32),
-        np.concatenate([zeros, h1[tell].view(np.int64)]), np.concatenate([zeros, h2[tell].view(np.int64)]),
-        np.concatenate([np.ones(len(begin), bool), asks[of[tell]] & ~again[tell]]),
-        np.arange(len(begin) + len(tell)) < len(begin),
+        np.concatenate([ids[row], ids[t_row]]),
+        np.concatenate([anchor_at[row] - half + begin, anchor_at[t_row] - k]).astype(np.int32),
+        np.concatenate([anchor_at[row] - half + end - 1, anchor_at[t_row] - k]).astype(np.int32),
+        np.concatenate([zeros, h1]), np.concatenate([zeros, h2]),
+        np.concatenate([np.ones(len(row), bool), asks[t_row] & ~again[t_row, k]]), np.arange(len(row) + len(k)) < len(row),
     )
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["_row", "low", "high", "h1", "h2", "asks", "sure"])
 
@@ -315,7 +347,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = stored(found, "repeat-segments")
 
     ends = found.where("open").groupBy("_row").agg(F.collect_list(F.struct("at", "low", "high", "asks")).alias("open"))
-    contexts = texts.select("_row", "text").join(ends, "_row").mapInArrow(_open_segments(length), "suffix long, _row long, low int, high int, asks boolean, bytes binary")
+    contexts = texts.select("_row", "text").join(ends, "_row").mapInArrow(_open_segments(length), "suffix long, _row long, low int, high int, before int, asks boolean, bytes binary")
     contexts = stored(contexts, "repeat-contexts")
     total = contexts.count()
     sizes = contexts.groupBy("suffix").agg(F.count(F.lit(1)).alias("size"))
