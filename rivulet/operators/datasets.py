@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet.functions.indexing import index_within_groups, running_total
-from rivulet.session import committed_values, ensure_checkpoint_dir
+from rivulet.session import ensure_checkpoint_dir, last_committed
 
 
 # --------------------------------------------------------------------- D1
@@ -103,7 +103,8 @@ class AccumulatingTable:
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path.rstrip("/")
-        self.batches = max(committed_values(spark, self.path, "batch"), default=-1) + 1
+        last = last_committed(spark, self.path, "batch")
+        self.batches = 0 if last is None else last + 1
 
     def append(self, df: DataFrame) -> int:
         df.write.mode("overwrite").parquet(f"{self.path}/batch={self.batches}")

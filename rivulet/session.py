@@ -98,19 +98,28 @@ def is_committed(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def committed_values(spark: SparkSession, path: str, column: str) -> list[int]:
-    """The numbers ``v`` of the folders ``path/column=v`` whose writes ran to their end, ascending.
+def _numbered_folders(spark: SparkSession, path: str, column: str) -> list[int]:
+    fs, p = _hadoop_path(spark, path)
+    if not fs.exists(p):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(p) if f.isDirectory()]
+    return sorted(int(n.split("=", 1)[1]) for n in names if n.startswith(f"{column}="))
+
+
+def committed_values(spark: SparkSession, path: str, column: str, above: int = -1) -> list[int]:
+    """The numbers ``v > above`` of the folders ``path/column=v`` whose writes ran to their end, ascending."""
+    return [v for v in _numbered_folders(spark, path, column) if v > above and is_committed(spark, f"{path.rstrip('/')}/{column}={v}")]
+
+
+def last_committed(spark: SparkSession, path: str, column: str) -> int | None:
+    """The largest such number, or None.
 
     Used to restore a counter (a positions version, a batch number) after a
     restart, so it never lives only in driver memory; a half-written folder
     does not count.
     """
-    fs, p = _hadoop_path(spark, path)
-    if not fs.exists(p):
-        return []
-    names = [f.getPath().getName() for f in fs.listStatus(p) if f.isDirectory()]
-    found = [int(n.split("=", 1)[1]) for n in names if n.startswith(f"{column}=")]
-    return sorted(v for v in found if is_committed(spark, f"{path.rstrip('/')}/{column}={v}"))
+    folders = reversed(_numbered_folders(spark, path, column))
+    return next((v for v in folders if is_committed(spark, f"{path.rstrip('/')}/{column}={v}")), None)
 
 
 def input_mark(spark: SparkSession, path: str) -> str:

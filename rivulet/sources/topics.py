@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rivulet.session import committed_values
+from rivulet.session import last_committed
 from rivulet.functions.lines import (
     check_topic_schema, decode_columns, encode_line, line_is_clean, parse_schema, reject_reason, split_line,
     sql_str,
@@ -203,7 +203,7 @@ class TopicPositions:
         self.spark = spark
         self.path = path.rstrip("/")
         # a restarted consumer resumes from the last committed version
-        self.version = max(committed_values(spark, self.path, "v"), default=0)
+        self.version = last_committed(spark, self.path, "v") or 0
 
     def current(self) -> DataFrame | None:
         if self.version == 0:

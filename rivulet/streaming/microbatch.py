@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from rivulet.functions.lines import decode_columns, ident, row_text, split_line
-from rivulet.session import committed_values
+from rivulet.session import committed_values, is_committed, last_committed
 from rivulet.sources.topics import _schema
 
 # Fixed value: the reference's micro-batch interval.  Its standing query was
@@ -167,9 +167,8 @@ class StandingSql:
             batch.unpersist()
 
     def _run_waiting(self, spark: SparkSession) -> None:
-        done = set(committed_values(spark, self.out, "batch_id"))
         for i in committed_values(spark, self.waiting, "batch_id"):
-            if i not in done:
+            if not is_committed(spark, f"{self.out}/batch_id={i}"):
                 self._run(spark.read.parquet(f"{self.waiting}/batch_id={i}"), i)
 
     def _on_batch(self, batch: DataFrame, batch_id: int) -> None:
@@ -252,7 +251,7 @@ class ResultBuffer:
         self.spark = spark
         self.path = path.rstrip("/")
         # a restarted reader resumes after the last recorded drain
-        self.drains = max(committed_values(spark, f"{self.path}/marks", "drain_no"), default=0)
+        self.drains = last_committed(spark, f"{self.path}/marks", "drain_no") or 0
         self.mark = -1
         if self.drains:
             self.mark = int(spark.read.parquet(f"{self.path}/marks/drain_no={self.drains}").first()["mark"])
@@ -271,14 +270,14 @@ class ResultBuffer:
         the next drain returns the same rows again, so a consumer that fails
         between the two loses nothing.
         """
-        batches = committed_values(self.spark, f"{self.path}/rows", "batch_id")
-        if not batches:
+        new = committed_values(self.spark, f"{self.path}/rows", "batch_id", above=self.mark)
+        last = new[-1] if new else last_committed(self.spark, f"{self.path}/rows", "batch_id")
+        if last is None:
             return None, self.mark
-        new = [b for b in batches if b > self.mark]
         reader = self.spark.read.option("basePath", f"{self.path}/rows")
-        rows = reader.parquet(*[f"{self.path}/rows/batch_id={b}" for b in new or batches[-1:]])
+        rows = reader.parquet(*[f"{self.path}/rows/batch_id={b}" for b in new or [last]])
         rows = rows if new else rows.where(F.lit(False))
-        return rows.withColumn("drain_no", F.lit(self.drains + 1)), max(self.mark, batches[-1])
+        return rows.withColumn("drain_no", F.lit(self.drains + 1)), max(self.mark, last)
 
     def commit(self, token: int) -> None:
         """Advance the mark to a drain's token, after its rows have been used."""
