@@ -157,9 +157,11 @@ class Grammar:
                     out.append((name, marks, weight, clause))
         return out
 
-    def features(self, text: str | None) -> list[float]:
+    @staticmethod
+    def features(matches) -> list[float]:
+        """What the matches of a text count for, in the order of ``FEATURES``."""
         f = [0.0] * len(FEATURES)
-        for name, marks, weight, _ in self.matches(text or ""):
+        for name, marks, weight, _ in matches:
             if name == "insult":
                 at = 3 if "reported" in marks else 2 if "negated" in marks else 1 if "addressed" in marks else 0
                 f[at] += weight
@@ -203,7 +205,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 2000) -> tuple[
     if not len(y):
         return stems, np.concatenate([np.ones(len(FEATURES)), [-3.0]])
     weight = np.where(y == 1, counts.get(1, 0) / max(1, (y == 1).sum()), counts.get(0, 0) / max(1, (y != 1).sum()))
-    x = np.array([grammar.features(t) for t in texts])
+    x = np.array([grammar.features(grammar.matches(t)) for t in texts])
     return stems, fit_logistic(x, (y == 1).astype(float), weight / weight.mean())
 
 
@@ -222,9 +224,9 @@ def score(docs: DataFrame, model: tuple[dict[str, float], np.ndarray], text_col:
         grammar = Grammar(stems)
         x, rows = np.zeros((len(texts), len(FEATURES))), []
         for i, t in enumerate(texts):
-            t = t.as_py() or ""
-            x[i] = grammar.features(t)
-            rows.append([{"kind": k, "marks": " ".join(sorted(m)), "clause": c} for k, m, _, c in grammar.matches(t)] if x[i].any() else [])
+            found = grammar.matches(t.as_py() or "")
+            x[i] = grammar.features(found)
+            rows.append([{"kind": k, "marks": " ".join(sorted(m)), "clause": c} for k, m, _, c in found])
         p = 1 / (1 + np.exp(-np.clip(x @ b[:-1] + b[-1], -30, 30)))
         match = pa.list_(pa.struct([("kind", pa.string()), ("marks", pa.string()), ("clause", pa.string())]))
         return pa.StructArray.from_arrays([pa.array(p), pa.array(rows, match)], ["score", "matches"])
