@@ -26,13 +26,21 @@ def intervals(entries: DataFrame) -> DataFrame:
     Of entries of one list and pattern on one date the last by action name
     counts (remove over block over allow).  Entries with a null pattern, date
     or action are ignored; repeated entries collapse.  ``until`` is null for an
-    entry still in force.
+    entry still in force.  The entries of one pattern are ordered month by
+    month, so a pattern with very many of them is spread over tasks.
     """
     e = entries.select("list_name", F.lower("pattern").alias("pattern"), "action", "since")
     e = e.where("pattern IS NOT NULL AND since IS NOT NULL AND action IS NOT NULL")
     e = e.groupBy("list_name", "pattern", "since").agg(F.max("action").alias("action"))
-    w = Window.partitionBy("list_name", "pattern").orderBy("since")
-    return e.withColumn("until", F.lead("since").over(w)).where("action <> 'remove'")
+    e = e.withColumn("month", F.date_trunc("month", "since"))
+    key = ["list_name", "pattern", "month"]
+    inside = F.lead("since").over(Window.partitionBy(*key).orderBy("since"))
+    firsts = e.groupBy(*key).agg(F.min("since").alias("first"))
+    later = F.lead("first").over(Window.partitionBy("list_name", "pattern").orderBy("month"))
+    months = firsts.select(*[F.col(c).alias(f"of_{c}") for c in key], later.alias("later"))
+    spans = e.withColumn("inside", inside).join(months, [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in key])
+    spans = spans.select("list_name", "pattern", "since", "action", F.coalesce("inside", "later").alias("until"))
+    return spans.where("action <> 'remove'")
 
 
 def host_of(url: Column) -> Column:

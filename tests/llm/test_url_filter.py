@@ -54,6 +54,13 @@ def test_intervals(store):
     assert got == {("block", DAY(1), DAY(5)), ("allow", DAY(9), None)}
 
 
+def test_intervals_across_months_and_unnamed_lists(store):
+    log = [(name, "p", a, DAY(n)) for name in ("l", None) for n, a in ((3, "block"), (20, "allow"), (75, "block"), (200, "remove"), (201, "block"))]
+    got = sorted((str(r.list_name), r.action, r.since, str(r.until)) for r in intervals(store(log, "list_name string, pattern string, action string, since date")).collect())
+    one = [("allow", DAY(20), str(DAY(75))), ("block", DAY(3), str(DAY(20))), ("block", DAY(75), str(DAY(200))), ("block", DAY(201), "None")]
+    assert got == sorted([("None", *x) for x in one] + [("l", *x) for x in one])
+
+
 def test_no_list_and_no_captures(store):
     nothing = store([], "list_name string, pattern string, action string, since date")
     some = store([(1, "http://a.com/", DAY(1))], "page_id long, url string, fetched date")
