@@ -5,8 +5,9 @@ page into lines; a line knows its characters, its tags, its link characters
 and whether it stands in boilerplate (navigation, page header or footer,
 sidebar, form, advert, comments) or in the page's article.  The text-to-tag
 ratios of the lines are smoothed with a Gaussian and split into two clusters;
-the lines of the upper cluster make the content region.  The lines of an
-article element rank with the densest line, so its short lines are kept.
+the lines of the upper cluster make the content region, on every page.  The
+lines of article elements have a bonus on their ratio, and the other lines a
+malus, both as large as the articles' share of the page's own text.
 """
 
 from __future__ import annotations
@@ -157,21 +158,27 @@ def main_text(html: str | None) -> str:
     if not lines:
         return ""
     kind = np.array([x[3] for x in lines])
-    ratio = np.array([max(0, len(t) - linked) / max(1, tags) for t, tags, linked, _ in lines])
-    # An article element is a sure region: its lines rank with the densest one, the others with none.
-    allowed = kind == 1 if (kind == 1).any() else kind >= 0
-    if (kind == 1).any():
-        ratio[allowed] = max(1.0, ratio.max())
-    ratio[~allowed] = 0.0
-    own, level = np.log1p(ratio), np.log1p(smooth(ratio))
-    border = min(threshold(own), threshold(level)) if ratio.min() < ratio.max() else -1.0
-    # A line whose text is all links has none of its own.
-    near = allowed & (ratio > 0) & (np.maximum(own, level) > border)
+    allowed, article = kind >= 0, kind == 1
+    text = np.where(allowed, [max(0, len(t) - linked) for t, _, linked, _ in lines], 0)
+    # A line whose text is all links has none of its own; in an article it is a source or a list.
+    given = (text > 0) | article
+    if not given.any():
+        return ""
+    ratio = text / [max(1, tags) for _, tags, _, _ in lines]
+    # A teaser's article says little about the page, one that holds most of the text nearly all.
+    share = text[article].sum() / text.sum() if text.any() else 1.0
+    weight = np.where(article, 1.0, 1.0 - share)
+    ratio = np.where(article, ratio + share * max(1.0, ratio.max()), ratio * weight)
+    own, level = np.log1p(ratio), np.log1p(smooth(ratio) * weight)
+    # A page without boilerplate has a lower cluster too: no text at all.
+    border = min(threshold(np.append(own, 0.0)), threshold(np.append(level, 0.0)))
+    # A lone line outside an article needs dense neighbours or much text.
+    near = given & (np.where(article, np.maximum(own, level), level) > border)
     if not near.any():
         return ""
     # Lines between the first and the last of the upper cluster are inside the region.
     first, last = np.flatnonzero(near)[[0, -1]]
-    return "\n".join(x[0] for i, x in enumerate(lines) if allowed[i] and first <= i <= last and ratio[i] > 0)
+    return "\n".join(x[0] for i, x in enumerate(lines) if given[i] and first <= i <= last)
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:

@@ -68,3 +68,31 @@ def test_odd_rows(store):
     got = extract(pages)
     assert sorted((r["_text"], r.n_chars) for r in got.collect()) == [("", 0), ("", 0), ("x", 1), ("x", 1)]
     assert extract(pages.where("false")).collect() == []
+
+
+SENTENCES = [f"<p>{'The body of the page goes on with sentence number %d. ' % i * 5}</p>" for i in range(6)]
+LINKS = "".join(f"<div><a href='/{i}'>link {i}</a></div>" for i in range(8))
+
+
+@pytest.mark.parametrize("at", [0, 1])
+def test_a_teaser_article_does_not_replace_the_body(at):
+    cards = ["", ""]
+    cards[at] = f"<div>{LINKS}</div><div><article><h3>More</h3><p>A short teaser</p></article></div><div>{LINKS}</div>"
+    got = main_text(f"<body><nav>{LINKS}</nav>{cards[0]}<div><h1>The title</h1>{''.join(SENTENCES)}</div>{cards[1]}<footer>x</footer></body>")
+    assert all(f"number {i}" in got for i in range(6)) and "The title" in got and "link" not in got
+
+
+def test_density_decides_beside_an_article():
+    # Half of the text stands outside the article: it is text.  A short line of the page's frame is not.
+    half = "".join(SENTENCES[3:])
+    got = main_text(f"<body><div>Call us</div><div>{LINKS}</div><article>{''.join(SENTENCES[:3])}</article><div>{half}</div><div>{LINKS}</div><div>Top</div></body>")
+    assert got.count("\n") == 5 and "number 0" in got and "number 5" in got and "Call" not in got and "Top" not in got
+
+
+def test_short_paragraphs_of_a_page_without_boilerplate():
+    assert main_text(f"<body><h1>Head</h1>{''.join(SENTENCES)}<p>The end.</p></body>").count("\n") == 7
+
+
+def test_links_of_an_article_are_kept():
+    assert main_text(f"<nav>{LINKS}</nav><article>{SENTENCES[0]}<p><a href=/>A source</a></p></article>").endswith("\nA source")
+    assert main_text("<nav>x</nav><article><p><a href=/>A source</a></p></article>") == "A source"
