@@ -3,7 +3,8 @@
 Standard-library parser events are read as a stream.  Block elements cut the
 page into lines; a line knows its characters, its tags, its link characters
 and whether it stands in boilerplate (navigation, page header or footer,
-sidebar, form, advert, comments) or in the page's article.  The text-to-tag
+sidebar, form, advert, comments) or in the page's article.  Tags and names
+propose boilerplate; what an element holds of the page's text decides.  The text-to-tag
 ratios of the lines are smoothed with a Gaussian and split into two clusters;
 the lines of the upper cluster make the content region, on every page.  The
 lines of article elements have a bonus on their ratio, and the other lines a
@@ -26,57 +27,94 @@ from rivulet.llm.common import fresh, read_table
 # HTML element names, by what they mean for a page's text.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 SILENT = frozenset("script style noscript template head title svg iframe object canvas audio video select button textarea input label option datalist map".split())
-BOILERPLATE = frozenset("nav footer aside form menu dialog fieldset".split())
 IN_HEAD = frozenset("title meta link style script base noscript template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ARTICLE = frozenset(("article", "main"))
-#: Class or id tokens that name boilerplate.
-_NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adverts?|banner|sponsor\w*|promo\w*|nav\w*|menus?|breadcrumbs?|sidebar|side|widget|footer|header|masthead|cookies?|consent|gdpr|notices?|popup|modal|overlay|newsletter"
-    r"|subscribe|signup|login|share|sharing|social|related|recommended|comments?|disqus|replies|respond|pagination|pager|toolbar|skip)(?:$|[\s_-])",
-    re.I,
+#: Boilerplate that an element is by its tag, whatever it weighs.
+FRAME = frozenset("nav footer aside menu dialog".split())
+#: Words of class, id, role or label that name boilerplate; those of a title only outside articles.
+_NAMES = (
+    r"(?:ads?|advert\w*|adverts?|banner|sponsor\w*|promo\w*|nav\w*|menus?|breadcrumbs?|sidebar|side|widget|footer|header|masthead|cookies?|consent|gdpr|notices?|popup|modal|overlay|newsletter"
+    r"|subscribe|signup|login|share|sharing|social|related|recommended|comments?|disqus|replies|respond|pagination|pager|toolbar|skip)"
 )
+_NOISE = re.compile(rf"(?:^|[\s_-]){_NAMES}(?=$|[\s_-])", re.I)
+_WHOLE = re.compile(rf"(?:^|\s){_NAMES}(?=$|\s)", re.I)
+_TITLE = re.compile(r"(?:^|(?<=[\s_-]))(?:header|masthead|banner)(?=$|[\s_-])", re.I)
 _COMMENT = re.compile(r"(?:^|[\s_-])(?:comments?|disqus|replies|respond)(?:$|[\s_-])", re.I)
+#: Tokens that say what a layout has or how it is, not what the element is.
+_LAYOUT = re.compile(r"(?<!\S)(?:(?:has|have|with|without|no)[_-]\S+|\S+[_-](?:open|closed|on|off|enabled|disabled|layout))(?!\S)", re.I)
+#: Why an element may be boilerplate: a name or a form, in an article a whole token or another name, comments, its tag.
+LOOSE, WHOLE, DENSE, COMMENTS, HARD = range(5)
 _CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
 
 class _Lines(HTMLParser):
-    """Collects ``(text parts, tags, link characters, kind)`` of each line; kind: 0 plain, 1 article, -1 boilerplate."""
+    """Collects ``(text parts, tags, link characters, whether in an article)`` of each line.
+
+    ``named`` lists ``[reason, first line, end line]`` of the elements that may
+    be boilerplate, in the order they open, and ``articles`` the line ranges of
+    the articles; what they are is known when the page is read (``boilerplate``).
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[list[str], int, int, int]] = []
-        self.stack: list[tuple[str, int]] = []  # open elements and what they are: -2 silent, -1 boilerplate, 0, 1 article
+        self.lines: list[tuple[list[str], int, int, bool]] = []
+        self.stack: list[tuple[str, bool, list[list[int]]]] = []  # open elements, whether they are silent, their ranges
         self.parts: list[str] = []
-        self.tags = self.linked = self.links = self.silent = self.noise = self.article = 0
+        self.named: list[list[int]] = []
+        self.articles: list[list[int]] = []
+        self.tags = self.linked = self.links = self.silent = self.article = self.main = 0
 
     def _cut(self) -> None:
         if self.parts:
-            self.lines.append((self.parts, self.tags, self.linked, -1 if self.noise else 1 if self.article else 0))
+            self.lines.append((self.parts, self.tags, self.linked, self.article + self.main > 0))
             self.parts = []
         self.tags = self.linked = 0
 
-    def _means(self, tag: str, attrs) -> int:
-        if tag in SILENT:
-            return -2
-        names = " ".join(v for k, v in attrs if v and k in ("class", "id", "role", "aria-label"))
-        hidden = any(k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and re.search(r"display\s*:\s*none", v, re.I) for k, v in attrs)
-        if hidden:
-            return -2
+    def _reason(self, tag: str, attrs) -> int | None:
+        names = _LAYOUT.sub("", " ".join(v for k, v in attrs if v and k in ("class", "id", "role", "aria-label")))
         if tag in ARTICLE:
             # An article inside comments is a comment.
-            return -1 if _COMMENT.search(names) else 1
-        if tag in BOILERPLATE or (tag == "header" and not self.article) or (names and tag not in ("html", "body") and _NOISE.search(names)):
-            return -1
-        return 0
-
-    def _count(self, what: int, by: int) -> None:
-        if what == -2:
-            self.silent += by
-        elif what == -1:
-            self.noise += by
-        elif what == 1:
-            self.article += by
+            return COMMENTS if _COMMENT.search(names) else None
+        inside = self.article + self.main > 0
+        if tag in FRAME or (tag == "header" and not inside):
+            return HARD
+        if names and tag not in ("html", "body"):
+            if inside:
+                names = _TITLE.sub("", names)
+            if _COMMENT.search(names):
+                return COMMENTS
+            if _NOISE.search(names):
+                return LOOSE if not self.article else WHOLE if _WHOLE.search(names) else DENSE
+        return LOOSE if tag in ("form", "fieldset") else None
+
+    def _open(self, tag: str, attrs) -> None:
+        hidden = any(k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and re.search(r"display\s*:\s*none", v, re.I) for k, v in attrs)
+        silent, ranges = tag in SILENT or hidden, []
+        if not silent:
+            first, reason = len(self.lines) + bool(self.parts), self._reason(tag, attrs)
+            if reason is not None:
+                ranges.append([reason, first, first])
+                self.named.append(ranges[-1])
+            if tag in ARTICLE:
+                ranges.append([-1, first, first])
+                self.articles.append(ranges[-1])
+                self.article += tag == "article"
+                self.main += tag == "main"
+        self.silent += silent
+        self.links += tag == "a"
+        self.stack.append((tag, silent, ranges))
+
+    def _close(self) -> str:
+        tag, silent, ranges = self.stack.pop()
+        self.silent -= silent
+        self.links -= tag == "a"
+        for x in ranges:
+            x[2] = max(x[1], len(self.lines))
+        if not silent:
+            self.article -= tag == "article"
+            self.main -= tag == "main"
+        return tag
 
     def handle_starttag(self, tag, attrs) -> None:
         if tag == "br":
@@ -87,16 +125,13 @@ class _Lines(HTMLParser):
         self.tags += 1
         if self.stack and self.stack[-1][0] == "head" and tag not in IN_HEAD:
             # The head ends where the body begins, with or without its tag.
-            self._count(self.stack.pop()[1], -1)
+            self._close()
         if tag in VOID:
             return
         for closed in _CLOSED_BY.get(tag, ()):
             if self.stack and self.stack[-1][0] == closed:
-                self._count(self.stack.pop()[1], -1)
-        what = self._means(tag, attrs)
-        self.stack.append((tag, what))
-        self._count(what, 1)
-        self.links += tag == "a"
+                self._close()
+        self._open(tag, attrs)
 
     def handle_startendtag(self, tag, attrs) -> None:
         # "<div/>" opens a div, as browsers read it.
@@ -106,14 +141,9 @@ class _Lines(HTMLParser):
         if tag in BLOCKS:
             self._cut()
         self.tags += 1
-        if not any(t == tag for t, _ in self.stack):
-            return
-        while True:
-            t, what = self.stack.pop()
-            self._count(what, -1)
-            self.links -= t == "a"
-            if t == tag:
-                return
+        if any(x[0] == tag for x in self.stack):
+            while self._close() != tag:
+                pass
 
     def handle_data(self, data) -> None:
         if not self.silent:
@@ -124,6 +154,63 @@ class _Lines(HTMLParser):
     def close(self) -> None:
         super().close()
         self._cut()
+        while self.stack:
+            self._close()
+
+
+def boilerplate(named: list[list[int]], articles: list[list[int]], own: np.ndarray, linked: np.ndarray) -> np.ndarray:
+    """Which lines are boilerplate: ``own`` and ``linked`` are the lines' characters outside and inside links.
+
+    A name is judged by what the element holds.  One that holds the article, or
+    most of the page's text with no such article beside it, frames the page
+    and is no boilerplate itself.  An article counts that has a fifth of the
+    text that nothing named holds.  In an article a whole token names small or
+    link-dense blocks, another name only link-dense ones.
+    """
+    n = len(own)
+    cover, comments, noise = np.zeros(n + 1, int), np.zeros(n + 1, int), np.zeros(n, bool)
+    for reason, a, b in named:
+        for count in (cover, comments) if reason == COMMENTS else (cover,):
+            count[a] += a < b
+            count[b] -= a < b
+    cover, comments = np.cumsum(cover[:n]), np.cumsum(comments[:n])
+    spans = np.array([x[1:] for x in articles if x[1] < x[2]], int).reshape(-1, 2)
+    for reason, a, b in named:
+        if a >= b or noise[a]:
+            continue
+        text = np.where(comments == 0, own, 0)
+        here, most = own[a:b].sum(), (0, 0, 0)
+        if reason == COMMENTS:
+            # A thread has many articles or is less than the rest; its own comments are named too.
+            held, end = 0, a
+            if here > text.sum():
+                for x, y in spans[np.searchsorted(spans[:, 0], a) :].tolist():
+                    if x >= b or held > 1:
+                        break
+                    if end <= x and y <= b and comments[x:y].min() == 1:
+                        held, end = held + 1, y
+            frames = held == 1
+        else:
+            total = np.concatenate([[0], np.cumsum(text)])
+            here = total[b] - total[a]
+            if len(spans):
+                sizes = total[spans[:, 1]] - total[spans[:, 0]]
+                most = (sizes.max(), *spans[sizes.argmax()].tolist())
+            free = np.where(cover == 0, text, 0)
+            sure = most[0] > 0 and 4 * most[0] >= free.sum() - free[most[1] : most[2]].sum()
+            beside = sure and (most[2] <= a or b <= most[1]) and 4 * most[0] >= here
+            dense = linked[a:b].sum() > own[a:b].sum()
+            if reason in (WHOLE, DENSE):
+                small = 4 * here <= total[n] or (here <= 200 and 2 * here <= total[n])
+                frames = not (dense or (reason == WHOLE and small))
+            else:
+                frames = sure and a <= most[1] and most[2] <= b or reason == LOOSE and 2 * here > total[n] and not beside
+        if frames:
+            cover[a:b] -= 1
+            comments[a:b] -= reason == COMMENTS
+        else:
+            noise[a:b] = True
+    return noise
 
 
 def smooth(values: np.ndarray, sigma: float = 1.0) -> np.ndarray:
@@ -153,13 +240,17 @@ def main_text(html: str | None) -> str:
     parser = _Lines()
     parser.feed(html or "")
     parser.close()
-    lines = [(" ".join("".join(parts).split()), tags, linked, kind) for parts, tags, linked, kind in parser.lines]
-    lines = [x for x in lines if x[0]]
+    lines = [(" ".join("".join(parts).split()), tags, linked, article) for parts, tags, linked, article in parser.lines]
     if not lines:
         return ""
-    kind = np.array([x[3] for x in lines])
-    allowed, article = kind >= 0, kind == 1
-    text = np.where(allowed, [max(0, len(t) - linked) for t, _, linked, _ in lines], 0)
+    text, links = np.array([(max(0, len(t) - linked), min(len(t), linked)) for t, _, linked, _ in lines]).T
+    noise = boilerplate(parser.named, parser.articles, text, links)
+    kept = np.array([bool(x[0]) for x in lines])
+    if not kept.any():
+        return ""
+    lines, noise = [x for x in lines if x[0]], noise[kept]
+    article = np.array([x[3] for x in lines]) & ~noise
+    text = np.where(noise, 0, text[kept])
     # A line whose text is all links has none of its own; in an article it is a source or a list.
     given = (text > 0) | article
     if not given.any():

@@ -96,3 +96,31 @@ def test_short_paragraphs_of_a_page_without_boilerplate():
 def test_links_of_an_article_are_kept():
     assert main_text(f"<nav>{LINKS}</nav><article>{SENTENCES[0]}<p><a href=/>A source</a></p></article>").endswith("\nA source")
     assert main_text("<nav>x</nav><article><p><a href=/>A source</a></p></article>") == "A source"
+
+
+FRAME = f"<nav>{LINKS}</nav>{{}}<div class=sidebar><p>A side text of some length</p></div><div class=comments><article>Nice</article></div><footer>The foot</footer>"
+
+
+@pytest.mark.parametrize("wrap", [f"<div class='{c}'>{{}}</div>" for c in ("layout has-sidebar", "right-sidebar", "with-nav", "side", "social", "comments-open", "post comments")] + ["<form id=aspnetForm>{}</form>"])
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_names_of_wrappers(wrap, tag):
+    body = f"<{tag}><h1>Title</h1>{''.join(SENTENCES)}</{tag}>"
+    want = main_text(f"<body>{body}</body>")
+    if "post comments" in wrap and tag == "div":
+        return  # comments without an article are comments
+    assert want.count("\n") == 6
+    assert main_text(f"<body>{FRAME.format(wrap.format(body))}</body>") == want
+    assert main_text(f"<body>{wrap.format(FRAME.format(body))}</body>") == want
+
+
+def test_names_inside_an_article():
+    text = "".join(SENTENCES)
+    got = main_text(f"<article><div class='article-header'><h1>Title</h1></div>{text}<div class='share'>Tell others</div><div class='related-posts'>{LINKS}</div><div class='side-note'>A note</div></article>")
+    assert got.startswith("Title\n") and got.endswith("\nA note") and got.count("\n") == 7
+    assert main_text(f"<article><p>Intro</p><div class=widget>{text}</div></article>").count("\n") == 6
+
+
+def test_teasers_and_long_threads_are_no_articles():
+    text, thread = "".join(SENTENCES), "".join(f"<li class=comment><article><p>{'I think so too. ' * 30}</p></article>" for _ in range(9))
+    got = main_text(f"<div>{text}</div><aside><article>Teaser</article></aside><div id=comments><ol>{thread}</ol></div>")
+    assert got.count("\n") == 5 and "Teaser" not in got and "too" not in got
