@@ -1,14 +1,22 @@
-"""License notices by winnowed fingerprints and banded alignment.
+"""License texts and notices by winnowed fingerprints and banded alignment.
 
-Each template is cut into word k-grams whose winnowed hashes make an inverted
-index ``hash -> (template, word)``.  The k-grams of a document that are in the
-index propose a template and a diagonal; hits near one diagonal make a
+Templates are whole license texts (``licenses/``) and short notices.  Each is
+cut into word k-grams whose winnowed hashes make an inverted index
+``hash -> (template, word)``.  The k-grams of a document that are in the
+index propose a template and a diagonal; enough hits near one diagonal make a
 candidate, and a banded alignment of the template against the document's
 words around it decides, giving the matched coverage and span.
+
+A template of n words matches with at most ``(1 - least) * n`` edits.  So many
+edits leave a number of its grams whole, which is the number of hits asked
+for; no alignment within the edits is missed.
 """
 
 from __future__ import annotations
 
+from functools import cache
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +26,9 @@ from pyspark.sql.functions import arrow_udf
 from rivulet.llm.common import byte_blocks, fresh, read_table
 from rivulet.llm.wordindex import WordHasher, alnum_table, lower_table
 
-GRAM, WINNOW, BAND, LEAST = 3, 2, 4, 0.8
+GRAM, WINNOW, LEAST = 3, 2, 0.8
+#: Templates of fewer words are notices.
+NOTICE = 60
 
 # Fixed texts: short notices and the opening passages of common licenses.
 TEMPLATES = {
@@ -39,6 +49,12 @@ TEMPLATES = {
 }
 
 
+@cache
+def license_texts() -> dict[str, str]:
+    """The whole license texts that come with the package, by name (``MIT-full``)."""
+    return {f"{p.stem}-full": p.read_text(encoding="utf-8") for p in sorted((Path(__file__).parent / "licenses").glob("*.txt"))}
+
+
 def _words(data: bytes):
     data = lower_table()[np.frombuffer(data, np.uint8)]
     starts, ends, _, hashes = WordHasher().words(data, np.array([0, len(data)]), alnum_table())
@@ -61,77 +77,136 @@ def winnow(hashes: np.ndarray, window: int) -> list[int]:
 
 
 class Index:
-    """Templates and their inverted index of winnowed k-grams."""
+    """Templates and their inverted indexes of winnowed grams, one for each gram length."""
 
-    def __init__(self, templates: dict[str, str], k: int = GRAM, window: int = WINNOW) -> None:
-        self.names, self.k = sorted(templates), k
-        self.words, entries = [], []
+    def __init__(self, templates: dict[str, str], k: int = GRAM, window: int = WINNOW, least: float = LEAST) -> None:
+        self.names, self.words, self.hashed, self.edits, self.need = sorted(templates), [], [], [], []
+        entries: dict[int, list[tuple[int, int, int]]] = {}
         for t, name in enumerate(self.names):
             words, hashes = _words(templates[name].encode("utf-8"))
+            n = len(words)
             self.words.append(words)
-            g = grams(hashes, k)
-            entries += [(int(g[i]), t, i) for i in winnow(g, window)]
-        entries.sort()
-        self.hashes = np.array([e[0] for e in entries], np.uint64)
-        self.at = [e[1:] for e in entries]
-        self.maybe = np.zeros(1 << 16, bool)
-        self.maybe[self.hashes >> np.uint64(48)] = True
-
-    def hits(self, hashes: np.ndarray):
-        """``(gram number, first entry, last entry)`` of the grams that are in the index."""
-        if not len(self.hashes):
+            self.hashed.append(hashes)
+            e = int((1 - least) * n + 1e-9)
+            self.edits.append(e)
+            # An edit breaks at most as many grams as a gram has words; long texts have enough left to be winnowed.
+            size, w = min(k, 2 if n < 7 else 3, max(1, -(-(n - e) // (e + 1)))), window if n >= NOTICE else 1
+            self.need.append(max(1, -(-(n - size + 1 - size * e - (e + 1) * (w - 1)) // w)))
+            g = grams(hashes, size)
+            entries.setdefault(size, []).extend((int(g[i]), t, i) for i in (winnow(g, w) if len(g) else ()))
+        self.need = np.array(self.need, np.int64)
+        self.tables = {}
+        for size, found in entries.items():
+            found.sort()
+            maybe, keys = np.zeros(1 << 20, bool), np.array([x[0] for x in found], np.uint64)
+            maybe[keys >> np.uint64(44)] = True
+            self.tables[size] = keys, np.array([x[1:] for x in found], np.int64).reshape(-1, 2), maybe
+
+    def hits(self, hashes: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """``row, template, diagonal, template word`` of the hits of (row, template) pairs with enough of them, in this order."""
+        out = [np.zeros((0, 4), np.int64)]
+        for size, (keys, at, maybe) in self.tables.items():
+            g = grams(hashes, size)
+            i = np.flatnonzero(maybe[g >> np.uint64(44)])
+            i = i[rows[i] == rows[i + size - 1]]
+            low = np.searchsorted(keys, g[i], "left")
+            n = np.searchsorted(keys, g[i], "right") - low
+            i, low, n = i[n > 0], low[n > 0], n[n > 0]
+            entry = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+            i = np.repeat(i, n)
+            pair = rows[i] * len(self.names) + at[entry, 0]
+            _, group, count = np.unique(pair, return_inverse=True, return_counts=True)
+            keep = count[group] >= self.need[at[entry, 0]]
+            i, entry = i[keep], entry[keep]
+            out.append(np.column_stack([rows[i], at[entry, 0], i - at[entry, 1], at[entry, 1]]))
+        hits = np.concatenate(out)
+        return hits[np.lexsort(hits.T[::-1])]
+
+
+def diagonals(offsets: np.ndarray, at: np.ndarray, edits: int, need: int):
+    """Diagonals to align on: the first of windows of ``edits`` with ``need`` distinct template words, the fullest first."""
+    while len(offsets):
+        # Hits of one alignment are at most that far apart; clusters have nothing to do with each other.
+        cuts = np.flatnonzero(np.diff(offsets) > 2 * edits + 1) + 1
+        if len(cuts):
+            for x, y in zip([0, *cuts.tolist()], [*cuts.tolist(), len(offsets)]):
+                if y - x >= need:
+                    yield from diagonals(offsets[x:y], at[x:y], edits, need)
+            return
+        upto = np.searchsorted(offsets, offsets + edits, "right")
+        count = upto - np.arange(len(offsets))
+        best = int(np.argmax(count))
+        if count[best] < need:
             return
-        for i in np.flatnonzero(self.maybe[hashes >> np.uint64(48)]).tolist():
-            low, high = np.searchsorted(self.hashes, hashes[i], "left"), np.searchsorted(self.hashes, hashes[i], "right")
-            if low < high:
-                yield i, int(low), int(high)
+        first = int(offsets[best])
+        if len(np.unique(at[best : upto[best]])) >= need:
+            yield first
+        keep = (offsets < first - edits // 2) | (offsets > first + edits + edits // 2)
+        offsets, at = offsets[keep], at[keep]
 
 
-def align(template: list[bytes], words: list[bytes], offset: int, band: int) -> tuple[int, int, int]:
-    """Best banded alignment of the template with ``words`` around the diagonal ``offset``.
+def path(template: np.ndarray, words: np.ndarray, offset: int, band: int) -> list[tuple[int, int]]:
+    """Matched pairs ``(template word, word)`` of the best alignment around the diagonal ``offset``.
 
     Match 2, mismatch -1, gap -1; the ends of ``words`` are free.  Only cells
-    within ``band`` of the diagonal are filled.  Returns matched template
-    words and the span of the matched words, end exclusive (0, 0, 0: none).
+    within ``band`` of the diagonal are filled.
     """
-    none = (-(10**9), 0, -1, -1)
-    # A cell is (score, matches, first matched word, last matched word); column d stands for word t + offset + d.
-    above = [(0, 0, -1, -1)] * (2 * band + 1)
-    for t, want in enumerate(template):
-        row: list[tuple[int, int, int, int]] = []
-        for d in range(-band, band + 1):
-            j = t + offset + d
-            old = above[d + band]
-            if 0 <= j < len(words):
-                same = words[j] == want
-                best = (old[0] + 2, old[1] + 1, old[2] if old[2] >= 0 else j, j) if same else (old[0] - 1, *old[1:])
-            else:
-                best = (old[0] - 1, *old[1:])
-            skipped = above[d + band + 1] if d < band else none
-            best = max(best, (skipped[0] - 1, *skipped[1:]), key=lambda c: c[0])
-            if row:
-                best = max(best, (row[-1][0] - 1, *row[-1][1:]), key=lambda c: c[0])
-            row.append(best)
-        above = row
-    _, matched, first, last = max(above, key=lambda c: (c[1], c[0]))
-    return (matched, first, last + 1) if matched else (0, 0, 0)
-
-
-def scan_row(words: list[bytes], hits: list[tuple[int, int, int]], index: Index, band: int = BAND, least: float = LEAST):
-    """Matches ``(template, coverage, first word, last word)`` of one document, in order."""
-    found = {}
-    for t, offset in sorted({(t, i - at) for i, low, high in hits for t, at in index.at[low:high]}):
-        around = [o for (k, o) in found if k == t and abs(o - offset) <= band]
-        if around:
-            continue
-        matched, first, last = align(index.words[t], words, offset, band)
-        if matched >= least * len(index.words[t]):
-            found[t, offset] = (matched / len(index.words[t]), first, last)
-    # Of overlapping matches the best covered stays, then the longer, then the first name.
+    n, width = len(template), 2 * band + 1
+    # Column d stands for word t + offset - band + d; before and after the words nothing matches.
+    low, high = offset - band, offset + band + n
+    inside = words[max(0, low) : max(0, high)]
+    padded, there = np.zeros(high - low, words.dtype), np.zeros(high - low, bool)
+    start = max(0, -low)
+    padded[start : start + len(inside)], there[start : start + len(inside)] = inside, True
+    score, slope, moves = np.zeros(width, np.int64), np.arange(width), np.zeros((n, width), np.int8)
+    for t in range(n):
+        diagonal = score + np.where((padded[t : t + width] == template[t]) & there[t : t + width], 2, -1)
+        skipped = np.append(score[1:] - 1, -(10**9))
+        best = np.maximum(diagonal, skipped)
+        score = np.maximum.accumulate(best + slope) - slope
+        moves[t] = np.where(score > best, 2, skipped > diagonal)
+    t, d, pairs = n - 1, int(np.argmax(score)), []
+    while t >= 0:
+        if moves[t, d] == 2:
+            d -= 1
+        elif moves[t, d] == 1:
+            t, d = t - 1, d + 1
+        else:
+            if there[t + d] and padded[t + d] == template[t]:
+                pairs.append((t, t + d + low))
+            t -= 1
+    return pairs[::-1]
+
+
+def align(template: list[bytes], words: list[bytes], offset: int, band: int) -> tuple[int, int, int]:
+    """Matched template words of ``path`` and the span of the matched words, end exclusive (0, 0, 0: none)."""
+    number = {w: i for i, w in enumerate({*template, *words})}
+    pairs = path(np.array([number[w] for w in template], np.int64), np.array([number[w] for w in words], np.int64), offset, band)
+    return (len(pairs), pairs[0][1], pairs[-1][1] + 1) if pairs else (0, 0, 0)
+
+
+def edits_of(pairs: list[tuple[int, int]], n: int) -> int:
+    """Template words changed or left out, and words put in between the matched ones."""
+    between = sum(max(0, (j - y) - (i - x)) for (x, y), (i, j) in zip(pairs, pairs[1:]))
+    return n - len(pairs) + between
+
+
+def scan_row(hashes: np.ndarray, hits: np.ndarray, index: Index):
+    """Matches ``(template, coverage, first word, end word)`` of one document, in order; ``hits``: template, diagonal, template word."""
+    found = []
+    for t in np.unique(hits[:, 0]).tolist():
+        mine, template, most = hits[hits[:, 0] == t], index.hashed[t], index.edits[t]
+        for offset in diagonals(mine[:, 1], mine[:, 2], most, int(index.need[t])):
+            middle, band = offset + most // 2, most + (most + 1) // 2
+            pairs = path(template, hashes, middle, band)
+            if not pairs or (edits := edits_of(pairs, len(template))) > most:
+                continue
+            found.append((len(pairs), edits, t, pairs[0][1], pairs[-1][1] + 1))
+    # Of overlapping matches the one with most words stays, then the one with fewest edits, then the first name.
     out: list[tuple[int, float, int, int]] = []
-    for (t, _), (coverage, first, last) in sorted(found.items(), key=lambda x: (-x[1][0], -len(index.words[x[0][0]]), x[0][0], x[1][1])):
+    for n, _, t, first, last in sorted(found, key=lambda x: (-x[0], x[1], x[2], x[3])):
         if not any(first < hi and lo < last for _, _, lo, hi in out):
-            out.append((t, coverage, first, last))
+            out.append((t, n / len(index.words[t]), first, last))
     return [(index.names[t], c, lo, hi) for t, c, lo, hi in sorted(out, key=lambda x: (x[2], x[3], x[0]))]
 
 
@@ -144,7 +219,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, text_col: str
     text has no match.  Rows are scanned one by one: repeated rows get equal
     results, and an empty table an empty result.
     """
-    shipped = docs.sparkSession.sparkContext.broadcast(Index(TEMPLATES if templates is None else templates))
+    shipped = docs.sparkSession.sparkContext.broadcast(Index(TEMPLATES | license_texts() if templates is None else templates, least=least))
     kind = pa.list_(pa.struct([("template", pa.string()), ("coverage", pa.float64()), ("first_byte", pa.int64()), ("end_byte", pa.int64())]))
 
     @arrow_udf("array<struct<template:string,coverage:double,first_byte:bigint,end_byte:bigint>>")
@@ -154,14 +229,12 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, text_col: str
         for first, offsets, data in byte_blocks(texts):
             data = lower[data]
             starts, ends, rows, hashes = hasher.words(data, offsets, is_word)
-            by_row: dict[int, list[tuple[int, int, int]]] = {}
-            for i, low, high in index.hits(grams(hashes, index.k)):
-                if rows[i] == rows[i + index.k - 1]:
-                    by_row.setdefault(int(rows[i]), []).append((i, low, high))
-            for row, hits in by_row.items():
+            hits = index.hits(hashes, rows)
+            found, firsts = np.unique(hits[:, 0], return_index=True)
+            for row, mine in zip(found.tolist(), np.split(hits[:, 1:], firsts[1:])):
                 lo, hi = np.searchsorted(rows, [row, row + 1])
-                words = [data[s:e].tobytes() for s, e in zip(starts[lo:hi].tolist(), ends[lo:hi].tolist())]
-                for name, coverage, a, b in scan_row(words, [(i - int(lo), x, y) for i, x, y in hits], index, least=least):
+                mine[:, 1] -= lo
+                for name, coverage, a, b in scan_row(hashes[lo:hi], mine, index):
                     out[first + row].append({"template": name, "coverage": coverage, "first_byte": int(starts[lo + a] - offsets[row]), "end_byte": int(ends[lo + b - 1] - offsets[row])})
         return pa.array(out, kind)
 

@@ -2,7 +2,7 @@ import re
 
 import duckdb
 
-from rivulet.llm.license_scan import TEMPLATES, Index, align, op3_license, scan
+from rivulet.llm.license_scan import TEMPLATES, Index, align, license_texts, op3_license, scan
 
 
 def found(spark, text):
@@ -54,3 +54,22 @@ def test_odd_rows(spark, odd, none):
 
 def test_sf_has_notices(sf_dir):
     assert duckdb.sql(f"SELECT count(*) FROM '{sf_dir}/documents.parquet' WHERE text ILIKE '%license%'").fetchall()[0][0] > 0
+
+
+def test_whole_texts_are_found_with_their_span(spark):
+    rows = [(n, f"Copyright (c) 2020 Somebody\n{t}\nint main() {{}}") for n, t in license_texts().items()]
+    assert len(rows) > 20
+    for r in scan(spark.createDataFrame(rows, "name string, text string")).collect():
+        assert r.licenses == r.name and r.coverage == 1.0 and r.n_matches == 1
+        cut = r.text.encode()[r.matches[0].first_byte : r.matches[0].end_byte].decode()
+        words = [re.findall("[a-z0-9]+", x.lower()) for x in (cut, license_texts()[r.name])]
+        assert words[0] == words[1]
+
+
+def test_changed_and_cut_texts(spark):
+    mit = license_texts()["MIT-full"]
+    assert [f[0] for f in found(spark, mit.replace("Software", "Program", 4).replace("The above", "All of the above"))] == ["MIT-full"]
+    # Its opening alone is no whole text.
+    assert [f[0] for f in found(spark, mit[:300])] == ["MIT-text"]
+    two = found(spark, mit + "\n\n" + license_texts()["ISC-full"])
+    assert [f[0] for f in two] == ["MIT-full", "ISC-full"]
