@@ -27,8 +27,13 @@ from rivulet.llm.common import byte_blocks, fresh, read_table
 from rivulet.llm.wordindex import WordHasher, alnum_table, lower_table
 
 GRAM, WINNOW, LEAST = 3, 2, 0.8
-#: Templates of fewer words are notices.
-NOTICE = 60
+#: Templates of fewer words are notices; of a longer one only so many words are its title.
+NOTICE, TITLE = 60, 12
+#: Words that tell one license, variant or version from another.
+NAMES = frozenset(
+    "apache mit bsd isc gnu lesser library affero general public gpl lgpl agpl mpl epl mozilla eclipse boost zlib unlicense cc by nc sa nd attribution noncommercial"
+    " sharealike noderivatives noderivs clause v1 v2 v3 v4 0 1 2 3 4 5".split()
+)
 
 # Fixed texts: short notices and the opening passages of common licenses.
 TEMPLATES = {
@@ -46,7 +51,38 @@ TEMPLATES = {
     "MIT": "Released under the MIT License",
     "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
+    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3",
+    "AGPL-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+    "AGPL-notice": "Released under the AGPL License",
+    "Apache-notice": "Released under the Apache License",
+    "BSD-2-Clause-notice": "Released under the BSD 2-Clause License",
+    "BSD-3-Clause-notice": "Released under the BSD 3-Clause License",
+    "BSD-notice": "Released under the BSD License",
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0",
+    "EPL-1.0": "made available under the terms of the Eclipse Public License v1.0",
+    "EPL-2.0": "made available under the terms of the Eclipse Public License 2.0",
+    "GPL-notice": "Released under the GPL License",
+    "ISC-notice": "Released under the ISC License",
+    "LGPL-2.1": "This work is licensed under the GNU Lesser General Public License, version 2.1",
+    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3",
+    "LGPL-2.0-header": "is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation",
+    "LGPL-header": "is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    "LGPL-notice": "Released under the LGPL License",
+    "MPL-notice": "Released under the Mozilla Public License",
+    "Unlicense": "This is free and unencumbered software released into the public domain",
+    "zlib-notice": "Released under the zlib License",
 }
+for _kind, _long in {"GPL": "General", "LGPL": "Lesser General", "AGPL": "Affero General"}.items():
+    TEMPLATES[f"{_kind}-notice-long"] = f"Released under the GNU {_long} Public License"
+    for _version in {"GPL": ("2", "3"), "LGPL": ("2.1", "3"), "AGPL": ("3",)}[_kind]:
+        TEMPLATES[f"{_kind}-{_version}-notice"] = f"under the GNU {_long} Public License version {_version}"
+        TEMPLATES[f"{_kind}-{_version}-notice-v"] = f"under the GNU {_kind} v{_version}"
+_KINDS = {"": "Attribution", "-NC": "Attribution-NonCommercial", "-SA": "Attribution-ShareAlike", "-ND": "Attribution-NoDerivatives", "-NC-SA": "Attribution-NonCommercial-ShareAlike", "-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+for _kind, _long in _KINDS.items():
+    for _version in ("2.0", "2.5", "3.0", "4.0"):
+        _name = f"CC-BY{_kind}" + ("" if _version == "4.0" else f"-{_version}")
+        TEMPLATES.setdefault(_name if _kind in ("-NC", "-SA") else f"{_name}-short", f"Licensed under CC BY{_kind} {_version}")
+        TEMPLATES.setdefault(f"{_name}-long" if _kind in ("-NC", "-SA") else _name, f"This work is licensed under a Creative Commons {_long} {_version} " + ("International License" if _version == "4.0" else "License"))
 
 
 @cache
@@ -80,13 +116,14 @@ class Index:
     """Templates and their inverted indexes of winnowed grams, one for each gram length."""
 
     def __init__(self, templates: dict[str, str], k: int = GRAM, window: int = WINNOW, least: float = LEAST) -> None:
-        self.names, self.words, self.hashed, self.edits, self.need = sorted(templates), [], [], [], []
+        self.names, self.words, self.hashed, self.named, self.edits, self.need = sorted(templates), [], [], [], [], []
         entries: dict[int, list[tuple[int, int, int]]] = {}
         for t, name in enumerate(self.names):
             words, hashes = _words(templates[name].encode("utf-8"))
             n = len(words)
             self.words.append(words)
             self.hashed.append(hashes)
+            self.named.append([i for i, w in enumerate(words[: n if n < NOTICE else TITLE]) if w.decode("utf-8") in NAMES])
             e = int((1 - least) * n + 1e-9)
             self.edits.append(e)
             # An edit breaks at most as many grams as a gram has words; long texts have enough left to be winnowed.
@@ -101,6 +138,7 @@ class Index:
             maybe, keys = np.zeros(1 << 20, bool), np.array([x[0] for x in found], np.uint64)
             maybe[keys >> np.uint64(44)] = True
             self.tables[size] = keys, np.array([x[1:] for x in found], np.int64).reshape(-1, 2), maybe
+        self.name_hashes = _words(" ".join(sorted(NAMES)).encode())[1]
 
     def hits(self, hashes: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """``row, template, diagonal, template word`` of the hits of (row, template) pairs with enough of them, in this order."""
@@ -196,12 +234,22 @@ def scan_row(hashes: np.ndarray, hits: np.ndarray, index: Index):
     found = []
     for t in np.unique(hits[:, 0]).tolist():
         mine, template, most = hits[hits[:, 0] == t], index.hashed[t], index.edits[t]
+        if not np.isin(template[index.named[t]], hashes).all():
+            continue
+        names = set(template[index.named[t]].tolist())
         for offset in diagonals(mine[:, 1], mine[:, 2], most, int(index.need[t])):
             middle, band = offset + most // 2, most + (most + 1) // 2
+            if not names.issubset(hashes[max(0, middle - band) : max(0, middle + band + len(template))].tolist()):
+                continue
             pairs = path(template, hashes, middle, band)
             if not pairs or (edits := edits_of(pairs, len(template))) > most:
                 continue
-            found.append((len(pairs), edits, t, pairs[0][1], pairs[-1][1] + 1))
+            # Every name matches, and no other name stands among the words of a notice or title.
+            matched = {i for i, _ in pairs}
+            title = [j for i, j in pairs if len(template) < NOTICE or i < TITLE]
+            other = set(range(title[0], title[-1] + 1)).difference(title) if title else set()
+            if matched.issuperset(index.named[t]) and not np.isin(hashes[sorted(other)], index.name_hashes).any():
+                found.append((len(pairs), edits, t, pairs[0][1], pairs[-1][1] + 1))
     # Of overlapping matches the one with most words stays, then the one with fewest edits, then the first name.
     out: list[tuple[int, float, int, int]] = []
     for n, _, t, first, last in sorted(found, key=lambda x: (-x[0], x[1], x[2], x[3])):
