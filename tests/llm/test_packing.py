@@ -80,3 +80,36 @@ def test_lengths_by_a_tokenizer(spark, sf_dir, documents):
 def test_words_are_split_at_white_space_only(spark):
     df = spark.createDataFrame([("a b\tc\nd e",), ("  ",), (None,)], "t string")
     assert [r[0] for r in df.select(word_count(F.col("t"))).collect()] == [4, 0, 0]
+
+
+def plain_boundaries(edges, counts, buckets):
+    """The least padded total by the plain recurrence over all splits."""
+    total = [0, *itertools.accumulate(counts)]
+    cost = [0] + [float("inf")] * len(edges)
+    for _ in range(buckets):
+        cost = [0] + [min(cost[i] + (total[j] - total[i]) * edges[j - 1] for i in range(j)) for j in range(1, len(edges) + 1)]
+    return cost[-1]
+
+
+def test_boundaries_of_many_long_lengths(monkeypatch):
+    rng = random.Random(8)
+    for step in (1 << 22, 50):
+        monkeypatch.setattr("rivulet.llm.packing.STEP", step)
+        for n in (1, 2, 3, 64, 127, 150):
+            edges = sorted(rng.sample(range(0, 30_000), n))
+            counts = [rng.choice([1, 2, 5, 300]) for _ in edges]
+            got = best_boundaries(np.array(edges), np.array(counts), 6)
+            assert len(got) <= 6 and got[-1] == edges[-1] and padded(edges, counts, got) == plain_boundaries(edges, counts, 6)
+
+
+def test_padding_is_least_above_256_words(store):
+    """A hot length and odd long ones: the padding of ``pack`` is the least there is, to lengths of documents."""
+    rng = random.Random(6)
+    lengths = [2_003] * 20 + [rng.randint(257, 2_500) for _ in range(40)]
+    rows = pack(store([(i, "w " * n) for i, n in enumerate(lengths)], "doc_id long, text string"), buckets=4).collect()
+    edges = sorted(set(lengths))
+    counts = [lengths.count(e) for e in edges]
+    assert sorted(r.n_tokens for r in rows) == sorted(lengths)
+    assert sum(r.padding for r in rows) == plain_boundaries(edges, counts, 4) - sum(lengths)
+    assert {r.bucket_len for r in rows} <= set(lengths)
+    assert {r.padding for r in pack(store([(i, "w " * 20_020) for i in range(5)], "doc_id long, text string")).collect()} == {0}
