@@ -47,8 +47,8 @@ TRIGGER, ANCHOR = 12, 80
 LEVELS = (64, 16, 4)
 #: Bytes of a block of texts, and of a piece of a longer one.
 PIECE = 1 << 21
-#: Members of one block of a hot group in step 3, and the share of all members that makes a group hot.
-GROUP, HOT_SHARE = 4096, 1000
+#: Members of one block of a large group in step 3.
+GROUP = 4096
 _ODD = 0x9E3779B97F4A7C15
 
 
@@ -320,6 +320,18 @@ def _remains(length: int):
     return rows
 
 
+def in_blocks(contexts: DataFrame) -> DataFrame:
+    """Stored ``contexts`` with ``blocks`` and ``block``: every group of over ``GROUP`` rows is dealt over blocks of about so many.
+
+    The number of large groups grows with the input, so the list of them is
+    stored and its size decides how it is joined.
+    """
+    sizes = contexts.groupBy("suffix").agg(F.count(F.lit(1)).alias("size"))
+    large = stored(sizes.where(F.col("size") > GROUP).select("suffix", F.ceil(F.col("size") / GROUP).cast("int").alias("blocks")), "repeat-large")
+    met = contexts.join(large, "suffix", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    return met.withColumn("block", F.pmod(F.xxhash64("_row", "low"), F.col("blocks")).cast("int"))
+
+
 def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """One row per input row: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans``.
 
@@ -349,11 +361,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ends = found.where("open").groupBy("_row").agg(F.collect_list(F.struct("at", "low", "high", "asks")).alias("open"))
     contexts = texts.select("_row", "text").join(ends, "_row").mapInArrow(_open_segments(length), "suffix long, _row long, low int, high int, before int, asks boolean, bytes binary")
     contexts = stored(contexts, "repeat-contexts")
-    total = contexts.count()
-    sizes = contexts.groupBy("suffix").agg(F.count(F.lit(1)).alias("size"))
-    hot = sizes.where((F.col("size") > GROUP) & (F.col("size") * HOT_SHARE > total)).select("suffix", F.ceil(F.col("size") / GROUP).cast("int").alias("blocks"))
-    met = contexts.join(F.broadcast(hot), "suffix", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    met = met.withColumn("block", F.pmod(F.xxhash64("_row", "low"), F.col("blocks")).cast("int"))
+    met = in_blocks(contexts)
     compared = met.repartition("suffix", "block").sortWithinPartitions("suffix", "block").mapInArrow(_compare(length), _REPEAT)
     compared = stored(compared, "repeat-windows")
     # Windows of groups with several blocks: the block winners meet by the hash of the window.

@@ -99,3 +99,13 @@ def test_odd_rows(odd, none):
     assert by[7].n_removed == by[7].n_bytes and by[7].n_spans == 1
     assert by[3].n_bytes == by[4].n_bytes == 0 and by[1].n_removed == 0
     assert repeated_bytes(none).collect() == []
+
+
+def test_every_large_group_is_split(spark, store, monkeypatch):
+    """However small a share of all contexts it is; the others stay whole."""
+    monkeypatch.setattr(suffix_dedup, "GROUP", 3)
+    contexts = store([(s, i, i) for i, s in enumerate([-1] * 10 + [-2] * 4 + [-3] * 3 + list(range(20_000)))], "suffix long, _row long, low int")
+    got = suffix_dedup.in_blocks(contexts)
+    assert got.count() == 20_017
+    assert {(r.suffix, r.blocks) for r in got.where("blocks > 1").collect()} == {(-1, 4), (-2, 2)}
+    assert got.where("block < 0 OR block >= blocks").count() == 0 and got.where("suffix = -1").select("block").distinct().count() > 1
