@@ -78,9 +78,9 @@ def learn_stems(toxic: list[str], clean: list[str], support: int = 3, least_odds
     ``least_odds`` or more and hardly occurs in clean texts.  Those that
     chance cannot explain (a likelihood ratio of ``least_surprise``, one in
     10^9) are all learnt; the others only if they cover ``support`` toxic
-    texts that no learnt stem covers, the best covering first.  Of nested
-    stems the one that chance explains least is learnt, or the longest
-    one that is almost as telling.
+    texts that no learnt stem covers, the best covering first, also beside a
+    longer or shorter form.  Of nested stems the one that chance explains
+    least is learnt, or the longest one that is almost as telling.
     """
     toxic, clean = _apart(toxic), _apart(clean)
     # A table of counts by hash leaves the many stems out that are too rare, before any is kept.
@@ -113,8 +113,8 @@ def learn_stems(toxic: list[str], clean: list[str], support: int = 3, least_odds
     where = {s: left for s, w in where.items() if len(left := w - known) >= support}
     while where:
         best = max(where, key=lambda s: (len(where[s]), len(s), round(odds[s], 6), s))
-        if not nested(best):
-            out[best] = odds[best]
+        best = max((t for t in where if t.startswith(best) and len(where[t]) >= 0.95 * len(where[best])), key=lambda t: (len(t), t))
+        out[best] = odds[best]
         covered = where[best]
         where = {s: left for s, w in where.items() if len(left := w - covered) >= support}
     return out
@@ -129,8 +129,9 @@ class Grammar:
         self.words = {s[:-1]: w for s, w in stems.items() if s.endswith("$")}
         self.lengths = sorted({len(s) for s in self.stems})
         self.kinds = {w: KINDS.index(k) for k, words in (("target", TARGETS), ("negation", NEGATIONS), ("report", REPORTS), ("threat", THREATS), ("quote", QUOTES)) for w in words}
-        parts = [re.escape(s) for s in self.stems] + [re.escape(w) + r"\b" for w in [*self.words, *THREATS]]
-        self.any = re.compile(r"\b(?:" + "|".join(sorted(parts, key=lambda p: (-len(p), p))) + ")")
+        parts = [re.escape(s) for s in self.stems] + [re.escape(w) + r"(?![^\W\d_])" for w in [*self.words, *THREATS]]
+        # Words begin and end as the tokens do: digits and underscores are no letters.
+        self.any = re.compile(r"(?<![^\W\d_])(?:" + "|".join(sorted(parts, key=lambda p: (-len(p), p))) + ")")
 
     def insult(self, word: str) -> float:
         if word in self.words:

@@ -51,3 +51,18 @@ def test_odd_rows(spark, odd, none, store):
     assert empty[3] == empty[4] and 0 <= empty[3] <= 1
     assert score(none, model).collect() == []
     assert len(score(odd, train(none, labels)).collect()) == 10
+
+
+def test_a_rarer_form_is_learnt_beside_a_frequent_one():
+    letters = [f"{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400)]
+    texts = [f"see {{}} near place{a} at spot{a} word{a}" for a in letters]
+    toxic = [t.format("idiots" if i < 150 else "idiot") for i, t in enumerate(texts[:155])]
+    clean = [t.format("people") for t in texts[155:]]
+    stems = learn_stems(toxic, clean)
+    assert any(s.startswith("idiots") for s in stems)
+    assert all(any(kind == "insult" for kind, *_ in Grammar(stems).matches(t)) for t in toxic)
+
+
+def test_words_end_where_tokens_do():
+    assert marks("what an _idiot_") == marks("a 4idiot there") == marks("an _fool_") == [("insult", set())]
+    assert marks("they will _kill_ it")[-1][0] == "threat" and marks("unidiot foolish") == []
