@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +59,23 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shipped(spark: SparkSession, value: object) -> Callable[[], object]:
+    """A broadcast of ``value`` as a function that gives it back on a worker.
+
+    Spark pickles what it broadcasts by reference, so a worker would have to
+    import the classes of this package.  Here the value travels as bytes that
+    hold its classes and functions too; a task unpacks them once.
+    """
+    held, unpacked = spark.sparkContext.broadcast(cloudpickle.dumps(value)), []
+
+    def get() -> object:
+        if not unpacked:
+            unpacked.append(pickle.loads(held.value))
+        return unpacked[0]
+
+    return get
+
+
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     """Whether crc32 of the id as text leaves ``remainder``; a null id is held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(True))

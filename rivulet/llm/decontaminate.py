@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from rivulet.llm.common import byte_blocks, fresh, read_table
+from rivulet.llm.common import byte_blocks, fresh, read_table, shipped, stored, with_row
 from rivulet.llm.wordindex import WordHasher, alnum_table, lower_table
 
 WINDOW = 13
@@ -237,52 +237,75 @@ def merge_spans(spans: list[list[int]]) -> list[list[int]]:
 _FOUND = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int32()))), ("items", pa.list_(pa.string()))])
 
 
-def _finder(shipped, window: int):
+def _finder(phrases_of, window: int):
     @arrow_udf("struct<n_words:bigint,spans:array<array<int>>,items:array<string>>")
     def found(texts: pa.Array) -> pa.Array:
-        return pa.array([{"n_words": n, "spans": s, "items": k} for n, s, k in find_spans(texts, shipped.value, window)], _FOUND)
+        return pa.array([{"n_words": n, "spans": s, "items": k} for n, s, k in find_spans(texts, phrases_of(), window)], _FOUND)
 
     return found
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, block_items: int = 20_000) -> DataFrame:
+def _block(items: DataFrame, blocks: int, i: int) -> list[tuple[str, list[bytes]]]:
+    """The items of one block with their words."""
+    lower, is_word, hasher, block = lower_table(), alnum_table(), WordHasher(), []
+    for r in items.where(F.pmod(F.xxhash64("name", "text"), F.lit(blocks)) == i).toLocalIterator():
+        data = lower[np.frombuffer(r["text"].encode("utf-8", "surrogatepass"), np.uint8)]
+        starts, ends, _, _ = hasher.words(data, np.array([0, len(data)]), is_word)
+        block.append((r["name"], [data[s:e].tobytes() for s, e in zip(starts, ends)]))
+    return block
+
+
+def contamination(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW,
+    block_items: int = 20_000, block_bytes: int = 1 << 24,
+) -> DataFrame:
     """``docs`` with ``n_words, n_hit, n_items, items_sha256, contaminated, spans, items``.
 
-    Items are taken in blocks of about ``block_items`` (by the hash of the
-    item), so a task holds one block at a time however large the benchmark;
-    each shard's index is asked once per block.  A null id is the text
-    ``null``; repeated items count once.  A null or wordless text has no words
-    and no hits; ``spans`` are the merged word spans to remove.  Rows are
-    judged one by one: repeated rows get equal results, and an empty table an
-    empty result.  Output names that ``docs`` has get leading underscores.
+    Items are taken in blocks of about ``block_items`` items and
+    ``block_bytes`` bytes (by the hash of the item).  Each block is a pass of
+    its own over the texts: only that block is at the driver and in the
+    workers, and what it finds is stored before the next one starts; the
+    spans and items of all passes are then merged by row.  A null id is the
+    text ``null``; repeated items count once.  A null or wordless text has no
+    words and no hits; ``spans`` are the merged word spans to remove.  Rows
+    are judged one by one: repeated rows get equal results, and an empty
+    table an empty result.  Output names that ``docs`` has get leading
+    underscores.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("name"), F.col(text_col).alias("text")).where("text IS NOT NULL")
-    blocks = max(1, math.ceil(items.count() / block_items))
-    got = [fresh(docs, f"_found{i}") for i in range(blocks)]
-    lower, is_word, out = lower_table(), alnum_table(), docs
-    for i in range(blocks):
-        block = []
-        for r in items.where(F.pmod(F.xxhash64("name", "text"), F.lit(blocks)) == i).toLocalIterator():
-            data = lower[np.frombuffer(r["text"].encode("utf-8", "surrogatepass"), np.uint8)]
-            starts, ends, _, _ = WordHasher().words(data, np.array([0, len(data)]), is_word)
-            block.append((r["name"], [data[s:e].tobytes() for s, e in zip(starts, ends)]))
-        shipped = spark.sparkContext.broadcast(Phrases(block, window))
-
-        out = out.withColumn(got[i], _finder(shipped, window)(F.col(text_col)))
+    size = items.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
+    blocks = max(1, math.ceil(size["n"] / block_items), math.ceil((size["b"] or 0) / block_bytes))
+    got, row, more, also = (fresh(docs, c) for c in ("_found", "_row", "_more", "_also"))
+
+    def search(rows: DataFrame, i: int, column: str) -> DataFrame:
+        return rows.withColumn(column, _finder(shipped(spark, Phrases(_block(items, blocks, i), window)), window)(F.col(text_col)))
+
+    if blocks > 1:
+        rows, found = with_row(docs, row), None
+        for i in range(1, blocks):
+            hits = search(rows.select(row, text_col), i, got).where(F.size(F.col(got)["spans"]) > 0)
+            hits = stored(hits.select(F.col(row).alias(more), F.col(got).alias(also)), "decontaminate-block")
+            found = hits if found is None else found.unionByName(hits)
+        found = found.groupBy(more).agg(F.collect_list(also).alias(also))
+        out = search(rows, 0, got).join(found, F.col(row) == F.col(more), "left").withColumn(also, F.coalesce(also, F.array()))
+        parts = F.concat(F.array(got), also)
+    else:
+        out = search(docs, 0, got)
+        parts = F.array(got)
 
     @arrow_udf("struct<n_hit:bigint,n_items:bigint,items_sha256:string,spans:array<array<int>>,items:array<string>>")
-    def merged(*parts: pa.Array) -> pa.Array:
+    def merged(parts: pa.Array) -> pa.Array:
         rows = []
-        for each in zip(*(p.to_pylist() for p in parts)):
+        for each in parts.to_pylist():
             spans = merge_spans([s for e in each for s in e["spans"]])
             names = sorted({n for e in each for n in e["items"]})
             rows.append({"n_hit": sum(hi - lo for lo, hi in spans), "n_items": len(names), "items_sha256": hashlib.sha256(",".join(names).encode()).hexdigest(), "spans": spans, "items": names})
         return pa.array(rows, pa.struct([("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), *list(_FOUND)[1:]]))
 
     all_ = fresh(docs, "_merged")
-    out = out.withColumn(all_, merged(*[F.col(g) for g in got]))
-    named = {"n_words": F.col(got[0])["n_words"]} | {c: F.col(all_)[c] for c in ("n_hit", "n_items", "items_sha256")}
+    out = out.withColumn(all_, merged(parts))
+    named = {"n_words": F.col(got)["n_words"]} | {c: F.col(all_)[c] for c in ("n_hit", "n_items", "items_sha256")}
     named["contaminated"] = (named["n_hit"] > 0) & (20 * named["n_hit"] >= named["n_words"])
     named |= {c: F.col(all_)[c] for c in ("spans", "items")}
     return out.select(*docs.columns, *[c.alias(fresh(docs, name)) for name, c in named.items()])

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from rivulet.llm.common import byte_blocks, fresh, read_table
+from rivulet.llm.common import byte_blocks, fresh, read_table, shipped
 from rivulet.llm.wordindex import WordHasher, alnum_table, lower_table
 
 GRAM, WINNOW, LEAST = 3, 2, 0.8
@@ -267,12 +267,12 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, text_col: str
     text has no match.  Rows are scanned one by one: repeated rows get equal
     results, and an empty table an empty result.
     """
-    shipped = docs.sparkSession.sparkContext.broadcast(Index(TEMPLATES | license_texts() if templates is None else templates, least=least))
+    index_of = shipped(docs.sparkSession, Index(TEMPLATES | license_texts() if templates is None else templates, least=least))
     kind = pa.list_(pa.struct([("template", pa.string()), ("coverage", pa.float64()), ("first_byte", pa.int64()), ("end_byte", pa.int64())]))
 
     @arrow_udf("array<struct<template:string,coverage:double,first_byte:bigint,end_byte:bigint>>")
     def scanned(texts: pa.Array) -> pa.Array:
-        index, lower, is_word, hasher = shipped.value, lower_table(), alnum_table(), WordHasher()
+        index, lower, is_word, hasher = index_of(), lower_table(), alnum_table(), WordHasher()
         out: list[list[dict]] = [[] for _ in range(len(texts))]
         for first, offsets, data in byte_blocks(texts):
             data = lower[data]

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.window import Window
 
-from rivulet.llm.common import read_table, stored
+from rivulet.llm.common import fresh, read_table, stored, with_row
 
 PRECISION = 8
 SHARDS = 1024
@@ -113,13 +113,14 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket
     its white-space separated words.  A document of no tokens (null or empty text) is in
     bucket 0 with the shortest ones.  A bucket longer than the budget has one
     document a batch, so no text is cut or dropped.  Batches are numbered from
-    0 in each bucket, in the order (doc_id mod 1024, doc_id, row); a null id
-    counts as 0 mod 1024 and comes last there, repeated ids are placed once
-    each.  All batches of a bucket but its last are full.  An empty table
+    0 in each bucket, in the order (hash of id and row mod 1024, doc_id, row);
+    ids may be of any type, null ids come last in their shard, repeated ids
+    are placed once each.  All batches of a bucket but its last are full.  An empty table
     gives an empty result.  Other columns of ``docs`` are not read.
     """
     n_tokens = word_count(F.col(text_col)) if length is None else F.coalesce(length, F.lit(0)).cast("long")
-    rows = docs.select(F.col(id_col).alias("doc_id"), n_tokens.alias("n_tokens"), F.monotonically_increasing_id().alias("_row"))
+    row = fresh(docs, "_row")
+    rows = with_row(docs, row).select(F.col(id_col).alias("doc_id"), n_tokens.alias("n_tokens"), F.col(row).alias("_row"))
     rows = stored(rows, "pack-lengths")
 
     histogram = rows.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).orderBy("n_tokens").toArrow()
@@ -131,7 +132,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket
 
     rows = rows.select(
         "_row", "doc_id", "n_tokens", bucket.cast("int").alias("bucket"), bound.cast("long").alias("bucket_len"),
-        F.coalesce(F.pmod("doc_id", F.lit(SHARDS)), F.lit(0)).cast("int").alias("shard"),
+        F.pmod(F.xxhash64("doc_id", "_row"), F.lit(SHARDS)).cast("int").alias("shard"),
     )
     # Shards keep each window small; the (bucket, shard) counts are at most buckets x 1024 rows.
     sizes = rows.groupBy("bucket", "shard").agg(F.count(F.lit(1)).alias("n"))
