@@ -99,3 +99,18 @@ def byte_blocks(texts: pa.Array | pa.ChunkedArray, most: int = 1 << 21):
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + most, "right")) - 1)
         yield first, offsets[first : last + 1] - offsets[first], data[offsets[first] : offsets[last]]
         first = last
+
+
+#: DuckDB: the byte table of crc32 as ``crc_table(t)``, for a recursive WITH.
+CRC_SQL = """crc_steps(i, k, v) AS (
+  SELECT i, 0, i FROM range(256) r(i)
+  UNION ALL
+  SELECT i, k + 1, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END FROM crc_steps WHERE k < 8
+),
+crc_table AS (SELECT list(v ORDER BY i) AS t FROM crc_steps WHERE k = 8)"""
+
+
+def crc_sql(text: str) -> str:
+    """DuckDB: the unsigned crc32 of an ASCII text, beside ``crc_table``."""
+    codes = f"list_transform(range(1, length({text}) + 1), lambda k: ascii(substr({text}, k, 1))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295::BIGINT)"

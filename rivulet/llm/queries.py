@@ -9,6 +9,7 @@ from rivulet.llm.dedup_exact import OP4_SQL, op4_exact_dedup
 from rivulet.llm.html_text import op10_html
 from rivulet.llm.language import op5_language
 from rivulet.llm.license_scan import op3_license
+from rivulet.llm.merkle import OP11_SQL, op11_merkle
 from rivulet.llm.packing import op6_packing
 from rivulet.llm.simhash import op2_simhash
 from rivulet.llm.suffix_dedup import op7_suffix_dedup
@@ -34,6 +35,7 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_url_filter": op9_url_filter,
     "op10_html": op10_html,
+    "op11_merkle": op11_merkle,
     "pipeline": pipeline,
 }
-ORACLES = {"op4_exact_dedup": OP4_SQL, "op9_url_filter": OP9_SQL}
+ORACLES = {"op4_exact_dedup": OP4_SQL, "op9_url_filter": OP9_SQL, "op11_merkle": OP11_SQL}
