@@ -11,6 +11,7 @@ from rivulet.llm.language import op5_language
 from rivulet.llm.license_scan import op3_license
 from rivulet.llm.merkle import OP11_SQL, op11_merkle
 from rivulet.llm.packing import op6_packing
+from rivulet.llm.prefix_trie import OP13_SQL, op13_prefix_trie
 from rivulet.llm.simhash import op2_simhash
 from rivulet.llm.suffix_dedup import op7_suffix_dedup
 from rivulet.llm.toxicity import op1_toxicity
@@ -36,6 +37,7 @@ QUERIES = {
     "op9_url_filter": op9_url_filter,
     "op10_html": op10_html,
     "op11_merkle": op11_merkle,
+    "op13_prefix_trie": op13_prefix_trie,
     "pipeline": pipeline,
 }
-ORACLES = {"op4_exact_dedup": OP4_SQL, "op9_url_filter": OP9_SQL, "op11_merkle": OP11_SQL}
+ORACLES = {"op4_exact_dedup": OP4_SQL, "op9_url_filter": OP9_SQL, "op11_merkle": OP11_SQL, "op13_prefix_trie": OP13_SQL}
