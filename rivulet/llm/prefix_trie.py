@@ -11,7 +11,7 @@ they share one, a single row goes on for all of them.
 A row carries the path of one block of eight depths at a time, so the rows of
 a long conversation stay short.  The levels of a block are chained in one
 job, whose nodes are stored; there is one job for eight turns of the longest
-conversation.  Merging sums and minima is done before the shuffle, so a path
+path that two conversations share.  Merging sums and minima is done before the shuffle, so a path
 that a third of all conversations share costs a task no more than others.
 """
 
@@ -118,24 +118,40 @@ def chains(turns: DataFrame) -> DataFrame:
 
 
 def peel(paths: DataFrame) -> DataFrame:
-    """The nodes of depth 1 and more of stored ``chains``, with ``h``, the hash of their path, and ``above``, that of their parent's."""
+    """The nodes of depth 1 and more of stored ``chains``, with ``h``, the hash of their path, and ``above``, that of their parent's.
+
+    Where a conversation shares no prefix with another from some block on,
+    its turns meet nobody when they are stripped; all such tails are peeled
+    in one step.  The blocks above, in which paths meet, follow one by one.
+    """
     spark = paths.sparkSession
     out, zero, one = work_dir(spark, "trie-nodes"), F.lit(0).cast("long"), F.lit(1).cast("long")
-    deepest = paths.agg(F.max("block")).first()[0]
-    if deepest is None:
-        return spark.createDataFrame([], _NODES)
     folder = lambda block: f"{out}/block={block}"
+    firsts = paths.groupBy("block", F.element_at("path", 2)["h"].alias("h")).agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n"))
+    firsts = stored(firsts.select("conv_id", "block", "n"), "trie-firsts")
+    alone = firsts.where("n = 1").select("conv_id", "block")
+    starts = stored(alone.groupBy("conv_id").agg(F.min("block").alias("start")), "trie-starts")
+    tails = paths.join(alone, ["conv_id", "block"]).select("conv_id", "block", "path", "ends", F.explode(F.sequence(F.lit(1), F.size("path") - 1)).alias("at"))
+    over = F.col("ends") & (F.col("at") == F.size("path") - 1)
+    tails.select(
+        "conv_id", one.alias("n_convs"), F.when(over, zero).otherwise(one).alias("n_children"), one.alias("n_leaves"), zero.alias("saved_tokens"),
+        (F.col("block") * BLOCK + F.col("at")).cast("int").alias("depth"), F.get("path", "at")["h"].alias("h"), F.get("path", F.col("at") - 1)["h"].alias("above"),
+    ).write.parquet(f"{out}/tails")
+
+    deepest = firsts.where("n > 1").agg(F.max("block")).first()[0]
+    deepest = -1 if deepest is None else deepest
     for block in range(deepest, -1, -1):
-        here = paths.where(F.col("block") == block)
+        here = paths.where(F.col("block") == block).join(alone.where(F.col("block") == block).select("conv_id"), "conv_id", "left_anti")
         ended = here.where("ends").select("depth", "conv_id", "path", one.alias("n_convs"), zero.alias("child"), zero.alias("n_leaves"), zero.alias("saved_tokens"))
-        rising, levels = None, []
+        # Nodes that the block below left; one member of each leads to its path in this block.
+        left = starts.where(F.col("start") == block + 1).select("conv_id", one.alias("n_convs"), one.alias("n_leaves"), zero.alias("saved_tokens"))
         if block < deepest:
-            # The nodes that the block below left; one member of each leads to its path in this block.
-            left = spark.read.schema(_NODES).parquet(folder(block + 1)).where(F.col("depth") == (block + 1) * BLOCK + 1)
-            rising = left.join(here.select("conv_id", "path"), "conv_id").select("conv_id", "path", "n_convs", one.alias("child"), "n_leaves", "saved_tokens")
+            below = spark.read.schema(_NODES).parquet(folder(block + 1)).where(F.col("depth") == (block + 1) * BLOCK + 1)
+            left = left.unionByName(below.select(*left.columns))
+        rising, levels = left.join(here.select("conv_id", "path"), "conv_id").select("conv_id", "path", "n_convs", one.alias("child"), "n_leaves", "saved_tokens"), []
         for at in range(BLOCK, 0, -1):
             rows = ended.where(F.col("depth") == block * BLOCK + at).drop("depth")
-            rows = rows if rising is None else rows.unionByName(rising)
+            rows = rows.unionByName(rising)
             merged = rows.groupBy("path").agg(
                 F.min("conv_id").alias("conv_id"), F.sum("n_convs").alias("n_convs"), F.sum("child").alias("n_children"),
                 F.greatest(F.sum("n_leaves"), one).alias("n_leaves"), F.sum("saved_tokens").alias("saved_tokens"),
@@ -148,7 +164,7 @@ def peel(paths: DataFrame) -> DataFrame:
             found = found.unionByName(nodes)
         found = found.withColumn("h", F.element_at("path", -1)["h"]).withColumn("above", F.element_at("path", -2)["h"]).drop("path")
         found.write.parquet(folder(block))
-    return spark.read.schema(_NODES).parquet(*[folder(b) for b in range(deepest + 1)])
+    return spark.read.schema(_NODES).parquet(f"{out}/tails", *[folder(b) for b in range(deepest + 1)])
 
 
 def _listed(batches):

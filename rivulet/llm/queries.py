@@ -12,6 +12,7 @@ from rivulet.llm.license_scan import op3_license
 from rivulet.llm.merkle import OP11_SQL, op11_merkle
 from rivulet.llm.packing import op6_packing
 from rivulet.llm.prefix_trie import OP13_SQL, op13_prefix_trie
+from rivulet.llm.quality import op12_quality
 from rivulet.llm.simhash import op2_simhash
 from rivulet.llm.suffix_dedup import op7_suffix_dedup
 from rivulet.llm.toxicity import op1_toxicity
@@ -37,6 +38,7 @@ QUERIES = {
     "op9_url_filter": op9_url_filter,
     "op10_html": op10_html,
     "op11_merkle": op11_merkle,
+    "op12_quality": op12_quality,
     "op13_prefix_trie": op13_prefix_trie,
     "pipeline": pipeline,
 }
