@@ -208,19 +208,14 @@ def prefix_trie(turns: DataFrame, conversations: DataFrame) -> DataFrame:
     conversations = stored(conversations.select("conv_id").distinct(), "trie-conversations")
     paths = chains(turns)
     nodes = peel(paths)
-    known = conversations.agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_convs"))
-    first = nodes.where("depth = 1").agg(
-        F.count(F.lit(1)).alias("n_children"), F.greatest(F.coalesce(F.sum("n_leaves"), F.lit(0)), F.lit(1)).alias("n_leaves"), F.coalesce(F.sum("saved_tokens"), F.lit(0)).alias("saved_tokens")
-    )
-    # Two rows, one of each, of two whole-table sums.
-    top = known.where("n_convs > 0").select("*", F.lit(0).alias("at")).join(first.select("*", F.lit(0).alias("at")), "at").drop("at")
-    top = stored(top, "trie-root").first()
-    if top is None:
+    known = conversations.agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n")).first()
+    if not known["n"]:
         return turns.sparkSession.createDataFrame([], "conv_id long, depth long, parent_conv_id long, n_convs long, n_children long, n_leaves long, saved_tokens long, ends_sha256 string, h binary")
+    first = nodes.where("depth = 1").agg(F.count(F.lit(1)).alias("n"), F.sum("n_leaves").alias("leaves"), F.sum("saved_tokens").alias("saved")).first()
 
-    root = turns.sparkSession.createDataFrame([(top["conv_id"], top["n_convs"], top["n_children"], top["n_leaves"], top["saved_tokens"], 0, bytearray(ROOT), None)], _NODES)
+    root = turns.sparkSession.createDataFrame([(known["conv_id"], known["n"], first["n"], first["leaves"] or 1, first["saved"] or 0, 0, bytearray(ROOT), None)], _NODES)
     counts = ("conv_id", "depth", "n_convs", "n_children", "n_leaves", "saved_tokens", "h")
-    upper = nodes.where("depth < 2").select(*counts, F.when(F.col("depth") == 1, F.lit(top["conv_id"])).alias("parent_conv_id"))
+    upper = nodes.where("depth < 2").select(*counts, F.when(F.col("depth") == 1, F.lit(known["conv_id"])).alias("parent_conv_id"))
     upper = upper.unionByName(root.select(*counts, F.lit(None).cast("long").alias("parent_conv_id")))
     # Below, a child finds its parent by hash; the children of a hub stay where they are.
     total = nodes.count()
