@@ -12,8 +12,8 @@ Keys: -1 marks a one-factor single rule (never a multi rule); for matching we
 read 0 as ALL factors must hold and 1 as ANY factor may hold (our reading --
 the key is otherwise uninterpreted).
 
-Nothing is collected to the driver: tree walking is a loop over *levels*
-(one join per level), never over rows.  Which side of a join is broadcast is
+Nothing is collected to the driver: tree walking doubles its paths in each
+round of a loop (log2 of the depth), never over rows.  Which side of a join is broadcast is
 left to the bytes that adaptive execution measures.
 """
 
@@ -98,48 +98,69 @@ def equality_classes(rules: DataFrame, factors: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------------- R3
+def check_tree(rules: DataFrame, children: DataFrame) -> None:
+    """Raises unless every child and parent is a rule and no multi rule is below itself, reachable or not.
+
+    Cycles are found by pointer jumping: round k holds the pairs of a multi
+    rule and its ancestors exactly 2^k levels up.  They run out once 2^k is
+    past the depth; only a cycle goes on beyond the number of multi rules.
+    """
+    names = children.select(F.col("parent_id").alias("rule_id")).unionByName(children.select(F.col("child_id").alias("rule_id"))).distinct()
+    unknown = names.join(rules, "rule_id", "left_anti").limit(3).collect()
+    if unknown:
+        raise ValueError(f"children name unknown rules: {', '.join(str(r['rule_id']) for r in unknown)}")
+    multi = rules.where(F.col("kind") == "multi").select("rule_id").distinct()
+    pairs = (children.select(F.col("child_id").alias("node"), F.col("parent_id").alias("anc")).distinct()
+             .join(multi.withColumnRenamed("rule_id", "node"), "node").checkpoint())
+    bound, reach = multi.count(), 1
+    while not pairs.isEmpty():
+        if reach > bound:
+            raise ValueError("rule tree has a cycle")
+        up = pairs.select(F.col("node").alias("anc"), F.col("anc").alias("far"))
+        pairs = pairs.join(up, "anc").select("node", F.col("far").alias("anc")).distinct().checkpoint()
+        reach *= 2
+
+
 def flatten(rules: DataFrame, children: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """Leaf (single) rules under each root, depth first.
 
     Returns (root_id, leaf_id, depth, path); ``path`` is the array of child
     positions, so sorting by it gives depth-first order, repeats kept.  A
     single rule as root is its own leaf, with an empty path.  By default the
-    rules that are nobody's child are the roots.
-
-    The loop walks only the multi rules (the inner nodes, few next to the
-    leaves), one join per level, each level checkpointed.  The leaves are
-    then attached in a single join with the child table.  A node that meets
-    itself on its own path is an error.
+    rules that are nobody's child are the roots.  A rule may stand below
+    several parents, and a root below another.  A child or parent that is no
+    rule, and any cycle of rules, is an error (:func:`check_tree`).
+
+    Paths of the multi rules (the inner nodes, few next to the leaves) grow by
+    pointer jumping: each round every path that has not come to a root yet
+    takes over the paths of the node it has reached, so it doubles, and a
+    tree of depth d needs log2(d) rounds, each one join and a checkpoint.  The
+    leaves are then attached in a single join with the child table.  Paths
+    exist for as many nodes as the multi rules occur below the roots.
     """
     ensure_checkpoint_dir(rules.sparkSession)
+    check_tree(rules, children)
     kinds = rules.select(F.col("rule_id").alias("child_id"), F.col("kind"))
-    edges = children.join(kinds, "child_id")
-    inner_edges = edges.where(F.col("kind") == "multi").select("parent_id", "pos", "child_id")
+    edges = children.select("parent_id", F.col("pos").cast("bigint").alias("pos"), "child_id").join(kinds, "child_id")
     if roots is None:
         roots = rules.select("rule_id").join(children.select(F.col("child_id").alias("rule_id")), "rule_id", "left_anti")
     roots = roots.select("rule_id").join(rules.select("rule_id", "kind"), "rule_id").checkpoint()
-    no_path = F.array().cast("array<bigint>")
-    level = roots.where(F.col("kind") == "multi").select(
-        F.col("rule_id").alias("root_id"), F.col("rule_id").alias("node_id"), no_path.alias("path"),
-        F.array("rule_id").alias("trail"))
-    nodes = level
-    while True:
-        level = (level.join(inner_edges, level["node_id"] == inner_edges["parent_id"])
-                 .select("root_id", F.col("child_id").alias("node_id"),
-                         F.concat("path", F.array(F.col("pos").cast("bigint"))).alias("path"), "trail",
-                         F.array_contains("trail", F.col("child_id")).alias("again"))
-                 .checkpoint())
-        found = level.agg(F.count(F.lit(1)).alias("n"), F.max("again").alias("again")).first()
-        if found["again"]:
-            raise ValueError("rule tree has a cycle")
-        if not found["n"]:
-            break
-        level = level.select("root_id", "node_id", "path", F.concat("trail", F.array("node_id")).alias("trail"))
-        nodes = nodes.unionByName(level)
-    leaf_edges = edges.where(F.col("kind") == "single")
-    below = leaf_edges.join(nodes, leaf_edges["parent_id"] == nodes["node_id"]).select(
+    no_path, no_node = F.array().cast("array<bigint>"), F.lit(None).cast("string")
+    # A path leads up from ``node`` to ``anc``, or has come to ``root_id``; a root's own path is empty.
+    start = roots.where(F.col("kind") == "multi").select(
+        F.col("rule_id").alias("node"), no_node.alias("anc"), F.col("rule_id").alias("root_id"), no_path.alias("path"))
+    steps = edges.where(F.col("kind") == "multi").select(
+        F.col("child_id").alias("node"), F.col("parent_id").alias("anc"), no_node.alias("root_id"), F.array("pos").alias("path"))
+    paths = start.unionByName(steps).checkpoint()
+    while not (going := paths.where("anc IS NOT NULL")).isEmpty():
+        above = paths.select(F.col("node").alias("anc"), F.col("anc").alias("far"), F.col("root_id").alias("top"), F.col("path").alias("more"))
+        longer = going.join(above, "anc").select(
+            "node", F.col("far").alias("anc"), F.col("top").alias("root_id"), F.concat("more", "path").alias("path"))
+        paths = paths.where("anc IS NULL").unionByName(longer).checkpoint()
+    nodes = paths.select("root_id", F.col("node").alias("parent_id"), "path")
+    below = edges.where(F.col("kind") == "single").join(nodes, "parent_id").select(
         "root_id", F.col("child_id").alias("leaf_id"), (F.size("path") + 1).alias("depth"),
-        F.concat("path", F.array(F.col("pos").cast("bigint"))).alias("path"))
+        F.concat("path", F.array("pos")).alias("path"))
     alone = roots.where(F.col("kind") == "single").select(
         F.col("rule_id").alias("root_id"), F.col("rule_id").alias("leaf_id"), F.lit(0).alias("depth"), no_path.alias("path"))
     return below.unionByName(alone)

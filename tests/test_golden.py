@@ -382,3 +382,52 @@ def test_error_text_is_whole(spark):
     df, resp = V.try_sql(spark, f"SELECT {name} FROM range(1)")
     msg = json.loads(resp.first()["json"])["msg"]
     assert df is None and name in msg and msg.count("\n") >= 1
+
+
+def _rule_tables(spark, kinds: dict, edges: list):
+    rules = spark.createDataFrame([(r, k, 0) for r, k in kinds.items()], "rule_id string, kind string, key int")
+    return rules, spark.createDataFrame(edges, "parent_id string, pos long, child_id string")
+
+
+@pytest.mark.parametrize("edges, said", [
+    ([("a", 0, "b"), ("b", 0, "a"), ("b", 1, "s")], "cycle"),            # no root reaches it
+    ([("a", 0, "a")], "cycle"),
+    ([("a", 0, "b"), ("b", 0, "c"), ("c", 0, "a"), ("r", 0, "s")], "cycle"),
+    ([("r", 0, "a"), ("a", 0, "b"), ("a", 1, "b"), ("b", 0, "c"), ("b", 1, "c"), ("c", 0, "a"), ("c", 1, "a")], "cycle"),
+    ([("r", 0, "s"), ("r", 1, "nobody")], "unknown rules: nobody"),
+    ([("ghost", 0, "s")], "unknown rules: ghost"),
+])
+def test_broken_rule_trees_are_errors(spark, edges, said):
+    rules, children = _rule_tables(spark, {"r": "multi", "a": "multi", "b": "multi", "c": "multi", "s": "single"}, edges)
+    with pytest.raises(ValueError, match=said):
+        R.flatten(rules, children)
+
+
+def test_shared_subtrees_and_nested_roots(spark):
+    """A rule below several parents is listed once for each way to it; a root may lie below another."""
+    rules, children = _rule_tables(
+        spark, {"r": "multi", "a": "multi", "b": "multi", "s": "single", "t": "single", "lone": "single", "none": "multi"},
+        [("r", 0, "a"), ("r", 5, "b"), ("a", 1, "b"), ("a", 2, "s"), ("b", 3, "s"), ("b", 4, "t"), ("b", 9, "t")])
+    got = sorted((x["root_id"], x["leaf_id"], x["depth"], list(x["path"])) for x in R.flatten(rules, children).collect())
+    down = [("s", [3]), ("t", [4]), ("t", [9])]
+    want = [("r", leaf, len(head + p), head + p) for head in ([0, 1], [5]) for leaf, p in down] + [("r", "s", 2, [0, 2]), ("lone", "lone", 0, [])]
+    assert got == sorted(want)
+    some = R.flatten(rules, children, spark.createDataFrame([("a",), ("b",), ("t",)], "rule_id string")).collect()
+    want = [("a", leaf, 1 + len(p), [1, *p]) for leaf, p in down] + [("a", "s", 1, [2]), ("t", "t", 0, [])] + [("b", leaf, 1, p) for leaf, p in down]
+    assert sorted((x["root_id"], x["leaf_id"], x["depth"], list(x["path"])) for x in some) == sorted(want)
+
+
+def test_a_chain_of_ten_thousand_levels(spark, monkeypatch):
+    """Rounds grow with the logarithm of the depth."""
+    n, saved = 10_000, []
+    frame = type(spark.range(0))
+    monkeypatch.setattr(frame, "checkpoint", lambda self, *a, f=frame.checkpoint: (saved.append(1), f(self, *a))[1])
+    node = F.concat(F.lit("m"), F.col("id").cast("string"))
+    rules = spark.range(n).select(node.alias("rule_id"), F.lit("multi").alias("kind"), F.lit(0).alias("key")) \
+        .unionByName(spark.range(1).select(F.lit("leaf").alias("rule_id"), F.lit("single").alias("kind"), F.lit(0).alias("key")))
+    below = F.when(F.col("id") == n - 1, F.lit("leaf")).otherwise(F.concat(F.lit("m"), (F.col("id") + 1).cast("string")))
+    children = spark.range(n).select(node.alias("parent_id"), (F.col("id") % 7).alias("pos"), below.alias("child_id"))
+    (got,) = R.flatten(rules, children).collect()
+    assert (got["root_id"], got["leaf_id"], got["depth"]) == ("m0", "leaf", n)
+    assert list(got["path"]) == [i % 7 for i in range(n)]
+    assert len(saved) <= 2 * 15 + 1
