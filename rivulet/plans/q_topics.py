@@ -141,6 +141,34 @@ def topic_offset_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topics.offset_ranges(topics.read_log(spark, path), positions.current(), LOG_BLOCK)
 
 
+@register("topic_exactly_once", f"""
+SELECT CASE WHEN p_partkey < {_SPLIT_SQL} THEN 1 ELSE 2 END AS commit_no,
+       CASE WHEN p_partkey < {_SPLIT_SQL} THEN 0 ELSE 1 END AS conflicts,
+       CAST(p_partkey % 3 AS INTEGER) AS partition, p_partkey // 3 AS "offset",
+       p_partkey AS id, p_name AS name, p_size AS age
+FROM part""")
+def topic_exactly_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K5: two consumers share a position.  Both scan the first half; one commits, the other is refused and
+    reads on from there, once the rest has arrived.  ``conflicts`` counts the refusals before a row's commit."""
+    path, tagged = _two_appends(spark, sf_dir)
+    shared = work_dir(spark, "positions")
+    one, other = topics.TopicPositions(spark, shared), topics.TopicPositions(spark, shared)
+    rows = lambda lines: topics.decode(lines, fx.PART_TOPIC_SCHEMA, keep=["partition", "offset"])
+    scans = [(p, *topics.scan_incremental(topics.read_log(spark, path), p, LOG_BLOCK)) for p in (one, other)]
+    refused = []
+    for positions, lines, ranges in scans:
+        try:
+            positions.commit_rows(rows(lines), ranges)
+        except topics.PositionConflict:
+            refused.append(positions)
+    topics.write_log(tagged.where(F.col("id") >= F.col("split")), path, "append", LOG_BLOCK)
+    for positions in refused:
+        topics.consume(lambda: topics.read_log(spark, path), positions, rows, LOG_BLOCK)
+    out = one.rows(f"partition int, offset bigint, {fx.PART_TOPIC_SCHEMA}")
+    conflicts = F.when(F.col("commit_no") > 1, F.lit(len(refused))).otherwise(F.lit(0))
+    return out.select("commit_no", conflicts.alias("conflicts"), "partition", "offset", "id", "name", "age")
+
+
 @register("topic_insert_append", """
 SELECT p_partkey AS id, p_name AS name, p_size AS age FROM part""")
 def topic_insert_append(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ import os
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = (
@@ -98,6 +99,33 @@ def is_committed(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def publish(spark: SparkSession, staged: str, path: str) -> bool:
+    """Give a finished folder its final name, unless something has that name: one step, won by one writer.
+
+    False means that ``path`` was there already; ``staged`` is left as it is.
+    The rename is that of the file system (HDFS and POSIX decide it for one
+    of several writers); it never replaces or merges folders.
+    """
+    fs, src = _hadoop_path(spark, staged)
+    _, dst = _hadoop_path(spark, path)
+    fs.mkdirs(dst.getParent())
+    sc = spark.sparkContext
+    none = sc._gateway.new_array(getattr(spark._jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+    files = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    try:
+        files.rename(fs.makeQualified(src), fs.makeQualified(dst), none)
+    except Py4JJavaError:
+        if not fs.exists(dst):
+            raise
+        return False
+    return True
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    fs, p = _hadoop_path(spark, path)
+    fs.delete(p, True)
+
+
 def _numbered_folders(spark: SparkSession, path: str, column: str) -> list[int]:
     fs, p = _hadoop_path(spark, path)
     if not fs.exists(p):

@@ -13,11 +13,14 @@ written out, so a failed job re-reads the same range.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rivulet.session import last_committed
+from rivulet.session import last_committed, publish, remove_folder
 from rivulet.functions.lines import (
     check_topic_schema, decode_columns, encode_line, line_is_clean, parse_schema, reject_reason, split_line,
     sql_str,
@@ -188,39 +191,132 @@ def create_log_view(spark: SparkSession, name: str, log_path: str, schema: T.Str
     return view
 
 
+class PositionConflict(RuntimeError):
+    """Another consumer has moved the position since the scan was planned; scan again."""
+
+
 class TopicPositions:
-    """Saved read positions for one consumer of a topic log (K5, batch form).
-
-    The ranges of a scan are written before the scan reads them, and
-    :meth:`commit` turns just these into a new numbered version of the
-    positions; the latest version whose write ran to its end is the
-    consumer's position.  A scan that fails before :meth:`commit` leaves the
-    old version in place, and messages that arrive meanwhile wait for the
-    next scan.
+    """Saved read positions of a topic log, shared by all consumers of one path (K5, batch form).
+
+    The position is a log of numbered versions, each a small table of
+    ``(partition, from_offset, offset, rows)``.  A version is written aside
+    and then published under its number by a rename that fails if the number
+    is taken, so of several consumers that scanned from the same version one
+    commits; the others get :class:`PositionConflict`, and scan again from
+    the new position.  Positions of partitions that a scan did not see stay,
+    and none moves back.
+
+    ``rows`` names the folder in which the rows of the scan were stored by
+    :meth:`commit_rows`: rows and position become visible in one step, and
+    rows whose commit failed are in no version.  What a scan reads is written
+    down before it reads; if it fails before its commit, nothing has moved.
     """
 
+    SCHEMA = "partition int, from_offset bigint, offset bigint, rows string"
+
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path.rstrip("/")
-        # a restarted consumer resumes from the last committed version
-        self.version = last_committed(spark, self.path, "v") or 0
+        self.refresh()
+
+    def refresh(self) -> int:
+        """Take up the last version that any consumer published."""
+        self.version = last_committed(self.spark, self.path, "v") or 0
+        return self.version
+
+    def _manifest(self, version: int) -> DataFrame:
+        return self.spark.read.schema(self.SCHEMA).parquet(f"{self.path}/v={version}")
 
     def current(self) -> DataFrame | None:
-        if self.version == 0:
-            return None
-        return self.spark.read.schema("partition int, offset bigint").parquet(f"{self.path}/v={self.version}")
+        """(partition, offset) at this object's version, None at the start."""
+        return self._manifest(self.version).select("partition", "offset") if self.version else None
+
+    def _aside(self, label: str) -> str:
+        return f"{self.path}/{label}/{uuid.uuid4().hex}"
 
     def fixed(self, ranges: DataFrame) -> DataFrame:
-        """``ranges`` as they are now, stored: later reads of them see the same numbers."""
-        path = f"{self.path}/planned/v={self.version + 1}"
-        ranges.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema("partition int, from_offset bigint, until_offset bigint").parquet(path)
-
-    def commit(self, ranges: DataFrame) -> None:
-        nxt = self.version + 1
-        ranges.select("partition", F.col("until_offset").alias("offset")).write.mode("overwrite").parquet(
-            f"{self.path}/v={nxt}")
-        self.version = nxt
+        """``ranges`` as they are now, stored with the version they start from: later reads see the same numbers."""
+        path = self._aside("planned")
+        ranges.withColumn("base", F.lit(self.version)).write.parquet(path)
+        return self.spark.read.schema("partition int, from_offset bigint, until_offset bigint, base int").parquet(path)
+
+    def commit(self, ranges: DataFrame, rows: str | None = None) -> int:
+        """Publish the end of ``ranges`` as the next version; returns its number.
+
+        Ranges of :meth:`fixed` know the version they were planned at; others
+        count as planned at this object's version.
+        """
+        held = ranges.select("partition", "from_offset", "until_offset", *(["base"] if "base" in ranges.columns else [])).collect()
+        base = max((r["base"] for r in held), default=self.version) if "base" in ranges.columns else self.version
+        if base != self.version:
+            raise PositionConflict(f"{self.path}: the scan was planned at version {base}, the position is at {self.version}")
+        saved = {r["partition"]: r["offset"] for r in self.current().collect()} if base else {}
+        for r in held:
+            if r["until_offset"] < r["from_offset"] or r["until_offset"] < saved.get(r["partition"], r["until_offset"]):
+                raise ValueError(f"{self.path}: partition {r['partition']} would move back to {r['until_offset']}")
+            if saved.get(r["partition"], r["from_offset"]) != r["from_offset"]:
+                raise ValueError(f"{self.path}: partition {r['partition']} is at {saved[r['partition']]}, the scan starts at {r['from_offset']}")
+        seen = {r["partition"] for r in held}
+        # One row per topic partition.
+        entries = [(r["partition"], r["from_offset"], r["until_offset"], rows) for r in held]
+        entries += [(p, o, o, None) for p, o in saved.items() if p not in seen]
+        staged = self._aside("staged")
+        self.spark.createDataFrame(entries, self.SCHEMA).coalesce(1).write.parquet(staged)
+        if not publish(self.spark, staged, f"{self.path}/v={base + 1}"):
+            remove_folder(self.spark, staged)
+            raise PositionConflict(f"{self.path}: version {base + 1} is another consumer's")
+        self.version = base + 1
+        return self.version
+
+    def commit_rows(self, rows: DataFrame, ranges: DataFrame) -> int:
+        """Store ``rows`` and publish them together with the end of ``ranges``; on a conflict they are removed again."""
+        path = self._aside("rows")
+        rows.write.parquet(path)
+        try:
+            return self.commit(ranges, path.rsplit("/", 1)[1])
+        except Exception:
+            remove_folder(self.spark, path)
+            raise
+
+    def rows(self, schema: T.StructType | str, upto: int | None = None) -> DataFrame:
+        """All rows committed with their positions up to a version (the last one), with its number as ``commit_no``."""
+        upto = self.refresh() if upto is None else upto
+        if not upto:
+            return self.spark.createDataFrame([], _with_commit_no(schema))
+        manifests = self.spark.read.schema(self.SCHEMA).option("basePath", self.path).parquet(*[f"{self.path}/v={v}" for v in range(1, upto + 1)])
+        # A row for each commit.
+        named = manifests.where("rows IS NOT NULL").select("v", "rows").distinct().orderBy("v").collect()
+        if not named:
+            return self.spark.createDataFrame([], _with_commit_no(schema))
+        folder = F.regexp_extract(F.col("_metadata.file_path"), "/rows/([0-9a-f]+)/", 1)
+        number = F.create_map(*[F.lit(x) for r in named for x in (r["rows"], int(r["v"]))])
+        found = self.spark.read.schema(schema).parquet(*[f"{self.path}/rows/{r['rows']}" for r in named])
+        return found.select("*", F.element_at(number, folder).alias("commit_no"))
+
+
+def _with_commit_no(schema: T.StructType | str) -> T.StructType:
+    schema = parse_schema(schema) if isinstance(schema, str) else schema
+    return T.StructType([*schema.fields, T.StructField("commit_no", T.IntegerType())])
+
+
+def consume(log: Callable[[], DataFrame], positions: TopicPositions, decoded: Callable[[DataFrame], DataFrame], block: int = LOG_BLOCK,
+            tries: int = 20) -> int | None:
+    """Read what is new, store it and move the position in one step; returns the version, None if nothing was new.
+
+    ``log`` gives the topic log as it is now, ``decoded`` the rows to store of
+    the lines read.  If another consumer was faster, its rows are left to it
+    and the scan starts again from its position.
+    """
+    for _ in range(tries):
+        positions.refresh()
+        lines, ranges = scan_incremental(log(), positions, block)
+        if ranges.where("from_offset < until_offset").isEmpty():
+            return None
+        try:
+            return positions.commit_rows(decoded(lines), ranges)
+        except PositionConflict:
+            continue
+    raise PositionConflict(f"{positions.path}: {tries} scans were overtaken")
 
 
 def scan_incremental(log: DataFrame, positions: TopicPositions, block: int = LOG_BLOCK) -> tuple[DataFrame, DataFrame]:

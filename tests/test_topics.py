@@ -200,3 +200,80 @@ def test_log_view_sql(spark, tmp_path):
     topics.create_log_view(spark, "stu_log", path, SCHEMA)
     got = spark.sql("SELECT partition, `offset`, name FROM stu_log WHERE age = 25 ORDER BY id").collect()
     assert [tuple(r) for r in got] == [(1, 0, "b"), (0, 1, "c")]
+
+
+# --------------------------------------------------------------------- one position, several consumers
+ROW = "id int, name string, age int"
+
+
+def _log(spark, upto, start=0):
+    """Two topic partitions with ids start..upto-1, offsets dense in each."""
+    rows = [(i % 2, i // 2, f"{i}\tn{i}\t{i % 9}") for i in range(start, upto)]
+    return spark.createDataFrame(rows, topics.LOG_SCHEMA)
+
+
+def _decoded(lines):
+    return topics.decode(lines, ROW)
+
+
+def _ids(positions):
+    return sorted(r["id"] for r in positions.rows(ROW).collect())
+
+
+def test_the_second_of_two_commits_is_refused_and_scans_again(spark, tmp_path):
+    path = str(tmp_path / "p")
+    one, other = topics.TopicPositions(spark, path), topics.TopicPositions(spark, path)
+    scans = [(p, *topics.scan_incremental(_log(spark, n), p)) for p, n in ((one, 100), (other, 5))]
+    one.commit_rows(_decoded(scans[0][1]), scans[0][2])
+    with pytest.raises(topics.PositionConflict):
+        other.commit_rows(_decoded(scans[1][1]), scans[1][2])
+    # nothing went back, nothing was stored twice
+    again = topics.TopicPositions(spark, path)
+    assert sorted(map(tuple, again.current().collect())) == [(0, 50), (1, 50)] and _ids(again) == list(range(100))
+    assert topics.consume(lambda: _log(spark, 130), other, _decoded) == 2
+    assert topics.consume(lambda: _log(spark, 130), one, _decoded) is None
+    assert _ids(again) == list(range(130))
+    assert {r["commit_no"] for r in one.rows(ROW, upto=1).collect()} == {1}
+
+
+def test_consumers_that_race_read_every_offset_once(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+    path = str(tmp_path / "p")
+    heights = {0: [40, 80, 120], 1: [30, 90, 120], 2: [60, 60, 120]}
+
+    def work(k):
+        positions = topics.TopicPositions(spark, path)
+        return [topics.consume(lambda n=n: _log(spark, n), positions, _decoded) for n in heights[k]]
+
+    with ThreadPoolExecutor(3) as pool:
+        versions = [v for vs in pool.map(work, heights) for v in vs if v]
+    assert sorted(versions) == list(range(1, len(versions) + 1))  # each version has one owner
+    assert _ids(topics.TopicPositions(spark, path)) == list(range(120))
+
+
+def test_rows_without_a_commit_are_invisible_and_read_again(spark, tmp_path, monkeypatch):
+    """A crash between storing rows and moving the position leaves both as they were."""
+    path = str(tmp_path / "p")
+    positions = topics.TopicPositions(spark, path)
+    assert topics.consume(lambda: _log(spark, 10), positions, _decoded) == 1
+    monkeypatch.setattr(topics, "publish", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        topics.consume(lambda: _log(spark, 20), positions, _decoded)
+    monkeypatch.undo()
+    restarted = topics.TopicPositions(spark, path)
+    assert restarted.version == 1 and _ids(restarted) == list(range(10))
+    assert topics.consume(lambda: _log(spark, 20), restarted, _decoded) == 2
+    assert _ids(restarted) == list(range(20))
+
+
+def test_positions_never_move_back_and_unseen_partitions_stay(spark, tmp_path):
+    positions = topics.TopicPositions(spark, str(tmp_path / "p"))
+    ranges = lambda *rows: spark.createDataFrame(rows, "partition int, from_offset bigint, until_offset bigint")
+    positions.commit(ranges((0, 0, 10), (1, 0, 4)))
+    with pytest.raises(ValueError, match="move back"):
+        positions.commit(ranges((0, 10, 9)))
+    with pytest.raises(ValueError, match="scan starts at 12"):
+        positions.commit(ranges((0, 12, 15)))
+    positions.commit(ranges((0, 10, 15)))
+    assert sorted(map(tuple, positions.current().collect())) == [(0, 15), (1, 4)]
+    assert positions.rows(ROW).collect() == []
