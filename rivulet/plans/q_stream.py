@@ -43,6 +43,33 @@ def standing_query_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(sink).select("id", "name", "age")
 
 
+# user_id declared as a byte: lines with ids above 127 are bad.
+_NARROW_SCHEMA = "event_id bigint, ts string, user_id byte, event_type string, value double, props string"
+
+
+@register("stream_dead_letters", """
+SELECT event_id, user_id > 127 OR user_id < -128 AS rejected, CAST(event_id % 3 AS BIGINT) AS batch_id,
+       CASE WHEN user_id BETWEEN -128 AND 127 THEN value END AS value,
+       CASE WHEN user_id > 127 OR user_id < -128 THEN 'bad tinyint in field user_id' END AS reason
+FROM events WHERE user_id > 127 OR user_id < -128 OR value > 10""")
+def stream_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K2/M1: a standing filter over the event topic whose lines don't all fit the declared schema.
+
+    The topic arrives as three files, a micro-batch each; bad lines are kept
+    with their reason and batch beside the good rows that pass the filter.
+    """
+    topic_dir, ckpt = work_dir(spark, "dl_topic"), work_dir(spark, "dl_ckpt")
+    letters = mb.DeadLetterTopic(spark, work_dir(spark, "dl_out"), _NARROW_SCHEMA, "value > 10")
+    log = fx.stored_event_log(spark, sf_dir)
+    for k in range(STREAM_FILES):
+        log.where(F.col("partition") == k).select("value").write.text(f"{topic_dir}/g={k}")
+        mb.run_to_end(letters.start(spark.readStream.format("text").load(topic_dir), ckpt))
+    good = letters.rows().select("event_id", F.lit(False).alias("rejected"), "batch_id", "value", F.lit(None).cast("string").alias("reason"))
+    bad = letters.rejects().select(F.split("value", "\t")[0].cast("bigint").alias("event_id"), F.lit(True).alias("rejected"),
+                                   "batch_id", F.lit(None).cast("double").alias("value"), "reason")
+    return good.unionByName(bad)
+
+
 @register("topic_incremental_stream", """
 SELECT CAST(p_partkey % 3 AS BIGINT) AS batch_id, p_partkey AS id, p_name AS name, p_size AS age FROM part""")
 def topic_incremental_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

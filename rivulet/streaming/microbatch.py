@@ -14,6 +14,7 @@ never duplicates results.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
@@ -23,9 +24,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from rivulet.functions.lines import decode_columns, ident, row_text, split_line
-from rivulet.session import committed_values, is_committed, last_committed
-from rivulet.sources.topics import _schema
+from rivulet.functions.lines import decode_columns, ident, reject_reason, row_text, split_line
+from rivulet.session import committed_values, is_committed, last_committed, publish, remove_folder
+from rivulet.sources.topics import PositionConflict, _schema
 
 # Fixed value: the reference's micro-batch interval.  Its standing query was
 # re-submitted every 500 ms; one streaming query replaces that loop here.
@@ -56,6 +57,20 @@ def decode_stream(stream: DataFrame, schema: T.StructType | str, value_col: str
     return parts.select(*decode_columns("_parts", schema, strict=True, presplit=True))
 
 
+def decode_tagged(stream: DataFrame, schema: T.StructType | str, value_col: str = "value", keep: list[str] | None = None) -> DataFrame:
+    """Every line of a stream (or table): ``keep`` columns, ``value``, ``reason`` and ``row``, the decoded struct.
+
+    ``reason`` is null for a good line; ``row`` is null for a bad one, also
+    for a null value.  Nothing fails, whatever the line holds.
+    """
+    schema = _schema(schema)
+    lines = stream.select(*(keep or []), F.col(value_col).cast("string").alias("value"))
+    parts = lines.withColumn("_parts", split_line("value"))
+    reason = F.when(F.col("value").isNull(), F.lit("null value")).otherwise(reject_reason("_parts", schema, presplit=True))
+    row = F.struct(*decode_columns("_parts", schema, strict=False, presplit=True))
+    return parts.withColumn("reason", reason).select(*(keep or []), "value", "reason", F.when(F.col("reason").isNull(), row).alias("row"))
+
+
 def _trigger(writer, available_now: bool, interval: str = BATCH_INTERVAL):
     return writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)
 
@@ -83,6 +98,61 @@ def run_to_end(q: StreamingQuery) -> int | None:
     return max(ran) if ran else None
 
 
+class DeadLetterTopic:
+    """A topic's stream in which bad lines are kept aside instead of stopping it (K2 on a stream).
+
+    Each micro-batch is decoded once and written in one job: good rows under
+    ``rejected=false``, bad lines with the first problem found under
+    ``rejected=true``, both inside the folder of the batch id.  The folder
+    becomes visible as a whole when its write has ended and is replaced when
+    the batch is replayed, so good rows and rejects always add up to the
+    lines read, and none is there twice.
+
+    ``condition`` is a standing filter on the good rows; what it drops is in
+    neither table.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType | str, condition: Column | str | None = None):
+        self.spark = spark
+        self.path = path.rstrip("/")
+        self.schema = _schema(schema)
+        self.condition = F.expr(condition) if isinstance(condition, str) else condition
+
+    def _stored_schema(self) -> T.StructType:
+        text = [T.StructField(c, T.StringType()) for c in ("value", "reason")]
+        return T.StructType([T.StructField("row", self.schema), *text, T.StructField("rejected", T.BooleanType()), T.StructField("batch_id", T.LongType())])
+
+    def _on_batch(self, lines: DataFrame, batch_id: int) -> None:
+        tagged = decode_tagged(lines, self.schema)
+        bad = F.col("reason").isNotNull()
+        out = tagged.select("row", F.when(bad, F.col("value")).alias("value"), "reason", bad.alias("rejected"))
+        if self.condition is not None:
+            # The condition sees the declared fields only; the rest goes along as one struct.
+            kept = out.select(F.struct("*").alias("_all"), "row.*").where(F.col("_all.rejected") | self.condition)
+            out = kept.select("_all.*")
+        out.write.mode("overwrite").partitionBy("rejected").parquet(f"{self.path}/batch_id={batch_id}")
+
+    def start(self, stream: DataFrame, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+        """``stream`` has the topic's lines in a ``value`` column, as the text and broker sources give them."""
+        w = stream.select(F.col("value").cast("string").alias("value")).writeStream.foreachBatch(self._on_batch)
+        return _trigger(w.option("checkpointLocation", checkpoint), available_now).start()
+
+    def _stored(self) -> DataFrame:
+        done = committed_values(self.spark, self.path, "batch_id")
+        if not done:
+            return self.spark.createDataFrame([], self._stored_schema())
+        reader = self.spark.read.schema(self._stored_schema()).option("basePath", self.path)
+        return reader.parquet(*[f"{self.path}/batch_id={b}" for b in done])
+
+    def rows(self) -> DataFrame:
+        """The good rows of all finished batches, with ``batch_id``."""
+        return self._stored().where(~F.col("rejected")).select("row.*", "batch_id")
+
+    def rejects(self) -> DataFrame:
+        """``value, reason, batch_id`` of the bad lines of all finished batches."""
+        return self._stored().where("rejected").select("value", "reason", "batch_id")
+
+
 # --------------------------------------------------------------------- M2
 def union_results(frames: list[DataFrame], schema: T.StructType | str | None = None,
                   spark: SparkSession | None = None) -> DataFrame:
@@ -250,11 +320,14 @@ class ResultBuffer:
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path.rstrip("/")
-        # a restarted reader resumes after the last recorded drain
-        self.drains = last_committed(spark, f"{self.path}/marks", "drain_no") or 0
+        self.refresh()
+
+    def refresh(self) -> None:
+        """Resume after the last drain that any reader committed."""
+        self.drains = last_committed(self.spark, f"{self.path}/marks", "drain_no") or 0
         self.mark = -1
         if self.drains:
-            self.mark = int(spark.read.parquet(f"{self.path}/marks/drain_no={self.drains}").first()["mark"])
+            self.mark = int(self.spark.read.parquet(f"{self.path}/marks/drain_no={self.drains}").first()["mark"])
 
     def sink(self, batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{self.path}/rows/batch_id={batch_id}")
@@ -280,9 +353,19 @@ class ResultBuffer:
         return rows.withColumn("drain_no", F.lit(self.drains + 1)), max(self.mark, last)
 
     def commit(self, token: int) -> None:
-        """Advance the mark to a drain's token, after its rows have been used."""
-        self.spark.createDataFrame([(token,)], "mark int") \
-            .write.mode("overwrite").parquet(f"{self.path}/marks/drain_no={self.drains + 1}")
+        """Advance the mark to a drain's token, after its rows have been used.
+
+        Of several readers of one buffer that drained from the same mark, one
+        commits; the others get :class:`PositionConflict` and drain again
+        (:meth:`refresh`).  The mark never moves back.
+        """
+        if token < self.mark:
+            raise ValueError(f"{self.path}: the mark would move back from {self.mark} to {token}")
+        staged = f"{self.path}/staged/{uuid.uuid4().hex}"
+        self.spark.createDataFrame([(token,)], "mark int").coalesce(1).write.parquet(staged)
+        if not publish(self.spark, staged, f"{self.path}/marks/drain_no={self.drains + 1}"):
+            remove_folder(self.spark, staged)
+            raise PositionConflict(f"{self.path}: drain {self.drains + 1} was committed by another reader")
         self.drains += 1
         self.mark = token
 

@@ -1,5 +1,8 @@
 """Standing queries: reruns see only new files; batches union to the batch answer."""
 
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
 from rivulet.plans import fixtures as fx
@@ -202,3 +205,63 @@ def test_results_of_different_columns_unite(spark, sf_dir):
     got = standing.results(spark)
     rows = fx.part_rows(spark, sf_dir).where("id % 3 = 0")
     assert got.where("query_no = 0").count() == rows.count() == got.agg(F.sum("n")).first()[0]
+
+
+# --------------------------------------------------------------------- dead letters
+DL_SCHEMA = "id int, value double, reason string"
+LINES = [["1\t2.5\tok", "x\t1\tbad id", "2\t7.5\tgood", ""], ["3\t1.0", "4\t9.5\ta\textra", "\t\t", "5\tnan?\tz"], ["99999999999\t1\tbig", "6\t8.0\tlast"]]
+
+
+def _letters(spark, out, topic_dir, ckpt, condition=None):
+    letters = mb.DeadLetterTopic(spark, out, DL_SCHEMA, condition)
+    return letters, lambda: mb.run_to_end(letters.start(spark.readStream.format("text").load(topic_dir), ckpt))
+
+
+def test_bad_lines_do_not_stop_a_stream(spark):
+    topic_dir, out, ckpt = (work_dir(spark, x) for x in ("t", "dl", "ckpt"))
+    letters, run = _letters(spark, out, topic_dir, ckpt)
+    assert letters.rows().collect() == letters.rejects().collect() == []
+    for k, lines in enumerate(LINES):
+        spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(f"{topic_dir}/g={k}")
+        assert run() == k
+    good = sorted((r["id"], r["value"], r["batch_id"]) for r in letters.rows().collect())
+    assert good == [(1, 2.5, 0), (2, 7.5, 0), (4, 9.5, 1), (6, 8.0, 2)]
+    bad = {r["value"]: (r["reason"], r["batch_id"]) for r in letters.rejects().collect()}
+    assert bad["x\t1\tbad id"] == ("bad int in field id", 0) and bad["3\t1.0"] == ("missing field reason", 1)
+    assert bad["5\tnan?\tz"][0] == "bad double in field value" and bad["99999999999\t1\tbig"][0] == "bad int in field id"
+    assert len(good) + len(bad) == sum(map(len, LINES))
+
+
+def test_a_replayed_batch_doubles_nothing(spark):
+    """The run is lost after a batch's rows were written, before the stream noted it."""
+    topic_dir, out, ckpt = (work_dir(spark, x) for x in ("t", "dl", "ckpt"))
+    letters, run = _letters(spark, out, topic_dir, ckpt, "value > 5")
+    for k, lines in enumerate(LINES):
+        spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(f"{topic_dir}/g={k}")
+        run()
+    before = [sorted(map(str, t.collect())) for t in (letters.rows(), letters.rejects())]
+    assert [r["id"] for r in letters.rows().orderBy("id").collect()] == [2, 4, 6] and letters.rejects().count() == 6
+    for name in ("2", ".2.crc"):
+        os.unlink(f"{ckpt.removeprefix('file:')}/commits/{name}")
+    letters, run = _letters(spark, out, topic_dir, ckpt, "value > 5")
+    assert run() == 2
+    assert [sorted(map(str, t.collect())) for t in (letters.rows(), letters.rejects())] == before
+    # a batch whose write never ended is not there at all
+    os.unlink(f"{out.removeprefix('file:')}/batch_id=1/_SUCCESS")
+    assert {r["batch_id"] for r in letters.rejects().collect()} == {0, 2}
+
+
+def test_two_readers_of_one_buffer(spark, sf_dir):
+    topic_dir, ckpt, path = (work_dir(spark, x) for x in ("t", "ckpt", "buf"))
+    one = mb.ResultBuffer(spark, path)
+    _add(spark, sf_dir, topic_dir, 0)
+    mb.run_to_end(one.start(mb.topic_stream(spark, topic_dir, fx.PART_TOPIC_SCHEMA), ckpt))
+    other = mb.ResultBuffer(spark, path)
+    tokens = [b.drain()[1] for b in (one, other)]
+    one.commit(tokens[0])
+    with pytest.raises(mb.PositionConflict):
+        other.commit(tokens[1])
+    other.refresh()
+    assert other.mark == one.mark and other.drain()[0].count() == 0
+    with pytest.raises(ValueError, match="move back"):
+        other.commit(-1)
