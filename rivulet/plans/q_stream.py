@@ -9,6 +9,7 @@ from rivulet.plans import fixtures as fx
 from rivulet.plans.registry import make_registry
 from rivulet.session import table, work_dir
 from rivulet.sources import topics
+from rivulet.sources.topic_source import register_topic_source
 from rivulet.streaming import microbatch as mb
 
 QUERIES, ORACLES, register = make_registry()
@@ -70,6 +71,21 @@ def stream_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.unionByName(bad)
 
 
+@register("topic_source_stream", """
+SELECT p_partkey AS id, p_name AS name, p_size AS age, CAST(p_partkey % 3 AS BIGINT) AS batch_id FROM part WHERE p_size = 25""")
+def topic_source_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1/K5: the standing filter over a topic by name; each run goes on from the offsets of the run before."""
+    register_topic_source(spark)
+    path, out, ckpt = work_dir(spark, "ts_topic"), work_dir(spark, "ts_out"), work_dir(spark, "ts_ckpt")
+    buf = mb.ResultBuffer(spark, out)
+    for k in range(STREAM_FILES):
+        rows = fx.part_rows(spark, sf_dir).where(F.col("id") % STREAM_FILES == k)
+        rows.write.format("topic").mode("append").option("path", path).save()
+        stream = spark.readStream.format("topic").schema(fx.PART_TOPIC_SCHEMA).option("path", path).load()
+        mb.run_to_end(buf.start(stream.where("age = 25"), ckpt))
+    return spark.read.parquet(f"{out}/rows").select("id", "name", "age", F.col("batch_id").cast("bigint"))
+
+
 @register("topic_incremental_stream", """
 SELECT CAST(p_partkey % 3 AS BIGINT) AS batch_id, p_partkey AS id, p_name AS name, p_size AS age FROM part""")
 def topic_incremental_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

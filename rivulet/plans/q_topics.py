@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rivulet.functions.lines import sql_str
+
 from rivulet.plans import fixtures as fx
 from rivulet.plans.registry import make_registry
 from rivulet.session import table, work_dir
 from rivulet.sources import topics
+from rivulet.sources.topic_source import Topic, register_topic_source
 
 QUERIES, ORACLES, register = make_registry()
 
@@ -169,6 +174,30 @@ def topic_exactly_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("commit_no", conflicts.alias("conflicts"), "partition", "offset", "id", "name", "age")
 
 
+@register("topic_using_source", """
+SELECT CAST(p_partkey AS BIGINT) AS id, CASE WHEN p_size % 7 = 0 THEN 'null' ELSE p_name END AS name, p_size AS age,
+       CASE WHEN p_size <= 25 THEN 'first' ELSE 'second' END AS seen
+FROM part""")
+def topic_using_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K3/K5/K7: a topic by name in DDL, filled by two INSERTs; the second is read from the offsets that the first
+    reached.  The text ``null`` stays a text."""
+    register_topic_source(spark)
+    path = work_dir(spark, "topic_source")
+    rows = fx.part_rows(spark, sf_dir).withColumn("name", F.when(F.col("age") % 7 == 0, "null").otherwise(F.col("name")))
+    rows.createOrReplaceTempView("topic_using_rows")
+
+    def view(name: str, options: str) -> None:
+        spark.sql(f"CREATE OR REPLACE TEMPORARY VIEW {name} ({fx.PART_TOPIC_SCHEMA}) USING topic OPTIONS (path {sql_str(path)}, {options})")
+
+    view("topic_using", "partitions '3'")
+    spark.sql("INSERT INTO topic_using SELECT id, name, age FROM topic_using_rows WHERE age <= 25")
+    reached = json.dumps(Topic(path).latest())
+    view("topic_using_old", f"endingOffsets {sql_str(reached)}")
+    view("topic_using_new", f"startingOffsets {sql_str(reached)}")
+    spark.sql("INSERT INTO topic_using SELECT id, name, age FROM topic_using_rows WHERE age > 25")
+    return spark.sql("SELECT *, 'first' AS seen FROM topic_using_old UNION ALL SELECT *, 'second' AS seen FROM topic_using_new")
+
+
 @register("topic_insert_append", """
 SELECT p_partkey AS id, p_name AS name, p_size AS age FROM part""")
 def topic_insert_append(spark: SparkSession, sf_dir: str) -> DataFrame:
