@@ -14,6 +14,7 @@ malus, both as large as the articles' share of the page's own text.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -33,14 +34,20 @@ ARTICLE = frozenset(("article", "main"))
 #: Boilerplate that an element is by its tag, whatever it weighs.
 FRAME = frozenset("nav footer aside menu dialog".split())
 #: Words of class, id, role or label that name boilerplate; those of a title only outside articles.
-_NAMES = (
+_NOISE = re.compile(
     r"(?:ads?|advert\w*|adverts?|banner|sponsor\w*|promo\w*|nav\w*|menus?|breadcrumbs?|sidebar|side|widget|footer|header|masthead|cookies?|consent|gdpr|notices?|popup|modal|overlay|newsletter"
     r"|subscribe|signup|login|share|sharing|social|related|recommended|comments?|disqus|replies|respond|pagination|pager|toolbar|skip)"
 )
-_NOISE = re.compile(rf"(?:^|[\s_-]){_NAMES}(?=$|[\s_-])", re.I)
-_WHOLE = re.compile(rf"(?:^|\s){_NAMES}(?=$|\s)", re.I)
+_COMMENT = re.compile(r"comments?|disqus|replies|respond")
+#: Of these, what a compound names is made of links, or it is no boilerplate.
+_LINKED = re.compile(r"nav\w*|menus?|breadcrumbs?|share|sharing|social|related|recommended|pagination|pager|skip")
 _TITLE = re.compile(r"(?:^|(?<=[\s_-]))(?:header|masthead|banner)(?=$|[\s_-])", re.I)
-_COMMENT = re.compile(r"(?:^|[\s_-])(?:comments?|disqus|replies|respond)(?:$|[\s_-])", re.I)
+#: Words for a part of a page, whatever it holds: behind a name, they leave its meaning as it is.
+_PART = frozenset(
+    "area author aside bar block body bottom box button buttons card cell col column container content count desktop div element feed field form frame grid group head holder icon icons image img inner"
+    " input item items label layer left line link links list logo main meta mobile module outer page panel parent part popup pane placeholder policy position post posts reply right root row section site slot"
+    " small stack strip tab tabs tag tags text thread title toggle top unit user view wrap wrapper zone".split()
+)
 #: Tokens that say what a layout has or how it is, not what the element is.
 _LAYOUT = re.compile(r"(?<!\S)(?:(?:has|have|with|without|no)[_-]\S+|\S+[_-](?:open|closed|on|off|enabled|disabled|layout))(?!\S)", re.I)
 #: Why an element may be boilerplate: a name or a form, in an article a whole token or another name, comments, its tag.
@@ -48,6 +55,31 @@ LOOSE, WHOLE, DENSE, COMMENTS, HARD = range(5)
 _CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
 
+def named(names: str) -> tuple[bool, bool, bool, bool]:
+    """Whether names call an element comments, boilerplate by a whole name, by the head of a name, or by any word of one.
+
+    The head of a compound is its last word that is no mere part of a page:
+    ``share-buttons`` and ``site-footer`` are boilerplate, while in
+    ``side-effects`` or ``header-files`` the word only says which effects or
+    files are meant.
+    """
+    comments = whole = loose = any_ = False
+    for name in names.lower().split():
+        words = [w for w in re.split(r"[_-]+", name) if w]
+        if not any(_NOISE.fullmatch(w) for w in words):
+            continue
+        any_ = True
+        rest = [w for w in words if not w.isdigit()]
+        while len(rest) > 1 and rest[-1] in _PART and not _NOISE.fullmatch(rest[-1]):
+            rest.pop()
+        head = rest[-1]
+        if _NOISE.fullmatch(head):
+            comments |= bool(_COMMENT.fullmatch(head))
+            whole |= len(words) == 1
+            loose |= len(words) == 1 or not _LINKED.fullmatch(head)
+    return comments, whole, loose, any_
+
+
 class _Lines(HTMLParser):
     """Collects ``(text parts, tags, link characters, whether in an article)`` of each line.
 
@@ -60,6 +92,7 @@ class _Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[list[str], int, int, bool]] = []
         self.stack: list[tuple[str, bool, list[list[int]]]] = []  # open elements, whether they are silent, their ranges
+        self.open: Counter[str] = Counter()  # how many elements of a tag are open
         self.parts: list[str] = []
         self.named: list[list[int]] = []
         self.articles: list[list[int]] = []
@@ -73,19 +106,18 @@ class _Lines(HTMLParser):
 
     def _reason(self, tag: str, attrs) -> int | None:
         names = _LAYOUT.sub("", " ".join(v for k, v in attrs if v and k in ("class", "id", "role", "aria-label")))
+        inside = self.article + self.main > 0
         if tag in ARTICLE:
             # An article inside comments is a comment.
-            return COMMENTS if _COMMENT.search(names) else None
-        inside = self.article + self.main > 0
+            return COMMENTS if named(names)[0] else None
         if tag in FRAME or (tag == "header" and not inside):
             return HARD
         if names and tag not in ("html", "body"):
-            if inside:
-                names = _TITLE.sub("", names)
-            if _COMMENT.search(names):
+            comments, whole, loose, any_ = named(_TITLE.sub("", names) if inside else names)
+            if comments:
                 return COMMENTS
-            if _NOISE.search(names):
-                return LOOSE if not self.article else WHOLE if _WHOLE.search(names) else DENSE
+            if any_:
+                return (WHOLE if whole else DENSE) if self.article else LOOSE if loose else DENSE
         return LOOSE if tag in ("form", "fieldset") else None
 
     def _open(self, tag: str, attrs) -> None:
@@ -104,9 +136,11 @@ class _Lines(HTMLParser):
         self.silent += silent
         self.links += tag == "a"
         self.stack.append((tag, silent, ranges))
+        self.open[tag] += 1
 
     def _close(self) -> str:
         tag, silent, ranges = self.stack.pop()
+        self.open[tag] -= 1
         self.silent -= silent
         self.links -= tag == "a"
         for x in ranges:
@@ -141,7 +175,7 @@ class _Lines(HTMLParser):
         if tag in BLOCKS:
             self._cut()
         self.tags += 1
-        if any(x[0] == tag for x in self.stack):
+        if self.open[tag]:
             while self._close() != tag:
                 pass
 
@@ -168,22 +202,29 @@ def boilerplate(named: list[list[int]], articles: list[list[int]], own: np.ndarr
     link-dense blocks, another name only link-dense ones.
     """
     n = len(own)
-    cover, comments, noise = np.zeros(n + 1, int), np.zeros(n + 1, int), np.zeros(n, bool)
-    for reason, a, b in named:
-        for count in (cover, comments) if reason == COMMENTS else (cover,):
-            count[a] += a < b
-            count[b] -= a < b
-    cover, comments = np.cumsum(cover[:n]), np.cumsum(comments[:n])
     spans = np.array([x[1:] for x in articles if x[1] < x[2]], int).reshape(-1, 2)
+    # Steps up and down where a named element begins and ends; what they sum to is kept until one of them changes.
+    covered, commented, noise = np.zeros(n + 1, int), np.zeros(n + 1, int), np.zeros(n, bool)
+    for reason, a, b in named:
+        for steps in (covered, commented) if reason == COMMENTS else (covered,):
+            steps[a] += a < b
+            steps[b] -= a < b
+    sums = lambda x: np.concatenate([[0], np.cumsum(x)])
+    plain, links = sums(own), sums(linked)
+    comments = total = free = most = None
     for reason, a, b in named:
         if a >= b or noise[a]:
             continue
-        text = np.where(comments == 0, own, 0)
-        here, most = own[a:b].sum(), (0, 0, 0)
+        if comments is None:
+            comments = np.cumsum(commented[:n])
+            total, most = sums(np.where(comments == 0, own, 0)), (0, 0, 0)
+            if len(spans):
+                sizes = total[spans[:, 1]] - total[spans[:, 0]]
+                most = (sizes.max(), *spans[sizes.argmax()].tolist())
         if reason == COMMENTS:
             # A thread has many articles or is less than the rest; its own comments are named too.
             held, end = 0, a
-            if here > text.sum():
+            if plain[b] - plain[a] > total[n]:
                 for x, y in spans[np.searchsorted(spans[:, 0], a) :].tolist():
                     if x >= b or held > 1:
                         break
@@ -191,23 +232,25 @@ def boilerplate(named: list[list[int]], articles: list[list[int]], own: np.ndarr
                         held, end = held + 1, y
             frames = held == 1
         else:
-            total = np.concatenate([[0], np.cumsum(text)])
             here = total[b] - total[a]
-            if len(spans):
-                sizes = total[spans[:, 1]] - total[spans[:, 0]]
-                most = (sizes.max(), *spans[sizes.argmax()].tolist())
-            free = np.where(cover == 0, text, 0)
-            sure = most[0] > 0 and 4 * most[0] >= free.sum() - free[most[1] : most[2]].sum()
-            beside = sure and (most[2] <= a or b <= most[1]) and 4 * most[0] >= here
-            dense = linked[a:b].sum() > own[a:b].sum()
             if reason in (WHOLE, DENSE):
+                dense = links[b] - links[a] > plain[b] - plain[a]
                 small = 4 * here <= total[n] or (here <= 200 and 2 * here <= total[n])
                 frames = not (dense or (reason == WHOLE and small))
             else:
+                if free is None:
+                    free = sums(np.where((np.cumsum(covered[:n]) == 0) & (comments == 0), own, 0))
+                sure = most[0] > 0 and 4 * most[0] >= free[n] - (free[most[2]] - free[most[1]])
+                beside = sure and (most[2] <= a or b <= most[1]) and 4 * most[0] >= here
                 frames = sure and a <= most[1] and most[2] <= b or reason == LOOSE and 2 * here > total[n] and not beside
         if frames:
-            cover[a:b] -= 1
-            comments[a:b] -= reason == COMMENTS
+            covered[a] -= 1
+            covered[b] += 1
+            free = None
+            if reason == COMMENTS:
+                commented[a] -= 1
+                commented[b] += 1
+                comments = None
         else:
             noise[a:b] = True
     return noise

@@ -124,3 +124,39 @@ def test_teasers_and_long_threads_are_no_articles():
     text, thread = "".join(SENTENCES), "".join(f"<li class=comment><article><p>{'I think so too. ' * 30}</p></article>" for _ in range(9))
     got = main_text(f"<div>{text}</div><aside><article>Teaser</article></aside><div id=comments><ol>{thread}</ol></div>")
     assert got.count("\n") == 5 and "Teaser" not in got and "too" not in got
+
+
+TOPICS = "side-effects related-work share-price menu-items social-history skip-list comment-theory modal-logic banner-years header-files cookie_recipes".split()
+SECTION = "A section of the article that is about its own matter and of some length, with a comma or two, so it has to be kept as it is."
+
+
+@pytest.mark.parametrize("name", TOPICS)
+@pytest.mark.parametrize("tag", ["div", "main", "article"])
+@pytest.mark.parametrize("attr", ["id", "class"])
+def test_topics_that_hold_a_boilerplate_word_are_kept(name, tag, attr):
+    text = "".join(SENTENCES)
+    got = main_text(f"<body><nav>{LINKS}</nav><{tag}>{text}<section {attr}={name}><h2>Heading</h2><p>{SECTION}</p></section>{text}</{tag}><footer>x</footer></body>")
+    assert f"Heading\n{SECTION}\n" in got and "link" not in got
+
+
+@pytest.mark.parametrize("name", "menu menu-main main-menu site-nav social-links share-buttons related-posts skip-links breadcrumb-list".split())
+def test_link_lists_by_name_still_go(name):
+    text = "".join(SENTENCES)
+    assert "link" not in main_text(f"<body><div>{text}<div class={name}>{LINKS}</div>{text}</div></body>")
+
+
+@pytest.mark.parametrize("name", "cookie-notice notice site-footer page-header ad ad-slot-2 sidebar-left left-sidebar newsletter-signup comments comment-list user-comments comment-body comment-17 sponsored-content promo-box".split())
+def test_boilerplate_by_name_still_goes(name):
+    text = "".join(SENTENCES)
+    assert "own matter" not in main_text(f"<body><div>{text}<div id={name}><p>{SECTION}</p></div>{text}</div></body>")
+
+
+def test_long_and_deep_pages_take_linear_time():
+    import time
+
+    text = "".join(SENTENCES)
+    began = time.time()
+    for many in ("<div class=share>Tell</div>", "<div class=side-effects>A word</div>", "<ul><li><a href=/>x</a></li></ul>"):
+        assert "number 5" in main_text(f"<body><div>{text}</div>{many * 20_000}</body>")
+    assert main_text("<div><span class=side-effects>" * 30_000 + text + "</span></div>" * 30_000).count("\n") == 5
+    assert time.time() - began < 60
