@@ -9,6 +9,7 @@ from rivulet.plans import fixtures as fx
 from rivulet.plans.registry import make_registry
 from rivulet.session import input_mark, is_committed, table, work_dir
 from rivulet.sources import tables
+from rivulet.sources.folders import FolderTable
 
 QUERIES, ORACLES, register = make_registry()
 
@@ -145,6 +146,28 @@ def upsert_union_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fresh.select(*_KV_COLS)
 
 
+@register("partition_rewrite", """
+WITH old AS (
+  SELECT l_orderkey, l_partkey, l_quantity, l_extendedprice, l_returnflag AS value, l_linenumber AS key
+  FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-01-01'),
+new AS (
+  SELECT l_orderkey, l_partkey, l_quantity, l_extendedprice, l_returnflag AS value, l_linenumber AS key
+  FROM lineitem WHERE l_shipdate >= TIMESTAMP '1997-01-01' AND l_linenumber <= 3)
+SELECT DISTINCT *, key <= 3 AS rewritten FROM (SELECT * FROM old UNION ALL SELECT * FROM new)""")
+def partition_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An extract of some partitions merged without duplicates; ``rewritten`` are the rows whose folder is new."""
+    li = table(spark, sf_dir, "lineitem")
+    kv = lambda d: d.select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice",
+                            F.col("l_returnflag").alias("value"), F.col("l_linenumber").alias("key"))
+    kept = FolderTable.create(kv(li.where(F.col("l_shipdate") < F.lit("1998-01-01").cast("timestamp_ntz"))).distinct(), work_dir(spark, "kv_folders"), ["key"])
+    kept.union_distinct(kept.read(0))  # every partition is known to have no repeats
+    before = {(p, w) for p, w, _ in kept.manifest()}
+    late = (F.col("l_shipdate") >= F.lit("1997-01-01").cast("timestamp_ntz")) & (F.col("l_linenumber") <= 3)
+    kept.union_distinct(kv(li.where(late)))
+    new = [p.split("=")[1] for p, w, _ in kept.manifest() if (p, w) not in before]
+    return kept.read().select(*_KV_COLS, F.col("key").cast("string").isin(new).alias("rewritten"))
+
+
 @register("directory_tree_scan", """
 SELECT l_returnflag AS value, l_quantity, l_linenumber AS key FROM lineitem WHERE l_linenumber <= 3""")
 def directory_tree_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
