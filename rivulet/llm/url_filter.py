@@ -4,9 +4,12 @@ A list is a log of dated entries ``(list_name, pattern, action, since)`` where
 ``pattern`` is a host, a parent domain, or either with a path prefix, and
 ``action`` is ``block``, ``allow`` or ``remove`` (the pattern leaves the list).
 Consecutive entries of a pattern become validity intervals ``[since, until)``.
-Every capture is asked against the intervals that hold at its fetch time: it
-is expanded to its own keys (each parent domain, alone and with each path
-prefix: a number bounded by the URL's own depth) and joined on key and time.
+Every capture is expanded to its own keys (each parent domain, alone and with
+each path prefix: a number bounded by the URL's own depth); those that some
+list names go into the as-of join.  There the captures and the intervals of a
+list's pattern are merged in the order of time, month by month, and each
+capture takes the last interval that began before it, if that still holds: a
+row per capture, however many entries the pattern has.
 """
 
 from __future__ import annotations
@@ -15,9 +18,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rivulet.llm.common import fresh, read_table, with_row
+from rivulet.llm.common import fresh, read_table, stored, with_row
 
-SALTS = 16
+#: A pattern that more than this share of the asked keys name is dealt over salts; there are at most so many, so they are broadcast.
+HOT_SHARE = 1000
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -63,7 +67,43 @@ def keys_of(host: Column, path: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.concat(h, F.lower(p))))))
 
 
-def filter_urls(captures: DataFrame, entries: DataFrame, url_col: str = "url", time_col: str = "fetched", salts: int = SALTS) -> DataFrame:
+def as_of(asked: DataFrame, valid: DataFrame) -> DataFrame:
+    """``r, list_name, pattern, action`` of the interval in force, if any, for each row of stored ``asked(r, at, list_name, pattern)``.
+
+    Captures, intervals and what was in force when a month began are merged
+    by time within (list, pattern, month).  A pattern that very many captures
+    name is dealt over salts as its measured share asks for, and its intervals
+    are repeated for each; no capture meets more than one interval.
+    """
+    key = ["list_name", "pattern"]
+    month = lambda at: F.date_trunc("month", at)
+    asked = asked.withColumn("month", month(F.col("at")))
+    valid = valid.select(*key, F.col("since").cast("timestamp").alias("since"), F.struct("action", F.col("until").cast("timestamp").alias("until")).alias("state"))
+    valid = valid.withColumn("month", month(F.col("since")))
+    total = asked.count()
+    hot = asked.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * HOT_SHARE > total)
+    hot = hot.select(F.col("list_name").alias("hot_list"), F.col("pattern").alias("hot_pattern"), (F.ceil(F.col("n") * HOT_SHARE / total / 4) + 1).cast("int").alias("of"))
+
+    def with_salts(df: DataFrame) -> DataFrame:
+        same = F.col("list_name").eqNullSafe(F.col("hot_list")) & (F.col("pattern") == F.col("hot_pattern"))
+        return df.join(F.broadcast(hot), same, "left").withColumn("of", F.coalesce("of", F.lit(1))).drop("hot_list", "hot_pattern")
+
+    # The last interval of each month, carried on to the months in which captures ask.
+    heads = valid.groupBy(*key, "month").agg(F.max(F.struct("since", "state")).alias("last")).select(*key, "month", F.col("last.state").alias("state"))
+    months = heads.unionByName(asked.select(*key, "month").distinct(), allowMissingColumns=True)
+    months = months.groupBy(*key, "month").agg(F.first("state", ignorenulls=True).alias("state"))
+    earlier = Window.partitionBy(*key).orderBy("month").rowsBetween(Window.unboundedPreceding, -1)
+    carried = months.select(*key, "month", F.col("month").alias("at"), F.lit(0).alias("kind"), F.last("state", ignorenulls=True).over(earlier).alias("state")).where("state IS NOT NULL")
+    began = valid.select(*key, "month", F.col("since").alias("at"), F.lit(1).alias("kind"), "state")
+    lists = with_salts(carried.unionByName(began)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("of") - 1))).drop("of")
+    captures = with_salts(asked.select("r", *key, "month", "at", F.lit(2).alias("kind"))).withColumn("salt", F.pmod(F.xxhash64("r"), F.col("of")).cast("int")).drop("of")
+    merged = lists.unionByName(captures, allowMissingColumns=True)
+    upto = Window.partitionBy(*key, "month", "salt").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    found = merged.withColumn("state", F.last("state", ignorenulls=True).over(upto)).where("kind = 2 AND state IS NOT NULL")
+    return found.where("state.until IS NULL OR at < state.until").select("r", *key, F.col("state.action").alias("action"))
+
+
+def filter_urls(captures: DataFrame, entries: DataFrame, url_col: str = "url", time_col: str = "fetched") -> DataFrame:
     """``captures`` with ``host, verdict, matched_pattern, matched_list, n_active``.
 
     The longest matching pattern decides; at equal length ``block`` wins over
@@ -79,10 +119,10 @@ def filter_urls(captures: DataFrame, entries: DataFrame, url_col: str = "url", t
     named = {c: fresh(captures, c) for c in ("host", "verdict", "matched_pattern", "matched_list", "n_active")}
     asked = caps.select(F.col(row).alias("r"), F.col(time_col).alias("at"), host_of(F.col(url_col)).alias("h"), path_of(F.col(url_col)).alias("p"))
     asked = asked.where("at IS NOT NULL AND h IS NOT NULL").select("r", "at", F.explode(keys_of(F.col("h"), F.col("p"))).alias("pattern"))
-    # A host may own a third of all captures: its keys are dealt over salts, the list is repeated for each.
-    asked = asked.withColumn("salt", F.pmod("r", F.lit(salts)).cast("int"))
-    valid = intervals(entries).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    hits = asked.join(valid, ["pattern", "salt"]).where("since <= at AND (until IS NULL OR at < until)")
+    valid = intervals(entries)
+    # Only keys that a list names go on; a domain that a third of all captures have is split by adaptive execution.
+    asked = asked.withColumn("at", F.col("at").cast("timestamp")).join(valid.select("pattern", "list_name").distinct(), "pattern")
+    hits = as_of(stored(asked, "url-asked"), valid)
     rank = F.struct((-F.length("pattern")).alias("l"), (F.col("action") != "block").alias("b"), "list_name", "pattern")
     best = hits.groupBy("r").agg(F.min(rank).alias("m"), F.count(F.lit(1)).alias("n"))
     best = best.withColumnRenamed("r", row)

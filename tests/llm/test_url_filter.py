@@ -83,3 +83,26 @@ def test_matches_its_sql(spark, sf_dir):
     got = op9_url_filter(spark, sf_dir)
     assert got.columns == want.columns
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want.fetchall()))
+
+
+def test_a_pattern_with_many_entries_and_captures_costs_linear_rows(spark):
+    """10^4 entries and 10^5 captures of one pattern: every capture meets one interval."""
+    from pyspark.sql import functions as F
+
+    from rivulet.llm.common import stored
+    from rivulet.llm.url_filter import as_of
+
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 997)
+    entries = spark.range(10_000).select(F.lit("l").alias("list_name"), F.lit("a.com").alias("pattern"), F.when(F.col("id") % 3 == 0, "remove").when(F.col("id") % 3 == 1, "block").otherwise("allow").alias("action"), at.alias("since"))
+    asked = spark.range(100_000).select(F.col("id").alias("r"), F.timestamp_seconds(F.lit(1_700_000_000) + (F.col("id") * 7919) % 9_970_000).alias("at"), F.lit("l").alias("list_name"), F.lit("a.com").alias("pattern"))
+    asked = stored(asked, "asked")
+    got = as_of(asked, intervals(entries))
+    rows = {r.r: r.action for r in got.collect()}
+    want = {}
+    for i in range(100_000):
+        k = (i * 7919) % 9_970_000 // 997
+        if k % 3:
+            want[i] = "block" if k % 3 == 1 else "allow"
+    assert rows == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "Python" not in plan
