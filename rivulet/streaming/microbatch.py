@@ -208,49 +208,78 @@ def union_standing(stream: DataFrame, conditions: list[Column | str]) -> DataFra
 class StandingSql:
     """SQL texts, submitted at any time, run over every micro-batch of new topic rows.
 
-    Each batch's new rows are the view ``view``; every queued SQL text runs
+    Each batch's new rows are the view ``view``; every submitted SQL text runs
     on them and the results are unioned (with ``query_no``) and stored under
-    the batch id, overwriting on replay.  Rows that arrive while no text is
-    queued are kept and handed to the first text, under their own batch ids.
-    Texts submitted later apply from the next batch on, as a standing query
-    re-submitted each tick would.
+    the batch id, overwriting on replay.  The texts are a numbered registry
+    beside the results: any session may submit one, and a restarted driver
+    finds them all.  The first batch that sees a text is noted as its start,
+    so a batch that is replayed runs the same texts again.  Rows that arrive
+    while there is no text are kept and handed to the first ones, under their
+    own batch ids; they are removed when their results are stored.
     """
 
-    def __init__(self, view: str, out_path: str):
+    def __init__(self, view: str, out_path: str, spark: SparkSession | None = None):
         self.view = view
         self.out = out_path.rstrip("/")
         self.waiting = f"{self.out}-waiting"
-        self.texts: list[str] = []
-
-    def submit(self, sql_text: str) -> None:
-        self.texts.append(sql_text)
-
-    def _run(self, batch: DataFrame, batch_id: int) -> None:
+        self.registry = f"{self.out}-texts"
+        self.spark = spark or SparkSession.active()
+        self.known: list[tuple[str, int | None]] = []  # texts read so far, with their start
+
+    def _publish(self, value, kind: str, path: str) -> bool:
+        staged = f"{self.registry}/staged/{uuid.uuid4().hex}"
+        self.spark.createDataFrame([(value,)], f"x {kind}").coalesce(1).write.parquet(staged)
+        if publish(self.spark, staged, path):
+            return True
+        remove_folder(self.spark, staged)
+        return False
+
+    def submit(self, sql_text: str) -> int:
+        """Register a text; returns its ``query_no``."""
+        n = (last_committed(self.spark, f"{self.registry}/texts", "n") or 0) + 1
+        while not self._publish(sql_text, "string", f"{self.registry}/texts/n={n}"):
+            n += 1
+        return n - 1
+
+    def _texts(self, batch_id: int) -> list[tuple[int, str]]:
+        """(query_no, text) of the texts for a batch; those that no batch has seen yet start with it."""
+        read = lambda path: self.spark.read.parquet(path).first()["x"]
+        for n in committed_values(self.spark, f"{self.registry}/texts", "n", above=len(self.known)):
+            path = f"{self.registry}/starts/n={n}"
+            if not is_committed(self.spark, path):
+                self._publish(batch_id, "bigint", path)
+            self.known.append((read(f"{self.registry}/texts/n={n}"), read(path)))
+        return [(i, text) for i, (text, start) in enumerate(self.known) if start <= batch_id]
+
+    def _run(self, batch: DataFrame, batch_id: int, texts: list[tuple[int, str]]) -> None:
         # every text reads the batch: decode it once
         batch.persist()
         try:
             batch.createOrReplaceTempView(self.view)
             session = batch.sparkSession
-            frames = [session.sql(t).withColumn("query_no", F.lit(i)) for i, t in enumerate(self.texts)]
+            frames = [session.sql(t).withColumn("query_no", F.lit(i)) for i, t in texts]
             union_results(frames).write.mode("overwrite").parquet(f"{self.out}/batch_id={batch_id}")
         finally:
             batch.unpersist()
 
     def _run_waiting(self, spark: SparkSession) -> None:
-        for i in committed_values(spark, self.waiting, "batch_id"):
+        waiting = committed_values(spark, self.waiting, "batch_id")
+        if not waiting or not self._texts(waiting[0]):
+            return
+        for i in waiting:
             if not is_committed(spark, f"{self.out}/batch_id={i}"):
-                self._run(spark.read.parquet(f"{self.waiting}/batch_id={i}"), i)
+                self._run(spark.read.parquet(f"{self.waiting}/batch_id={i}"), i, self._texts(i))
+            remove_folder(spark, f"{self.waiting}/batch_id={i}")
 
     def _on_batch(self, batch: DataFrame, batch_id: int) -> None:
-        if not self.texts:
-            batch.write.mode("overwrite").parquet(f"{self.waiting}/batch_id={batch_id}")
-            return
         self._run_waiting(batch.sparkSession)
-        self._run(batch, batch_id)
+        if texts := self._texts(batch_id):
+            self._run(batch, batch_id, texts)
+        else:
+            batch.write.mode("overwrite").parquet(f"{self.waiting}/batch_id={batch_id}")
 
     def start(self, stream: DataFrame, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-        if self.texts:
-            self._run_waiting(stream.sparkSession)
+        self._run_waiting(stream.sparkSession)
         w = stream.writeStream.foreachBatch(self._on_batch).option("checkpointLocation", checkpoint)
         return _trigger(w, available_now).start()
 

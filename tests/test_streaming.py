@@ -265,3 +265,49 @@ def test_two_readers_of_one_buffer(spark, sf_dir):
     assert other.mark == one.mark and other.drain()[0].count() == 0
     with pytest.raises(ValueError, match="move back"):
         other.commit(-1)
+
+
+# --------------------------------------------------------------------- texts that outlive the driver
+def test_a_restarted_driver_finds_texts_and_waiting_rows(spark, sf_dir):
+    topic_dir, out, ckpt = work_dir(spark, "t"), work_dir(spark, "out"), work_dir(spark, "ckpt")
+    run = lambda s: mb.run_to_end(s.start(mb.topic_stream(spark, topic_dir, fx.PART_TOPIC_SCHEMA), ckpt))
+    _add(spark, sf_dir, topic_dir, 0)
+    run(mb.StandingSql("reg", out, spark))              # rows without a text
+    mb.StandingSql("reg", out, spark).submit("SELECT id FROM reg WHERE age > 25")
+    _add(spark, sf_dir, topic_dir, 1)
+    run(mb.StandingSql("reg", out, spark))              # another driver: the text and the rows are still there
+    assert mb.StandingSql("reg", out, spark).submit("SELECT id FROM reg WHERE age <= 25") == 1
+    _add(spark, sf_dir, topic_dir, 2)
+    last = mb.StandingSql("reg", out, spark)
+    run(last)
+    got = sorted((r["batch_id"], r["query_no"], r["id"]) for r in last.results(spark).collect())
+    want = [(r["id"] % 3, 0 if r["age"] > 25 else 1, r["id"]) for r in fx.part_rows(spark, sf_dir).collect() if r["age"] > 25 or r["id"] % 3 == 2]
+    assert got == sorted(want)
+    assert not [f for f in os.listdir(f"{out.removeprefix('file:')}-waiting") if f.startswith("batch_id")]
+
+
+def test_a_replayed_batch_runs_the_texts_it_ran_before(spark, sf_dir):
+    topic_dir, out, ckpt = work_dir(spark, "t"), work_dir(spark, "out"), work_dir(spark, "ckpt")
+    run = lambda s: mb.run_to_end(s.start(mb.topic_stream(spark, topic_dir, fx.PART_TOPIC_SCHEMA), ckpt))
+    one = mb.StandingSql("rep", out, spark)
+    one.submit("SELECT id FROM rep")
+    for k in (0, 1):
+        _add(spark, sf_dir, topic_dir, k)
+        run(one)
+        if not k:
+            one.submit("SELECT -id AS id FROM rep")
+    before = sorted(map(str, one.results(spark).collect()))
+    for name in ("1", ".1.crc"):
+        os.unlink(f"{ckpt.removeprefix('file:')}/commits/{name}")
+    run(mb.StandingSql("rep", out, spark))
+    assert sorted(map(str, one.results(spark).collect())) == before
+    assert one.results(spark).where("batch_id = 0 AND query_no = 1").count() == 0
+
+
+def test_texts_submitted_at_once_all_count(spark):
+    from concurrent.futures import ThreadPoolExecutor
+    out = work_dir(spark, "out")
+    with ThreadPoolExecutor(4) as pool:
+        numbers = list(pool.map(lambda k: mb.StandingSql("many", out, spark).submit(f"SELECT {k} AS k"), range(8)))
+    assert sorted(numbers) == list(range(8))
+    assert sorted(t for _, t in mb.StandingSql("many", out, spark)._texts(0)) == [f"SELECT {k} AS k" for k in range(8)]
