@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rivulet.plans import fixtures as fx
 from rivulet.plans.registry import make_registry
 from rivulet.session import input_mark, is_committed, table, work_dir
-from rivulet.sources import tables
+from rivulet.sources import buckets, tables
 from rivulet.sources.folders import FolderTable
 
 QUERIES, ORACLES, register = make_registry()
@@ -195,20 +195,24 @@ def conjunctive_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BUCKETED: dict[tuple, tuple[str, str]] = {}
 
 
-def _bucketed_pair(spark: SparkSession, sf_dir: str, n: int) -> tuple[DataFrame, DataFrame]:
-    """orders and lineitem stored bucketed on the order key (written once per application)."""
+def _bucketed_pair(spark: SparkSession, sf_dir: str, n: int, finer: int = 1) -> tuple[DataFrame, DataFrame]:
+    """orders in ``n`` buckets and lineitem in ``finer`` times as many, on the order key (written once per application)."""
+    return tuple(spark.table(t) for t in _bucketed_names(spark, sf_dir, n, finer))
+
+
+def _bucketed_names(spark: SparkSession, sf_dir: str, n: int, finer: int = 1) -> tuple[str, str]:
     marks = [input_mark(spark, f"{sf_dir}/{t}.parquet") for t in ("orders", "lineitem")]
-    key = (spark.sparkContext.applicationId, sf_dir, n, *marks)
+    key = (spark.sparkContext.applicationId, sf_dir, n, finer, *marks)
     names = _BUCKETED.get(key)
     if names and all(spark.catalog.tableExists(t) for t in names):
-        return spark.table(names[0]), spark.table(names[1])
+        return names
     o_name, l_name = tables.unique_table_name("orders_b"), tables.unique_table_name("lineitem_b")
-    o = tables.write_bucketed(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"),
-                              o_name, work_dir(spark, "orders_b"), n, "o_orderkey", "o_orderkey")
-    li = tables.write_bucketed(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity"),
-                               l_name, work_dir(spark, "lineitem_b"), n, "l_orderkey", "l_orderkey")
+    tables.write_bucketed(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"),
+                          o_name, work_dir(spark, "orders_b"), n, "o_orderkey", "o_orderkey")
+    tables.write_bucketed(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity"),
+                          l_name, work_dir(spark, "lineitem_b"), n * finer, "l_orderkey", "l_orderkey")
     _BUCKETED[key] = (o_name, l_name)
-    return o, li
+    return o_name, l_name
 
 
 @register("bucketed_join", """
@@ -224,6 +228,36 @@ def bucketed_join(spark: SparkSession, sf_dir: str, buckets: int | None = None)
         F.count(F.lit(1)).alias("n_lines"), F.round(F.sum("l_quantity"), 4).alias("sum_qty"))
 
 
+@register("bucketed_join_unequal", """
+SELECT o.o_orderkey, o.o_orderstatus, count(*) AS n_lines, round(sum(l.l_quantity), 4) AS sum_qty
+FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey
+GROUP BY o.o_orderkey, o.o_orderstatus""")
+def bucketed_join_unequal(spark: SparkSession, sf_dir: str, buckets_of_orders: int = 4) -> DataFrame:
+    """Lineitem in twice as many buckets as orders; two of its buckets are read as one, without an Exchange."""
+    buckets.allow_coalesced_joins(spark)
+    o, li = _bucketed_pair(spark, sf_dir, buckets_of_orders, finer=2)
+    return o.join(li, o["o_orderkey"] == li["l_orderkey"]).groupBy("o_orderkey", "o_orderstatus").agg(
+        F.count(F.lit(1)).alias("n_lines"), F.round(F.sum("l_quantity"), 4).alias("sum_qty"))
+
+
+@register("bucket_pruned_scan", """
+SELECT l_orderkey, count(*) AS n_lines, round(sum(l_quantity), 4) AS sum_qty FROM lineitem
+WHERE l_orderkey IN (1, 7, 33) GROUP BY l_orderkey""")
+def bucket_pruned_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An IN list on the bucket column opens only the buckets of its values."""
+    _, li = _bucketed_pair(spark, sf_dir, 4, finer=2)
+    return li.where(F.col("l_orderkey").isin(1, 7, 33)).groupBy("l_orderkey").agg(
+        F.count(F.lit(1)).alias("n_lines"), F.round(F.sum("l_quantity"), 4).alias("sum_qty"))
+
+
+@register("bucket_audit", """
+SELECT count(*) AS n_rows, count(DISTINCT l_orderkey) AS n_keys FROM lineitem""")
+def bucket_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and keys added up over the audited buckets; a key in two buckets would count twice."""
+    _, name = _bucketed_names(spark, sf_dir, 4, finer=2)
+    return buckets.audit(spark, name).agg(F.sum("n_rows").alias("n_rows"), F.sum("n_keys").alias("n_keys"))
+
+
 @register("scan_file_report", """
 SELECT l_linenumber AS key, count(*) AS n_rows, true AS has_files, true AS has_bytes, true AS no_empty_file
 FROM lineitem GROUP BY l_linenumber""")
