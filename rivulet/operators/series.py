@@ -10,8 +10,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rivulet.functions.indexing import index_within_groups
+from rivulet.functions.indexing import index_within_groups, running_total
+from rivulet.session import ensure_checkpoint_dir
 
 # The reference marks every 10th mini-batch and retries a draw
 # up to 1,000 times.
@@ -19,6 +21,8 @@ MARK_EVERY = 10
 MAX_DRAWS = 1000
 # Positions of a series that one window sees at once.
 LAG_BLOCK = 100_000
+# Probability sums and draws are compared as exact decimals.
+SUM_TYPE = "decimal(38,20)"
 
 
 # --------------------------------------------------------------------- T1
@@ -40,45 +44,64 @@ def minibatches(indexed: DataFrame, batch_size: int = 1, epochs: int = 1) -> Dat
 
 # --------------------------------------------------------------------- T3 / T4
 def cumulative(dist: DataFrame, dist_id: str | None, index: str, prob: str) -> DataFrame:
-    """(dist_id, cums): running probability sums in index order, one array per distribution.
+    """(dist_id, pos, cum): 0-based position and running probability sum in index order, one row an outcome.
 
-    A distribution has one entry per outcome (a vocabulary, a set of types),
-    so its array is bounded by its outcome count.  ``dist_id=None``: the
-    table is a single distribution.
+    ``dist_id=None``: the table is a single distribution.  The sums are exact
+    decimals (20 places of a double, the scale of a decimal), so they are the
+    same however the outcomes lie in partitions; a distribution of any size
+    is summed piece by piece.  Indexes are unique in a distribution.  A null probability counts as 0; negative ones
+    are an error, as the sums would then not ascend.
     """
     keys = [dist_id] if dist_id else []
-    w = Window.partitionBy(*keys).orderBy(index).rowsBetween(Window.unboundedPreceding, 0)
-    c = dist.withColumn("_cum", F.sum(prob).over(w))
-    return c.groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct(F.col(index).alias("i"), F.col("_cum").alias("c")))),
-                    lambda s: s["c"]).alias("cums"))
+    exact = F.col(prob) if isinstance(dist.schema[prob].dataType, (T.DecimalType, T.IntegralType)) else F.col(prob).cast(SUM_TYPE)
+    checked = F.when(exact < 0, F.raise_error(F.lit("negative probability")).cast(SUM_TYPE)).otherwise(exact.cast(SUM_TYPE))
+    rows = dist.select(*keys, F.col(index).alias("_i"), checked.alias("_p"))
+    return running_total(rows, keys, ["_i"], "_p", "cum", index_name="pos").select(*keys, "pos", F.col("cum").cast(SUM_TYPE).alias("cum"))
 
 
-def _first_at_least(cums: Column, d: Column) -> Column:
-    """0-based first index whose running sum reaches d, by binary search; size(cums) when none does; null for a null draw."""
-    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(cums) + 1)).cast("int"))
+def _totals(cums: DataFrame, dist_id: str | None) -> DataFrame:
+    """(dist_id, _total): the last running sum of each distribution."""
+    return cums.groupBy(*([dist_id] if dist_id else [])).agg(F.max("cum").alias("_total"))
 
-    def halve(s: Column, _: Column) -> Column:
-        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
-        below = F.get(cums, mid) < d
-        return (F.when(s["lo"] >= s["hi"], s)
-                .when(below, F.struct((mid + 1).alias("lo"), s["hi"].alias("hi")))
-                .otherwise(F.struct(s["lo"].alias("lo"), mid.alias("hi"))))
 
-    whole = F.struct(F.lit(0).alias("lo"), F.size(cums).alias("hi"))
-    return F.when(d.isNotNull(), F.aggregate(steps, whole, halve, lambda s: s["lo"]))
+def _attach_totals(draws: DataFrame, cums: DataFrame, dist_id: str | None) -> DataFrame:
+    """Give each draw its distribution's total, one number a distribution; null if it is unknown."""
+    totals = _totals(cums, dist_id)
+    if dist_id is None:
+        return draws.withColumn("_total", totals.select("_total").scalar())
+    return draws.join(totals, dist_id, "left")
 
 
-def _attach_cums(draws: DataFrame, cums: DataFrame, dist_id: str | None) -> DataFrame:
-    """Give each draw the running sums of its distribution, null if it is unknown.
+def _place(draws: DataFrame, cums: DataFrame, dist_id: str | None, draw: str, landing: str) -> DataFrame:
+    """``draws`` plus ``sample_index``, the first position whose sum reaches the draw, where ``landing`` is true.
 
-    One distribution: a scalar subquery (Spark checks it has exactly one
-    row), so there is no join at all.  Several: an equi-join on ``dist_id``,
-    whose strategy is left to the size that adaptive execution measures.
+    Draws and running sums are range-partitioned together by (distribution,
+    value), so the next outcome after a draw is mostly in its own partition: a
+    running last value, from above, finds it.  For a draw behind the last
+    outcome of its partition it is the first outcome of a later one; that
+    table has at most one row per partition and distribution, and only
+    distributions which span partitions are in it, so it is bounded by the
+    number of partitions.  No task sees more than its range.
     """
-    if dist_id is None:
-        return draws.withColumn("cums", cums.select("cums").scalar())
-    return draws.join(cums.select(dist_id, "cums"), dist_id, "left")
+    spark = draws.sparkSession
+    ensure_checkpoint_dir(spark)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    key = F.col(dist_id) if dist_id else F.lit(0)
+    # Equal draws, however many, are told apart by a number, so that ranges can cut between them.
+    asked = draws.select(key.alias("_k"), F.col(draw).cast(SUM_TYPE).alias("_v"), F.lit(0).alias("_kind"), F.monotonically_increasing_id().alias("_t"),
+                         F.lit(None).cast("bigint").alias("_pos"), F.struct(*draws.columns).alias("_row"), F.col(landing).alias("_lands"))
+    sums = cums.select(key.alias("_k"), F.col("cum").alias("_v"), F.lit(1).alias("_kind"), F.col("pos").alias("_t"), F.col("pos").alias("_pos"),
+                       F.lit(None).cast(asked.schema["_row"].dataType).alias("_row"), F.lit(None).cast("boolean").alias("_lands"))
+    both = (asked.unionByName(sums).repartitionByRange(n, "_k", "_v", "_kind", "_t")
+            .withColumn("_pid", F.spark_partition_id()).checkpoint())
+    above = Window.partitionBy("_pid", "_k").orderBy(F.desc("_v"), F.desc("_kind"), F.desc("_t")).rowsBetween(Window.unboundedPreceding, 0)
+    near = both.withColumn("_near", F.last("_pos", ignorenulls=True).over(above)).where("_kind = 0")
+    # Per partition and distribution the first outcome, and from these the first one of a later partition.
+    firsts = both.groupBy("_pid", "_k").agg(F.min("_pos").alias("_first"))
+    later = Window.partitionBy("_k").orderBy(F.desc("_pid")).rowsBetween(Window.unboundedPreceding, -1)
+    far = firsts.select(F.col("_pid").alias("_fp"), F.col("_k").alias("_fk"), F.last("_first", ignorenulls=True).over(later).alias("_far")).where("_far IS NOT NULL")
+    j = near.join(F.broadcast(far), (F.col("_pid") == F.col("_fp")) & F.col("_k").eqNullSafe(F.col("_fk")), "left")
+    return j.select("_row.*", F.when(F.col("_lands"), F.coalesce("_near", "_far")).cast("int").alias("sample_index"))
 
 
 def sample(draws: DataFrame, cums: DataFrame, dist_id: str | None, draw: str, strict: bool = True) -> DataFrame:
@@ -86,50 +109,51 @@ def sample(draws: DataFrame, cums: DataFrame, dist_id: str | None, draw: str, st
 
     A draw beyond the total and a draw from an unknown distribution are
     errors, or with ``strict=False`` have a null index and ``hit`` false.  A
-    null draw has a null index and a null ``hit``.
+    null draw has a null index and a null ``hit``.  Draws and distributions
+    may be of any size (:func:`_place`).
     """
-    j = _attach_cums(draws, cums, dist_id)
-    pos = _first_at_least(F.col("cums"), F.col(draw))
-    known = F.col("cums").isNotNull()
-    hit = F.when(F.col(draw).isNotNull(), F.coalesce(pos < F.size("cums"), F.lit(False)))
-    index = F.when(hit, pos)
+    j = _attach_totals(draws, cums, dist_id)
+    known = F.col("_total").isNotNull()
+    # NaN and draws too large for a decimal lie beyond every total.
+    lands = F.coalesce(F.col(draw).try_cast(SUM_TYPE) <= F.col("_total"), F.lit(False))
     if strict:
-        fail = lambda text: F.raise_error(F.lit(text)).cast("int")
-        index = (F.when(~known & F.col(draw).isNotNull(), fail("draw from an unknown distribution"))
-                 .when(hit == F.lit(False), fail("draw exceeds the distribution's total")).otherwise(index))
-    return j.withColumn("sample_index", index.cast("int")).withColumn("hit", hit).drop("cums")
+        fail = lambda text: F.raise_error(F.lit(text)).cast("boolean")
+        lands = (F.when(F.col(draw).isNull() | lands, lands)
+                 .when(known, fail("draw exceeds the distribution's total")).otherwise(fail("draw from an unknown distribution")))
+    j = j.withColumn("hit", F.when(F.col(draw).isNotNull(), lands)).drop("_total")
+    j = j.withColumn("_v", F.col(draw).try_cast(SUM_TYPE))
+    return _place(j, cums, dist_id, "_v", "hit").select(*draws.columns, "sample_index", "hit")
 
 
-def _first_hit(cums: Column, draw_fn, lo: int, hi: int) -> Column:
-    """(draw_no, draw, sample_index) of the first draw in [lo, hi) that lands, or null."""
+def _first_landing(draw_fn, lo: int, hi: int) -> Column:
+    """(draw_no, draw) of the first draw in [lo, hi) that is at most the total, or null."""
     tries = F.transform(F.sequence(F.lit(lo), F.lit(hi - 1)),
                         lambda j: F.struct(j.alias("draw_no"), draw_fn(j).alias("draw")))
-    placed = F.transform(tries, lambda t: F.struct(t["draw_no"], t["draw"],
-                                                   _first_at_least(cums, t["draw"]).alias("sample_index")))
-    return F.get(F.filter(placed, lambda t: t["sample_index"] < F.size(cums)), 0)
+    return F.get(F.filter(tries, lambda t: t["draw"].try_cast(SUM_TYPE) <= F.col("_total")), 0)
 
 
 def sample_with_retry(keys: DataFrame, cums: DataFrame, dist_id: str | None, draw_fn,
                       first_round: int = 8, strict: bool = True) -> DataFrame:
     """T4: draws 0..999 per key until one lands inside the distribution; lowest draw number wins.
 
-    ``draw_fn(draw_no)`` maps a draw-number Column to the draw.  Each key
-    first tries ``first_round`` draws; ``coalesce`` evaluates the remaining
-    draws only for keys with no hit yet.  One narrow projection: no join of
-    keys with draws, no exploded rows.  A key that never lands is an error, or
-    with ``strict=False`` gets nulls; so does one of an unknown distribution.
+    ``draw_fn(draw_no)`` maps a draw-number Column to the draw.  Whether a
+    draw lands depends on the distribution's total alone, so the winning draw
+    is found in one projection: each key first tries ``first_round`` draws,
+    and ``coalesce`` evaluates the others only for keys with no hit yet.  The
+    winners are then placed as in :func:`sample`.  A key that never lands is
+    an error, or with ``strict=False`` gets nulls; so does one of an unknown
+    distribution.
     """
-    j = _attach_cums(keys, cums, dist_id)
+    j = _attach_totals(keys, cums, dist_id)
     lo = min(first_round, MAX_DRAWS)
-    hit = _first_hit(F.col("cums"), draw_fn, 0, lo)
+    won = _first_landing(draw_fn, 0, lo)
     if lo < MAX_DRAWS:
-        hit = F.coalesce(hit, _first_hit(F.col("cums"), draw_fn, lo, MAX_DRAWS))
+        won = F.coalesce(won, _first_landing(draw_fn, lo, MAX_DRAWS))
     if strict:
-        hit = F.coalesce(hit, F.raise_error(F.lit(f"no draw of {MAX_DRAWS} lands in the distribution")).cast(
-            "struct<draw_no:int,draw:double,sample_index:int>"))
-    out = j.withColumn("_w", hit)
-    return out.select(*keys.columns, F.col("_w.draw_no").alias("draw_no"), F.col("_w.draw").alias("draw"),
-                      F.col("_w.sample_index").cast("int").alias("sample_index"))
+        won = F.coalesce(won, F.raise_error(F.lit(f"no draw of {MAX_DRAWS} lands in the distribution")).cast("struct<draw_no:int,draw:double>"))
+    drawn = j.withColumn("_w", won).select(*keys.columns, F.col("_w.draw_no").alias("draw_no"), F.col("_w.draw").alias("draw"))
+    drawn = drawn.withColumn("_v", F.col("draw").try_cast(SUM_TYPE)).withColumn("_lands", F.col("draw").isNotNull())
+    return _place(drawn, cums, dist_id, "_v", "_lands").select(*keys.columns, "draw_no", "draw", "sample_index")
 
 
 # --------------------------------------------------------------------- T5

@@ -13,12 +13,14 @@ from rivulet.session import table
 QUERIES, ORACLES, register = make_registry()
 
 # Fixed values of the fixtures: accumulation batches, list piece size,
-# mini-batch size and epochs, the draw formula's multipliers.
+# mini-batch size and epochs, the draw formula's multipliers
+# and the range of draws among lines.
 ACC_BATCHES = 144
 PIECE_ROWS = 1000
 MINIBATCH_SIZE = 1
 EPOCHS = 2
 DRAW_MUL, RETRY_MUL = 37, 53
+DRAW_RANGE = 100_000
 
 
 @register("word_count", """
@@ -149,6 +151,27 @@ def distribution_sample_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("user_id", "draw_no", "draw", "sample_index")
 
 
+@register("distribution_sample_lines", f"""
+WITH outcomes AS (SELECT l_returnflag, l_orderkey AS i, sum(CAST(l_quantity AS BIGINT)) AS w FROM lineitem GROUP BY 1, 2),
+sums AS (
+  SELECT l_returnflag, row_number() OVER o - 1 AS pos, sum(w) OVER o AS cum FROM outcomes
+  WINDOW o AS (PARTITION BY l_returnflag ORDER BY i ROWS UNBOUNDED PRECEDING)),
+draws AS (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'N' ELSE 'R' END AS l_returnflag,
+                 (o_orderkey * {DRAW_MUL}) % {DRAW_RANGE} + 0.5 AS draw FROM orders)
+SELECT d.o_orderkey, d.l_returnflag, CAST(d.draw AS DOUBLE) AS draw, CAST(s.pos AS INTEGER) AS sample_index, s.pos IS NOT NULL AS hit
+FROM draws d ASOF LEFT JOIN sums s ON d.l_returnflag = s.l_returnflag AND s.cum >= d.draw""")
+def distribution_sample_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per return flag the orders of its lines are outcomes, weighted by quantity; one draw an order, null beyond the total."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", F.col("l_orderkey").alias("i")).agg(
+        F.sum(F.col("l_quantity").cast("bigint")).alias("w"))
+    o = F.col("o_orderkey")
+    draws = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.element_at(F.array(F.lit("A"), F.lit("N"), F.lit("R")), (o % 3 + 1).cast("int")).alias("l_returnflag"),
+        ((o * DRAW_MUL) % DRAW_RANGE + 0.5).cast("double").alias("draw"))
+    cums = S.cumulative(lines, "l_returnflag", "i", "w")
+    return S.sample(draws, cums, "l_returnflag", "draw", strict=False)
+
+
 @register("ar1_forecast", f"""
 WITH s AS ({_SERIES_SQL}),
 p AS (SELECT a.user_id, a.value AS y, b.value AS y_prev FROM s a JOIN s b
