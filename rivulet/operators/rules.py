@@ -28,8 +28,8 @@ from rivulet.session import ensure_checkpoint_dir
 VTYPES = ("int", "str", "char", "float", "double")
 KEY_ATOM, KEY_ALL, KEY_ANY = -1, 0, 1
 
-# Copies of a factor that a frequent record value is dealt over.
-SALTS = 8
+# A value that holds more than one in PARTS of all field rows is dealt over copies of the rules' rows.
+PARTS = 1000
 
 
 def canonical_value(value: Column, vtype: Column) -> Column:
@@ -182,8 +182,9 @@ def distinct_leaves(flat: DataFrame, sigs: DataFrame) -> DataFrame:
 def unpivot_records(df: DataFrame, id_col: str, fields: dict[str, tuple[Column, str]]) -> DataFrame:
     """Records as (record_id, name, value, canon, fields): one row per field (a record seen as a map).
 
-    ``canon`` is the comparable form of the typed value (:func:`canonical_value`),
-    ``fields`` the whole record as a map name -> canon.
+    ``canon`` is the comparable form of the typed value (:func:`canonical_value`).
+    ``fields`` is the whole record as a map name -> canon; it stands on the
+    record's first row only, and is null on the others.  Ids must be unique.
     """
     entries = F.array(*[
         F.struct(F.lit(name).alias("name"), col.cast("string").alias("value"),
@@ -191,14 +192,29 @@ def unpivot_records(df: DataFrame, id_col: str, fields: dict[str, tuple[Column,
         for name, (col, vtype) in fields.items()])
     whole = df.select(F.col(id_col).alias("record_id"), entries.alias("fs"))
     as_map = F.map_from_entries(F.transform("fs", lambda f: F.struct(f["name"], f["canon"])))
-    return (whole.select("record_id", as_map.alias("fields"), F.explode("fs").alias("f"))
-            .select("record_id", "f.name", "f.value", "f.canon", "fields"))
+    return (whole.select("record_id", "fs", F.posexplode("fs").alias("at", "f"))
+            .select("record_id", "f.name", "f.value", "f.canon", F.when(F.col("at") == 0, as_map).alias("fields")))
 
 
-def _salted_join(records: DataFrame, rules: DataFrame) -> DataFrame:
-    """Join on (name, canon); a value that many records share is dealt over ``SALTS`` copies of the rules' rows."""
-    left = records.withColumn("salt", F.pmod(F.xxhash64("record_id"), F.lit(SALTS)).cast("int"))
-    right = rules.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+def _frequencies(records: DataFrame) -> DataFrame:
+    """(name, canon, n): how often each value occurs among the records' fields."""
+    return records.groupBy("name", "canon").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _dealt_join(records: DataFrame, rules: DataFrame, often: DataFrame) -> DataFrame:
+    """Join on (name, canon); a value that many records share is dealt over copies of the rules' rows.
+
+    The number of copies follows from the counts: one for each 1/``PARTS`` of
+    all field rows that have the value, so no part of it is larger than that.
+    Fewer than ``PARTS`` values can be so frequent, whatever the size of the
+    data; only these are broadcast.
+    """
+    total = often.agg(F.sum("n").alias("t")).select("t").scalar()
+    hot = F.broadcast(often.where(F.col("n") * PARTS > total).select("name", "canon", F.ceil(F.col("n") * PARTS / total).cast("int").alias("copies")))
+    left = records.join(hot, ["name", "canon"], "left").withColumn(
+        "salt", F.pmod(F.xxhash64("record_id"), F.coalesce("copies", F.lit(1))).cast("int")).drop("copies")
+    right = rules.join(hot, ["name", "canon"], "left").withColumn(
+        "salt", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1))).drop("copies")
     return left.join(right, ["name", "canon", "salt"]).drop("salt")
 
 
@@ -206,7 +222,7 @@ def match_atoms(records: DataFrame, atoms: DataFrame) -> DataFrame:
     """Records whose field ``name`` equals an atom's value: (name, value, record_id)."""
     a = atoms.select("name", F.col("value").alias("atom_value"),
                      canonical_value(F.col("value"), F.col("vtype")).alias("canon")).distinct()
-    return _salted_join(records.select("record_id", "name", "canon"), a).select(
+    return _dealt_join(records.select("record_id", "name", "canon"), a, _frequencies(records)).select(
         "name", F.col("atom_value").alias("value"), "record_id")
 
 
@@ -215,21 +231,24 @@ def match_rules(records: DataFrame, rules: DataFrame, factors: DataFrame) -> Dat
 
     key 0 or -1: every factor must hold; key 1: at least one.  A rule that
     needs all its factors meets the records only on its rarest one among the
-    records; the others are looked up in the record's map, so hits are final
-    and nothing is counted.  A rule that needs one takes the distinct hits.
+    records, by id alone; the records it meets are then joined with their
+    maps, where the other factors are looked up, so hits are final and nothing
+    is counted.  A rule that needs one takes the distinct hits.
     Factors without a value match nothing.
     """
     f = factors.select("rule_id", "pos", "name", canonical_value(F.col("value"), F.col("vtype")).alias("canon"))
     f = f.join(rules.where(F.col("kind") == "single").select("rule_id", "key"), "rule_id")
     any_of = f.where(F.col("key") == KEY_ANY).select("rule_id", "name", "canon").distinct()
-    hit = _salted_join(records.select("record_id", "name", "canon"), any_of).select("rule_id", "record_id").distinct()
+    often = _frequencies(records)
+    seen = records.select("record_id", "name", "canon")
+    hit = _dealt_join(seen, any_of, often).select("rule_id", "record_id").distinct()
 
     all_of = f.where(F.col("key").isNull() | (F.col("key") != KEY_ANY))
-    often = records.groupBy("name", "canon").agg(F.count(F.lit(1)).alias("n"))
     ranked = all_of.join(often, ["name", "canon"], "left").groupBy("rule_id").agg(
         F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "pos", "name", "canon")).alias("rare"),
         F.collect_set(F.struct("name", F.coalesce("canon", F.lit("")).alias("canon"))).alias("wanted"))
     rarest = ranked.where("rare.n > 0").select("rule_id", "rare.name", "rare.canon", "wanted")
-    met = _salted_join(records.select("record_id", "name", "canon", "fields"), rarest)
+    met = _dealt_join(seen, rarest, often).select("rule_id", "record_id", "wanted")
+    met = met.join(records.where("fields IS NOT NULL").select("record_id", "fields"), "record_id")
     holds = F.forall("wanted", lambda w: F.coalesce(F.get(F.filter(F.map_entries("fields"), lambda e: e["key"] == w["name"]), 0)["value"] == w["canon"], F.lit(False)))
     return hit.unionByName(met.where(holds).select("rule_id", "record_id"))

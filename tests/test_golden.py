@@ -165,13 +165,30 @@ def test_draws_that_are_null_unknown_or_too_large(spark):
     assert S.sample(df.where("n = 4"), cums, "d", "x").first()["sample_index"] is None
 
 
-def test_binary_search_agrees_with_a_scan_of_the_sums(spark):
-    for size in (1, 2, 3, 7, 8, 9, 64):
-        sums = [(i + 1) / size for i in range(size)]
-        draws = [x / 97 for x in range(100)] + sums
-        df = spark.createDataFrame([(sums, d) for d in draws], "c array<double>, d double")
-        got = [r[0] for r in df.select(S._first_at_least(F.col("c"), F.col("d"))).collect()]
-        assert got == [sum(c < d for c in sums) for d in draws]
+def test_placing_agrees_with_a_scan_of_the_sums(spark):
+    sizes = (1, 2, 3, 7, 8, 9, 64)
+    dist = spark.createDataFrame([(n, i, 0 if i % 5 == 3 else i + 1) for n in sizes for i in range(n)], "d int, i int, p int")
+    sums = {n: [sum(0 if k % 5 == 3 else k + 1 for k in range(i + 1)) for i in range(n)] for n in sizes}
+    draws = [(n, x / 4) for n in sizes for x in range(4 * sums[n][-1] + 1)] + [(64, 7.0)] * 500
+    got = S.sample(spark.createDataFrame(draws, "d int, x double"), S.cumulative(dist, "d", "i", "p"), "d", "x").collect()
+    assert sorted((r["d"], r["x"], r["sample_index"]) for r in got) == sorted((n, x, sum(c < x for c in sums[n])) for n, x in draws)
+
+
+def test_one_distribution_larger_than_a_task(spark):
+    # 200,000 outcomes and as many draws, half of them equal: no partition holds them all, and no array does
+    n = 200_000
+    dist = spark.range(n).select(F.col("id").alias("i"), F.lit(1).alias("p"))
+    draws = spark.range(n).select("id", F.when(F.col("id") % 2 == 0, F.lit(n / 2)).otherwise(F.col("id") + 0.5).alias("x"))
+    got = S.sample(draws, S.cumulative(dist, None, "i", "p"), None, "x")
+    plan = got._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and "Python" not in plan
+    wrong = F.when(F.col("id") % 2 == 0, F.lit(n // 2 - 1)).otherwise(F.col("id")) != F.col("sample_index")
+    assert got.count() == n and got.where(wrong | F.col("sample_index").isNull()).count() == 0
+
+
+def test_negative_probabilities_are_an_error(spark):
+    with pytest.raises(Exception, match="negative probability"):
+        S.cumulative(spark.createDataFrame([(0, -0.1)], "i int, p double"), None, "i", "p").collect()
 
 
 def test_forecast_across_blocks_and_short_series(spark, monkeypatch):
@@ -355,6 +372,18 @@ def test_deep_rule_chain(spark):
     assert [(r["root_id"], r["leaf_id"], r["depth"]) for r in got] == [("m0", "s", n)]
 
 
+def test_frequent_values_are_dealt_by_their_counts(spark):
+    rules, factors = _singles(spark, {"hot": (0, [("x", "int", "0"), ("y", "int", "7")]), "one": (1, [("x", "int", "0"), ("y", "int", "9")])})
+    data = spark.range(5000).selectExpr("id", "CAST(id % 3 > 0 AS INT) - 0 AS x", "id % 100 AS y")
+    rec = R.unpivot_records(data, "id", {"x": (F.col("x"), "int"), "y": (F.col("y"), "int")})
+    assert rec.where("fields IS NOT NULL").count() == 5000     # one map a record
+    got = sorted((r["rule_id"], r["record_id"]) for r in R.match_rules(rec, rules, factors).collect())
+    want = [("hot", i) for i in range(5000) if i % 3 == 0 and i % 100 == 7] + [("one", i) for i in range(5000) if i % 3 == 0 or i % 100 == 9]
+    assert got == sorted(want)
+    atoms = spark.createDataFrame([("x", "int", "0")], "name string, vtype string, value string")
+    assert sorted(r["record_id"] for r in R.match_atoms(rec, atoms).collect()) == [i for i in range(5000) if i % 3 == 0]
+
+
 def test_match_all_checks_every_factor(spark):
     r, f = _singles(spark, {
         "all": (0, [("x", "int", "1"), ("y", "str", "u")]), "same": (0, [("x", "int", "1"), ("x", "int", "1")]),
