@@ -3,8 +3,10 @@
 Every text is cut into clauses.  A clause's tokens become the kinds insult,
 threat, target, negation, report, quote or other; the composed transducers of
 ``transducers`` mark what is negated, reported, addressed or aimed, and the
-weights of the marked matches are summed over the document.  Insult stems and
-all weights are learnt from labelled rows.
+weights of the marked matches are summed over the document.  Insult stems are
+learnt from labelled rows, and so are the weights, from priors which put the
+kinds of matches in the grammar's order.  A text costs time in proportion to
+its length; a task holds one batch of texts and their matches.
 """
 
 from __future__ import annotations
@@ -25,14 +27,27 @@ from rivulet.llm.common import fresh, held_out, read_table
 from rivulet.llm.transducers import KINDS, clause_grammar, compiled
 
 # The closed classes of the grammar; insults are learnt.
-TARGETS = "you your yours yourself u ur he she they them him her du dich dir dein deine euch ihr sie tu toi te vous vos votre usted ustedes vosotros ti tus su".split()
+TARGETS = "you your yours yourself u ur he she they them him her du dein deine ihr sie tu vous vos votre usted ustedes vosotros ti tus su".split()
+#: Targets that stand before the verb which they are the object of, too.
+OBJECTS = "dich dir euch te toi".split()
 NEGATIONS = "not no never nobody isn't aren't wasn't don't doesn't didn't won't cannot can't nicht kein keine nie ne pas jamais aucun nunca ningún ninguna".split()
 REPORTS = "said says say called calls wrote writes claimed claims reported quoted sagte sagt schrieb nannte dit disait écrit appelé dijo dice escribió llamó".split()
 THREATS = "kill hurt destroy burn smash murder stab shoot beat töten umbringen verletzen zerstören tuer blesser détruire brûler matar herir destruir quemar".split()
 QUOTES = "\"“”„«»"
-
-#: What a match of the grammar counts for; the last is any learnt insult at all.
-FEATURES = ("plain insult", "addressed insult", "negated insult", "reported insult", "aimed threat", "other threat", "any insult")
+#: Endings of a learnt whole word, and those that verbs of threat inflect with: any, infinitives in -en, infinitives in -r.
+PLURALS = ("s", "es")
+VERB_ENDINGS, EN_ENDINGS, R_ENDINGS = ("s", "es", "ed", "ing"), ("e", "et", "t", "est"), ("é", "emos", "án", "ai", "ons", "ont")
+
+#: What a match of the grammar counts for, with the mean and the strength of
+#: its weight's prior.  An insult that is asserted counts, the more if it is
+#: addressed; one that is negated or only reported hardly does, nor does a verb
+#: of threat without a target.  Labels move a weight away from the mean as far
+#: as they hold evidence, the strong priors by little.
+PRIORS = {
+    "asserted insult": (3.0, 0.05), "addressed insult": (0.5, 10.0), "negated insult": (0.4, 40.0),
+    "reported insult": (0.4, 40.0), "aimed threat": (5.0, 1.0), "other threat": (0.2, 40.0),
+}
+FEATURES = tuple(PRIORS)
 
 _TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*|[\"“”„«»]")
 _ENDS = ".!?;:,\n"
@@ -120,6 +135,13 @@ def learn_stems(toxic: list[str], clean: list[str], support: int = 3, least_odds
     return out
 
 
+def threat_forms() -> list[str]:
+    """The verbs of threat with their endings."""
+    out = {w + e for w in THREATS for e in ("", *VERB_ENDINGS)}
+    out |= {w[:-2] + e for w in THREATS if w.endswith("en") for e in EN_ENDINGS}
+    return sorted(out | {w + e for w in THREATS if w.endswith("r") for e in R_ENDINGS})
+
+
 class Grammar:
     """The compiled grammar with a lexicon of insult stems."""
 
@@ -128,8 +150,11 @@ class Grammar:
         self.stems = {s: w for s, w in stems.items() if not s.endswith("$")}
         self.words = {s[:-1]: w for s, w in stems.items() if s.endswith("$")}
         self.lengths = sorted({len(s) for s in self.stems})
-        self.kinds = {w: KINDS.index(k) for k, words in (("target", TARGETS), ("negation", NEGATIONS), ("report", REPORTS), ("threat", THREATS), ("quote", QUOTES)) for w in words}
-        parts = [re.escape(s) for s in self.stems] + [re.escape(w) + r"(?![^\W\d_])" for w in [*self.words, *THREATS]]
+        self.words |= {w + e: x for w, x in self.words.items() for e in PLURALS if w + e not in self.words}
+        threats = threat_forms()
+        classes = (("threat", threats), ("target", TARGETS), ("object", OBJECTS), ("negation", NEGATIONS), ("report", REPORTS), ("quote", QUOTES))
+        self.kinds = {w: KINDS.index(k) for k, words in classes for w in words}
+        parts = [re.escape(s) for s in self.stems] + [re.escape(w) + r"(?![^\W\d_])" for w in [*self.words, *threats]]
         # Words begin and end as the tokens do: digits and underscores are no letters.
         self.any = re.compile(r"(?<![^\W\d_])(?:" + "|".join(sorted(parts, key=lambda p: (-len(p), p))) + ")")
 
@@ -138,9 +163,14 @@ class Grammar:
             return self.words[word]
         return next((self.stems[word[:k]] for k in self.lengths if word[:k] in self.stems), 0.0)
 
+    def kind(self, word: str) -> int:
+        """The number of a word's kind, insults aside; contractions with *not* and forms of *kein* negate."""
+        negates = word.endswith("n't") or word.startswith("kein")
+        return KINDS.index("negation") if negates else self.kinds.get(word, 0)
+
     def matches(self, text: str):
         """The marked matches ``(kind, marks, weight, clause)`` of a text, clause by clause."""
-        text = text.lower()
+        text = text.lower().replace("’", "'")
         out, upto = [], 0
         for hit in self.any.finditer(text):
             if hit.start() < upto:
@@ -151,7 +181,7 @@ class Grammar:
             clause, state = text[start:upto], 0
             for token in _TOKEN.findall(clause):
                 weight = self.insult(token)
-                kind = 1 if weight else self.kinds.get(token, 0)
+                kind = 1 if weight else self.kind(token)
                 name, marks = self.output[state][kind]
                 state = self.following[state][kind]
                 if name in ("insult", "threat") or "aimed" in marks:
@@ -161,50 +191,59 @@ class Grammar:
     @staticmethod
     def features(matches) -> list[float]:
         """What the matches of a text count for, in the order of ``FEATURES``."""
-        f = [0.0] * len(FEATURES)
+        f = dict.fromkeys(FEATURES, 0.0)
         for name, marks, weight, _ in matches:
             if name == "insult":
-                at = 3 if "reported" in marks else 2 if "negated" in marks else 1 if "addressed" in marks else 0
-                f[at] += weight
-                f[6] = 1.0
+                told = "reported insult" if "reported" in marks else "negated insult" if "negated" in marks else "asserted insult"
+                f[told] += weight
+                if told == "asserted insult" and "addressed" in marks:
+                    f["addressed insult"] += weight
             elif "aimed" in marks:
-                f[4] += 1.0
+                f["aimed threat"] = 1.0
             elif name == "threat":
-                f[5] += 1.0
-        return [math.log1p(x) for x in f[:-1]] + f[-1:]
+                f["other threat"] += 1.0
+        return [x if name == "aimed threat" else math.log1p(x) for name, x in f.items()]
+
 
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50) -> np.ndarray:
+    """Coefficients with the intercept last, by Newton steps under ``PRIORS``; the intercept has none.
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.05, rounds: int = 50) -> np.ndarray:
-    """Coefficients with the intercept last, by Newton steps; the intercept is not shrunk."""
+    No weight may be negative, and none of a negated or reported insult or an
+    idle threat may exceed half of an asserted insult's: the grammar's order of
+    the matches holds whatever the labels are.
+    """
     x = np.column_stack([x, np.ones(len(x))])
-    b = np.zeros(x.shape[1])
-    shrink = np.diag([ridge] * (x.shape[1] - 1) + [1e-6])
+    mean, strength = (np.array(v) for v in zip(*PRIORS.values(), (0.0, 1e-6)))
+    b = mean.copy()
+    weak = [FEATURES.index(f) for f in ("negated insult", "reported insult", "other threat")]
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        step = np.linalg.solve((x * (weight * p * (1 - p) + 1e-9)[:, None]).T @ x + shrink, x.T @ (weight * (y - p)) - shrink @ b)
+        step = np.linalg.solve((x * (weight * p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(strength), x.T @ (weight * (y - p)) - strength * (b - mean))
         size = np.abs(step).max()
         b += step if size < 5 else step * 5 / size
         if size < 1e-8:
             break
+    b[:-1] = np.maximum(b[:-1], 0.0)
+    b[weak] = np.minimum(b[weak], b[0] / 2)
     return b
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 2000) -> tuple[dict[str, float], np.ndarray]:
     """``(insult stems, coefficients)`` from about ``sample_rows`` toxic and twice as many clean documents (the bound of the sample).
 
-    Documents are chosen by the hash of their ids.  Null labels or ids teach
+    Documents are chosen by the hash of their ids, and read in their order.  Null labels or ids teach
     nothing; of several labels of a document the largest counts.
     """
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out(F.col("doc_id"), 5, 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = F.when(F.col("toxic") == 1, min(1.0, sample_rows / max(1, counts.get(1, 0)))).otherwise(min(1.0, 2 * sample_rows / max(1, counts.get(0, 0))))
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * float(1 << 30))
-    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("text", "toxic").toArrow()
+    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).orderBy("doc_id").toArrow()
     texts, y = rows["text"].to_pylist(), np.array(rows["toxic"].to_pylist(), np.int64)
     stems = learn_stems([t for t, k in zip(texts, y) if k == 1], [t for t, k in zip(texts, y) if k != 1]) if len(y) else {}
     grammar = Grammar(stems)
     if not len(y):
-        return stems, np.concatenate([np.ones(len(FEATURES)), [-3.0]])
+        return stems, np.array([mean for mean, _ in PRIORS.values()] + [-4.0])
     weight = np.where(y == 1, counts.get(1, 0) / max(1, (y == 1).sum()), counts.get(0, 0) / max(1, (y != 1).sum()))
     x = np.array([grammar.features(grammar.matches(t)) for t in texts])
     return stems, fit_logistic(x, (y == 1).astype(float), weight / weight.mean())
@@ -218,11 +257,14 @@ def score(docs: DataFrame, model: tuple[dict[str, float], np.ndarray], text_col:
     rows get equal results, and an empty table an empty result.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
+    held: list[Grammar] = []  # compiled once a task
 
     @arrow_udf("struct<score:double,matches:array<struct<kind:string,marks:string,clause:string>>>")
     def scored(texts: pa.Array) -> pa.Array:
         stems, b = shipped.value
-        grammar = Grammar(stems)
+        if not held:
+            held.append(Grammar(stems))
+        grammar = held[0]
         x, rows = np.zeros((len(texts), len(FEATURES))), []
         for i, t in enumerate(texts):
             found = grammar.matches(t.as_py() or "")

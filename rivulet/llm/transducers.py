@@ -13,7 +13,7 @@ from dataclasses import dataclass
 Symbol = tuple[str, frozenset]
 
 #: Kinds of tokens.
-KINDS = ("other", "insult", "threat", "target", "negation", "report", "quote")
+KINDS = ("other", "insult", "threat", "target", "negation", "report", "quote", "object")
 
 
 @dataclass(frozen=True)
@@ -50,13 +50,13 @@ def compiled(machine: Transducer) -> tuple[list[list[int]], list[list[Symbol]]]:
     return following, output
 
 
-def _marking(opens: str, mark: str, kinds: tuple[str, ...], reach: int) -> Transducer:
-    """Marks tokens of ``kinds`` that stand at most ``reach`` tokens behind one of kind ``opens``."""
+def _marking(opens: tuple[str, ...], mark: str, kinds: tuple[str, ...], reach: int) -> Transducer:
+    """Marks tokens of ``kinds`` that stand at most ``reach`` tokens behind one of the kinds ``opens``."""
 
     def step(left, symbol):
         kind, marks = symbol
         out = (kind, marks | {mark}) if left and kind in kinds else symbol
-        return (reach if kind == opens else max(0, left - 1)), out
+        return (reach if kind in opens else max(0, left - 1)), out
 
     return Transducer(0, step)
 
@@ -75,23 +75,29 @@ def _reported(mark: str, kinds: tuple[str, ...]) -> Transducer:
     return Transducer((False, False), step)
 
 
-def _threat(reach: int) -> Transducer:
-    """Marks a target that follows an unmarked threat closely: the threat is aimed."""
+def _threat(reach: int, back: int) -> Transducer:
+    """Marks what aims an unmarked threat: a target that follows closely, or the threat itself behind its object."""
 
-    def step(left, symbol):
+    def step(state, symbol):
+        left, object_left = state
         kind, marks = symbol
-        out = (kind, marks | {"aimed"}) if left and kind == "target" else symbol
         if kind == "threat":
-            return (0 if marks else reach), out
-        return max(0, left - 1), out
+            out = (kind, marks | {"aimed"}) if object_left and not marks else symbol
+            return (0 if out[1] else reach, 0), out
+        out = (kind, marks | {"aimed"}) if left and kind in TARGETED else symbol
+        return (max(0, left - 1), back if kind == "object" else max(0, object_left - 1)), out
 
-    return Transducer(0, step)
+    return Transducer((0, 0), step)
+
+
+#: Kinds of tokens that insults and threats are directed at.
+TARGETED = ("target", "object")
 
 
 def clause_grammar() -> Transducer:
     """Negation, reported speech, target and threat, composed in this order."""
     marked = ("insult", "threat")
-    cascade = _marking("negation", "negated", marked, 3)
-    for stage in (_reported("reported", marked), _marking("target", "addressed", ("insult",), 4), _threat(4)):
+    cascade = _marking(("negation",), "negated", marked, 3)
+    for stage in (_reported("reported", marked), _marking(TARGETED, "addressed", ("insult",), 4), _threat(4, 3)):
         cascade = compose(cascade, stage)
     return cascade
