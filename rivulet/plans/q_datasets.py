@@ -8,19 +8,21 @@ from pyspark.sql import functions as F
 from rivulet.operators import datasets as D
 from rivulet.operators import series as S
 from rivulet.plans.registry import make_registry
-from rivulet.session import table
+from rivulet.session import table, work_dir
+from rivulet.sources.append_log import AppendLog
 
 QUERIES, ORACLES, register = make_registry()
 
 # Fixed values of the fixtures: accumulation batches, list piece size,
 # mini-batch size and epochs, the draw formula's multipliers
-# and the range of draws among lines.
+# the range of draws among lines, the batches of the append log.
 ACC_BATCHES = 144
 PIECE_ROWS = 1000
 MINIBATCH_SIZE = 1
 EPOCHS = 2
 DRAW_MUL, RETRY_MUL = 37, 53
 DRAW_RANGE = 100_000
+LOG_BATCHES = 10
 
 
 @register("word_count", """
@@ -76,6 +78,22 @@ def accumulating_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.accumulating_counts(li, F.col("l_orderkey") % ACC_BATCHES)
 
 
+@register("append_log", f"""
+SELECT CAST(l_orderkey % {LOG_BATCHES} AS BIGINT) AS batch, CASE WHEN l_orderkey % {LOG_BATCHES} < 9 THEN 0 ELSE 9 END AS first_batch,
+       count(*) AS n_rows, round(sum(l_quantity), 4) AS sum_qty
+FROM lineitem GROUP BY 1, 2""")
+def append_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lineitem appended in ten batches; the first nine have been merged, three and three, into one segment."""
+    li = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % LOG_BATCHES).alias("batch"), "l_quantity")
+    log = AppendLog(spark, work_dir(spark, "append-log"), "batch bigint, l_quantity double", fanout=3)
+    for b in range(LOG_BATCHES):
+        log.append(li.where(F.col("batch") == b), b)
+    starts = F.create_map(*[F.lit(x) for s in log.manifest() for x in (s.segment, s.first)])
+    segment = F.regexp_extract(F.col("_metadata.file_path"), "/segment=([^/]*)/", 1)
+    rows = log.read().select("batch", "l_quantity", F.element_at(starts, segment).cast("int").alias("first_batch"))
+    return rows.groupBy("batch", "first_batch").agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("l_quantity"), 4).alias("sum_qty"))
+
+
 _SERIES_SQL = """SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx,
        value, ts, event_id FROM events"""
 
