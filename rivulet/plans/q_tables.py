@@ -97,6 +97,28 @@ def large_in_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.semi_join_keys(table(spark, sf_dir, "customer"), keys, on="c_custkey", key_col="o_custkey")
 
 
+@register("bloom_semi_join", """
+SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem
+WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 400000)""")
+def bloom_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the dearest orders; where the join is shuffled, a Bloom filter of the keys drops lines before it."""
+    tables.allow_join_filters(spark)
+    keys = table(spark, sf_dir, "orders").where(F.col("o_totalprice") > 400000).select("o_orderkey")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    return tables.semi_join_keys(lines, keys, on="l_orderkey", key_col="o_orderkey")
+
+
+@register("bloom_in_scan", """
+SELECT o_custkey, count(*) AS n_orders, round(sum(o_totalprice), 2) AS total FROM orders
+WHERE o_custkey IN (1, 10, 77, 100) GROUP BY o_custkey""")
+def bloom_in_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An IN list on a column that is unordered in its files, which carry Bloom filters of it."""
+    path = work_dir(spark, "orders_bloom")
+    tables.write_with_bloom_filters(table(spark, sf_dir, "orders").select("o_custkey", "o_totalprice"), path, {"o_custkey": 1_000_000})
+    return tables.read_table(spark, path).where(F.col("o_custkey").isin(1, 10, 77, 100)).groupBy("o_custkey").agg(
+        F.count(F.lit(1)).alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
 # Fixed value: the size of the reference's literal list.
 LITERALS = 60_001
 

@@ -71,6 +71,33 @@ def semi_join_keys(df: DataFrame, keys: DataFrame, on: str, key_col: str | None
     return df.join(keys.select(F.col(key_col or on).alias(on)), on, "left_semi")
 
 
+def write_with_bloom_filters(df: DataFrame, path: str, distinct: dict[str, int], mode: str = "errorifexists") -> None:
+    """Parquet files with a Bloom filter of each column in ``distinct`` (column -> distinct values of a file expected).
+
+    An ``=`` or ``IN`` on such a column then skips the row groups which do not
+    hold its values, where minima and maxima cannot tell, as with unordered ids.
+    """
+    writer = df.write.mode(mode)
+    for column, n in distinct.items():
+        writer = (writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+                  .option(f"parquet.bloom.filter.expected.ndv#{column}", str(int(n))))
+    writer.parquet(path)
+
+
+def allow_join_filters(spark: SparkSession, least_scan: str = "1g", largest_keys: str = "64m") -> None:
+    """Let shuffled joins drop the rows that cannot match before they are shuffled.
+
+    A setting of the session: Spark builds a Bloom filter of the smaller side
+    and tests the larger side's rows in its scan stage.  It does so if the
+    smaller side has a filter of its own and is estimated at ``largest_keys``
+    at most (so what is sent to the tasks is bounded), and the larger side's
+    scan at ``least_scan`` or more.  Plans change, rows do not.
+    """
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.enabled", "true")
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", least_scan)
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold", largest_keys)
+
+
 # --------------------------------------------------------------------- S9 / S10
 def create_file_view(spark: SparkSession, name: str, path: str, fmt: str = "parquet") -> None:
     """A temp view over a table folder that also accepts INSERT INTO."""

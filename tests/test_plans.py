@@ -113,3 +113,52 @@ def test_topic_decode_stays_in_codegen(spark, sf_dir):
     from rivulet.plans.q_topics import topic_decode
     plan = _plan(topic_decode(spark, sf_dir))
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+def _rows_read(df) -> int:
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().collectLeaves().head().metrics().apply("numOutputRows").value()
+
+
+def test_bloom_filters_of_files_skip_absent_values(spark):
+    ids = spark.range(0, 40_000, 2, 1).selectExpr("(id * 7919) % 40000 AS id", "id AS v")
+    plain, bloom = work_dir(spark, "plain"), work_dir(spark, "bloom")
+    ids.write.option("parquet.enable.dictionary", "false").parquet(plain)
+    spark.conf.set("parquet.enable.dictionary", "false")
+    try:
+        tables.write_with_bloom_filters(ids, bloom, {"id": 20_000})
+    finally:
+        spark.conf.unset("parquet.enable.dictionary")
+    absent, there = F.col("id") == 20_001, F.col("id").isin(20_000, 20_001)
+    assert _rows_read(spark.read.parquet(plain).where(absent)) > 0
+    assert _rows_read(spark.read.parquet(bloom).where(absent)) == 0
+    assert [r["id"] for r in spark.read.parquet(bloom).where(there).collect()] == [20_000]
+
+
+def test_rows_without_a_partner_are_dropped_before_the_shuffle(spark):
+    big, small = work_dir(spark, "big"), work_dir(spark, "small")
+    spark.range(50_000).selectExpr("id AS k", "id * 2 AS v").write.parquet(big)
+    spark.range(50_000).selectExpr("id AS k", "id % 1000 AS w").write.parquet(small)
+    kept = ["spark.sql.optimizer.runtime.bloomFilter." + c for c in ("enabled", "applicationSideScanSizeThreshold", "creationSideThreshold")]
+    shuffled = {}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for filtered in (False, True):
+            if filtered:
+                tables.allow_join_filters(spark, least_scan="1")
+            df = tables.semi_join_keys(spark.read.parquet(big), spark.read.parquet(small).where("w = 7").select("k"), "k")
+            rows = sorted(tuple(r) for r in df.collect())
+            plan = df._jdf.queryExecution().executedPlan()
+            assert ("might_contain" in plan.toString()) == filtered
+            # the first child of the join: sort, exchange
+            exchange = plan.children().apply(0) if "Project" in plan.nodeName() else plan
+            while "Exchange" not in exchange.nodeName():
+                exchange = exchange.children().apply(0)
+            shuffled[filtered] = (exchange.metrics().apply("shuffleRecordsWritten").value(), rows)
+    finally:
+        for c in (*kept, "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled"):
+            spark.conf.unset(c)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert shuffled[False][1] == shuffled[True][1] and len(shuffled[True][1]) == 50
+    assert shuffled[False][0] == 50_000 and shuffled[True][0] < 5_000
