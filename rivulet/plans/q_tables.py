@@ -10,6 +10,7 @@ from rivulet.plans.registry import make_registry
 from rivulet.session import input_mark, is_committed, table, work_dir
 from rivulet.sources import buckets, tables
 from rivulet.sources.folders import FolderTable
+from rivulet.sources.scan_metrics import ScanLog
 
 QUERIES, ORACLES, register = make_registry()
 
@@ -280,6 +281,17 @@ def bucket_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return buckets.audit(spark, name).agg(F.sum("n_rows").alias("n_rows"), F.sum("n_keys").alias("n_keys"))
 
 
+@register("scan_metrics", """
+SELECT 'key-' || l_linenumber AS scan, CAST(0 AS BIGINT) AS run, count(*) AS n_rows FROM lineitem GROUP BY l_linenumber""")
+def scan_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each key folder scanned once; its rows as counted in the scan and read back from the metrics table."""
+    t = tables.read_table(spark, _kv_table(spark, sf_dir))
+    log = ScanLog(spark, work_dir(spark, "scan-log"))
+    for key in sorted(r["key"] for r in t.select("key").distinct().collect()):
+        log.run(f"key-{key}", t.where(F.col("key") == key), lambda df: df.write.format("noop").mode("overwrite").save())
+    return log.table().select("scan", "run", "n_rows")
+
+
 @register("scan_file_report", """
 SELECT l_linenumber AS key, count(*) AS n_rows, true AS has_files, true AS has_bytes, true AS no_empty_file
 FROM lineitem GROUP BY l_linenumber""")
