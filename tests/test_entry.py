@@ -13,6 +13,6 @@ def test_every_query_is_callable_with_an_oracle():
     from rivulet.plans import all_oracles, all_queries
     q, o = E.queries(), E.oracle_sql()
     own = all_queries()
-    assert len(own) == 78 and set(own) == set(all_oracles()) and set(own) <= set(q) and set(o) <= set(q)
+    assert len(own) == 86 and set(own) == set(all_oracles()) and set(own) <= set(q) and set(o) <= set(q)
     assert all(callable(f) for f in q.values())
     assert all(isinstance(sql, str) and sql.strip() for sql in o.values())
