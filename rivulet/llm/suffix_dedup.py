@@ -13,7 +13,8 @@ else goes.  The strings ("windows") are named by rolling-hash triggers:
 2. Dictionary.  Segments are joined by the hash of their anchor's bytes, i.e.
    the parse suffix that starts there, and inside that by the hash of the whole
    segment.  An anchor that occurs once holds no repeated window.  A segment
-   that occurs twice is repeated with all its windows.
+   that occurs twice is repeated with all its windows.  Of an anchor only counts
+   are gathered, so no task holds all its contexts.
 3. Merging.  What is left are the ends of repeats: segments whose anchor
    recurs in another context.  They and one representative of each repeated
    segment are put in two orders: that of their parse suffixes (the text from
@@ -49,6 +50,8 @@ LEVELS = (64, 16, 4)
 PIECE = 1 << 21
 #: Members of one block of a large group in step 3.
 GROUP = 4096
+#: Parts of an anchor's contexts, by their hash: the bits of a long.
+SALTS = 64
 _ODD = 0x9E3779B97F4A7C15
 
 
@@ -332,6 +335,38 @@ def in_blocks(contexts: DataFrame) -> DataFrame:
     return met.withColumn("block", F.pmod(F.xxhash64("_row", "low"), F.col("blocks")).cast("int"))
 
 
+def recurring(found: DataFrame) -> DataFrame:
+    """``_row, at, low, high, sure, asks, open`` of the segments that recur, or whose anchor does.
+
+    ``sure``: the whole segment recurs.  ``asks``: only its anchor does.
+    ``open``: it asks, or it is sure, answers for its equals, and others ask
+    about its anchor.  Equal segments meet in a window over (key, context).
+    Of an anchor three numbers are gathered, which each task aggregates before
+    it sends them: how many contexts it has, the least count among them, and
+    which salts their hashes have.  The anchors that are asked about, one row a
+    salt, meet the first segment of each context by (key, salt), so an anchor
+    with any number of contexts is no group of one task; what one salt of a
+    very hot anchor holds, adaptive execution splits further.  The other
+    segments ask nothing and go anywhere.
+    """
+    same = Window.partitionBy("key", "context")
+    count = F.col("place").bitwiseAND(3)
+    found = found.repartition("key", "context").withColumn("same", F.sum(count).over(same)).withColumn("nth", F.row_number().over(same.orderBy("_row", "place")))
+    found = found.withColumn("salt", F.col("context").bitwiseAND(SALTS - 1).cast("int"))
+    salts = F.bit_or(F.expr("shiftleft(1L, salt)")).alias("salts")
+    contexts = found.where("nth = 1").groupBy("key").agg(F.count(F.lit(1)).alias("contexts"), F.min("same").alias("least"), salts)
+    taken = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.call_function("getbit", F.col("salts"), i) == 1)
+    asked = contexts.where("contexts > 1 AND least = 1").select("key", F.explode(taken).alias("salt"), F.lit(True).alias("asked"))
+    found = found.withColumn("key", F.when(F.col("nth") == 1, F.col("key")).otherwise(F.xxhash64("_row", "place")))
+    found = found.join(asked, ["key", "salt"], "left").where("same > 1 OR asked")
+    at = F.shiftright("place", 30)
+    return found.select(
+        "_row", at.cast("int").alias("at"), (at - F.shiftright("place", 16).bitwiseAND(0x3FFF)).cast("int").alias("low"),
+        (at - F.shiftright("place", 2).bitwiseAND(0x3FFF)).cast("int").alias("high"), (F.col("same") > 1).alias("sure"),
+        (F.col("same") == 1).alias("asks"), ((F.col("nth") == 1) & F.col("asked").isNotNull()).alias("open"),
+    )
+
+
 def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """One row per input row: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans``.
 
@@ -345,18 +380,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if not ANCHOR + 2 * TRIGGER < length < 1 << 14:
         raise ValueError(f"length has to be over {ANCHOR + 2 * TRIGGER} and below {1 << 14}")
     texts = with_row(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).select("_row", "doc_id", "text")
-    found = texts.select("_row", "text").mapInArrow(_segment_rows(length), _SEGMENT).repartition("key")
-    same, near = Window.partitionBy("key", "context"), Window.partitionBy("key")
-    found = found.withColumn("same", F.sum(F.col("place").bitwiseAND(3)).over(same)).withColumn("nth", F.row_number().over(same.orderBy("_row", "place")))
-    found = found.withColumn("all", F.sum(F.col("place").bitwiseAND(3)).over(near)).withColumn("least", F.min("same").over(near)).where("all > 1")
-    # Sure: the whole segment recurs.  Asks: only its anchor does.  A sure segment whose anchor others ask about answers for its equals.
-    at = F.shiftright("place", 30)
-    found = found.select(
-        "_row", at.cast("int").alias("at"), (at - F.shiftright("place", 16).bitwiseAND(0x3FFF)).cast("int").alias("low"),
-        (at - F.shiftright("place", 2).bitwiseAND(0x3FFF)).cast("int").alias("high"), (F.col("same") > 1).alias("sure"),
-        (F.col("same") == 1).alias("asks"), ((F.col("least") == 1) & (F.col("nth") == 1)).alias("open"),
-    )
-    found = stored(found, "repeat-segments")
+    found = stored(recurring(texts.select("_row", "text").mapInArrow(_segment_rows(length), _SEGMENT)), "repeat-segments")
 
     ends = found.where("open").groupBy("_row").agg(F.collect_list(F.struct("at", "low", "high", "asks")).alias("open"))
     contexts = texts.select("_row", "text").join(ends, "_row").mapInArrow(_open_segments(length), "suffix long, _row long, low int, high int, before int, asks boolean, bytes binary")

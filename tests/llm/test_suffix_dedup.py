@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rivulet.llm import suffix_dedup
 from rivulet.llm.suffix_dedup import op7_suffix_dedup, repeated_bytes, segments
@@ -109,3 +110,36 @@ def test_every_large_group_is_split(spark, store, monkeypatch):
     assert got.count() == 20_017
     assert {(r.suffix, r.blocks) for r in got.where("blocks > 1").collect()} == {(-1, 4), (-2, 2)}
     assert got.where("block < 0 OR block >= blocks").count() == 0 and got.where("suffix = -1").select("block").distinct().count() > 1
+
+
+def test_anchor_in_many_contexts(spark, store):
+    """A line of 90 bytes among bytes of its own in each text: nothing recurs but where the neighbourhood does too."""
+    rng = random.Random(6)
+    line = "".join(rng.choice("abcdefgh ") for _ in range(90))
+    own = lambda n: "".join(rng.choice("ijklmnopq") for _ in range(n))
+    texts = [own(130) + line + own(130) for _ in range(800)] + [own(40) + line] * 2 + [own(130) + line + own(60)] * 2
+    texts += [t[:rng.randrange(205, 300)] for t in texts[:30]]
+    check(store([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), texts)
+
+
+def test_no_task_holds_the_contexts_of_an_anchor(spark, store):
+    """One key holds half of all segments, each in a context of its own; a third key recurs in one context only."""
+    place = lambda at: at << 30 | 1 << 16 | 1
+    rows = [(i, -7, i, place(300)) for i in range(30_000)] + [(i, i, i, place(700)) for i in range(30_000)] + [(1, -9, 5, place(900)), (2, -9, 5, place(900))]
+    found = store(rows, suffix_dedup._SEGMENT)
+    settings = {
+        "spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "40",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = suffix_dedup.recurring(found).withColumn("task", F.spark_partition_id()).toPandas()
+        plan = suffix_dedup.recurring(found)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert len(got) == 30_002 and got[got["at"] == 300]["asks"].all() and got[got["at"] == 900]["sure"].all()
+    assert got[got["at"] == 300]["open"].all() and not got[got["at"] == 900]["open"].any()
+    assert got.groupby("task").size().max() < 6_000
+    assert "windowspecdefinition(key" in plan and all("context" in part[:60] for part in plan.split("windowspecdefinition(")[1:])
