@@ -335,38 +335,41 @@ def in_blocks(contexts: DataFrame) -> DataFrame:
     return met.withColumn("block", F.pmod(F.xxhash64("_row", "low"), F.col("blocks")).cast("int"))
 
 
-def recurring(found: DataFrame) -> DataFrame:
-    """``_row, at, low, high, sure, asks, open`` of the segments that recur, or whose anchor does.
+def counted(found: DataFrame) -> DataFrame:
+    """``_row, at, low, high, key, sure, first`` of all segments.
 
-    ``sure``: the whole segment recurs.  ``asks``: only its anchor does.
-    ``open``: it asks, or it is sure, answers for its equals, and others ask
-    about its anchor.  Equal segments meet in a window over (key, context).
-    Of an anchor three numbers are gathered, which each task aggregates before
-    it sends them: how many contexts it has, the least count among them, and
-    which salts their hashes have.  The anchors that are asked about, one row a
-    salt, meet the first segment of each context by (key, salt), so an anchor
-    with any number of contexts is no group of one task; what one salt of a
-    very hot anchor holds, adaptive execution splits further.  The other
-    segments ask nothing and go anywhere.
+    ``sure``: the segment recurs.  ``first``: it stands for the equal ones,
+    which meet in a window over (key, context); the others ask nothing more
+    and have no ``key``.
     """
     same = Window.partitionBy("key", "context")
-    count = F.col("place").bitwiseAND(3)
-    found = found.repartition("key", "context").withColumn("same", F.sum(count).over(same)).withColumn("nth", F.row_number().over(same.orderBy("_row", "place")))
-    found = found.withColumn("salt", F.col("context").bitwiseAND(SALTS - 1).cast("int"))
-    salts = F.bit_or(F.expr("shiftleft(1L, salt)")).alias("salts")
-    contexts = found.where("nth = 1").groupBy("key").agg(F.count(F.lit(1)).alias("contexts"), F.min("same").alias("least"), salts)
-    taken = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.call_function("getbit", F.col("salts"), i) == 1)
-    asked = contexts.where("contexts > 1 AND least = 1").select("key", F.explode(taken).alias("salt"), F.lit(True).alias("asked"))
-    found = found.withColumn("key", F.when(F.col("nth") == 1, F.col("key")).otherwise(F.xxhash64("_row", "place")))
-    found = found.join(asked, ["key", "salt"], "left").where("same > 1 OR asked")
+    found = found.repartition("key", "context").withColumn("same", F.sum(F.col("place").bitwiseAND(3)).over(same))
+    found = found.withColumn("first", F.row_number().over(same.orderBy("_row", "place")) == 1)
     at = F.shiftright("place", 30)
     return found.select(
         "_row", at.cast("int").alias("at"), (at - F.shiftright("place", 16).bitwiseAND(0x3FFF)).cast("int").alias("low"),
-        (at - F.shiftright("place", 2).bitwiseAND(0x3FFF)).cast("int").alias("high"), (F.col("same") > 1).alias("sure"),
-        (F.col("same") == 1).alias("asks"), ((F.col("nth") == 1) & F.col("asked").isNotNull()).alias("open"),
+        (at - F.shiftright("place", 2).bitwiseAND(0x3FFF)).cast("int").alias("high"), F.expr("IF(first, key, NULL)").alias("key"), (F.col("same") > 1).alias("sure"), "first",
     )
 
 
+def open_ends(found: DataFrame) -> DataFrame:
+    """``_row, at, low, high, asks`` of the first segments in ``found`` whose anchor has other contexts, unless all of these recur as they are.
+
+    Of an anchor three numbers are gathered, which each task aggregates before
+    it sends them: how many contexts it has, whether all recur, and which salts
+    its segments have.  The anchors that are asked about, one row a salt, meet
+    their segments by (key, salt), so an anchor with any number of contexts is
+    no group of one task; what one salt of a very hot anchor holds, adaptive
+    execution splits further.
+    """
+    first = found.where("first").withColumn("salt", F.pmod(F.xxhash64("_row", "at", "low"), F.lit(SALTS)).cast("int"))
+    salts = F.bit_or(F.expr("shiftleft(1L, salt)")).alias("salts")
+    anchors = first.groupBy("key").agg(F.count(F.lit(1)).alias("contexts"), F.min("sure").alias("all_sure"), salts)
+    taken = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.call_function("getbit", F.col("salts"), i) == 1)
+    asked = stored(anchors.where("contexts > 1 AND NOT all_sure").select("key", F.explode(taken).alias("salt")), "repeat-anchors")
+    return first.join(asked, ["key", "salt"], "left_semi").select("_row", "at", "low", "high", (~F.col("sure")).alias("asks"))
+
+
 def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """One row per input row: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans``.
 
@@ -380,9 +383,8 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if not ANCHOR + 2 * TRIGGER < length < 1 << 14:
         raise ValueError(f"length has to be over {ANCHOR + 2 * TRIGGER} and below {1 << 14}")
     texts = with_row(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).select("_row", "doc_id", "text")
-    found = stored(recurring(texts.select("_row", "text").mapInArrow(_segment_rows(length), _SEGMENT)), "repeat-segments")
-
-    ends = found.where("open").groupBy("_row").agg(F.collect_list(F.struct("at", "low", "high", "asks")).alias("open"))
+    found = stored(counted(texts.select("_row", "text").mapInArrow(_segment_rows(length), _SEGMENT)), "repeat-segments")
+    ends = open_ends(found).groupBy("_row").agg(F.collect_list(F.struct("at", "low", "high", "asks")).alias("open"))
     contexts = texts.select("_row", "text").join(ends, "_row").mapInArrow(_open_segments(length), "suffix long, _row long, low int, high int, before int, asks boolean, bytes binary")
     contexts = stored(contexts, "repeat-contexts")
     met = in_blocks(contexts)
