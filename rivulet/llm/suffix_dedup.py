@@ -335,21 +335,23 @@ def in_blocks(contexts: DataFrame) -> DataFrame:
     return met.withColumn("block", F.pmod(F.xxhash64("_row", "low"), F.col("blocks")).cast("int"))
 
 
+#: Of a ``place``: the anchor's position, and the first and last window's.
+_AT = "CAST(shiftright(place, 30) AS INT) AS at"
+_LOW = "CAST(shiftright(place, 30) - (shiftright(place, 16) & 16383) AS INT) AS low"
+_HIGH = "CAST(shiftright(place, 30) - (shiftright(place, 2) & 16383) AS INT) AS high"
+
+
 def counted(found: DataFrame) -> DataFrame:
-    """``_row, at, low, high, key, sure, first`` of all segments.
+    """``_row, key, place, first`` of all segments; the lowest bit of ``place`` says that the segment recurs.
 
-    ``sure``: the segment recurs.  ``first``: it stands for the equal ones,
-    which meet in a window over (key, context); the others ask nothing more
-    and have no ``key``.
+    ``first``: it stands for the equal ones, which meet in a window over
+    (key, context); the others ask nothing more and have no ``key``.
     """
     same = Window.partitionBy("key", "context")
-    found = found.repartition("key", "context").withColumn("same", F.sum(F.col("place").bitwiseAND(3)).over(same))
+    found = found.repartition("key", "context").withColumn("sure", F.sum(F.col("place").bitwiseAND(3)).over(same) > 1)
     found = found.withColumn("first", F.row_number().over(same.orderBy("_row", "place")) == 1)
-    at = F.shiftright("place", 30)
-    return found.select(
-        "_row", at.cast("int").alias("at"), (at - F.shiftright("place", 16).bitwiseAND(0x3FFF)).cast("int").alias("low"),
-        (at - F.shiftright("place", 2).bitwiseAND(0x3FFF)).cast("int").alias("high"), F.expr("IF(first, key, NULL)").alias("key"), (F.col("same") > 1).alias("sure"), "first",
-    )
+    place = F.col("place").bitwiseAND(-4).bitwiseOR(F.col("sure").cast("long"))
+    return found.select("_row", F.when(F.col("first"), F.col("key")).alias("key"), place.alias("place"), "first")
 
 
 def open_ends(found: DataFrame) -> DataFrame:
@@ -358,16 +360,20 @@ def open_ends(found: DataFrame) -> DataFrame:
     Of an anchor three numbers are gathered, which each task aggregates before
     it sends them: how many contexts it has, whether all recur, and which salts
     its segments have.  The anchors that are asked about, one row a salt, meet
-    their segments by (key, salt), so an anchor with any number of contexts is
-    no group of one task; what one salt of a very hot anchor holds, adaptive
-    execution splits further.
+    their segments by the hash of key and salt, so an anchor with any number of
+    contexts is no group of one task; what one salt of a very hot anchor holds,
+    adaptive execution splits further.  Two of these hashes that are equal by
+    chance add segments to step 3, which compares them.
     """
-    first = found.where("first").withColumn("salt", F.pmod(F.xxhash64("_row", "at", "low"), F.lit(SALTS)).cast("int"))
+    sure = F.col("place").bitwiseAND(1)
+    first = found.where("first").withColumn("salt", F.pmod(F.xxhash64("_row", "place"), F.lit(SALTS)).cast("int"))
     salts = F.bit_or(F.expr("shiftleft(1L, salt)")).alias("salts")
-    anchors = first.groupBy("key").agg(F.count(F.lit(1)).alias("contexts"), F.min("sure").alias("all_sure"), salts)
+    anchors = first.groupBy("key").agg(F.count(F.lit(1)).alias("contexts"), F.min(sure).alias("least"), salts)
     taken = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.call_function("getbit", F.col("salts"), i) == 1)
-    asked = stored(anchors.where("contexts > 1 AND NOT all_sure").select("key", F.explode(taken).alias("salt")), "repeat-anchors")
-    return first.join(asked, ["key", "salt"], "left_semi").select("_row", "at", "low", "high", (~F.col("sure")).alias("asks"))
+    asked = anchors.where("contexts > 1 AND least = 0").select("key", F.explode(taken).alias("salt"))
+    asked = stored(asked.select(F.xxhash64("key", "salt").alias("asked")), "repeat-anchors")
+    first = first.select(F.xxhash64("key", "salt").alias("asked"), "_row", "place")
+    return first.join(asked, "asked", "left_semi").selectExpr("_row", _AT, _LOW, _HIGH, "place & 1 = 0 AS asks")
 
 
 def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
@@ -394,7 +400,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     across = compared.where("NOT sure")
     twice = across.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2")
     ends = compared.where("sure").select("_row", "low", "high").unionByName(across.where("asks").join(twice, ["h1", "h2"], "left_semi").select("_row", "low", "high"))
-    gone = found.where("sure").select("_row", "low", "high").unionByName(ends).groupBy("_row").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+    gone = found.where("place & 1 = 1").selectExpr("_row", _LOW, _HIGH).unionByName(ends).groupBy("_row").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
     id_type = docs.schema[id_col].dataType.simpleString()
     return texts.join(gone, "_row", "left").select("doc_id", "text", "spans").mapInArrow(
         _remains(length), f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>")
