@@ -26,8 +26,8 @@ else goes.  The strings ("windows") are named by rolling-hash triggers:
 Step 2 takes segments with 128 equal bits of hash as equal, step 3 compares
 bytes.  They send hashes and short contexts; the text itself is sent twice, to
 meet its segments and its spans.  Equal segments of one batch of rows meet there first, so a
-hot string costs one row a batch.  A group of step 3 that holds more than a
-thousandth of its rows is dealt over blocks, whose windows meet by their hash.
+hot string costs one row a batch.  A group of step 3 with more than
+``GROUP`` rows is dealt over blocks, whose windows meet by their hash.
 """
 
 from __future__ import annotations
