@@ -219,7 +219,8 @@ _BUCKETED: dict[tuple, tuple[str, str]] = {}
 
 
 def _bucketed_pair(spark: SparkSession, sf_dir: str, n: int, finer: int = 1) -> tuple[DataFrame, DataFrame]:
-    """orders in ``n`` buckets and lineitem in ``finer`` times as many, on the order key (written once per application)."""
+    """orders in ``n`` buckets or more, as its rows and their lines ask for, and lineitem in ``finer`` times as many,
+    on the order key (written once per application)."""
     return tuple(spark.table(t) for t in _bucketed_names(spark, sf_dir, n, finer))
 
 
@@ -230,10 +231,11 @@ def _bucketed_names(spark: SparkSession, sf_dir: str, n: int, finer: int = 1) ->
     if names and all(spark.catalog.tableExists(t) for t in names):
         return names
     o_name, l_name = tables.unique_table_name("orders_b"), tables.unique_table_name("lineitem_b")
-    tables.write_bucketed(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"),
-                          o_name, work_dir(spark, "orders_b"), n, "o_orderkey", "o_orderkey")
-    tables.write_bucketed(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity"),
-                          l_name, work_dir(spark, "lineitem_b"), n * finer, "l_orderkey", "l_orderkey")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity")
+    n = buckets.buckets_for(spark, orders.count() + lines.count(), least=n, finer=finer)
+    tables.write_bucketed(orders, o_name, work_dir(spark, "orders_b"), n, "o_orderkey", "o_orderkey")
+    tables.write_bucketed(lines, l_name, work_dir(spark, "lineitem_b"), n * finer, "l_orderkey", "l_orderkey")
     _BUCKETED[key] = (o_name, l_name)
     return o_name, l_name
 
@@ -243,7 +245,10 @@ SELECT o.o_orderkey, o.o_orderstatus, count(*) AS n_lines, round(sum(l.l_quantit
 FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey
 GROUP BY o.o_orderkey, o.o_orderstatus""")
 def bucketed_join(spark: SparkSession, sf_dir: str, buckets: int | None = None) -> DataFrame:
-    """Orders and lineitem bucketed on the order key join and aggregate without an Exchange."""
+    """Orders and lineitem bucketed on the order key join and aggregate without an Exchange.
+
+    ``buckets`` are the fewest; larger tables get more.
+    """
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     o, li = _bucketed_pair(spark, sf_dir, n)
     j = o.join(li, o["o_orderkey"] == li["l_orderkey"])
@@ -256,7 +261,10 @@ SELECT o.o_orderkey, o.o_orderstatus, count(*) AS n_lines, round(sum(l.l_quantit
 FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey
 GROUP BY o.o_orderkey, o.o_orderstatus""")
 def bucketed_join_unequal(spark: SparkSession, sf_dir: str, buckets_of_orders: int = 4) -> DataFrame:
-    """Lineitem in twice as many buckets as orders; two of its buckets are read as one, without an Exchange."""
+    """Lineitem in twice as many buckets as orders; two of its buckets are read as one, without an Exchange.
+
+    ``buckets_of_orders`` are the fewest; larger tables get more, as one task reads a whole bucket of both.
+    """
     buckets.allow_coalesced_joins(spark)
     o, li = _bucketed_pair(spark, sf_dir, buckets_of_orders, finer=2)
     return o.join(li, o["o_orderkey"] == li["l_orderkey"]).groupBy("o_orderkey", "o_orderstatus").agg(

@@ -1,4 +1,4 @@
-"""Bucketed tables read by bucket (S13): file audit, bucket pruning, joins of unequal bucket counts.
+"""Bucketed tables read by bucket (S13): bucket counts, file audit, bucket pruning, joins of unequal bucket counts.
 
 Spark itself skips buckets for ``=`` and ``IN`` on the bucket column and joins
 equal layouts without a shuffle; what it does not do is tell which files make
@@ -16,6 +16,20 @@ from pyspark.sql import functions as F
 # Fixed value: Spark ends the name of a bucket's file in ``_<bucket id>``, before the extensions.
 BUCKET_OF_FILE = r"_(\d+)(?:\.[^/]*)?$"
 
+# Fixed value: without a shuffle one task joins a whole bucket, so this bounds its memory (README, Bucketed tables).
+ROWS_PER_BUCKET = 1_000_000
+
+
+def buckets_for(spark: SparkSession, rows: int, least: int = 1, finer: int = 1) -> int:
+    """How many buckets keep ``rows`` rows at ``ROWS_PER_BUCKET`` a bucket on average: ``least`` or more.
+
+    ``rows`` counts those of all tables that one task reads by bucket.  Spark
+    allows a table ``spark.sql.sources.bucketing.maxBuckets``; if a table is to
+    have ``finer`` times as many, that is the end, and buckets then grow.
+    """
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")) // finer
+    return max(least, min(-(-rows // ROWS_PER_BUCKET), most))
+
 
 @dataclass(frozen=True)
 class Layout:

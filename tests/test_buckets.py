@@ -93,3 +93,37 @@ def test_twice_as_many_buckets_join_without_a_shuffle(spark, sf_dir):
     plan = _plan(spark, df)
     assert "Exchange" not in plan and "(Coalesced to 4)" in plan
     assert sorted(map(tuple, bucketed_join(spark, sf_dir).collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_bucket_counts_follow_the_rows(spark):
+    assert buckets.buckets_for(spark, 0, least=4) == buckets.buckets_for(spark, 4 * buckets.ROWS_PER_BUCKET, least=4) == 4
+    assert buckets.buckets_for(spark, 4 * buckets.ROWS_PER_BUCKET + 1, least=4) == 5
+    assert buckets.buckets_for(spark, 10**15, finer=2) == 50_000  # Spark's end: the finer table has 100,000
+
+
+@pytest.mark.parametrize("times", [1, 3])
+def test_larger_tables_get_more_buckets_not_larger_ones(spark, sf_dir, tmp_path, monkeypatch, times):
+    from rivulet.plans import q_tables
+    monkeypatch.setattr(buckets, "ROWS_PER_BUCKET", 500, raising=False)
+    monkeypatch.setattr(q_tables, "_BUCKETED", {})
+    rows = 0
+    for t, key in ("orders", "o_orderkey"), ("lineitem", "l_orderkey"):
+        df = spark.read.parquet(f"{sf_dir}/{t}.parquet")
+        many = df.crossJoin(spark.range(times).select(F.col("id").alias("_copy")))
+        many.withColumn(key, F.col(key) + F.col("_copy") * 1_000_000).drop("_copy").write.parquet(f"{tmp_path}/{t}.parquet")
+        rows += df.count() * times
+    df = q_tables.bucketed_join_unequal(spark, str(tmp_path))
+    names = q_tables._bucketed_names(spark, str(tmp_path), 4, finer=2)
+    n = -(-rows // 500)
+    assert [buckets.layout(spark, t).buckets for t in names] == [n, 2 * n]
+    read = [buckets.audit(spark, t).collect() for t in names]
+    assert all(r["n_files"] <= 1 for t in read for r in t) and sum(r["n_rows"] for t in read for r in t) == rows
+    # one task reads bucket b of the orders and buckets b and b + n of the lines
+    both = [sum(r["n_rows"] for t in read for r in t if r["bucket"] % n == b) for b in range(n)]
+    assert max(both) < 2 * 500
+    plan = _plan(spark, df)
+    assert "Exchange" not in plan and f"(Coalesced to {n})" in plan
+    for t in "orders", "lineitem":
+        spark.read.parquet(f"{tmp_path}/{t}.parquet").createOrReplaceTempView(f"grown_{t}")
+    sql = q_tables.ORACLES["bucketed_join_unequal"].replace("FROM orders", "FROM grown_orders").replace("JOIN lineitem", "JOIN grown_lineitem")
+    assert sorted(map(tuple, df.collect())) == sorted(map(tuple, spark.sql(sql).collect()))
